@@ -133,7 +133,7 @@ def repeats(ids: np.ndarray, contexts: list[bytes], family: IndexFamily) -> tupl
     return flags, at
 
 
-def _dealt(picks: list[np.ndarray], hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+def _dealt(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Bucket numbers with the places of their hashes, in order."""
     bucket = (hashes % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -141,27 +141,47 @@ def _dealt(picks: list[np.ndarray], hashes: np.ndarray, buckets: int) -> Iterato
     yield from zip(names.tolist(), np.split(order, first[1:]), strict=True)
 
 
-def _units(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch["doc_id"].to_numpy(zero_copy_only=False), batch["h"].to_numpy(zero_copy_only=False)
+def planes(x: np.ndarray) -> bytes:
+    """An integer array with all low bytes first, then all second bytes and so on: small numbers then compress well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def unplaned(column: pd.Series, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in column]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel()
+
+
+def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch[name].to_numpy(zero_copy_only=False)
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows, strict=True))], names)
 
 
 def _picks(texts: DataFrame, buckets: int) -> DataFrame:
+    """For each bucket and piece: documents, how many picks each has there, and of each pick 32 bits of its hash and its
+    number in the document. Picks that only look equal are told apart later."""
+    names = ["bucket", "ids", "n", "hashes", "numbers"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE_BYTES):
-            ids, h = _units(b)
-            found = [minimizers(t) for t in as_bytes(b, "text")]
-            position = np.concatenate([f[0] for f in found])
-            if not len(position):
+            ids = _column(b, "doc_id")
+            found = [minimizers(t)[1] for t in as_bytes(b, "text")]
+            hashes = np.concatenate(found)
+            if not len(hashes):
                 continue
-            hashes = np.concatenate([f[1] for f in found])
-            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            sizes = [len(f) for f in found]
+            of = np.repeat(np.arange(len(found)), sizes)
+            number = (np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             rows = []
-            for name, at in _dealt(found, hashes, buckets):
+            for name, at in _dealt(hashes, buckets):
                 unit, n = np.unique(of[at], return_counts=True)
-                rows.append((name, ids[unit].tobytes(), h[unit].tobytes(), n.astype(np.int32).tobytes(), hashes[at].tobytes(), position[at].astype(np.int32).tobytes()))
-            yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["bucket", "ids", "h", "n", "hashes", "positions"])
+                rows.append((name, planes(ids[unit]), planes(n.astype(np.int32)), (hashes[at] >> np.uint64(32)).astype(np.uint32).tobytes(), planes(number[at])))
+            yield _rows(rows, names)
 
-    return texts.mapInArrow(run, "bucket int, ids binary, h binary, n binary, hashes binary, positions binary")
+    return texts.mapInArrow(run, "bucket int, ids binary, n binary, hashes binary, numbers binary")
 
 
 def _joined(column: pd.Series, kind: str) -> np.ndarray:
@@ -170,25 +190,29 @@ def _joined(column: pd.Series, kind: str) -> np.ndarray:
 
 def _shared(bucket: pd.DataFrame) -> pd.DataFrame:
     """Picks of a bucket that at least two documents have."""
-    n = _joined(bucket["n"], "i4")
-    ids, h = (np.repeat(_joined(bucket[c], "i8"), n) for c in ("ids", "h"))
-    hashes, position = _joined(bucket["hashes"], "u8"), _joined(bucket["positions"], "i4")
+    ids = np.repeat(unplaned(bucket["ids"], "i8"), unplaned(bucket["n"], "i4"))
+    hashes, number = _joined(bucket["hashes"], "u4"), unplaned(bucket["numbers"], "i4")
     order = np.argsort(hashes)
     first = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]])
     by = ids[order]
     several = np.minimum.reduceat(by, first) != np.maximum.reduceat(by, first)
     at = order[np.repeat(several, np.diff(np.r_[first, len(order)]))]
-    return pd.DataFrame({"doc_id": ids[at], "h": h[at], "position": position[at]})
+    return pd.DataFrame({"doc_id": ids[at], "number": number[at]})
 
 
 def _contexts(texts: DataFrame, buckets: int) -> DataFrame:
+    """For each bucket and piece: documents, their text hashes, how many contexts each has there, where each begins, its
+    size and its bytes (compressed)."""
+    names = ["bucket", "ids", "h", "n", "begin", "sizes", "bytes"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE_BYTES):
-            ids, h = _units(b)
+            ids, h = _column(b, "doc_id"), _column(b, "h")
             of, hashes, begin, around = [], [], [], []
-            for i, (text, kept) in enumerate(zip(as_bytes(b, "text"), b["positions"].to_pylist(), strict=True)):
-                position, hs, first, last = minimizers(text)
-                some = np.flatnonzero(np.isin(position, kept))
+            for i, (text, kept) in enumerate(zip(as_bytes(b, "text"), b["numbers"].to_pylist(), strict=True)):
+                _, hs, first, last = minimizers(text)
+                some = np.unique(kept)
+                some = some[some < len(hs)]
                 of += [i] * len(some)
                 hashes.append(hs[some])
                 begin += first[some].tolist()
@@ -197,20 +221,23 @@ def _contexts(texts: DataFrame, buckets: int) -> DataFrame:
                 continue
             of, begin, sizes = np.array(of), np.array(begin, np.int32), np.array([len(x) for x in around], np.int32)
             rows = []
-            for name, at in _dealt(around, np.concatenate(hashes), buckets):
+            for name, at in _dealt(np.concatenate(hashes), buckets):
                 unit, n = np.unique(of[at], return_counts=True)
-                rows.append((name, ids[unit].tobytes(), h[unit].tobytes(), n.astype(np.int32).tobytes(), begin[at].tobytes(), sizes[at].tobytes(), b"".join([around[i] for i in at.tolist()])))
-            yield pa.record_batch([pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], ["bucket", "ids", "h", "n", "begin", "sizes", "bytes"])
+                text = pa.compress(b"".join([around[i] for i in at.tolist()]), codec="zstd", asbytes=True)
+                rows.append((name, planes(ids[unit]), h[unit].tobytes(), planes(n.astype(np.int32)), planes(begin[at]), planes(sizes[at]), text))
+            yield _rows(rows, names)
 
     return texts.mapInArrow(run, "bucket int, ids binary, h binary, n binary, begin binary, sizes binary, bytes binary")
 
 
 def _matched(bucket: pd.DataFrame) -> pd.DataFrame:
     """Byte spans of a bucket's windows that a smaller document has."""
-    n = _joined(bucket["n"], "i4")
-    ids, h = (np.repeat(_joined(bucket[c], "i8"), n) for c in ("ids", "h"))
-    begin, sizes = _joined(bucket["begin"], "i4").astype(np.int64), _joined(bucket["sizes"], "i4").astype(np.int64)
-    data, ends = b"".join(bucket["bytes"]), np.cumsum(sizes)
+    n = unplaned(bucket["n"], "i4")
+    ids, h = np.repeat(unplaned(bucket["ids"], "i8"), n), np.repeat(_joined(bucket["h"], "i8"), n)
+    begin, each = unplaned(bucket["begin"], "i4").astype(np.int64), [unplaned([s], "i4") for s in bucket["sizes"]]
+    data = b"".join(pa.decompress(x, int(s.sum()), codec="zstd", asbytes=True) for x, s in zip(bucket["bytes"], each, strict=True))
+    sizes = np.concatenate(each).astype(np.int64)
+    ends = np.cumsum(sizes)
     order = np.argsort(ids, kind="stable")
     batch = np.cumsum((sizes - LENGTH + 1)[order]) // BATCH_WINDOWS
     family, out = IndexFamily(), []
@@ -225,36 +252,37 @@ def _matched(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out).astype({"first": np.int32, "after": np.int32})
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Two tables: units (doc_id, h, text), the rows of docs with a hash of the text; and spans (doc_id, h, first,
-    after): byte spans to remove, which may overlap."""
+def repeated_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Two tables: units (doc_id, a hash h of the text, text, `keep` columns), the rows of docs with an id; and spans
+    (doc_id, h, first, after): byte spans to remove, which may overlap."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    units = units.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keep).where(F.col("doc_id").isNotNull())
+    units = units.select("doc_id", F.xxhash64("text").alias("h"), "text", *keep)
     rows = units.select("doc_id", "h", F.octet_length("text").alias("n"), F.md5("text").alias("same")).where(F.col("n") >= LENGTH)
     owners = rows.groupBy("same").agg(F.min("doc_id").alias("owner"))
     owned = rows.join(owners, "same")
     copies = owned.where("doc_id > owner").select("doc_id", "h", F.lit(0).alias("first"), F.col("n").alias("after"))
-    firsts = owned.where("doc_id = owner").select("doc_id", "h").distinct()
-    texts = units.join(firsts.hint("shuffle_hash"), ["doc_id", "h"], "left_semi")
-    shared = _picks(texts, buckets).groupBy("bucket").applyInPandas(_shared, "doc_id long, h long, position int")
-    wanted = shared.groupBy("doc_id", "h").agg(F.collect_list("position").alias("positions"))
-    around = units.join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("doc_id", "h", "text", "positions")
+    firsts = owned.where("doc_id = owner").groupBy("doc_id").agg(F.collect_set("h").alias("of"))
+    # the three joins below have one key and one left side, so the texts are shuffled once
+    texts = units.join(firsts.hint("shuffle_hash"), "doc_id").where(F.array_contains("of", F.col("h"))).drop("of")
+    shared = _picks(texts, buckets).groupBy("bucket").applyInPandas(_shared, "doc_id long, number int")
+    wanted = shared.groupBy("doc_id").agg(F.collect_list("number").alias("numbers"))
+    around = units.join(wanted.hint("shuffle_hash"), "doc_id")
     spans = _contexts(around, buckets).groupBy("bucket").applyInPandas(_matched, "doc_id long, h long, first int, after int")
     return units, spans.union(copies)
 
 
-def removed(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_bytes, spans (maximal removed byte runs: first, after) and kept (the
-    bytes that are left). With whole_characters, spans shrink so that no character is cut."""
-    units, spans = repeated_spans(docs)
+def removed(docs: DataFrame, keep: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_bytes, spans (maximal removed byte runs: first, after), kept (the bytes
+    that are left) and the `keep` columns. With whole_characters, spans shrink so that no character is cut."""
+    units, spans = repeated_spans(docs, keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE_BYTES):
             runs, kept, sizes = [], [], []
-            for text, found in zip(as_bytes(b, "text"), b["spans"].to_pylist(), strict=True):
+            for text, h, found in zip(as_bytes(b, "text"), b["h"].to_pylist(), b["spans"].to_pylist(), strict=True):
                 whole, at, left = [], 0, []
-                for s in sorted((x["first"], x["after"]) for x in found or []):
+                for s in sorted((x["first"], x["after"]) for x in found or [] if x["h"] == h):
                     if whole and s[0] <= whole[-1][1]:
                         whole[-1][1] = max(whole[-1][1], s[1])
                     else:
@@ -268,12 +296,13 @@ def removed(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
                 kept.append(b"".join([*left, text[at:]]))
                 sizes.append(len(text))
             kind = pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))
-            yield pa.record_batch({"doc_id": b["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary())})
+            yield pa.record_batch({"doc_id": b["doc_id"], "n_bytes": pa.array(sizes, pa.int64()), "spans": pa.array(runs, kind), "kept": pa.array(kept, pa.binary()), **{k: b[k] for k in keep}})
 
-    by_unit = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "after")).alias("spans"))
-    ready = units.join(by_unit.hint("shuffle_hash"), ["doc_id", "h"], "left").select("doc_id", "text", "spans")
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("array<struct<first:int,after:int>>").alias("spans"))
-    return ready.union(nameless).mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<first:int,after:int>>, kept binary")
+    by_unit = spans.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "after")).alias("spans"))
+    ready = units.join(by_unit.hint("shuffle_hash"), "doc_id", "left")
+    nameless = docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("h"), "text", *keep, F.lit(None).cast("array<struct<h:long,first:int,after:int>>").alias("spans"))
+    fields = "".join(f", `{k}` {dict(docs.dtypes)[k]}" for k in keep)
+    return ready.union(nameless).mapInArrow(cut, f"doc_id long, n_bytes long, spans array<struct<first:int,after:int>>, kept binary{fields}")
 
 
 def _forward(text: bytes, at: int) -> int:
