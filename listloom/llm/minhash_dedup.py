@@ -6,9 +6,9 @@ shifted circularly by k for coordinate k, so that one row of the table holds a s
 (C-MinHash). `BANDS` bands of `ROWS` coordinates miss a pair of similarity 0.75 with probability 5e-6. Every reported
 link is confirmed on full shingle sets.
 
-Groups of any size cost work in proportion to their size: documents with equal shingle sets are one class; in a first
-round each member of a bucket is compared with the bucket's first class only; in a second, only members of a bucket
-that are still in different components are compared with each other, after a filter on whole signatures.
+Groups of any size cost work in proportion to their size: documents with equal shingle sets are one class; in `STARS`
+rounds each member of a bucket is compared with one class only, drawn anew for each bucket and round; at last, members
+of a bucket that are still in different components are compared with each other, after a filter on whole signatures.
 
 Defined cases: null text and text without words have no shingles, stand alone and are kept; with fewer than five words
 the whole sequence is one shingle; equal rows share a class (rows with one doc_id are one document); null doc_id rows
@@ -23,36 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, written
+from .common import Hashes, as_bytes, mixed, pieces, written
 from .components import components
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 COORDINATES, UNIVERSE = BANDS * ROWS, 1 << 19
-PERCENT = 75
+PERCENT, STARS = 75, 2
+AGREE = 72  # of 128 coordinates: 0.75 less five standard deviations
 PIECE_BYTES, CHUNK = 4 << 20, 1 << 14
 FEW_IDS = 1 << 20  # so many ids (8 MB) may be broadcast
 
 
-class Hashes(dict):
-    """64-bit hashes of words, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def shingles(text: bytes, hashes: Hashes) -> np.ndarray:
     """Distinct 64-bit shingle hashes, sorted."""
     words = text.lower().split()
@@ -63,7 +48,7 @@ def shingles(text: bytes, hashes: Hashes) -> np.ndarray:
     h = np.zeros(len(w) - width + 1, np.uint64)
     for i in range(width):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(h)]
-    return np.unique(_mix(h))
+    return np.unique(mixed(h))
 
 
 def circulant_table() -> np.ndarray:
@@ -99,7 +84,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sig = signatures([sets[i] for i in some], table)
                 keys = np.zeros((len(some), BANDS), np.uint64)
                 for r in range(ROWS):
-                    keys = _mix((keys + sig[:, r::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+                    keys = mixed((keys + sig[:, r::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
                 keys = (keys ^ salt).view(np.int64)
                 for i, k, s in zip(some, keys, sig.astype(np.uint8), strict=True):
                     same[i], bands[i], small[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, s.tobytes()
@@ -128,22 +113,37 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def across(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's classes in different components whose signatures agree in half of the coordinates (0.75 less
-    six standard deviations) and whose sizes allow the similarity; blocks bound the memory."""
-    bucket = bucket.sort_values("rep")
+    """Pairs of a bucket's classes in different components whose signatures agree in AGREE coordinates and whose sizes
+    allow the similarity; blocks bound the memory."""
     sig = np.frombuffer(b"".join(bucket["small"]), np.uint8).reshape(len(bucket), -1)
-    rep, comp, n, lead = (bucket[c].to_numpy() for c in ("rep", "comp", "n", "lead"))
+    rep, comp, n = (bucket[c].to_numpy() for c in ("rep", "comp", "n"))
     out = []
     step = max(1, (8 << 20) // max(1, sig.size))
     for i in range(0, len(rep), step):
-        agree = (sig[i : i + step, None, :] == sig[None, :, :]).sum(2, dtype=np.int32) >= COORDINATES // 2
-        a, b = np.nonzero(agree & (comp[i : i + step, None] != comp[None, :]) & (rep[i : i + step, None] < rep[None, :]))
+        differ = (comp[i : i + step, None] != comp[None, :]) & (rep[i : i + step, None] < rep[None, :])
+        a, b = np.nonzero(differ & ((sig[i : i + step, None, :] == sig[None, :, :]).sum(2, dtype=np.int32) >= AGREE))
         a = a + i
-        fits = (rep[a] != lead[a]) & (100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b]))
+        fits = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
         out.append(np.stack([rep[a[fits]], rep[b[fits]]], 1))
     return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
 
+def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of those buckets that hold more than one component, with their component."""
+    now = buckets.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "rep", "n", "comp")
+    spread = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
+    return now.join(spread, "key", "left_semi")
+
+
+def stars(members: DataFrame, seed: int) -> DataFrame:
+    """Pairs of one class of each bucket, drawn by a hash, with the bucket's members of other components."""
+    drawn = F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("key", "rep", F.lit(seed)))
+    lead = members.groupBy("key").agg(drawn.alias("lead"))
+    fits = 100 * F.least("n", F.col("lead.n")) >= PERCENT * F.greatest("n", F.col("lead.n"))
+    met = members.join(lead, "key").where((F.col("comp") != F.col("lead.comp")) & fits)
+    return met.select(F.least("rep", F.col("lead.rep")).alias("a"), F.greatest("rep", F.col("lead.rep")).alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     drawn = written(sketches(docs), "sketches")
@@ -152,26 +152,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(classes.select("same", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands", "x.small"), "classes")
 
     dealt = classes.select("rep", "n", F.explode("bands").alias("key"))
-    leads = dealt.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-    buckets = written(dealt.join(leads, "key").select("key", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"), "members"), "buckets")
+    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    buckets = written(dealt.join(shared, "key").select("key", "rep", "n"), "buckets")
 
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
 
-    fits = 100 * F.least("n", "lead_n") >= PERCENT * F.greatest("n", "lead_n")
-    first = buckets.where((F.col("rep") != F.col("lead")) & fits).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(confirmed(first, sets), "links")
-    found = components(links)
-
-    # the second round: buckets that the first one left in more than one component
-    now = buckets.where("members > 2").join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep"))
-    open_ = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
-    members = now.join(open_, "key", "left_semi").join(classes.select("rep", "small"), "rep").select("key", "rep", "comp", "n", "lead", "small")
-    second = members.groupBy("key").applyInPandas(across, "a long, b long").distinct()
-    more = written(confirmed(second, sets), "links")
-    if not more.isEmpty():
-        found = components(links.union(more))
+    members, found = buckets.withColumn("comp", F.col("rep")), None
+    for k in range(STARS + 1):
+        if k < STARS:
+            pairs = stars(members, k)
+        else:
+            pairs = members.join(classes.select("rep", "small"), "rep").groupBy("key").applyInPandas(across, "a long, b long").distinct()
+        more = written(confirmed(pairs, sets), "links")
+        links = more if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+        found = components(links)
+        if k < STARS:
+            members = written(still_open(buckets, found), "open")
 
     rep = classes.select("same", "rep").join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = drawn.select("doc_id", "n_shingles", "same").join(rep, "same", "left")
