@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,3 +64,27 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int
 def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """Values of a string column as UTF-8 bytes, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+class Hashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit integers with their bits spread."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def matching(df: DataFrame, ids: DataFrame, how: str = "left_semi", few: int = 1 << 20) -> DataFrame:
+    """Rows of df whose doc_id is (left_semi) or isn't (left_anti) in ids, null taken as a value. ids are broadcast
+    only if they are counted to be few (8 MB); else both sides are shuffled."""
+    ids = written(ids.select(F.col("doc_id").alias("_id")).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= few else ids
+    return df.join(ids, df["doc_id"].eqNullSafe(ids["_id"]), how)

@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, minhash_dedup, quality, suffix_dedup
-from .common import held_out, table
+from . import ann_forest, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, suffix_dedup
+from .common import held_out, shared_dir, table
+from .sharding import ShardStore
+
+
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.score(docs, lm_scoring.fit(docs))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +33,18 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - n_kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    names = F.array_join(F.transform("licenses", lambda x: x["template"]), ",")
+    best = F.coalesce(F.array_max(F.transform("licenses", lambda x: x["containment"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("licenses").alias("n_licenses"), names.alias("licenses"), best.alias("best_containment"))
+
+
+def op6_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_forest.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out())
     model = quality.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
@@ -36,6 +60,25 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_suffix_array_dedup, op7_quality_classifier, op8_decontamination, op9_minhash_near_dedup)}
-
-ORACLES: dict[str, str] = {}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals, each compacted; what the store holds then, with a digest of each text."""
+    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    for arrival in range(3):
+        store.append(docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0)) == arrival))
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_lm_scoring, op2_best_fit_packing, op3_language_id, op4_suffix_array_dedup, op5_license_scan,
+        op6_ann_forest, op7_quality_classifier, op8_decontamination, op9_minhash_near_dedup, op10_sharding,
+    )
+}
+
+ORACLES = {
+    "op10_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
+}
