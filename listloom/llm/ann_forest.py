@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, PROBES, DEPTH, SHARD_ROWS, CANDIDATES = 12, 8, 4, 4096, 4096
+TREES, PROBES, DEPTH, SHARD_ROWS, CANDIDATES = 12, 6, 4, 4096, 4096
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -117,8 +117,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
                 least = np.partition(score, len(score) - k)[len(score) - k]
                 found, score = found[score >= least], score[score >= least]
             best = np.lexsort((found, -score))[:k]
-            out.append(pd.DataFrame({"query_id": np.full(len(best), q), "vec_id": found[best], "score": score[best]}))
-        return pd.concat(out)
+            out.append((np.full(len(best), q), found[best], score[best]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     kind = "tree int, char int, shard int, query boolean, string long, vec_id long, embedding array<double>"
     same = Window.partitionBy("embedding").orderBy("vec_id")
