@@ -1,3 +1,320 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables. `messages` makes a message table of orders; its SQL is the oracles' too."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify, dates, names, quoting, text
+from ..operators import dedup, search, threads, views
+from ..sources import archive, html
+from ..streaming import incremental
+from .enrich import by_date, unswapped
+
+PAGE = """case when o.o_orderkey % 4 in (2, 3) then concat('http://x.example/p', cast(o.o_orderkey % 4 as varchar(5)), '/', cast(o.o_custkey % 400 as varchar(20)), '-', cast(cast(o.o_orderdate as date) as varchar(20)))
+  else concat('http://x.example/m', cast(o.o_orderkey as varchar(20))) end"""
+MESSAGES_SQL = f"""select o.o_orderkey as message_number,
+  case when o.o_orderkey % 97 = 0 then cast(null as timestamp) else cast(o.o_orderdate as timestamp) end as date,
+  case when o.o_orderkey % 101 = 0 then cast(null as varchar(40)) else concat('User ', cast(o.o_custkey % 40 as varchar(20))) end as from_name,
+  concat(case o.o_orderkey % 7 when 0 then 'Re: ' when 1 then 'RE: Fwd: ' when 2 then '[list] ' when 3 then 'Re: [list] ' else '' end,
+    case when o.o_orderkey % 53 = 0 then '' else concat('Topic ', cast(o.o_custkey % 400 as varchar(20)),
+      case o.o_custkey % 9 when 0 then ' workshop' when 1 then ' postdoc position' when 2 then ' released' when 3 then ' unsubscribe' else '' end) end) as subject,
+  case when o.o_orderkey % 103 = 0 then cast(null as varchar(200)) else concat('Order note ', o.o_orderpriority, ' ', cast(o.o_custkey % 400 as varchar(20))) end as body_clean,
+  case o.o_orderkey % 4 when 0 then 'live' when 1 then 'pipermail' when 2 then 'legacy' else 'topic' end as source,
+  {PAGE} as source_url,
+  case when o.o_orderkey % 11 <> 0 then cast(floor(o.o_orderkey / 3.0) as bigint) else cast(null as bigint) end as in_reply_to_number
+from {{orders}} o"""
+DATE_STRINGS_SQL = """select o_orderkey as id, case o_orderkey % 8
+  when 0 then concat('Thu, ', {d}) when 1 then concat('Date: ', {d}, ' (PST)') when 2 then concat({d}, ' EST') when 3 then {us}
+  when 4 then concat({us}, ' 14:45 PM') when 5 then {iso} when 6 then 'no date' else concat({us2}, ', Time:15:51:31') end as raw from {orders}"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = spark.sql(MESSAGES_SQL, orders=table(spark, sf_dir, "orders"))
+    return m.withColumns({"category": classify.category(F.col("subject")), "thread_id": F.lit(None).cast("long")})
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def _day(*columns: str) -> dict:
+    return {c: F.date_format(c, "yyyy-MM-dd") for c in columns}
+
+
+def monthly_volume(spark, sf_dir):
+    return views.monthly_volume(messages(spark, sf_dir))
+
+
+def event_volume(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("date"), F.col("event_type").alias("category"))
+    return views.monthly_volume(e)
+
+
+def thread_summary(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("thread_key", text.group_key(F.col("subject")))
+    return views.thread_summary(m, "thread_key").withColumns(_day("first_date", "last_date"))
+
+
+def top_contributors(spark, sf_dir):
+    return views.top_contributors(messages(spark, sf_dir))
+
+
+def technical_only(spark, sf_dir):
+    return views.only(messages(spark, sf_dir)).select("message_number", "subject")
+
+
+def year_category_pivot(spark, sf_dir):
+    return _long(views.year_by_category(messages(spark, sf_dir)), "year", *classify.CATEGORIES)
+
+
+def source_totals(spark, sf_dir):
+    return views.source_totals(messages(spark, sf_dir))
+
+
+def totals(spark, sf_dir):
+    return _long(views.totals(messages(spark, sf_dir)), "first_year", "last_year")
+
+
+def month_counts(spark, sf_dir):
+    return _long(views.months(messages(spark, sf_dir)), "year", "month")
+
+
+def category_counts(spark, sf_dir):
+    return views.counts(messages(spark, sf_dir), "source", "category")
+
+
+def author_index(spark, sf_dir):
+    return _long(views.author_index(messages(spark, sf_dir)), "first_year", "last_year")
+
+
+def author_timeline(spark, sf_dir):
+    return views.author_timeline(messages(spark, sf_dir))
+
+
+def subject_keys(spark, sf_dir):
+    s = F.col("subject")
+    return messages(spark, sf_dir).select(
+        "message_number", text.merge_key(s).alias("merge_key"), text.group_key(s).alias("group_key"), text.display_subject(s).alias("display_subject"),
+        text.display_thread_subject(s).alias("thread_subject"), text.is_reply(s).alias("is_reply"),
+    )
+
+
+def message_classes(spark, sf_dir):
+    s = F.col("p_name")
+    some = table(spark, sf_dir, "part").select("p_partkey", F.concat(s, F.element_at(F.array(*map(F.lit, TRIGGERS)), (F.col("p_partkey") % len(TRIGGERS) + 1).cast("int"))).alias("p_name"))
+    return some.select("p_partkey", classify.category(s, classify.WHEN_PARSED).alias("parsed"), classify.category(s).alias("built"))
+
+
+# One subject ending for each rule of both tables, and some for none.
+TRIGGERS = ("", " hiring", " course", " version 3", " unsubscribe", " PAGE 2019", " meeting in 2004", " postdoc", " R package", " job", " looking for a scientist", " passed away", " virus", " release", " fellowship at")
+
+
+def body_signatures(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.body_signature(F.col("text")).alias("signature"))
+
+
+def stripped_disclaimers(spark, sf_dir):
+    ending = F.when(F.col("doc_id") % 3 == 0, F.lit("\nThis e-mail may contain confidential matter.\nBye")).when(F.col("doc_id") % 3 == 1, F.lit("\n------------  ")).otherwise("")
+    d = table(spark, sf_dir, "documents").select("doc_id", text.without_disclaimers(F.concat("text", ending)).alias("body"))
+    return d.select("doc_id", F.md5("body").alias("body_md5"), F.length("body").cast("long").alias("n"))
+
+
+def email_hashes(spark, sf_dir):
+    address = F.when(F.col("c_custkey") % 10 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), "c_name", F.lit("@X.example ")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.email_hash(address).alias("hash"))
+
+
+def swapped_fields(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    odd = F.col("message_number") % 5 == 0
+    m = m.withColumns({"from_name": F.when(odd, F.concat(F.lit("Re: "), F.col("source"))).otherwise(F.col("from_name"))})
+    return unswapped(m).select("message_number", "from_name", "subject")
+
+
+def source_urls(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    files = m.withColumns({"source_file": F.concat_ws("_", F.lit("2006-May"), F.col("message_number").cast("string"), F.lit("a.html")), "source_url": F.when(F.col("message_number") % 2 == 0, F.col("source_url"))})
+    parts = [archive.shaped(files.where(F.col("source") == k), k, archive.page_url(k, "http://a.example/")) for k in ("live", "pipermail", "legacy", "topic")]
+    return archive.merged(parts).select("message_number", "source", "source_url")
+
+
+def union_sources(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    live = archive.shaped(c.where("turn = 0").select(F.col("conv_id").alias("thread_id"), F.col("role").alias("from_name"), F.col("text").alias("body_clean")), "live")
+    legacy = archive.shaped(c.where("turn > 0").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("message_number"), F.col("role").alias("from_name")), "legacy")
+    return archive.merged([live, legacy]).select("thread_id", "message_number", "from_name", "source", F.md5("body_clean").alias("body_md5"))
+
+
+def dedup_priority(spark, sf_dir):
+    return dedup.resolved(messages(spark, sf_dir)).select("message_number", "source", "source_url", "subject", "from_name")
+
+
+def newest_snapshot(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.date_format("ts", "yyyyMMddHHmmss").alias("timestamp"), "event_id")
+    return dedup.newest(e, "url", tie="event_id")
+
+
+def message_sequence(spark, sf_dir):
+    m = views.numbered(messages(spark, sf_dir), by_date())
+    return _long(m.withColumn("url", views.message_url()), "year", "month").select("message_number", "year", "month", "msg_seq", "url")
+
+
+def gap_threads(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("thread_key", text.group_key(F.col("subject")))
+    return threads.split_at_gaps(m, "thread_key", by_date()).select("message_number", "thread_key")
+
+
+def keyed_threads(spark, sf_dir):
+    return messages(spark, sf_dir).withColumn("thread_key", threads.thread_key()).select("message_number", "thread_key")
+
+
+def _displayed(spark, sf_dir):
+    m = views.numbered(messages(spark, sf_dir), by_date()).withColumn("thread_key", threads.thread_key())
+    return threads.thread_order(threads.display_threads(m, by_date()))
+
+
+def display_threads(spark, sf_dir):
+    return _displayed(spark, sf_dir).select("message_number", "display_thread_key", F.col("position").cast("long").alias("position"))
+
+
+def thread_meta(spark, sf_dir):
+    meta = views.thread_meta(_displayed(spark, sf_dir))
+    return meta.select("display_thread_key", "subject", "n_messages", "n_participants", F.date_format("last_date", "yyyy-MM-dd").alias("last_date"), F.array_join(F.transform("messages", lambda x: x.cast("string")), ",").alias("messages"))
+
+
+def thread_root(spark, sf_dir):
+    return threads.thread_roots(messages(spark, sf_dir)).select("message_number", "thread_id")
+
+
+def reply_depth(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("thread_key", (F.col("message_number") % 2).cast("string"))
+    return threads.reply_depths(m).select("message_number", "depth")
+
+
+def month_threads(spark, sf_dir):
+    m = views.numbered(messages(spark, sf_dir), by_date()).withColumn("thread_key", text.group_key(F.col("subject")))
+    return _long(views.month_threads(m), "position", "thread_place").select("message_number", "position", "is_reply", "thread_place")
+
+
+def previous_next(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("url", F.concat(F.lit("/m/"), F.col("message_number").cast("string")))
+    return views.with_neighbours(m).select("message_number", "previous_url", "next_url")
+
+
+def recent_30(spark, sf_dir):
+    return views.recent(messages(spark, sf_dir)).select("message_number", F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+def date_formats(spark, sf_dir):
+    forms = {"d": "date_format(o_orderdate, 'd MMM yyyy HH:mm:ss')", "us": "date_format(o_orderdate, 'MM/dd/yyyy')", "us2": "date_format(o_orderdate, 'MM/dd/yy')", "iso": "date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss\")"}
+    raw = spark.sql(DATE_STRINGS_SQL.format(orders="{orders}", **forms), orders=table(spark, sf_dir, "orders"))
+    return raw.select("id", F.date_format(dates.flexible_date(F.col("raw")), "yyyy-MM-dd HH:mm:ss").alias("date"))
+
+
+NAMES = ("(Ann Example)", "Example, Ann", "Ann.Example", "A. Example", "Dr. ANN EXAMPLE", "ann van example [org]", "Re: topic", "Ann Example /ORG", "Ann Example 555-123-4567", "a", "Ann {X~Y} Example", "Unknown")
+NORMAL = ("Ann Example", "Ann Example", "Ann Example", "A. Example", "Ann Example", "Ann van Example", "Unknown", "Ann Example", "Ann Example", "Unknown", "Ann Example", "Unknown")
+
+
+def author_normalize(spark, sf_dir):
+    raw = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("c_custkey") % len(NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.normalized_author(raw, decode=False).alias("author"))
+
+
+def author_override(spark, sf_dir):
+    aliases = spark.createDataFrame([("User 1", "Ann Example"), ("User 2", "Ben Example")], "alias string, canonical string")
+    return names.overridden(messages(spark, sf_dir), aliases, decode=False).select("message_number", "from_name")
+
+
+def names_from_addresses(spark, sf_dir):
+    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("john.DOE_"), F.col("c_custkey").cast("string"), F.lit("@x.example"))).when(F.col("c_custkey") % 3 == 1, F.lit("[email protected]")).otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.name_from_address(raw).alias("name"))
+
+
+def reply_split(spark, sf_dir):
+    mark = F.when(F.col("turn") % 2 == 0, F.lit("\n-----Original Message-----\n")).otherwise(F.lit("\nOn Monday A wrote:\n"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("x"), F.regexp_replace("text", r"\s+", " "), mark, F.lit("> old")).alias("body"))
+    split = quoting.reply_split(F.col("body"), F.when(F.col("turn") % 3 == 0, F.lit("legacy")).otherwise(F.lit("live")))
+    return c.select("conv_id", "turn", split.alias("s")).select("conv_id", "turn", F.md5("s.main").alias("main_md5"), "s.quoted")
+
+
+def clean_bodies(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", quoting.clean_body(F.col("html")).alias("body"))
+
+
+def page_extract(spark, sf_dir):
+    p = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", html.title(p).alias("title"), html.heading(p).alias("heading"), html.plain_text(p).alias("text"), html.decoded(F.encode(p, "UTF-8")).alias("decoded"))
+
+
+def page_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("link"))
+
+
+def mime_names(spark, sf_dir):
+    raw = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat(F.lit("Jürgen "), "c_name"), "UTF-8")), F.lit("?="))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.decoded_word(raw).alias("name"))
+
+
+def quoted_printable_bodies(spark, sf_dir):
+    raw = F.concat(F.lit("caf=C3=A9 =3D "), "c_name", F.lit("=\n and=\n more"))
+    return table(spark, sf_dir, "customer").select("c_custkey", html.mail_body(raw).alias("body"))
+
+
+def _searched(spark, sf_dir):
+    return messages(spark, sf_dir).select("message_number", "subject", "from_name", "category")
+
+
+def search_terms(spark, sf_dir):
+    return search.inverted_index(_searched(spark, sf_dir), "message_number")
+
+
+def search_top50(spark, sf_dir):
+    return search.top(search.hits(_searched(spark, sf_dir), "topic 17 wokshop", "message_number", category="event"), "message_number")
+
+
+def search_hit_count(spark, sf_dir):
+    return search.hits(_searched(spark, sf_dir), "postdok", "message_number").agg(F.count("*").alias("n_hits"))
+
+
+def incremental_upsert(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    return incremental.upserted(threads.thread_roots(m.where("message_number % 3 <> 0")), m.where("message_number % 5 <> 1 OR message_number % 3 = 0")).select("message_number", "thread_id", "subject")
+
+
+def daily_volume_stream(spark, sf_dir):
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
+    out = incremental.run_to_table(incremental.volume(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "listloom_daily_volume")
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def subjects_containing(spark, sf_dir):
+    return views.containing(messages(spark, sf_dir), "subject", "WORKSHOP").select("message_number")
+
+
+def fetch_status(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    log = e.select((F.col("event_id") % 10).alias("batch"), F.element_at(F.array(*map(F.lit, ("downloaded", "cached", "not_found", "error"))), (F.col("user_id") % 4 + 1).cast("int")).alias("status"))
+    return views.running_status(log)
+
+
+def next_number(spark, sf_dir):
+    return views.next_number(messages(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        monthly_volume, event_volume, thread_summary, top_contributors, technical_only, year_category_pivot, source_totals, totals,
+        month_counts, category_counts, author_index, author_timeline, subject_keys, message_classes, body_signatures,
+        stripped_disclaimers, email_hashes, swapped_fields, source_urls, union_sources, dedup_priority, newest_snapshot,
+        message_sequence, gap_threads, keyed_threads, display_threads, thread_meta, thread_root, reply_depth, month_threads,
+        previous_next, recent_30, date_formats, author_normalize, author_override, names_from_addresses, reply_split,
+        clean_bodies, page_extract, page_links, mime_names, quoted_printable_bodies, search_terms, search_top50,
+        search_hit_count, incremental_upsert, daily_volume_stream, subjects_containing, fetch_status, next_number,
+    )
+}
