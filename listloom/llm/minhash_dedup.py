@@ -6,9 +6,10 @@ shifted circularly by k for coordinate k, so that one row of the table holds a s
 (C-MinHash). `BANDS` bands of `ROWS` coordinates miss a pair of similarity 0.75 with probability 5e-6. Every reported
 link is confirmed on full shingle sets.
 
-Groups of any size cost work in proportion to their size: documents with equal shingle sets are one class; in `STARS`
-rounds each member of a bucket is compared with one class only, drawn anew for each bucket and round; at last, members
-of a bucket that are still in different components are compared with each other, after a filter on whole signatures.
+Large groups make few pairs: documents with equal shingle sets are one class; first each member of a bucket is compared
+with one class only, drawn by a hash; then, in the buckets that still hold several components, the members' shared
+shingles are counted by matrix products of their full sets, in blocks of bounded size, and one link is kept for each two
+components.
 
 Defined cases: null text and text without words have no shingles, stand alone and are kept; with fewer than five words
 the whole sequence is one shingle; equal rows share a class (rows with one doc_id are one document); null doc_id rows
@@ -32,8 +33,8 @@ from .components import components
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 COORDINATES, UNIVERSE = BANDS * ROWS, 1 << 19
-PERCENT, STARS = 75, 2
-AGREE = 72  # of 128 coordinates: 0.75 less five standard deviations
+PERCENT = 75
+BLOCK, COLUMNS = 1024, 4096  # members of a bucket, and shingles, that are compared at once
 PIECE_BYTES, CHUNK = 4 << 20, 1 << 14
 FEW_IDS = 1 << 20  # so many ids (8 MB) may be broadcast
 
@@ -71,7 +72,7 @@ def signatures(sets: list[np.ndarray], table: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, same (digest of the shingle set; null without shingles), bands, small (low bytes of the signature)."""
+    """doc_id, n_shingles, same (digest of the shingle set; null without shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hashes = circulant_table(), Hashes()
@@ -79,18 +80,18 @@ def sketches(docs: DataFrame) -> DataFrame:
         for b in pieces(batches, "text", PIECE_BYTES):
             sets = [shingles(t, hashes) for t in as_bytes(b, "text")]
             some = [i for i, s in enumerate(sets) if len(s)]
-            same, bands, small = ([None] * len(sets) for _ in range(3))
+            same, bands = [None] * len(sets), [None] * len(sets)
             if some:
                 sig = signatures([sets[i] for i in some], table)
                 keys = np.zeros((len(some), BANDS), np.uint64)
                 for r in range(ROWS):
                     keys = mixed((keys + sig[:, r::ROWS].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
                 keys = (keys ^ salt).view(np.int64)
-                for i, k, s in zip(some, keys, sig.astype(np.uint8), strict=True):
-                    same[i], bands[i], small[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, s.tobytes()
-            yield pa.record_batch({"doc_id": b["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "same": pa.array(same, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64())), "small": pa.array(small, pa.binary())})
+                for i, k in zip(some, keys, strict=True):
+                    same[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k
+            yield pa.record_batch({"doc_id": b["doc_id"], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "same": pa.array(same, pa.binary()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<long>, small binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -112,20 +113,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("n") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b").distinct()
 
 
-def across(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket's classes in different components whose signatures agree in AGREE coordinates and whose sizes
-    allow the similarity; blocks bound the memory."""
-    sig = np.frombuffer(b"".join(bucket["small"]), np.uint8).reshape(len(bucket), -1)
-    rep, comp, n = (bucket[c].to_numpy() for c in ("rep", "comp", "n"))
-    out = []
-    step = max(1, (8 << 20) // max(1, sig.size))
-    for i in range(0, len(rep), step):
-        differ = (comp[i : i + step, None] != comp[None, :]) & (rep[i : i + step, None] < rep[None, :])
-        a, b = np.nonzero(differ & ((sig[i : i + step, None, :] == sig[None, :, :]).sum(2, dtype=np.int32) >= AGREE))
-        a = a + i
-        fits = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
-        out.append(np.stack([rep[a[fits]], rep[b[fits]]], 1))
-    return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+def blocks(members: DataFrame) -> DataFrame:
+    """Members with a group for each pair of their bucket's blocks that holds their own; buckets of up to BLOCK members are
+    one group."""
+    sizes = members.groupBy("key").agg((1 + F.floor((F.count("*") - 1) / BLOCK)).cast("int").alias("parts"))
+    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("part", "other", "parts")
+
+
+def across(group: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components of a group, one for each two."""
+    rep, comp, n = (group[c].to_numpy() for c in ("rep", "comp", "n"))
+    row = np.repeat(np.arange(len(rep)), [len(x) for x in group["shingles"]])
+    _, column, times = np.unique(np.concatenate(group["shingles"].to_list()), return_inverse=True, return_counts=True)
+    several = times > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(rep), len(rep)), np.float32)
+    for first in range(0, int(several.sum()), COLUMNS):
+        low, high = np.searchsorted(column, [first, first + COLUMNS])
+        has = np.zeros((len(rep), COLUMNS), np.float32)
+        has[row[low:high], column[low:high] - first] = 1
+        shared += has @ has.T
+    shared = shared.astype(np.int64)
+    a, b = np.nonzero((comp[:, None] < comp[None, :]) & (100 * shared >= PERCENT * (n[:, None] + n[None, :] - shared)))
+    links = pd.DataFrame({"a": rep[a], "b": rep[b], "x": comp[a], "y": comp[b]})
+    return links.drop_duplicates(["x", "y"])[["a", "b"]]
 
 
 def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -135,12 +150,12 @@ def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return now.join(spread, "key", "left_semi")
 
 
-def stars(members: DataFrame, seed: int) -> DataFrame:
-    """Pairs of one class of each bucket, drawn by a hash, with the bucket's members of other components."""
-    drawn = F.min_by(F.struct("rep", "n", "comp"), F.xxhash64("key", "rep", F.lit(seed)))
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs of one class of each bucket, drawn by a hash, with the bucket's other members."""
+    drawn = F.min_by(F.struct("rep", "n"), F.xxhash64("key", "rep"))
     lead = members.groupBy("key").agg(drawn.alias("lead"))
     fits = 100 * F.least("n", F.col("lead.n")) >= PERCENT * F.greatest("n", F.col("lead.n"))
-    met = members.join(lead, "key").where((F.col("comp") != F.col("lead.comp")) & fits)
+    met = members.join(lead, "key").where((F.col("rep") != F.col("lead.rep")) & fits)
     return met.select(F.least("rep", F.col("lead.rep")).alias("a"), F.greatest("rep", F.col("lead.rep")).alias("b")).distinct()
 
 
@@ -148,8 +163,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     drawn = written(sketches(docs), "sketches")
     some = drawn.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
-    classes = some.groupBy("same").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands", "small"), "doc_id").alias("x"))
-    classes = written(classes.select("same", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands", "x.small"), "classes")
+    classes = some.groupBy("same").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("x"))
+    classes = written(classes.select("same", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands"), "classes")
 
     dealt = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
@@ -159,17 +174,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
 
-    members, found = buckets.withColumn("comp", F.col("rep")), None
-    for k in range(STARS + 1):
-        if k < STARS:
-            pairs = stars(members, k)
-        else:
-            pairs = members.join(classes.select("rep", "small"), "rep").groupBy("key").applyInPandas(across, "a long, b long").distinct()
-        more = written(confirmed(pairs, sets), "links")
-        links = more if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        found = components(links)
-        if k < STARS:
-            members = written(still_open(buckets, found), "open")
+    links = written(confirmed(stars(buckets), sets), "links")
+    found = components(links)
+    members = still_open(buckets, found)
+    full = blocks(members).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    more = written(full.groupBy("key", "low", "high").applyInPandas(across, "a long, b long").distinct(), "links")
+    if not more.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     rep = classes.select("same", "rep").join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = drawn.select("doc_id", "n_shingles", "same").join(rep, "same", "left")
