@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,18 +97,24 @@ def with_century(x: Column) -> Column:
     return F.when(year != "", F.concat(F.regexp_extract(x, found, 1), century, year, F.regexp_extract(x, found, 3)))
 
 
+def _once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _first_fit(candidate: Column) -> Column:
+    seen = {
+        "": candidate,
+        "yy": with_century(candidate),
+        "24h AM": F.when(candidate.rlike(r"\s[AaPp][Mm]$"), F.regexp_replace(candidate, r"\s+[AaPp][Mm]$", "")),
+    }
+    return F.coalesce(*(F.try_to_timestamp(seen[kind], F.lit(pattern)) for pattern, kind in FORMATS))
+
+
 def flexible_date(x: Column) -> Column:
     """The first format that fits the scrubbed string, or the string without a trailing offset."""
-    whole = scrubbed(x)
-    tries = []
-    for candidate in (whole, F.regexp_replace(whole, r"\s+[+-]\d{4}\s*$", "")):
-        seen = {
-            "": candidate,
-            "yy": with_century(candidate),
-            "24h AM": F.when(candidate.rlike(r"\s[AaPp][Mm]$"), F.regexp_replace(candidate, r"\s+[AaPp][Mm]$", "")),
-        }
-        tries += [F.try_to_timestamp(seen[kind], F.lit(pattern)) for pattern, kind in FORMATS]
-    return F.coalesce(*tries)
+    candidates = _once(scrubbed(x), lambda whole: F.array(whole, F.regexp_replace(whole, r"\s+[+-]\d{4}\s*$", "")))
+    return F.get(F.filter(F.transform(candidates, _first_fit), lambda d: d.isNotNull()), F.lit(0))
 
 
 def whole_days(later: Column, earlier: Column) -> Column:

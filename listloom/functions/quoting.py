@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import trimmed
 
@@ -69,7 +70,7 @@ def _dated_quote(lines: list[str]) -> int | None:
     return None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def block_start(bodies: pd.Series) -> pd.Series:
     """Characters before the first quoted header block or dated quote; null for none. (Scans with state: no expression.)"""
 
@@ -98,7 +99,7 @@ def reply_split(body: Column, source: Column, header_sources: tuple[str, ...] =
     return F.when(cut.isNull() | (main == "") | (quoted == ""), whole).otherwise(F.struct(main.alias("main"), quoted.alias("quoted")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescaped(texts: pd.Series) -> pd.Series:
     """Character references decoded (the full table is Python's)."""
     return texts.map(html.unescape, na_action="ignore")

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.classify import WHEN_PARSED, category
 from ..functions.dates import flexible_date, header_date
@@ -114,7 +115,7 @@ class _Tree(HTMLParser):
             self.parent = self.parent or beside
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def reply_parent(html: pd.Series) -> pd.Series:
     """The number of the message that a page's thread tree puts above its own; null for none."""
 
@@ -187,7 +188,7 @@ def legacy_messages(found: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quoted_printable(texts: pd.Series) -> pd.Series:
     import quopri
 
