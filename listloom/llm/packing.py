@@ -63,7 +63,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
         F.xxhash64(F.lower("text")).alias("cluster"),
         F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n"),
     )
-    lengths = written(lengths, "lengths")
+    lengths = written(lengths, "lengths")  # text is read once
     cut = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))
     parts = lengths.select("*", F.explode(cut).alias("piece")).withColumn("first_token", F.col("piece") * F.lit(capacity).cast("long"))
     parts = parts.withColumn("n_tokens", F.least(F.col("n") - F.col("first_token"), F.lit(capacity))).drop("n")
