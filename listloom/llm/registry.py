@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import ann_forest, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, suffix_dedup
 from .common import held_out, shared_dir, table
+from .oracles import ORACLES
 from .sharding import ShardStore
 
 
@@ -79,6 +80,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {
-    "op10_sharding": "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents",
-}
+__all__ = ["ORACLES", "QUERIES"]

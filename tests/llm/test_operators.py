@@ -394,11 +394,13 @@ def test_store_commits_are_atomic(spark, tmp_path):
     assert empty.compact() >= 1 and empty.read().count() == 0
 
 
-def test_sharding_query_equals_its_sql(spark):
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{TEST}/documents.parquet'")
-    found = con.sql(registry.ORACLES["op10_sharding"])
-    got = sorted(map(tuple, registry.op10_sharding(spark, TEST).select(*found.columns).collect()))
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from '{TEST}/{t}.parquet'")
+    found = con.sql(registry.ORACLES[name])
+    got = sorted(map(tuple, registry.QUERIES[name](spark, TEST).select(*found.columns).collect()))
     assert got == sorted(found.fetchall())
