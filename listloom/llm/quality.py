@@ -1,7 +1,8 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Features: hashed counts of byte n-grams (n in `ORDERS`) of the whole text, log-scaled, weighted by inverse document
-frequency and of unit length. A truncated SVD of a bounded labelled sample gives the latent space. The sample's latent
+Features: hashed counts of byte n-grams (n in `ORDERS`) of the whole text, log-scaled, and terms for how much it repeats
+itself (word pairs, words in a row, lines: the decile of each share), weighted by inverse document frequency and of unit
+length. A truncated SVD of a bounded labelled sample gives the latent space. The sample's latent
 vectors are broadcast (their number is a parameter, so is the size); exact cosines of a block of documents with all of
 them are one matrix product, and the labels of the nearest `k` vote with their similarity as the weight.
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, pieces
 
 ORDERS = {1: 256, 2: 1024, 3: 1024}  # n: slots
-SLOTS = sum(ORDERS.values())
+DECILES, DECILE_LOG = 30, 15.0  # three shares in ten terms each; the log-scaled count of such a term
+SLOTS = sum(ORDERS.values()) + DECILES
 PIECE_BYTES, PIECE_ROWS = 4 << 20, 256
 
 
@@ -37,6 +39,14 @@ class Model:
     k: int
 
 
+def repetition(text: bytes) -> list[int]:
+    """The terms for distinct word pairs, words like the one before, and distinct lines."""
+    words, lines = text.split(), text.split(b"\n")
+    n = max(1, len(words) - 1)
+    shares = (len(set(zip(words, words[1:], strict=False))) / n, sum(map(bytes.__eq__, words, words[1:])) / n, len(set(lines)) / len(lines))
+    return [10 * k + min(9, int(10 * s)) for k, s in enumerate(shares)]
+
+
 def counts(texts: list[bytes]) -> np.ndarray:
     """For each text, how many of its n-grams fall in each slot; an n-gram that leaves its text isn't counted."""
     joined = np.frombuffer(b"".join(texts), np.uint8)
@@ -54,6 +64,9 @@ def counts(texts: list[bytes]) -> np.ndarray:
             flat = np.bincount((row[: len(code)] * slots + slot)[inside], minlength=len(texts) * slots)
             found[:, start : start + slots] = flat.reshape(len(texts), slots)
             start += slots
+    for i, t in enumerate(texts):
+        if t:
+            found[i, [start + k for k in repetition(t)]] = np.expm1(DECILE_LOG)
     return found
 
 
