@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import CATEGORIES
-from ..functions.text import display_thread_subject, slug
+from ..functions.dates import short_date
+from ..functions.text import NO_SUBJECT, display_thread_subject, group_key, slug
 
 
 def distinct_with_null(column: str) -> Column:
@@ -177,3 +178,38 @@ def running_status(log: DataFrame) -> DataFrame:
 
 def next_number(df: DataFrame, column: str = "message_number") -> DataFrame:
     return df.agg((F.coalesce(F.max(column), F.lit(0)) + 1).alias("next_number"))
+
+
+def years(df: DataFrame) -> DataFrame:
+    """Years with messages, latest first."""
+    return df.where(F.col("date").isNotNull()).select(F.year("date").alias("year")).distinct().orderBy(F.desc("year"))
+
+
+def page_subjects(df: DataFrame) -> DataFrame:
+    """Different subjects of each page, and whether one is blank: such pages are threads of their own."""
+    key = group_key(F.col("subject"))
+    found = df.where(F.col("source_url").isNotNull()).groupBy("source_url")
+    return found.agg(F.count_distinct(key).alias("n_subjects"), F.max(key == NO_SUBJECT).alias("has_blank"))
+
+
+def source_label(labels: dict[str, str], source: str = "source") -> Column:
+    """Display names of sources; others as they are."""
+    out = F
+    for name, label in labels.items():
+        out = out.when(F.col(source) == name, F.lit(label))
+    return out.otherwise(F.col(source))
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with separators."""
+    return F.format_number(n, 0)
+
+
+def is_current(year: int | None, month: int | None, number: int) -> Column:
+    """Whether a row is the message of that month and number; undated months are equal to each other."""
+    return F.col("year").eqNullSafe(F.lit(year)) & F.col("month").eqNullSafe(F.lit(month)) & (F.col("msg_seq") == number)
+
+
+def home_feed(df: DataFrame, n: int = 30) -> DataFrame:
+    """The latest messages as they are listed: number, subject, author, category, year and short date."""
+    return recent(df, n).select("message_number", "subject", "from_name", "category", F.year("date").alias("year"), short_date(F.col("date")).alias("date"))

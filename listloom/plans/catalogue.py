@@ -302,6 +302,41 @@ def fetch_status(spark, sf_dir):
     return views.running_status(log)
 
 
+def page_subjects(spark, sf_dir):
+    return views.page_subjects(messages(spark, sf_dir))
+
+
+def years(spark, sf_dir):
+    return _long(views.years(messages(spark, sf_dir)), "year")
+
+
+def home_feed(spark, sf_dir):
+    return _long(views.home_feed(messages(spark, sf_dir)), "year")
+
+
+def _documents(spark, sf_dir):
+    m = views.numbered(messages(spark, sf_dir), by_date()).withColumn("url", views.message_url())
+    return search.search_documents(m)
+
+
+def search_documents(spark, sf_dir):
+    return _long(_documents(spark, sf_dir), "year")
+
+
+def search_snippets(spark, sf_dir):
+    return search.snippets(_documents(spark, sf_dir))
+
+
+def thread_urls(spark, sf_dir):
+    m = views.numbered(messages(spark, sf_dir), by_date())
+    return m.select("message_number", views.thread_url().alias("url"), F.when(views.is_current(1995, 1, 3), F.lit("current")).alias("marker"), views.thousands(F.col("message_number")).alias("shown"), views.source_label({"live": "Mail archive", "topic": "Topics"}).alias("label"))
+
+
+def event_gaps(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("date"), F.col("user_id").cast("string").alias("key"))
+    return threads.split_at_gaps(e, "key", [F.col("date"), F.col("event_id")], days=1).select("event_id", "key")
+
+
 def next_number(spark, sf_dir):
     return views.next_number(messages(spark, sf_dir))
 
@@ -315,6 +350,7 @@ QUERIES = {
         message_sequence, gap_threads, keyed_threads, display_threads, thread_meta, thread_root, reply_depth, month_threads,
         previous_next, recent_30, date_formats, author_normalize, author_override, names_from_addresses, reply_split,
         clean_bodies, page_extract, page_links, mime_names, quoted_printable_bodies, search_terms, search_top50,
-        search_hit_count, incremental_upsert, daily_volume_stream, subjects_containing, fetch_status, next_number,
+        search_hit_count, incremental_upsert, daily_volume_stream, subjects_containing, fetch_status, page_subjects,
+        years, home_feed, search_documents, search_snippets, thread_urls, event_gaps, next_number,
     )
 }

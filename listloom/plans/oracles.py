@@ -91,6 +91,8 @@ hits AS (SELECT message_number, round(sum(CASE field WHEN 'subject' THEN 5.0 ELS
   FROM found JOIN frequent USING (field, term) JOIN sizes USING (field) GROUP BY message_number)"""
 
 
+_DOCUMENTS = f"""{M}, s AS (SELECT *, {_SEQ} AS msg_seq FROM m), docs AS (SELECT subject, from_name, body_clean AS body, category, coalesce(year(s.date), 0) AS year, coalesce(strftime(s.date, '%Y-%m-%d'), '') AS date,
+CASE WHEN s.date IS NULL THEN printf('/undated/%d.html', msg_seq) ELSE printf('/%d/%02d/%d.html', year(s.date), month(s.date), msg_seq) END AS url FROM s)"""
 _WS = r"trim(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '=\s+', '', 'g'), '\s+', ' ', 'g'))"
 ORACLES = {
     "monthly_volume": f"WITH {M} SELECT strftime(date, '%Y-%m') AS month, category, count(*) AS n FROM m WHERE date IS NOT NULL GROUP BY ALL",
@@ -167,5 +169,18 @@ CASE WHEN turn % 6 = 3 THEN NULL WHEN turn % 2 = 0 THEN '-----Original Message--
     "fetch_status": """WITH s AS (SELECT event_id % 10 AS batch, ['downloaded', 'cached', 'not_found', 'error'][user_id % 4 + 1] AS status FROM events),
 c AS (SELECT batch, count(*) FILTER (status = 'downloaded') AS downloaded, count(*) FILTER (status = 'cached') AS cached, count(*) FILTER (status IN ('not_found', 'error')) AS failed FROM s GROUP BY 1)
 SELECT *, CAST(sum(downloaded) OVER w AS BIGINT) AS total_downloaded, CAST(sum(cached) OVER w AS BIGINT) AS total_cached, CAST(sum(failed) OVER w AS BIGINT) AS total_failed FROM c WINDOW w AS (ORDER BY batch ROWS UNBOUNDED PRECEDING)""",
+    "page_subjects": f"WITH {M} SELECT source_url, count(DISTINCT {_group_key('subject')}) AS n_subjects, bool_or({_group_key('subject')} = '(no subject)') AS has_blank FROM m GROUP BY 1",
+    "years": f"WITH {M} SELECT DISTINCT year(date) AS year FROM m WHERE date IS NOT NULL",
+    "home_feed": f"""WITH {M} SELECT message_number, subject, from_name, category, year(m.date) AS year, strftime(m.date, '%b %d, %Y') AS date FROM m
+WHERE m.date IS NOT NULL ORDER BY m.date DESC, message_number DESC LIMIT 30""",
+    "search_documents": f"WITH {_DOCUMENTS} SELECT * FROM docs",
+    "search_snippets": f"WITH {_DOCUMENTS} SELECT url, substring(max(body), 1, 500) AS snippet FROM docs GROUP BY 1",
+    "thread_urls": f"""WITH {M}, s AS (SELECT *, {_SEQ} AS msg_seq, {_named(_without('subject'))} AS bare FROM m)
+SELECT message_number, '/threads/' || regexp_replace(regexp_replace(lower(bare), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || CASE WHEN message_number = 0 THEN 'undated-' || msg_seq ELSE CAST(message_number AS VARCHAR) END || '/' AS url,
+CASE WHEN year(date) = 1995 AND month(date) = 1 AND msg_seq = 3 THEN 'current' END AS marker, format('{{:,}}', message_number) AS shown,
+CASE source WHEN 'live' THEN 'Mail archive' WHEN 'topic' THEN 'Topics' ELSE source END AS label FROM s""",
+    "event_gaps": """WITH e AS (SELECT *, CASE WHEN (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) // 86400000000 > 1 THEN 1 ELSE 0 END AS gap FROM events),
+n AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS number FROM e)
+SELECT event_id, CASE WHEN number > 0 THEN user_id || '#' || number ELSE CAST(user_id AS VARCHAR) END AS key FROM n""",
     "next_number": "SELECT coalesce(max(o_orderkey), 0) + 1 AS next_number FROM orders",
 }

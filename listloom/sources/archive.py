@@ -117,3 +117,8 @@ def write_by_year(messages: DataFrame, path: str) -> None:
 def declared(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns cast to a declared schema."""
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines: a feed, search documents, snippets."""
+    df.write.json(path)
