@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_dir, written
+
+__all__ = ["DOCUMENT_COLUMNS", "Hashes", "as_bytes", "fold", "held_out", "matching", "mixed", "pieces", "shared_dir", "table", "written"]
+
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -20,24 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found is None:
-        found = spark.conf.get("listloom.scratch", None)
-    if found is None:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("listloom.scratch", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once as a table in the shared folder: lineage ends here and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
