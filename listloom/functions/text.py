@@ -156,9 +156,13 @@ def quote_block(text: Column) -> Column:
 
 
 def slug(text: Column, size: int | None = None) -> Column:
-    """Lower-case ASCII words joined by hyphens; accents of Latin letters go."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿšžœæß", "aaaaaaceeeeiiiinoooooouuuuyyszoas")
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "'", ""), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case ASCII words joined by hyphens; accents of Latin letters and separators in numbers go."""
+    x = F.lower(text)
+    for letter, plain in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
+        x = F.replace(x, F.lit(letter), F.lit(plain))
+    x = F.translate(x, "àáâãäåçèéêëìíîïðñòóôõöøùúûüýÿšžłđ", "aaaaaaceeeeiiiidnoooooouuuuyyszld")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?<=\d),(?=\d)", ""), "[^a-z0-9]+", "-")
+    x = F.regexp_replace(x, "^-+|-+$", "")
     return x if size is None else F.substring(x, 1, size)
 
 

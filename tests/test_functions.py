@@ -54,7 +54,8 @@ def test_small_ones(one):
     assert one(text.name_from_address, "john.doe@x.example") == "John Doe"
     assert one(text.name_from_address, "") == "Unknown"
     assert one(text.name_from_address, None) is None
-    assert one(text.slug, "Café, Größe 12!") == "cafe-grose-12"
+    assert one(text.slug, "Café, Größe 1,200!") == "cafe-grosse-1200"
+    assert one(text.slug, "O'Neil") == "o-neil"
     assert one(lambda c: text.truncated(c, 3), "abcd") == "abc..."
     assert one(text.cleaned_name, "A\x1b(B  b\n") == "A b"
     assert one(text.name_from_header, 'From: "Ann Example" <ann@x.example>') == "Ann Example"

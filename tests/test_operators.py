@@ -166,3 +166,32 @@ def test_upsert_stream(spark, tmp_path):
     stream = spark.readStream.schema("message_number long, in_reply_to_number long").parquet(f"{tmp_path}/in")
     incremental.upsert_stream(stream, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
     assert {r.thread_id for r in incremental.newest_version(spark, f"{tmp_path}/store").collect()} == {1}
+
+
+def test_enriched_messages(spark):
+    from listloom.plans.catalogue import messages
+    from listloom.plans.enrich import enriched
+
+    from .conftest import SMALL
+
+    m = messages(spark, SMALL)
+    out = enriched(m, decode=False).cache()
+    assert out.count() == m.count()
+    assert {"author_slug", "thread_key", "msg_seq", "url", "display_thread_key", "year", "month"} <= set(out.columns)
+    assert out.where("from_name = '' OR subject = ''").count() == 0
+    assert out.where("date IS NOT NULL").select("url").distinct().count() == out.where("date IS NOT NULL").count()
+    shuffled = enriched(m.repartition(7), decode=False)
+    assert shuffled.exceptAll(out).count() == 0
+
+
+def test_sources_to_messages(spark, tmp_path):
+    live = spark.createDataFrame([(1, "Ann", "Re: x", "2020-01-01 00:00:00")], "message_number long, from_name string, subject string, d string")
+    live = live.withColumn("date", F.to_timestamp("d"))
+    old = live.withColumn("source_file", F.lit("2006-May_1.html")).drop("message_number")
+    live.write.parquet(f"{tmp_path}/live")
+    old.write.parquet(f"{tmp_path}/pipermail")
+    files = {k: f"{tmp_path}/{k}" for k in ("live", "pipermail", "legacy")}
+    both = archive.load_sources(spark, files, {k: archive.page_url(k, "http://a/") for k in files})
+    assert both.columns[:5] == ["date", "from_name", "subject", "category", "body_clean"] and both.count() == 2
+    kept = dedup.resolved(both).collect()
+    assert [(r.source, r.source_url) for r in kept] == [("live", "http://a/msg00001.html")]
