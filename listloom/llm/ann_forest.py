@@ -2,8 +2,9 @@
 
 A tree gives each vector a long string of `DEPTH` characters: each is the axis (with its sign) nearest to the vector
 after a random rotation, so vectors with a large inner product share long prefixes. A tree is the sorted array of its
-strings. A query descends to the longest prefix that it shares with any string and ascends, over all its trees in step,
-to shorter prefixes until each has `candidates` vectors or only the first character is left. Vectors are scaled into the
+strings. A query descends to the longest prefix that it shares with any string of a tree and ascends to shorter prefixes
+until it has more than `candidates` vectors there or only the first character is left. The trees' arrays lie in different
+tasks, so they ascend by the same rule with the same number, not by a common counter. Vectors are scaled into the
 unit ball and lifted onto the sphere by one more component, which keeps the order of inner products; queries get zero
 there.
 
