@@ -15,8 +15,8 @@ vectors; the best k over all arrays are the result. Of vectors that are equal, t
 index: none of the others can be among the k nearest of any query.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, have a null id, or haven't the most
-common length take no part; ties go to the smaller vec_id; fewer than k candidates are all returned where the arrays
-hold them; rows with one vec_id are that many candidates; an empty table gives an empty result; other columns are
+common length take no part; ties go to the smaller vec_id; a query that finds fewer than k vectors ascends to the root of
+the first tree, which holds all, so fewer than k candidates are all returned; rows with one vec_id are that many candidates; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 TREES, PROBES, DEPTH, SHARD_ROWS, CANDIDATES = 12, 6, 4, 4096, 4096
 FOUND = "query_id long, vec_id long, score double"
 
@@ -91,15 +93,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
             for t, tree in enumerate(turned.value):
                 yield emitted(b, t, characters(x, tree[0])[:, 0], shard, strings(x, tree), False)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b)
-            x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1).astype(np.float32)
-            for t, tree in enumerate(turned.value):
-                s = strings(x, tree)
-                for char in characters(x, tree[0], min(probes, 2 * (dim + 1))).T:
-                    for shard in range(shards):
-                        yield emitted(b, t, char, np.full(len(x), shard), s, True)
+    def ask(first: int, each: int):
+        """Queries to the `each` nearest characters of the first trees."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = matrix(b)
+                x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1).astype(np.float32)
+                for t, tree in enumerate(turned.value[:first]):
+                    s = strings(x, tree)
+                    for char in characters(x, tree[0], min(each, 2 * (dim + 1))).T:
+                        for shard in range(shards):
+                            yield emitted(b, t, char, np.full(len(x), shard), s, True)
+
+        return run
 
     def answer(group: pd.DataFrame) -> pd.DataFrame:
         tree, asked = group[~group["query"]].sort_values(["string", "vec_id"]), group[group["query"]]
@@ -125,7 +132,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     same = Window.partitionBy("embedding").orderBy("vec_id")
     rows = rows.where(F.col("dim") == dim).select("vec_id", "embedding")
     indexed = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth").mapInArrow(index, kind)
-    asked = valid(queries).where(F.col("dim") == dim).select("vec_id", "embedding").mapInArrow(ask, kind)
-    near = indexed.union(asked).groupBy("tree", "char", "shard").applyInPandas(answer, FOUND).distinct()
+    asked = valid(queries).where(F.col("dim") == dim).select("vec_id", "embedding")
+
+    def found(some: DataFrame, first: int, each: int) -> DataFrame:
+        return indexed.union(some.mapInArrow(ask(first, each), kind)).groupBy("tree", "char", "shard").applyInPandas(answer, FOUND).distinct()
+
+    near = written(found(asked, trees, probes), "near")
+    enough = near.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    few = asked.join(enough, "vec_id", "left_anti")
+    if not few.isEmpty():
+        near = near.union(found(few, 1, 2 * (dim + 1))).distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -18,7 +18,15 @@ __all__ = ["DOCUMENT_COLUMNS", "Hashes", "as_bytes", "fold", "held_out", "matchi
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")  # setting, Spark's default, ours
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts: where the session has Spark's default, batches for Python get fewer rows, so that they and
+    their copies stay small."""
+    setting, default, ours = ARROW_ROWS
+    if spark.conf.get(setting) == default:
+        spark.conf.set(setting, ours)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

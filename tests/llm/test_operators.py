@@ -361,6 +361,9 @@ def test_ann_of_odd_rows(spark):
     top = ann_forest.search(many, many.where("vec_id = 60")).orderBy("rank").collect()
     assert [r.vec_id for r in top] == list(range(20))
     assert ann_forest.search(df.limit(0), df.limit(0)).count() == 0
+    rng = np.random.default_rng(2)
+    few = spark.createDataFrame([(i, rng.standard_normal(32).tolist()) for i in range(15)], "vec_id long, embedding array<double>")
+    assert ann_forest.search(few, few).groupBy("query_id").count().where("count = 14").count() == 15
 
 
 # sharding
