@@ -9,8 +9,8 @@ unit ball and lifted onto the sphere by one more component, which keeps the orde
 there.
 
 Trees are dealt by first character and by shards of at most about `shard_rows` vectors, so a task's array is bounded
-whatever the number of alike vectors; a query goes to the characters of its `probes` nearest axes in each tree and to
-all their shards. Each array answers with its best `k` by exact inner product, in double precision on the original
+whatever the number of alike vectors; a query goes to the characters of its `probes` nearest axes in each tree (to more,
+where all of them would hold fewer than `candidates` vectors) and to all their shards. Each array answers with its best `k` by exact inner product, in double precision on the original
 vectors; the best k over all arrays are the result. Of vectors that are equal, the k + 1 with the smallest ids enter the
 index: none of the others can be among the k nearest of any query.
 
@@ -22,6 +22,7 @@ ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     if known is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, top = known.dim, known.n, known.top
+    probes = min(2 * (dim + 1), max(probes, math.ceil(candidates * 2 * (dim + 1) / (n * trees))))
     turned = vectors.sparkSession.sparkContext.broadcast(rotations(dim + 1, trees, seed))
     shards = 1 + n // (shard_rows * (dim + 1))  # rows of one character, were they spread evenly
 
