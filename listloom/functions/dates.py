@@ -103,18 +103,21 @@ def _once(x: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _first_fit(candidate: Column) -> Column:
-    seen = {
-        "": candidate,
-        "yy": with_century(candidate),
-        "24h AM": F.when(candidate.rlike(r"\s[AaPp][Mm]$"), F.regexp_replace(candidate, r"\s+[AaPp][Mm]$", "")),
-    }
-    return F.coalesce(*(F.try_to_timestamp(seen[kind], F.lit(pattern)) for pattern, kind in FORMATS))
+    ignored = r"\s[AaPp][Mm]$"
+    forms = F.array(candidate, with_century(candidate), F.when(candidate.rlike(ignored), F.regexp_replace(candidate, ignored, "")))
+    place = {"": 0, "yy": 1, "24h AM": 2}
+    return _once(forms, lambda x: F.coalesce(*(F.try_to_timestamp(F.get(x, F.lit(place[kind])), F.lit(pattern)) for pattern, kind in FORMATS)))
 
 
 def flexible_date(x: Column) -> Column:
-    """The first format that fits the scrubbed string, or the string without a trailing offset."""
-    candidates = _once(scrubbed(x), lambda whole: F.array(whole, F.regexp_replace(whole, r"\s+[+-]\d{4}\s*$", "")))
-    return F.get(F.filter(F.transform(candidates, _first_fit), lambda d: d.isNotNull()), F.lit(0))
+    """The first format that fits the scrubbed string, or else the string without a trailing offset. Strings without a
+    digit aren't tried."""
+    offset = r"\s+[+-]\d{4}\s*$"
+
+    def fit(whole: Column) -> Column:
+        return F.when(whole.rlike(r"\d"), F.coalesce(_first_fit(whole), F.when(whole.rlike(offset), _once(F.regexp_replace(whole, offset, ""), _first_fit))))
+
+    return _once(scrubbed(x), fit)
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
