@@ -5,10 +5,12 @@ the most frequent ids have one each, the others share the rest. A network with o
 the `REACH` words on either side and predicts the class of the word between; an id within its class has its share of
 the corpus count. A document's score is the sum over all its words of the conditional log-probability.
 
-From the corpus come, over all documents: the counts of all ids (a distributed sum) and the training windows (every
-`STRIDE`-th word of every document, so their number follows the corpus). Training is data-parallel: in each round every
-partition of the windows takes gradient steps in numpy from the same parameters, and the results are averaged in a
-distributed sum, weighted by windows. Only counts of the `IDS` ids and the parameters (20,000 numbers) reach the driver.
+Texts are turned into ids once, in a written table. From it come, over all documents: the counts of all ids (a
+distributed sum) and the training targets: every word of every document is the target of one round, which is drawn with a
+fixed seed, whatever the length of its document. Training is data-parallel: in each
+round every partition of the table takes gradient steps in numpy from the same parameters, and the results are averaged
+in a distributed sum, weighted by targets. Only counts of the `IDS` ids and the parameters (20,000 numbers) reach the
+driver.
 
 Defined cases: null text and text without words score 0 with no mean; ids never counted have the count one half; with
 no words at all the network stays untrained; equal rows are scored one by one; other columns are ignored.
@@ -21,13 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Hashes, as_bytes, pieces, written
 
 IDS, CLASSES, OWN_CLASS = 1 << 16, 128, 96
-REACH, HIDDEN, STRIDE = 3, 24, 32
+REACH, HIDDEN = 3, 24
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 PAD = CLASSES  # the class before the first and after the last word
 SHAPES = {"table": (len(OFFSETS), CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "prior": (CLASSES,)}
@@ -57,35 +60,49 @@ def padded(classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token, n: over all words of all documents; each task adds up before the shuffle."""
+def tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, ids (int32, packed): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total = Hashes(), np.zeros(IDS, np.int64)
+        hashes = Hashes()
         for b in pieces(batches, "text", PIECE_BYTES):
-            total += np.bincount(token_ids(as_bytes(b, "text"), hashes)[0], minlength=IDS)
+            ids, n = token_ids(as_bytes(b, "text"), hashes)
+            ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(np.int32))])
+            yield pa.record_batch({"doc_id": b["doc_id"], "ids": packed})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and how many words each text has."""
+    ids = np.frombuffer(b"".join(b["ids"].to_pylist()), np.int32)
+    return ids, pc.binary_length(b["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """token, n: over all words of a table of ids; each task adds up before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(IDS, np.int64)
+        for b in pieces(batches, "ids", PIECE_BYTES):
+            total += np.bincount(unpacked(b)[0], minlength=IDS)
         some = np.flatnonzero(total)
         yield pa.record_batch({"token": pa.array(some, pa.int64()), "n": pa.array(total[some])})
 
-    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return rows.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def training_windows(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """Rows of packed windows: the class of a word and those around it, one byte each."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+def token_counts(docs: DataFrame) -> DataFrame:
+    """token, n: over all words of all documents."""
+    return counted(tokens(docs))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in pieces(batches, "text", PIECE_BYTES):
-            ids, n = token_ids(as_bytes(b, "text"), hashes)
-            around, at = padded(shared.value[ids], n)
-            nth = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-            at = at[nth % STRIDE == np.repeat(n, n) % STRIDE]
-            if len(at):
-                windows = np.stack([around[at], *(around[at + o] for o in OFFSETS)], 1)
-                yield pa.record_batch({"key": pa.array([int(ids[0]) * 1_000_003 + len(ids)], pa.int64()), "windows": pa.array([windows.tobytes()], pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "key long, windows binary")
+def windows(classes: np.ndarray, n: np.ndarray, nth: int, of: int) -> np.ndarray:
+    """The class of each word that is dealt to round `nth` of `of`, and the classes around it."""
+    around, at = padded(classes, n)
+    at = at[np.random.default_rng(len(at)).integers(0, of, len(at), np.uint8) == nth]
+    return np.stack([around[at], *(around[at + o] for o in OFFSETS)], 1)
 
 
 def hidden(context: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -100,12 +117,14 @@ def hidden(context: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
 def steps(windows: np.ndarray, w: dict[str, np.ndarray], rate: float, rng: np.random.Generator) -> None:
     """One pass of gradient steps over the windows, in place."""
     windows = windows[rng.permutation(len(windows))].astype(np.int64)
+    table = w["table"].reshape(-1, HIDDEN)
     for i in range(0, len(windows), BATCH):
         part = windows[i : i + BATCH]
         target, context, row = part[:, 0], part[:, 1:].T, np.arange(len(part))
         h = hidden(context, w)
         z = h @ w["out"] + w["prior"]
-        p = np.exp(z - z.max(1, keepdims=True))
+        z -= z.max(1, keepdims=True)
+        p = np.exp(z, out=z)
         p /= p.sum(1, keepdims=True)
         p[row, target] -= 1
         p *= rate / len(part)
@@ -113,8 +132,11 @@ def steps(windows: np.ndarray, w: dict[str, np.ndarray], rate: float, rng: np.ra
         w["out"] -= h.T @ p
         w["prior"] -= p.sum(0)
         w["bias"] -= back.sum(0)
-        for k in range(len(OFFSETS)):
-            np.subtract.at(w["table"][k], context[k], back)
+        places = (context + np.arange(len(OFFSETS))[:, None] * (CLASSES + 1)).astype(np.int16).ravel()  # rows of the table
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        first = np.flatnonzero(np.diff(places, prepend=-1))
+        table[places[first]] -= np.add.reduceat(back[order % len(part)], first)
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -129,29 +151,34 @@ def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def averaged_round(windows: DataFrame, now: np.ndarray, rate: float, seed: int) -> np.ndarray:
-    shared = windows.sparkSession.sparkContext.broadcast(now)
+def averaged_round(rows: DataFrame, classes: np.ndarray, now: np.ndarray, rate: float, seed: int, nth: int, of: int) -> np.ndarray:
+    shared = rows.sparkSession.sparkContext.broadcast((classes, now))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, n, rng = shaped(shared.value), 0, np.random.default_rng(seed)
-        for b in batches:
-            for x in b["windows"].to_pylist():
-                part = np.frombuffer(x, np.uint8).reshape(-1, 1 + len(OFFSETS))
-                steps(part, w, rate, rng)
-                n += len(part)
-        if n:
+        classes, start = shared.value
+        w, total, rng = shaped(start), 0, np.random.default_rng(seed)
+        for b in pieces(batches, "ids", PIECE_BYTES):
+            ids, n = unpacked(b)
+            part = windows(classes[ids], n, nth, of)
+            steps(part, w, rate, rng)
+            total += len(part)
+        if total:
             x = flat(w).astype(np.float64)
-            yield pa.record_batch({"i": pa.array(np.arange(len(x))), "x": pa.array(x * n), "n": pa.array(np.full(len(x), n, np.int64))})
+            yield pa.record_batch({"i": pa.array(np.arange(len(x))), "x": pa.array(x * total), "n": pa.array(np.full(len(x), total, np.int64))})
 
-    sums = windows.mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+    sums = rows.select("ids").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
     out = now.copy()
     out[[r.i for r in sums]] = [r.x for r in sums]
     return out
 
 
 def fit(docs: DataFrame, rounds: int = 4, rate: float = 0.5, seed: int = 5) -> Model:
+    return fitted(written(tokens(docs), "tokens"), rounds, rate, seed)
+
+
+def fitted(rows: DataFrame, rounds: int = 4, rate: float = 0.5, seed: int = 5) -> Model:
     counts = np.full(IDS, 0.5)
-    for r in token_counts(docs).collect():  # at most IDS rows
+    for r in counted(rows).collect():  # at most IDS rows
         counts[r.token] = r.n
     frequent = np.argsort(-counts, kind="stable")
     classes = (OWN_CLASS + np.arange(IDS) % (CLASSES - OWN_CLASS)).astype(np.uint8)
@@ -161,10 +188,8 @@ def fit(docs: DataFrame, rounds: int = 4, rate: float = 0.5, seed: int = 5) -> M
     start = {k: rng.standard_normal(shape) * 0.1 for k, shape in SHAPES.items()}
     start["prior"] = np.log(np.maximum(mass, 0.5) / mass.sum())
     now = flat(start)
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows = written(training_windows(docs, classes).repartition(tasks, "key"), "windows")
     for k in range(rounds):
-        now = averaged_round(windows, now, rate / (1 + k), seed + k)
+        now = averaged_round(rows, classes, now, rate / (1 + k), seed + k, k, rounds)
     return Model(classes, np.log(counts / mass[classes]), shaped(now))
 
 
@@ -185,13 +210,16 @@ def log_probabilities(ids: np.ndarray, n: np.ndarray, m: Model) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, pll (sum of log-probabilities), pll_per_token."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return scored(tokens(docs), model)
+
+
+def scored(rows: DataFrame, model: Model) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
-        for b in pieces(batches, "text", PIECE_BYTES):
-            ids, n = token_ids(as_bytes(b, "text"), hashes)
+        for b in pieces(batches, "ids", PIECE_BYTES):
+            ids, n = unpacked(b)
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=log_probabilities(ids, n, shared.value), minlength=len(n)).astype(np.float64)
             yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array(n), "pll": pa.array(total), "pll_per_token": pa.array(total / np.maximum(n, 1), mask=n == 0)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann_forest, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, suffix_dedup
-from .common import held_out, shared_dir, table
+from .common import held_out, shared_dir, table, written
 from .oracles import ORACLES
 from .sharding import ShardStore
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_scoring.score(docs, lm_scoring.fit(docs))
+    rows = written(lm_scoring.tokens(table(spark, sf_dir, "documents")), "tokens")
+    return lm_scoring.scored(rows, lm_scoring.fitted(rows))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

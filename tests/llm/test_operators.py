@@ -255,6 +255,16 @@ def test_lm_of_odd_rows(spark):
     assert lm_scoring.score(_empty(spark), lm_scoring.fit(_empty(spark))).count() == 0
 
 
+def test_lm_learns_from_every_word_of_short_texts(spark):
+    ids, n = np.arange(11), np.array([1, 0, 2, 8])
+    seen = np.concatenate([lm_scoring.windows(ids.astype(np.uint8), n, k, 4)[:, 0] for k in range(4)])
+    assert sorted(seen.tolist()) == ids.tolist()
+    docs = _table(spark, [(i, f"{'ab'[i % 2]} {'xy'[i % 2]}") for i in range(20_000)])
+    model = lm_scoring.fit(docs)
+    got = {r.doc_id: r.pll for r in lm_scoring.score(_table(spark, [(1, "a x"), (2, "a y"), (3, "b y"), (4, "b x")]), model).collect()}
+    assert min(got[1], got[3]) > max(got[2], got[4]) + 0.5
+
+
 # packing
 
 
