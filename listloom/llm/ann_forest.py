@@ -4,11 +4,14 @@ A tree gives each vector a long string of `DEPTH` characters: each is the axis (
 after a random rotation, so vectors with a large inner product share long prefixes. A tree is the sorted array of its
 strings. A query descends to the longest prefix that it shares with any string of a tree and ascends to shorter prefixes
 until it has more than `candidates` vectors there or only the first character is left. The trees' arrays lie in different
-tasks, so they ascend by the same rule with the same number, not by a common counter. Vectors are scaled into the
-unit ball and lifted onto the sphere by one more component, which keeps the order of inner products; queries get zero
-there.
+tasks, so they ascend by the same rule with the same number, not by a common counter.
 
-Trees are dealt by first character and by shards of at most about `shard_rows` vectors, so a task's array is bounded
+Only directions are hashed. Vectors are parted into bands of norms, in each of which the largest norm is at most `BAND`
+times the smallest, so that inner products there are nearly in the order of cosines; every band has trees of its own and
+every query searches all bands. Vectors of bands so small that a query would probe all their characters lie together
+without trees and are all compared.
+
+Trees are dealt by band, first character and by shards of at most about `shard_rows` vectors, so a task's array is bounded
 whatever the number of alike vectors; a query goes to the characters of its `probes` nearest axes in each tree (to more,
 where all of them would hold fewer than `candidates` vectors) and to all their shards. Each array answers with its best `k` by exact inner product, in double precision on the original
 vectors; the best k over all arrays are the result. Of vectors that are equal, the k + 1 with the smallest ids enter the
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 TREES, PROBES, DEPTH, SHARD_ROWS, CANDIDATES = 12, 6, 4, 4096, 4096
+BAND, SMALL = 1.25, -1  # SMALL: the number of the bands that have no trees
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -65,48 +69,67 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     """vectors and queries: vec_id, embedding. Gives query_id, rank (from 1), vec_id, score; a query's own id is no
     candidate."""
     rows = valid(vectors)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
-    known = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), "dim").first()
+    most = F.array_max(F.transform("embedding", F.abs))
+    norm = F.log(most) + F.log(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v / most) * (v / most))) / 2  # its logarithm
+    rows = rows.withColumn("norm", norm)
+    known = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dim").first()
     if known is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, top = known.dim, known.n, known.top
-    probes = min(2 * (dim + 1), max(probes, math.ceil(candidates * 2 * (dim + 1) / (n * trees))))
-    turned = vectors.sparkSession.sparkContext.broadcast(rotations(dim + 1, trees, seed))
-    shards = 1 + n // (shard_rows * (dim + 1))  # rows of one character, were they spread evenly
+    dim, alphabet = known.dim, 2 * known.dim
+    rows = rows.where(F.col("dim") == dim).select("vec_id", "embedding", F.floor((F.lit(known.top) - F.col("norm")) / math.log(BAND)).cast("int").alias("band"))
+    sizes = {r.band: r["count"] for r in rows.groupBy("band").count().collect()}
+    asking = {b: max(probes, math.ceil(candidates * alphabet / (n * trees))) for b, n in sizes.items()}
+    asking = {b: p for b, p in asking.items() if p < alphabet}  # bands with trees: characters to probe
+    shards = {b: 1 + sizes[b] // (shard_rows * alphabet) for b in asking}  # rows of one character, were they spread evenly
+    shards[SMALL] = 1 + sum(n for b, n in sizes.items() if b not in asking) // shard_rows
+    turned = vectors.sparkSession.sparkContext.broadcast(rotations(dim, trees, seed))
 
     def matrix(b: pa.RecordBatch) -> np.ndarray:
         return b["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
 
-    def emitted(b: pa.RecordBatch, tree: int, char: np.ndarray, shard: np.ndarray, strings: np.ndarray, query: bool) -> pa.RecordBatch:
-        return pa.record_batch({"tree": pa.array(np.full(b.num_rows, tree, np.int32)), "char": pa.array(char.astype(np.int32)), "shard": pa.array(shard.astype(np.int32)), "query": pa.array(np.full(b.num_rows, query)), "string": pa.array(strings), "vec_id": b["vec_id"], "embedding": b["embedding"]})
+    def directions(x: np.ndarray) -> np.ndarray:
+        x = x / np.abs(x).max(1, keepdims=True)
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+    def emitted(b: pa.RecordBatch, tree: int, band: np.ndarray, char: np.ndarray, shard: np.ndarray, strings: np.ndarray, query: bool) -> pa.RecordBatch:
+        return pa.record_batch({"tree": pa.array(np.full(b.num_rows, tree, np.int32)), "band": pa.array(band.astype(np.int32)), "char": pa.array(char.astype(np.int32)), "shard": pa.array(shard.astype(np.int32)), "query": pa.array(np.full(b.num_rows, query)), "string": pa.array(strings), "vec_id": b["vec_id"], "embedding": b["embedding"]})
 
     def strings(x: np.ndarray, tree: np.ndarray) -> np.ndarray:
         out = np.zeros(len(x), np.int64)
         for rotation in tree[1:]:
-            out = out * 2 * (dim + 1) + characters(x, rotation)[:, 0]
+            out = out * alphabet + characters(x, rotation)[:, 0]
         return out
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = matrix(b) / top
-            x = np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1).astype(np.float32)
-            ids = b["vec_id"].to_numpy(zero_copy_only=False)
-            shard = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(shards)
-            for t, tree in enumerate(turned.value):
-                yield emitted(b, t, characters(x, tree[0])[:, 0], shard, strings(x, tree), False)
-
-    def ask(first: int, each: int):
-        """Queries to the `each` nearest characters of the first trees."""
+        for every in batches:
+            bands = every["band"].to_numpy(zero_copy_only=False)
+            large = np.isin(bands, list(asking))
+            for b, band in ((every.filter(pa.array(~large)), np.full((~large).sum(), SMALL)), (every.filter(pa.array(large)), bands[large])):
+                if not b.num_rows:
+                    continue
+                ids, of = b["vec_id"].to_numpy(zero_copy_only=False), np.array([shards[k] for k in band.tolist()], np.uint64)
+                shard, nothing = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % of, np.zeros(b.num_rows, np.int64)
+                if band[0] == SMALL:
+                    yield emitted(b, 0, band, nothing, shard, nothing, False)
+                    continue
+                x = directions(matrix(b))
+                for t, tree in enumerate(turned.value):
+                    yield emitted(b, t, band, characters(x, tree[0])[:, 0], shard, strings(x, tree), False)
+
+    def ask(first: int, whole: bool):
+        """Queries to the small bands and, in the first trees of each other band, to its nearest characters or to all."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = matrix(b)
-                x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1).astype(np.float32)
-                for t, tree in enumerate(turned.value[:first]):
-                    s = strings(x, tree)
-                    for char in characters(x, tree[0], min(each, 2 * (dim + 1))).T:
-                        for shard in range(shards):
-                            yield emitted(b, t, char, np.full(len(x), shard), s, True)
+                x, nothing = directions(matrix(b)), np.zeros(b.num_rows, np.int64)
+                for shard in range(shards[SMALL]):
+                    yield emitted(b, 0, nothing + SMALL, nothing, nothing + shard, nothing, True)
+                for t, tree in enumerate(turned.value[:first] if asking else []):
+                    s, nearest = strings(x, tree), characters(x, tree[0], alphabet if whole else max(asking.values()))
+                    for band, each in asking.items():
+                        for char in nearest[:, : alphabet if whole else each].T:
+                            for shard in range(shards[band]):
+                                yield emitted(b, t, nothing + band, char, nothing + shard, s, True)
 
         return run
 
@@ -117,7 +140,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
         ids, text, x = tree["vec_id"].to_numpy(), tree["string"].to_numpy(), np.stack(tree["embedding"])
         out = []
         for q, s, v in zip(asked["vec_id"], asked["string"], asked["embedding"], strict=True):
-            for cut in (2 * (dim + 1)) ** np.arange(DEPTH):  # from the longest prefix up
+            for cut in alphabet ** np.arange(DEPTH):  # from the longest prefix up
                 low, high = np.searchsorted(text, [s // cut * cut, s // cut * cut + cut])
                 if high - low > candidates:
                     break
@@ -130,19 +153,18 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
             out.append((np.full(len(best), q), found[best], score[best]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    kind = "tree int, char int, shard int, query boolean, string long, vec_id long, embedding array<double>"
+    kind = "tree int, band int, char int, shard int, query boolean, string long, vec_id long, embedding array<double>"
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    rows = rows.where(F.col("dim") == dim).select("vec_id", "embedding")
     indexed = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth").mapInArrow(index, kind)
     asked = valid(queries).where(F.col("dim") == dim).select("vec_id", "embedding")
 
-    def found(some: DataFrame, first: int, each: int) -> DataFrame:
-        return indexed.union(some.mapInArrow(ask(first, each), kind)).groupBy("tree", "char", "shard").applyInPandas(answer, FOUND).distinct()
+    def found(some: DataFrame, first: int, whole: bool) -> DataFrame:
+        return indexed.union(some.mapInArrow(ask(first, whole), kind)).groupBy("tree", "band", "char", "shard").applyInPandas(answer, FOUND).distinct()
 
-    near = written(found(asked, trees, probes), "near")
+    near = written(found(asked, trees, False), "near")
     enough = near.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     few = asked.join(enough, "vec_id", "left_anti")
     if not few.isEmpty():
-        near = near.union(found(few, 1, 2 * (dim + 1))).distinct()
+        near = near.union(found(few, 1, True)).distinct()
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -361,6 +361,24 @@ def test_ann_recall_and_exact_scores(spark):
     assert hits / (20 * 150) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["outlier", "spread", "huge"])
+def test_ann_recall_with_different_norms(spark, kind):
+    rng = np.random.default_rng(19)
+    x = rng.standard_normal((6000, 32))
+    if kind == "spread":
+        x *= np.exp(rng.standard_normal((len(x), 1)) * 0.5)
+    else:
+        x[7] *= {"outlier": 4, "huge": 1e160}[kind]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann_forest.search(df, df.where("vec_id % 60 = 1")).toPandas().groupby("query_id")["vec_id"].agg(set)
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(len(s)), -s))[:20].tolist()) & found)
+    assert len(got) == 100 and hits / 2000 >= 0.9
+
+
 def test_ann_of_odd_rows(spark):
     v = [1.0, 0.0, 0.0]
     rows = [(0, v), (1, v), (2, v), (3, [0.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 1.0, 0.0]), (6, [1.0, None, 0.0]), (7, [2.0, 0.0, 0.0]), (8, [1.0]), (None, v), (20, [0.5, 0.1, 0.0])]
