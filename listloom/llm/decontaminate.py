@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces
+from .common import as_bytes, pieces, written
 
 WORD = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isupper() else 32 for c in range(256))
 SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 16 << 20
@@ -149,22 +149,26 @@ def merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = 13, slop: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents against all test items. The items are broadcast in blocks of about `block_bytes` of text; their size is
     measured first. Documents are indexed once for each block. One row a document row: doc_id, n_words, hits, items,
-    near_items. With more than one block, rows of one doc_id are taken as one document."""
+    near_items. With more than one block, rows get a key in a written copy first, and what the blocks found is joined by
+    it; doc_id is only a value."""
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // block_bytes
+    if n > 1:
+        docs = written(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "keyed")
     found = []
     for k in range(n):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         queries = Queries([(r.item_id, r.text.encode()) for r in block], width)
-        found.append(search(index(docs, queries), queries, slop))
+        found.append(search(index(docs, queries, "doc_id" if n == 1 else "key"), queries, slop))
     if n == 1:
         return found[0]
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
     together = F.udf(lambda xs: merged([tuple(x) for x in xs]), "array<array<long>>")
-    return every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), together(F.flatten(F.collect_list("hits"))).alias("hits"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")))
+    every = every.withColumnRenamed("doc_id", "key").groupBy("key").agg(F.max("n_words").alias("n_words"), together(F.flatten(F.collect_list("hits"))).alias("hits"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("items", "near_items")))
+    return docs.select("key", "doc_id").join(every, "key").drop("key")
 
 
 def verdict(found: DataFrame) -> DataFrame:

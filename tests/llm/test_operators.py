@@ -173,6 +173,17 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.verdict(decontaminate.scan(_table(spark, docs), bench.limit(0))).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_judges_each_row_whatever_the_blocks(spark):
+    rng = random.Random(16)
+    items = [(k, _words(rng, 20, 10_000)) for k in range(8)]
+    docs = [(d, f"{_words(rng, 30 + i, 10_000)} {items[i % 8][1] if i % 3 else ''}") for i, d in enumerate([1, 1, 1, None, None, None, 2, 2, 3, None, 4, 4])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(decontaminate.reference(docs, items), key=str)
+    for block in (1 << 20, 100):
+        got = decontaminate.verdict(decontaminate.scan(_table(spark, docs), bench, block_bytes=block))
+        assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=str) == want
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = [(1, "gamma x alpha y beta"), (2, "alpha beta gamma"), (3, "alpha " + "x " * 30 + "beta gamma")]
