@@ -26,7 +26,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, as_bytes, mixed, pieces
+from .common import ALPHANUMERIC, as_bytes, pieces, rolled, word_hashes
 from .decontaminate import words
 
 WIDTH, WINDOW, STRIDE = 5, 20, 8  # a window has two blocks of STRIDE shingles
@@ -57,13 +57,11 @@ def shingles(tokens: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)} if tokens else set()
 
 
-def slots(tokens: list[bytes], hashes: Hashes) -> np.ndarray:
-    """The slot of each shingle; none for fewer words than a shingle has."""
-    w = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-    h = np.zeros(max(0, len(w) - WIDTH + 1), np.uint64)
-    for i in range(WIDTH):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(h)]
-    return (mixed(h) >> np.uint64(64 - UNIVERSE.bit_length() + 1)).astype(np.int64)
+def slots(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text the slots of its shingles; none for fewer words than a shingle has."""
+    words, n = word_hashes(texts, ALPHANUMERIC)
+    found, ends = (rolled(words, WIDTH) >> np.uint64(64 - UNIVERSE.bit_length() + 1)).astype(np.int64), np.cumsum(n)
+    return [found[e - k : max(e - k, e - WIDTH + 1)] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
 
 
 class Templates:
@@ -74,10 +72,10 @@ class Templates:
         self.shingles = {k: shingles(t) for k, t in self.tokens.items() if t}
         second = np.random.default_rng(77).permutation(UNIVERSE).astype(np.int32)
         self.second = np.concatenate([second, second[: BANDS - 1]])
-        self.minima, hashes = defaultdict(set), Hashes()
+        self.minima = defaultdict(set)
         for k, t in self.tokens.items():
             for i in range(0, max(1, len(t) - WIDTH + 1), SEGMENT - WIDTH + 1):
-                s = slots(t[i : i + SEGMENT], hashes)
+                (s,) = slots([b" ".join(t[i : i + SEGMENT])])
                 if len(s):
                     for band, value in enumerate(self.table()[s].min(0).tolist()):
                         self.minima[band * UNIVERSE + value].add(k)
@@ -99,9 +97,9 @@ def window_minima(s: np.ndarray, n_blocks: int, block: np.ndarray, table: np.nda
     return out
 
 
-def candidates(docs: list[list[bytes]], t: Templates, hashes: Hashes, table: np.ndarray) -> set[tuple[int, int, str]]:
+def candidates(docs: list[bytes], t: Templates, table: np.ndarray) -> set[tuple[int, int, str]]:
     """(document, first word of the window, template) that collide in a band."""
-    each = [slots(d, hashes) for d in docs]
+    each = slots(docs)
     blocks = np.array([-(-len(s) // STRIDE) + 1 for s in each])  # one that stays empty ends each document
     start = np.cumsum(blocks) - blocks
     s = np.concatenate(each)
@@ -133,13 +131,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, hashes = shared.value, Hashes()
+        t = shared.value
         table = t.table()
         short = {k: s for k, s in t.shingles.items() if len(t.tokens[k]) < WIDTH}
         for b in pieces(batches, "text", PIECE_BYTES):
-            all_words = [words(x) for x in as_bytes(b, "text")]
+            texts = as_bytes(b, "text")
+            all_words = [words(x) for x in texts]
             best: list[dict[str, tuple[float, int]]] = [{} for _ in all_words]
-            for d, word, name in sorted(candidates(all_words, t, hashes, table)):
+            for d, word, name in sorted(candidates(texts, t, table)):
                 c = contained(all_words[d], word, name, t)
                 if c >= threshold and c > best[d].get(name, (0.0, 0))[0]:
                     best[d][name] = (c, word)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, as_bytes, pieces, written
+from .common import as_bytes, pieces, word_hashes, written
 
 IDS, CLASSES, OWN_CLASS = 1 << 16, 128, 96
 REACH, HIDDEN = 3, 24
@@ -44,12 +44,10 @@ class Model:
     weights: dict[str, np.ndarray]
 
 
-def token_ids(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, and how many words each text has."""
-    words = [t.lower().split() for t in texts]
-    n = np.array([len(w) for w in words], np.int64)
-    flat = (h for w in words for h in map(hashes.__getitem__, w))
-    return (np.fromiter(flat, np.uint64, n.sum()) % np.uint64(IDS)).astype(np.int64), n
+    hashes, n = word_hashes(texts)
+    return (hashes % np.uint64(IDS)).astype(np.int64), n
 
 
 def padded(classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +62,8 @@ def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, ids (int32, packed): one row for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in pieces(batches, "text", PIECE_BYTES):
-            ids, n = token_ids(as_bytes(b, "text"), hashes)
+            ids, n = token_ids(as_bytes(b, "text"))
             ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(np.int32))])
             yield pa.record_batch({"doc_id": b["doc_id"], "ids": packed})

@@ -6,50 +6,54 @@ shifted circularly by k for coordinate k, so that one row of the table holds a s
 (C-MinHash). `BANDS` bands of `ROWS` coordinates miss a pair of similarity 0.75 with probability 5e-6. Every reported
 link is confirmed on full shingle sets.
 
-Large groups make few pairs: documents with equal shingle sets are one class; first each member of a bucket is compared
-with one class only, drawn by a hash; then, in the buckets that still hold several components, the members' shared
-shingles are counted by matrix products of their full sets, in blocks of bounded size, and one link is kept for each two
-components.
+Large groups make few pairs: documents with equal shingle sets are one class. Each member of a bucket is compared with the
+bucket's smallest class. In buckets that still hold several components and are too large for one block, the members are
+compared with further classes, drawn by a hash, until nothing changes. Then the members of every bucket that is left with
+several components are compared exactly, by matrix products of their full sets in blocks of at most `BLOCK` members and
+about `BLOCK_SHINGLES` shingles; one link is kept for each two components. Only sets of like size share a block.
 
 Defined cases: null text and text without words have no shingles, stand alone and are kept; with fewer than five words
 the whole sequence is one shingle; equal rows share a class (rows with one doc_id are one document); null doc_id rows
-stand alone with a null component; an empty table gives an empty result; other columns are ignored.
+stand alone with a null component; texts of any length are used whole; a group's smallest doc_id is kept, so there are no
+ties; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hashes, as_bytes, mixed, pieces, written
+from .common import as_bytes, mixed, pieces, rolled, word_hashes, written
 from .components import components
 
 WIDTH, BANDS, ROWS = 5, 32, 4
 COORDINATES, UNIVERSE = BANDS * ROWS, 1 << 19
 PERCENT = 75
-BLOCK, COLUMNS = 1024, 4096  # members of a bucket, and shingles, that are compared at once
-PIECE_BYTES, CHUNK = 4 << 20, 1 << 14
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 18, 4096  # of one block; COLUMNS: shingles that are multiplied at once
+PIECE_BYTES, CHUNK = 1 << 20, 1 << 12
+GROUP = ["key", "step", "up", "low", "high"]
 FEW_IDS = 1 << 20  # so many ids (8 MB) may be broadcast
 
 
-def shingles(text: bytes, hashes: Hashes) -> np.ndarray:
-    """Distinct 64-bit shingle hashes, sorted."""
-    words = text.lower().split()
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if not len(w):
-        return w
-    width = min(WIDTH, len(w))
-    h = np.zeros(len(w) - width + 1, np.uint64)
-    for i in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + len(h)]
-    return np.unique(mixed(h))
+def shingles(texts: list[bytes]) -> list[np.ndarray]:
+    """For each text its distinct 64-bit shingle hashes, sorted."""
+    words, n = word_hashes(texts)
+    hashes, ends = rolled(words, WIDTH), np.cumsum(n)
+    found = []
+    for end, k in zip(ends.tolist(), n.tolist(), strict=True):
+        if k >= WIDTH:
+            found.append(np.unique(hashes[end - k : end - WIDTH + 1]))
+        else:
+            found.append(rolled(words[end - k : end], k) if k else words[:0])
+    return found
 
 
 def circulant_table() -> np.ndarray:
@@ -61,13 +65,10 @@ def circulant_table() -> np.ndarray:
 def signatures(sets: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     """One row of coordinates for each set; sets are not empty."""
     out = np.full((len(sets), COORDINATES), UNIVERSE, np.int32)
-    slots = (np.concatenate(sets) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - UNIVERSE.bit_length() + 1)
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    for i in range(0, len(slots), CHUNK):
-        part = of[i : i + CHUNK]
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        least = np.minimum.reduceat(table[slots[i : i + CHUNK]], first, axis=0)
-        out[part[first]] = np.minimum(out[part[first]], least)
+    for i, s in enumerate(sets):
+        slots = (s * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - UNIVERSE.bit_length() + 1)
+        for k in range(0, len(slots), CHUNK):
+            np.minimum(out[i], table[slots[k : k + CHUNK]].min(0), out=out[i])
     return out
 
 
@@ -75,10 +76,10 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, same (digest of the shingle set; null without shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = circulant_table(), Hashes()
+        table = circulant_table()
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
         for b in pieces(batches, "text", PIECE_BYTES):
-            sets = [shingles(t, hashes) for t in as_bytes(b, "text")]
+            sets = shingles(as_bytes(b, "text"))
             some = [i for i, s in enumerate(sets) if len(s)]
             same, bands = [None] * len(sets), [None] * len(sets)
             if some:
@@ -96,9 +97,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for b in pieces(batches, "text", PIECE_BYTES):
-            sets = [shingles(t, hashes).view(np.int64) for t in as_bytes(b, "text")]
+            sets = [s.view(np.int64) for s in shingles(as_bytes(b, "text"))]
             yield pa.record_batch({"doc_id": b["doc_id"], "shingles": pa.array(sets, pa.list_(pa.int64()))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
@@ -113,13 +113,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * F.col("n") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("n"))).select("a", "b").distinct()
 
 
+def _step() -> Column:
+    """Sets of similarity 0.75 differ in size by a factor of 4/3 at most, so they lie in one step or in adjacent ones."""
+    return F.floor(F.log("n") / math.log(100 / PERCENT) + 1e-9).cast("int")
+
+
+def _parts() -> Column:
+    """Into how many parts a step of a bucket is cut, from its members and shingles."""
+    return F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+
+
 def blocks(members: DataFrame) -> DataFrame:
-    """Members with a group for each pair of their bucket's blocks that holds their own; buckets of up to BLOCK members are
-    one group."""
-    sizes = members.groupBy("key").agg((1 + F.floor((F.count("*") - 1) / BLOCK)).cast("int").alias("parts"))
-    dealt = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return other.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).drop("part", "other", "parts")
+    """Members with the groups that they are compared in: each two parts of a step, and each part of a step with each of
+    the next, are a group. What one group holds is bounded by two parts."""
+    steps = members.withColumn("step", _step())
+    sizes = steps.groupBy("key", "step").agg(_parts().alias("parts"))
+    beside = sizes.select("key", (F.col("step") - 1).alias("step"), F.col("parts").alias("above")).union(sizes.select("key", "step", F.lit(0).alias("above"))).groupBy("key", "step").agg(F.max("above").alias("above"))
+    below = sizes.select("key", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
+    sizes = sizes.join(beside, ["key", "step"]).join(below, ["key", "step"], "left").fillna({"below": 0})
+    dealt = steps.join(sizes, ["key", "step"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+
+    def with_others(n: str, place: Callable[[Column], Column]) -> Column:
+        return F.transform(F.expr(f"IF({n} > 0, sequence(0, {n} - 1), array())"), place)
+
+    step, part = F.col("step"), F.col("part")
+    own = with_others("parts", lambda o: F.struct(step.alias("step"), F.lit(0).alias("up"), F.least(part, o).alias("low"), F.greatest(part, o).alias("high")))
+    up = with_others("above", lambda o: F.struct(step.alias("step"), F.lit(1).alias("up"), part.alias("low"), o.alias("high")))
+    down = with_others("below", lambda o: F.struct((step - 1).alias("step"), F.lit(1).alias("up"), o.alias("low"), part.alias("high")))
+    dealt = dealt.select("key", "rep", "n", "comp", F.explode(F.concat(own, up, down)).alias("block")).select("key", "block.*", "rep", "n", "comp")
+    several = dealt.groupBy(*GROUP).agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first != last").select(*GROUP)
+    return dealt.join(several, GROUP, "left_semi")
 
 
 def across(group: pd.DataFrame) -> pd.DataFrame:
@@ -150,39 +173,57 @@ def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return now.join(spread, "key", "left_semi")
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Pairs of one class of each bucket, drawn by a hash, with the bucket's other members."""
-    drawn = F.min_by(F.struct("rep", "n"), F.xxhash64("key", "rep"))
-    lead = members.groupBy("key").agg(drawn.alias("lead"))
-    fits = 100 * F.least("n", F.col("lead.n")) >= PERCENT * F.greatest("n", F.col("lead.n"))
-    met = members.join(lead, "key").where((F.col("rep") != F.col("lead.rep")) & fits)
-    return met.select(F.least("rep", F.col("lead.rep")).alias("a"), F.greatest("rep", F.col("lead.rep")).alias("b")).distinct()
+def stars(members: DataFrame, leads: DataFrame) -> DataFrame:
+    """Pairs of each bucket's lead with the other members that are in another component and of like size."""
+    fits = 100 * F.least("n", "lead_n") >= PERCENT * F.greatest("n", "lead_n")
+    met = members.join(leads, "key").where((F.col("comp") != F.col("lead_comp")) & fits)
+    return met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+
+
+def drawn_leads(members: DataFrame, salt: int) -> DataFrame:
+    """One member of each bucket, drawn by a hash."""
+    drawn = members.groupBy("key").agg(F.min(F.xxhash64(F.lit(salt), "rep")).alias("draw"))
+    return members.join(drawn, "key").where(F.xxhash64(F.lit(salt), "rep") == F.col("draw")).select("key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
     drawn = written(sketches(docs), "sketches")
     some = drawn.where(F.col("same").isNotNull() & F.col("doc_id").isNotNull())
-    classes = some.groupBy("same").agg(F.min_by(F.struct("doc_id", "n_shingles", "bands"), "doc_id").alias("x"))
-    classes = written(classes.select("same", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.bands"), "classes")
+    classes = written(some.groupBy("same").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = some.join(classes, "same").where("doc_id = rep").select("rep", F.col("n_shingles").alias("n"), "bands")
 
-    dealt = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = written(dealt.join(shared, "key").select("key", "rep", "n"), "buckets")
+    dealt = written(reps.select("rep", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key")), "dealt")
+    shared = dealt.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low != high")
+    buckets = written(dealt.join(shared.select("key"), "key", "left_semi"), "buckets")
 
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
 
-    links = written(confirmed(stars(buckets), sets), "links")
-    found = components(links)
-    members = still_open(buckets, found)
+    alone = buckets.withColumn("comp", F.col("rep"))
+    first = buckets.groupBy("key").agg(F.min("rep").alias("rep")).join(buckets, ["key", "rep"]).select("key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("rep").alias("lead_comp")).distinct()
+    found = components(confirmed(stars(alone, first), sets))
+    members, salt = written(still_open(buckets, found), "open"), 1
+    while True:
+        large = members.groupBy("key").agg(_parts().alias("parts")).where("parts > 1").select("key")
+        large = members.join(large, "key", "left_semi")
+        links = written(confirmed(stars(large, drawn_leads(large, salt)), sets), "links")
+        if links.isEmpty():
+            break
+        found = joined(found, links)
+        members, salt = written(still_open(buckets, found), "open"), salt + 1
+
     full = blocks(members).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    more = written(full.groupBy("key", "low", "high").applyInPandas(across, "a long, b long").distinct(), "links")
+    more = written(full.groupBy(*GROUP).applyInPandas(across, "a long, b long").distinct(), "links")
     if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        found = joined(found, more)
 
-    rep = classes.select("same", "rep").join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    rep = classes.join(found, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = drawn.select("doc_id", "n_shingles", "same").join(rep, "same", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

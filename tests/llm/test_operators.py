@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from listloom.llm import ann_forest, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, registry, suffix_dedup
+from listloom.llm import ann_forest, common, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, registry, suffix_dedup
 from listloom.llm.common import held_out, table
 from listloom.llm.components import components
 from listloom.llm.sharding import ShardStore
@@ -75,12 +75,34 @@ def test_chains_across_a_large_bucket(spark):
 
 def test_last_round_splits_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
-    monkeypatch.setattr(minhash_dedup, "stars", lambda m: m.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+    monkeypatch.setattr(minhash_dedup, "stars", lambda m, leads: m.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
     docs = _corpus(7)
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(_table(spark, docs)).collect()}
     assert got == minhash_dedup.reference(docs)
 
 
+def test_further_stars_where_a_bucket_is_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", 150)
+    for seed in (8, 9):
+        docs = _corpus(seed)
+        got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(_table(spark, docs)).collect()}
+        assert got == minhash_dedup.reference(docs)
+
+
+def test_word_hashes_of_any_chunk(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abAB \t\né,") for _ in range(rng.randrange(60))).encode() for _ in range(200)] + [b"", b"x" * 300, b" " * 300]
+    for values, split in ((common.SPACED, bytes.split), (common.ALPHANUMERIC, decontaminate.words)):
+        want = [split(t.lower()) for t in texts]
+        for chunk in (16, 1 << 17):
+            monkeypatch.setattr(common, "CHUNK", chunk)
+            hashes, n = common.word_hashes(texts, values)
+            assert n.tolist() == list(map(len, want))
+            of = {}
+            assert all(of.setdefault(w, h) == h for w, h in zip(sum(want, []), hashes.tolist(), strict=True))
+            assert len(set(of.values())) == len(of)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     df = _table(spark, [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, "a b c d e f")])
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash_dedup.near_duplicates(df).collect())
