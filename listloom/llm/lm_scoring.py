@@ -1,19 +1,25 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-Tokens are words (A-Z lowered, split at ASCII white space), hashed to `IDS` ids. Ids are grouped into `CLASSES` classes:
-the most frequent ids have one each, the others share the rest. A network with one hidden layer reads the classes of
-the `REACH` words on either side and predicts the class of the word between; an id within its class has its share of
-the corpus count. A document's score is the sum over all its words of the conditional log-probability.
-
-Texts are turned into ids once, in a written table. From it come, over all documents: the counts of all ids (a
-distributed sum) and the training targets: every word of every document is the target of one round, which is drawn with a
-fixed seed, whatever the length of its document. Training is data-parallel: in each
-round every partition of the table takes gradient steps in numpy from the same parameters, and the results are averaged
-in a distributed sum, weighted by targets. Only counts of the `IDS` ids and the parameters (20,000 numbers) reach the
-driver.
-
-Defined cases: null text and text without words score 0 with no mean; ids never counted have the count one half; with
-no words at all the network stays untrained; equal rows are scored one by one; other columns are ignored.
+Tokens are words (A-Z lowered, split at ASCII white space) under 64-bit hashes. A word is predicted in two factors: its
+class, by a network with one hidden layer that reads the classes of the `REACH` words on either side, and the word within
+its class, by its share of the corpus count of that class. A document's score is the sum over all its words of the
+conditional log-probability.
+
+Classes come from the corpus. The `OWN` most frequent words have one each. The `ANCHORS` most frequent words are clustered
+by whom they stand beside (positive pointwise mutual information, truncated SVD, k-means); every other word of the
+vocabulary joins the cluster that most anchors around it, over all its occurrences, belong to.
+
+Texts are cut once into blocks of bounded size, each with its own dictionary. The vocabulary (every distinct word, its
+count over all documents and its class) is a table that is shuffled by word and grows with the corpus; each block gets the
+counts and classes of its own words back by a join. Training is data-parallel and every word is the target of one round: in
+each round every partition takes gradient steps in numpy from the same parameters, and the results are averaged in a
+distributed sum, weighted by targets. The driver gets the anchors, their co-occurrences and the parameters (sizes are
+constants), never words by the vocabulary.
+
+Defined cases: null text and text without words score 0 with no mean; a word that the corpus doesn't have counts as one
+that it has once; words that tie in count are ordered by hash, a word whose classes tie joins the first; with no words at all
+the network stays untrained; equal rows are scored one by one; a text is never cut, one longer than a block is a block;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,86 +29,225 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, pieces, word_hashes, written
 
-IDS, CLASSES, OWN_CLASS = 1 << 16, 128, 96
-REACH, HIDDEN = 3, 24
+OWN, CLUSTERS, ANCHORS = 48, 16, 512
+CLASSES = OWN + CLUSTERS
+RARE = 20_000  # a word is counted as a possible anchor in blocks where it is at least one word in so many
+REACH, HIDDEN, RANK = 3, 16, 16
 OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 PAD = CLASSES  # the class before the first and after the last word
 SHAPES = {"table": (len(OFFSETS), CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "prior": (CLASSES,)}
-PIECE_BYTES, BLOCK, BATCH = 4 << 20, 1 << 13, 256
+BLOCK_BYTES, ROWS, BATCH = 4 << 20, 1 << 10, 512
+PARTS = ("doc_ids", "n", "codes", "words", "counts", "classes", "sizes")
+BLOCKS = "block long, doc_ids array<long>, n binary, codes binary, words array<long>, counts array<int>"
+READY = "doc_ids array<long>, n binary, codes binary, classes binary, sizes binary"
+
+
+@dataclass
+class Anchors:
+    words: np.ndarray  # hashes, most frequent first
+    clusters: np.ndarray  # of each
+
+    def classes(self) -> np.ndarray:
+        return np.where(np.arange(len(self.words)) < OWN, np.arange(len(self.words)), OWN + self.clusters)
 
 
 @dataclass
 class Model:
-    classes: np.ndarray  # of each id
-    within: np.ndarray  # log of each id's share of its class
+    anchors: Anchors
+    vocabulary: DataFrame  # word, n, class
+    mass: np.ndarray  # words of each class
     weights: dict[str, np.ndarray]
 
 
-def token_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, and how many words each text has."""
-    hashes, n = word_hashes(texts)
-    return (hashes % np.uint64(IDS)).astype(np.int64), n
-
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each block: doc_ids, how many words each has (int32), all words as places in the block's dictionary
+    (int32, compressed), the dictionary (sorted hashes) and how often it has each."""
 
-def padded(classes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for b in gathered(pieces(batches, "text", block_bytes), block_bytes):
+            hashes, n = word_hashes(as_bytes(b, "text"))
+            words, codes, counts = np.unique(hashes.view(np.int64), return_inverse=True, return_counts=True)
+            yield pa.record_batch({
+                "block": pa.array([block], pa.int64()),
+                "doc_ids": pa.array([b["doc_id"].to_pylist()], pa.list_(pa.int64())),
+                "n": pa.array([n.astype(np.int32).tobytes()], pa.binary()),
+                "codes": pa.array([packed(codes)], pa.binary()),
+                "words": pa.array([words], pa.list_(pa.int64())),
+                "counts": pa.array([counts.astype(np.int32)], pa.list_(pa.int32())),
+            })
+            block += 1
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCKS)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about `limit` bytes each."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.nbytes > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(b)
+        size += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
+def packed(codes: np.ndarray) -> bytes:
+    return pa.compress(codes.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Dictionary places of all words, and how many words each document has."""
+    n = np.frombuffer(row["n"], np.int32).astype(np.int64)
+    if not n.sum():
+        return np.empty(0, np.int32), n
+    return np.frombuffer(pa.decompress(row["codes"], 4 * int(n.sum()), codec="zstd", asbytes=True), np.int32), n
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One block at a time; words and counts as numpy arrays, doc_ids (of which some may be null) as they are."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield {name: b[name][i].as_py() if pa.types.is_binary(b[name].type) else b[name][i].values if name == "doc_ids" else b[name][i].values.to_numpy() for name in b.schema.names if name in PARTS}
+        pa.default_memory_pool().release_unused()
+
+
+def padded(classes: np.ndarray, n: np.ndarray, pad: int = PAD) -> tuple[np.ndarray, np.ndarray]:
     """Classes with REACH pads after each text (and before the first), and the places of the words there."""
     at = np.arange(len(classes)) + REACH * (1 + np.repeat(np.arange(len(n)), n))
-    out = np.full(len(classes) + REACH * (len(n) + 1), PAD, np.uint8)
+    out = np.full(len(classes) + REACH * (len(n) + 1), pad, classes.dtype)
     out[at] = classes
     return out, at
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, ids (int32, packed): one row for each row of docs."""
+def places(words: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """The place of each word among the anchors, or -1."""
+    if not len(anchors):
+        return np.full(len(words), -1)
+    order = np.argsort(anchors)
+    at = np.searchsorted(anchors[order], words)
+    at[at == len(order)] = 0
+    return np.where(anchors[order][at] == words, order[at], -1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", PIECE_BYTES):
-            ids, n = token_ids(as_bytes(b, "text"))
-            ends = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(np.int32))])
-            yield pa.record_batch({"doc_id": b["doc_id"], "ids": packed})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+def frequent(rows: DataFrame) -> np.ndarray:
+    """The ANCHORS most frequent words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            some = row["counts"] * RARE >= row["counts"].sum()
+            yield pa.record_batch({"word": pa.array(row["words"][some], pa.int64()), "n": pa.array(row["counts"][some].astype(np.int64))})
 
-def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, and how many words each text has."""
-    ids = np.frombuffer(b"".join(b["ids"].to_pylist()), np.int32)
-    return ids, pc.binary_length(b["ids"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+    counted = rows.select("words", "counts").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.array([r.word for r in counted.orderBy(F.desc("n"), "word").limit(ANCHORS).collect()], np.int64)
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """token, n: over all words of a table of ids; each task adds up before the shuffle."""
+def cooccurrence(rows: DataFrame, anchors: np.ndarray) -> np.ndarray:
+    """How often each two anchors stand within REACH words, over all documents."""
+    shared, size = rows.sparkSession.sparkContext.broadcast(anchors), len(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(IDS, np.int64)
-        for b in pieces(batches, "ids", PIECE_BYTES):
-            total += np.bincount(unpacked(b)[0], minlength=IDS)
+        total = np.zeros(size * size, np.int64)
+        for row in rows_of(batches):
+            codes, n = unpacked(row)
+            around, _ = padded(places(row["words"], shared.value)[codes], n, -1)
+            for o in range(1, REACH + 1):
+                left, right = around[:-o], around[o:]
+                both = (left >= 0) & (right >= 0)
+                total += np.bincount(left[both] * size + right[both], minlength=size * size)
         some = np.flatnonzero(total)
-        yield pa.record_batch({"token": pa.array(some, pa.int64()), "n": pa.array(total[some])})
+        yield pa.record_batch({"cell": pa.array(some, pa.int64()), "n": pa.array(total[some])})
+
+    sums = rows.select("n", "codes", "words").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros(size * size)
+    matrix[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    matrix = matrix.reshape(size, size)
+    return matrix + matrix.T
+
+
+def clustered(together: np.ndarray, seed: int = 11) -> np.ndarray:
+    """A cluster for each anchor."""
+    total = max(together.sum(), 1)
+    share = np.maximum(together.sum(0), 1) / total
+    likeness = np.log(np.maximum(together / total / (share[:, None] * share[None, :]), 1))
+    u, s, _ = np.linalg.svd(likeness)
+    x = (u * np.sqrt(s))[:, :RANK]
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = x[:1]
+    while len(centres) < min(CLUSTERS, len(x)):  # each centre begins at the anchor that is least like those before
+        centres = np.concatenate([centres, x[[int((x @ centres.T).max(1).argmin())]]])
+    for _ in range(20):
+        of = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, of, x)
+        centres = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 1e-9, sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9), centres)
+    return (x @ centres.T).argmax(1)
+
+
+def anchored(rows: DataFrame) -> Anchors:
+    words = frequent(rows)
+    return Anchors(words, clustered(cooccurrence(rows, words)) if len(words) else np.zeros(0, np.int64))
+
+
+def voted(row: dict, anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a block's dictionary the class that most anchors around it vote for, and the votes. Anchors have
+    theirs already."""
+    codes, n = unpacked(row)
+    place = places(row["words"], anchors.words)
+    around, at = padded(np.append(anchors.clusters, -1)[place][codes], n, -1)
+    votes = np.zeros(len(place) * CLUSTERS, np.int64)
+    for o in OFFSETS:
+        beside = around[at + o]
+        some = beside >= 0
+        votes += np.bincount(codes[some] * np.int64(CLUSTERS) + beside[some], minlength=len(votes))
+    votes = votes.reshape(-1, CLUSTERS)
+    best = votes.argmax(1)
+    return np.where(place >= 0, np.append(anchors.classes(), 0)[place], OWN + best), votes[np.arange(len(best)), best]
+
+
+def counted(rows: DataFrame, anchors: Anchors) -> DataFrame:
+    """The vocabulary: word, n, class."""
+    shared = rows.sparkSession.sparkContext.broadcast(anchors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            classes, votes = voted(row, shared.value)
+            yield pa.record_batch({"word": pa.array(row["words"], pa.int64()), "class": pa.array(classes.astype(np.int32)), "n": pa.array(row["counts"].astype(np.int64)), "votes": pa.array(votes, pa.int64())})
 
-    return rows.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    each = rows.select("n", "codes", "words", "counts").mapInArrow(run, "word long, class int, n long, votes long")
+    by_class = each.groupBy("word", "class").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
+    ranked = F.max(F.col("votes") * CLASSES + (CLASSES - 1 - F.col("class")))  # most votes, then the first class
+    return by_class.groupBy("word").agg(F.sum("n").alias("n"), (CLASSES - 1 - ranked % CLASSES).cast("int").alias("class"))
 
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token, n: over all words of all documents."""
-    return counted(tokens(docs))
+def attached(rows: DataFrame, anchors: Anchors, vocabulary: DataFrame) -> DataFrame:
+    """Blocks with the class (a byte) and the corpus count (int64) of each word of their dictionaries. Only words that the
+    corpus has more than once are sent back: of the others the count is one and the class is what their only block says."""
+    shared = rows.sparkSession.sparkContext.broadcast(anchors)
+    several = rows.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word")).join(vocabulary.where("n > 1"), "word").select("of", "place", "n", "class")
 
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        out = []
+        for row in rows_of(block.to_batches()):
+            classes, counts = voted(row, shared.value)[0].astype(np.uint8), np.ones(len(row["words"]), np.int64)
+            at = known["place"].to_numpy()
+            classes[at], counts[at] = known["class"].to_numpy(), known["n"].to_numpy()
+            ids = pa.ListArray.from_arrays(pa.array([0, len(row["doc_ids"])], pa.int32()), row["doc_ids"])
+            out.append(pa.table({"doc_ids": ids, "n": pa.array([row["n"]]), "codes": pa.array([row["codes"]]), "classes": pa.array([classes.tobytes()]), "sizes": pa.array([counts.tobytes()])}))
+        return pa.concat_tables(out)
 
-def windows(classes: np.ndarray, n: np.ndarray, nth: int, of: int) -> np.ndarray:
-    """The class of each word that is dealt to round `nth` of `of`, and the classes around it."""
-    around, at = padded(classes, n)
-    at = at[np.random.default_rng(len(at)).integers(0, of, len(at), np.uint8) == nth]
-    return np.stack([around[at], *(around[at + o] for o in OFFSETS)], 1)
+    return rows.select("block", "doc_ids", "n", "codes", "words").groupBy("block").cogroup(several.groupBy("of")).applyInArrow(run, READY)
 
 
-def hidden(context: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+def hidden(context: list[np.ndarray] | np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """context: a row of classes for each offset."""
     h = w["table"][0][context[0]]
     for i in range(1, len(OFFSETS)):
@@ -111,29 +256,35 @@ def hidden(context: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     return np.tanh(h, out=h)
 
 
-def steps(windows: np.ndarray, w: dict[str, np.ndarray], rate: float, rng: np.random.Generator) -> None:
+def windows(classes: np.ndarray, n: np.ndarray, nth: int, of: int) -> np.ndarray:
+    """The class of each word that is dealt to round `nth` of `of`, and the classes around it, in mixed order."""
+    around, at = padded(classes, n)
+    rng = np.random.default_rng(len(at))
+    at = rng.permutation(at[rng.integers(0, of, len(at), np.uint8) == nth])
+    return np.stack([around[at], *(around[at + o] for o in OFFSETS)]).astype(np.int64)
+
+
+def steps(windows: np.ndarray, w: dict[str, np.ndarray], rate: float) -> None:
     """One pass of gradient steps over the windows, in place."""
-    windows = windows[rng.permutation(len(windows))].astype(np.int64)
-    table = w["table"].reshape(-1, HIDDEN)
-    for i in range(0, len(windows), BATCH):
-        part = windows[i : i + BATCH]
-        target, context, row = part[:, 0], part[:, 1:].T, np.arange(len(part))
+    for i in range(0, windows.shape[1], BATCH):
+        target, context = windows[0, i : i + BATCH], windows[1:, i : i + BATCH]
+        row = np.arange(len(target))
         h = hidden(context, w)
-        z = h @ w["out"] + w["prior"]
-        z -= z.max(1, keepdims=True)
-        p = np.exp(z, out=z)
+        p = h @ w["out"]
+        p += w["prior"]
+        p -= p.max(1, keepdims=True)
+        np.exp(p, out=p)
         p /= p.sum(1, keepdims=True)
         p[row, target] -= 1
-        p *= rate / len(part)
+        p *= np.float32(rate / len(row))
         back = (p @ w["out"].T) * (1 - h * h)
         w["out"] -= h.T @ p
         w["prior"] -= p.sum(0)
         w["bias"] -= back.sum(0)
-        places = (context + np.arange(len(OFFSETS))[:, None] * (CLASSES + 1)).astype(np.int16).ravel()  # rows of the table
-        order = np.argsort(places, kind="stable")
-        places = places[order]
-        first = np.flatnonzero(np.diff(places, prepend=-1))
-        table[places[first]] -= np.add.reduceat(back[order % len(part)], first)
+        for k, classes in enumerate(context):
+            one = np.zeros((len(row), CLASSES + 1), np.float32)
+            one[row, classes] = 1
+            w["table"][k] -= one.T @ back
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
@@ -148,75 +299,78 @@ def shaped(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def averaged_round(rows: DataFrame, classes: np.ndarray, now: np.ndarray, rate: float, seed: int, nth: int, of: int) -> np.ndarray:
-    shared = rows.sparkSession.sparkContext.broadcast((classes, now))
+def averaged_round(ready: DataFrame, now: np.ndarray, rate: float, nth: int, of: int) -> np.ndarray:
+    shared = ready.sparkSession.sparkContext.broadcast(now)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, start = shared.value
-        w, total, rng = shaped(start), 0, np.random.default_rng(seed)
-        for b in pieces(batches, "ids", PIECE_BYTES):
-            ids, n = unpacked(b)
-            part = windows(classes[ids], n, nth, of)
-            steps(part, w, rate, rng)
-            total += len(part)
+        w, total = shaped(shared.value), 0
+        for row in rows_of(batches):
+            codes, n = unpacked(row)
+            part = windows(np.frombuffer(row["classes"], np.uint8)[codes], n, nth, of)
+            steps(part, w, rate)
+            total += part.shape[1]
         if total:
             x = flat(w).astype(np.float64)
             yield pa.record_batch({"i": pa.array(np.arange(len(x))), "x": pa.array(x * total), "n": pa.array(np.full(len(x), total, np.int64))})
 
-    sums = rows.select("ids").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+    sums = ready.select("n", "codes", "classes").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
     out = now.copy()
-    out[[r.i for r in sums]] = [r.x for r in sums]
+    out[sums["i"].to_numpy()] = sums["x"].to_numpy()
+    shared.unpersist()
     return out
 
 
-def fit(docs: DataFrame, rounds: int = 4, rate: float = 0.5, seed: int = 5) -> Model:
-    return fitted(written(tokens(docs), "tokens"), rounds, rate, seed)
+def fit(docs: DataFrame, rounds: int = 4, rate: float = 1.0, seed: int = 5) -> Model:
+    return fitted(written(blocks(docs), "blocks"), rounds, rate, seed)[0]
 
 
-def fitted(rows: DataFrame, rounds: int = 4, rate: float = 0.5, seed: int = 5) -> Model:
-    counts = np.full(IDS, 0.5)
-    for r in counted(rows).collect():  # at most IDS rows
-        counts[r.token] = r.n
-    frequent = np.argsort(-counts, kind="stable")
-    classes = (OWN_CLASS + np.arange(IDS) % (CLASSES - OWN_CLASS)).astype(np.uint8)
-    classes[frequent[:OWN_CLASS]] = np.arange(OWN_CLASS)
-    mass = np.bincount(classes, weights=counts, minlength=CLASSES)
+def fitted(rows: DataFrame, rounds: int = 4, rate: float = 1.0, seed: int = 5) -> tuple[Model, DataFrame]:
+    """The model, and the blocks with what it says of their words."""
+    anchors = anchored(rows)
+    vocabulary = written(counted(rows, anchors), "vocabulary")
+    mass = np.zeros(CLASSES)
+    for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n")).collect():  # a row for each class
+        mass[r["class"]] = r.n
+    ready = written(attached(rows, anchors, vocabulary), "ready")
     rng = np.random.default_rng(seed)
     start = {k: rng.standard_normal(shape) * 0.1 for k, shape in SHAPES.items()}
-    start["prior"] = np.log(np.maximum(mass, 0.5) / mass.sum())
+    start["prior"] = np.log(np.maximum(mass, 0.5) / max(mass.sum(), 1))
     now = flat(start)
     for k in range(rounds):
-        now = averaged_round(rows, classes, now, rate / (1 + k), seed + k, k, rounds)
-    return Model(classes, np.log(counts / mass[classes]), shaped(now))
+        now = averaged_round(ready, now, rate / (1 + k), k, rounds)
+    return Model(anchors, vocabulary, np.maximum(mass, 1), shaped(now)), ready
 
 
-def log_probabilities(ids: np.ndarray, n: np.ndarray, m: Model) -> np.ndarray:
-    """Of each word, given the words around it."""
-    classes = m.classes[ids]
+def log_probabilities(classes: np.ndarray, n: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Of each word's class, given the words around it."""
     around, at = padded(classes, n)
-    out = m.within[ids]
-    for i in range(0, len(ids), BLOCK):
-        place = at[i : i + BLOCK]
-        z = hidden([around[place + o] for o in OFFSETS], m.weights) @ m.weights["out"]
-        z += m.weights["prior"]
+    out = np.empty(len(classes))
+    for i in range(0, len(classes), ROWS):
+        place = at[i : i + ROWS]
+        z = hidden([around[place + o] for o in OFFSETS], w) @ w["out"]
+        z += w["prior"]
         z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(place)), classes[i : i + BLOCK]].astype(np.float64)
-        out[i : i + BLOCK] += own - np.log(np.exp(z, out=z).sum(1))
+        own = z[np.arange(len(place)), classes[i : i + ROWS]].astype(np.float64)
+        out[i : i + ROWS] = own - np.log(np.exp(z, out=z).sum(1))
     return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, pll (sum of log-probabilities), pll_per_token."""
-    return scored(tokens(docs), model)
+    return scored(attached(written(blocks(docs), "blocks"), model.anchors, model.vocabulary), model)
 
 
-def scored(rows: DataFrame, model: Model) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def scored(ready: DataFrame, model: Model) -> DataFrame:
+    shared = ready.sparkSession.sparkContext.broadcast((np.log(model.mass), model.weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "ids", PIECE_BYTES):
-            ids, n = unpacked(b)
-            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=log_probabilities(ids, n, shared.value), minlength=len(n)).astype(np.float64)
-            yield pa.record_batch({"doc_id": b["doc_id"], "n_tokens": pa.array(n), "pll": pa.array(total), "pll_per_token": pa.array(total / np.maximum(n, 1), mask=n == 0)})
-
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
+        mass, weights = shared.value
+        for row in rows_of(batches):
+            codes, n = unpacked(row)
+            classes = np.frombuffer(row["classes"], np.uint8)
+            within = np.log(np.frombuffer(row["sizes"], np.int64)) - mass[classes]
+            each = log_probabilities(classes[codes], n, weights) + within[codes]
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n)).astype(np.float64)
+            yield pa.record_batch({"doc_id": row["doc_ids"], "n_tokens": pa.array(n), "pll": pa.array(total), "pll_per_token": pa.array(total / np.maximum(n, 1), mask=n == 0)})
+
+    return ready.mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")

@@ -14,8 +14,8 @@ from .sharding import ShardStore
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = written(lm_scoring.tokens(table(spark, sf_dir, "documents")), "tokens")
-    return lm_scoring.scored(rows, lm_scoring.fitted(rows))
+    model, ready = lm_scoring.fitted(written(lm_scoring.blocks(table(spark, sf_dir, "documents")), "blocks"))
+    return lm_scoring.scored(ready, model)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
