@@ -23,9 +23,19 @@ sizes AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hits AS (SELECT doc_id, item_id, i, n FROM places JOIN windows USING (n, s)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+tokens AS (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d),
+own AS (SELECT s, n, row_number() OVER () AS k FROM (SELECT DISTINCT s, n FROM windows)),
+terms AS (SELECT k, n, unnest(string_split(s, ' ')) AS term, unnest(range(n)) AS nth FROM own),
+counts AS (SELECT term, count(*) AS total FROM tokens WHERE term IN (SELECT term FROM terms) GROUP BY term),
+rarest AS (SELECT k, n, arg_min(term, total * 100 + nth) AS term FROM terms JOIN counts USING (term) GROUP BY k, n HAVING count(*) = n),
+around AS (SELECT k, doc_id, pos AS centre, unnest(range(pos - n - 1, pos + n + 2)) AS pos FROM rarest JOIN tokens USING (term)),
+close AS (SELECT DISTINCT k, doc_id FROM (SELECT k, doc_id, centre, count(DISTINCT term) AS have FROM around JOIN tokens USING (doc_id, pos) JOIN terms USING (k, term) GROUP BY 1, 2, 3)
+  JOIN (SELECT k, count(DISTINCT term) AS need FROM terms GROUP BY k) USING (k) WHERE have = need),
+near AS (SELECT doc_id, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near_items FROM close JOIN own USING (k) JOIN windows USING (s, n) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)"""
 
 NEAR_DUPLICATES = rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),

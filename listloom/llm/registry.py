@@ -54,7 +54,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return decontaminate.verdict(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return decontaminate.verdict(found).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,36 +181,43 @@ def test_index_family_keeps_few_levels():
 # decontamination
 
 
+VERDICT = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near_items"]
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(6)
     items = [(k, _words(rng, n, 30)) for k, n in enumerate((40, 13, 12, 5, 1, 14))] + [(90, None), (91, "!!"), (None, "w1 w2")]
     docs = [(i, f"{_words(rng, 40, 30)} {rng.choice(items[:6])[1].upper()}, {_words(rng, 20, 30)}") for i in range(30)] + [(50, None), (51, ""), (52, "...")]
+    docs += [(60, f"{_words(rng, 30_000, 60)} {items[0][1]} {_words(rng, 5_000, 60)}")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(decontaminate.reference(docs, items))
-    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-    for block in (1 << 20, 100):  # one block of items, and several
-        got = decontaminate.verdict(decontaminate.scan(_table(spark, docs), bench, block_bytes=block)).select(*columns)
+    for size in (4 << 20, 500):  # bytes of a segment
+        got = decontaminate.verdict(decontaminate.scan(_table(spark, docs), bench, segment_bytes=size)).select(*VERDICT)
         assert sorted(map(tuple, got.collect())) == want
     assert decontaminate.scan(_empty(spark), bench).count() == 0
     assert decontaminate.verdict(decontaminate.scan(_table(spark, docs), bench.limit(0))).where("n_hit > 0").count() == 0
 
 
-def test_decontamination_judges_each_row_whatever_the_blocks(spark):
+def test_decontamination_judges_each_row_on_its_own(spark):
+    """Repeated and null ids, equal items under two ids."""
     rng = random.Random(16)
     items = [(k, _words(rng, 20, 10_000)) for k in range(8)]
+    items += [(100, items[1][1]), (100, items[1][1])]
     docs = [(d, f"{_words(rng, 30 + i, 10_000)} {items[i % 8][1] if i % 3 else ''}") for i, d in enumerate([1, 1, 1, None, None, None, 2, 2, 3, None, 4, 4])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    want = sorted(decontaminate.reference(docs, items), key=str)
-    for block in (1 << 20, 100):
-        got = decontaminate.verdict(decontaminate.scan(_table(spark, docs), bench, block_bytes=block))
-        assert sorted(map(tuple, got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()), key=str) == want
+    got = decontaminate.verdict(decontaminate.scan(_table(spark, docs), bench, segment_bytes=300))
+    assert sorted(map(tuple, got.select(*VERDICT).collect()), key=str) == sorted(decontaminate.reference(docs, items), key=str)
 
 
-def test_proximity(spark):
-    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+def test_one_index_serves_several_benchmarks(spark):
     docs = [(1, "gamma x alpha y beta"), (2, "alpha beta gamma"), (3, "alpha " + "x " * 30 + "beta gamma")]
-    got = {r.doc_id: (r.items, r.near_items) for r in decontaminate.scan(_table(spark, docs), bench, slop=4).collect()}
-    assert got == {1: ([], ["1"]), 2: (["1"], ["1"]), 3: ([], [])}
+    stored = common.written(decontaminate.index(_table(spark, docs)), "postings")
+    lists = {(r.segment, r.term): r for r in stored.where("term IS NOT NULL").collect()}
+    assert sum(r.n for r in lists.values()) == 5 + 3 + 33 and all(len(r.positions) == 4 * r.n for r in lists.values())
+    for text, slop, want in (("alpha beta gamma", 2, {1: ([], ["1"]), 2: (["1"], ["1"]), 3: ([], [])}), ("y beta", 0, {1: (["1"], ["1"]), 2: ([], []), 3: ([], [])})):
+        bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+        got = {r.doc_id: (r.items, r.near_items) for r in decontaminate.search(stored, bench, slop=slop).collect()}
+        assert got == want
 
 
 # classifiers
