@@ -1,26 +1,25 @@
 """Approximate nearest neighbours by inner product with a forest of hash-prefix trees.
 
-A tree gives each vector a long string of `DEPTH` characters: each is the axis (with its sign) nearest to the vector
-after a random rotation, so vectors with a large inner product share long prefixes. A tree is the sorted array of its
-strings. A query descends to the longest prefix that it shares with any string of a tree and ascends to shorter prefixes
-until it has more than `candidates` vectors there or only the first character is left. The trees' arrays lie in different
-tasks, so they ascend by the same rule with the same number, not by a common counter.
+A tree gives each vector a string of `BITS` bits, the sides of orthogonal random hyperplanes on which it lies, so that
+vectors in like directions share long prefixes. A tree is stored as sorted arrays of its strings (one for each of its
+subtrees of bounded size). A query descends all trees to its longest matching prefixes, then all trees ascend together, one
+bit at a time, until the subtrees at that depth hold `candidates` entries in all trees together or the root is reached.
+What the subtrees hold is compared exactly: inner products in double precision on the original vectors; vectors are stored
+once, in blocks, and a query's candidates reach a block as a list of places.
 
 Only directions are hashed. Vectors are parted into bands of norms, in each of which the largest norm is at most `BAND`
 times the smallest, so that inner products there are nearly in the order of cosines; every band has trees of its own and
-every query searches all bands. Vectors of bands so small that a query would probe all their characters lie together
-without trees and are all compared.
+every query searches all bands. Of vectors that are equal, the k + 1 with the smallest ids enter the index: none of the
+others can be among the k nearest of any query. The same parameters hold at every size: work for a query is bounded by
+`candidates` in each band, whatever the number of vectors.
 
-Trees are dealt by band, first character and by shards of at most about `shard_rows` vectors, so a task's array is bounded
-whatever the number of alike vectors; a query goes to the characters of its `probes` nearest axes in each tree (to more,
-where all of them would hold fewer than `candidates` vectors) and to all their shards. Each array answers with its best `k` by exact inner product, in double precision on the original
-vectors; the best k over all arrays are the result. Of vectors that are equal, the k + 1 with the smallest ids enter the
-index: none of the others can be among the k nearest of any query.
+Arrays, the queries that meet one, and the rows that meet a block are split when they are counted to be large, so no task
+holds more than bounded parts of a hot subtree.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, have a null id, or haven't the most
-common length take no part; ties go to the smaller vec_id; a query that finds fewer than k vectors ascends to the root of
-the first tree, which holds all, so fewer than k candidates are all returned; rows with one vec_id are that many candidates; an empty table gives an empty result; other columns are
-ignored.
+common length take no part; ties go to the smaller vec_id; a band that holds fewer than candidates / trees vectors is
+compared whole, so fewer than k candidates are all returned; rows with one vec_id are that many candidates; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,32 +28,44 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-TREES, PROBES, DEPTH, SHARD_ROWS, CANDIDATES = 12, 6, 4, 4096, 4096
-BAND, SMALL = 1.25, -1  # SMALL: the number of the bands that have no trees
-FOUND = "query_id long, vec_id long, score double"
+TREES, BITS, CANDIDATES = 64, 32, 24_000
+BAND = 1.25
+ARRAY, BLOCK = 1 << 16, 4096  # entries of one array, vectors of one block, at most
+SUBTREE = ["band", "tree", "prefix"]
+GROUP = [*SUBTREE, "shard", "part"]
 
 
-def rotations(dim: int, trees: int, seed: int) -> np.ndarray:
-    """trees x DEPTH random orthogonal matrices."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((trees, DEPTH, dim, dim)))
-    return (q * np.sign(np.einsum("...ii->...i", r))[..., None, :]).astype(np.float32)
+def hyperplanes(dim: int, trees: int, bits: int, seed: int) -> np.ndarray:
+    """trees x dim x bits: normals that are orthogonal within each run of `dim`."""
+    rng = np.random.default_rng(seed)
+    runs = [np.linalg.qr(rng.standard_normal((trees, dim, dim)))[0] for _ in range(-(-bits // dim))]
+    return np.concatenate(runs, 2)[:, :, :bits].astype(np.float32)
 
 
-def characters(x: np.ndarray, rotation: np.ndarray, probes: int = 1) -> np.ndarray:
-    """The `probes` nearest signed axes of each row, nearest first: axis, or axis + dim if negative."""
-    y = x @ rotation
-    both = np.concatenate([y, -y], 1)
-    if probes == 1:
-        return both.argmax(1)[:, None]
-    top = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), axis=1, kind="stable"), 1)
+def strings(x: np.ndarray, normals: np.ndarray) -> np.ndarray:
+    """The bits of each row, first bit highest."""
+    sides = x @ normals > 0
+    out = np.zeros(len(x), np.int64)
+    for side in sides.T:
+        out = 2 * out + side
+    return out
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    values = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return values.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -65,7 +76,191 @@ def valid(vectors: DataFrame) -> DataFrame:
     return x.withColumn("dim", F.size("embedding"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, probes: int = PROBES, shard_rows: int = SHARD_ROWS, candidates: int = CANDIDATES, seed: int = 3) -> DataFrame:
+def stored(rows: DataFrame) -> DataFrame:
+    """Vectors with the block and the place in it that they are written to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(start, BLOCK)
+                yield pa.record_batch({**{c: b[c] for c in ("vec_id", "embedding", "band")}, "block": pa.array(np.full(b.num_rows, block)), "place": pa.array(np.arange(b.num_rows, dtype=np.int32))})
+                block += 1
+
+    return written(rows.mapInArrow(run, "vec_id long, embedding array<double>, band int, block long, place int"), "vectors")
+
+
+class Array:
+    """A sorted array of strings with what they belong to."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.strings, self.blocks, self.places = (np.frombuffer(table[c][0].as_py(), t) for c, t in (("strings", np.int64), ("blocks", np.int64), ("places", np.int32)))
+
+    def under(self, asked: np.ndarray, depth: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The range of entries that share the first `depth` bits with each asked string."""
+        cut = bits - depth
+        first = asked >> cut << cut
+        return np.searchsorted(self.strings, first), np.searchsorted(self.strings, first + (np.int64(1) << cut))
+
+
+def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place of the ranges, and which range it is of."""
+    n = high - low
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n), of
+
+
+def forest(vectors: DataFrame, normals: np.ndarray, bits: int, cut: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The stored sorted arrays, and the subtrees with their sizes. `cut`: how long the prefixes are that part a band's
+    trees into subtrees."""
+    shared = vectors.sparkSession.sparkContext.broadcast(normals)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, band = directions(matrix(b["embedding"])), b["band"].to_numpy()
+            away = bits - np.array([cut[k] for k in band.tolist()])
+            for t, own in enumerate(shared.value):
+                s = strings(x, own)
+                yield pa.record_batch({"band": b["band"], "tree": pa.array(np.full(len(s), t, np.int32)), "prefix": pa.array(s >> away), "string": pa.array(s), "block": b["block"], "place": b["place"]})
+
+    def array(group: pa.Table) -> pa.Table:
+        s = group["string"].to_numpy()
+        order = np.argsort(s, kind="stable")
+        packed = {"strings": s, "blocks": group["block"].to_numpy(), "places": group["place"].to_numpy()}
+        return pa.table({**{c: group[c][:1] for c in (*SUBTREE, "shard")}, **{c: pa.array([v[order].tobytes()], pa.binary()) for c, v in packed.items()}})
+
+    entries = vectors.mapInArrow(hashed, "band int, tree int, prefix long, string long, block long, place int")
+    sizes = written(entries.groupBy(*SUBTREE).agg(F.count("*").alias("size")), "subtrees")
+    shard = F.pmod(F.xxhash64("block", "place"), F.ceil(F.col("size") / ARRAY)).cast("int")
+    dealt = entries.join(sizes, SUBTREE).withColumn("shard", shard).drop("size")
+    kind = "band int, tree int, prefix long, shard int, strings binary, blocks binary, places binary"
+    return written(dealt.groupBy(*SUBTREE, "shard").applyInArrow(array, kind), "arrays"), sizes
+
+
+def met(arrays: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Arrays and the queries of their subtrees, both with the part: parts hold about ARRAY queries of a subtree."""
+    parts = asked.groupBy(*SUBTREE).agg(F.ceil(F.count("*") / ARRAY).cast("int").alias("parts"))
+    copies = arrays.join(parts, SUBTREE).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    shards = arrays.select(*SUBTREE, "shard")
+    part = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")
+    rows = asked.join(parts, SUBTREE).withColumn("part", part).drop("parts").join(shards, SUBTREE)
+    return copies, rows.select([F.col(c).alias(f"_{c}") if c in GROUP else c for c in rows.columns])
+
+
+def depths(arrays: DataFrame, sizes: DataFrame, asked: DataFrame, bits: int, cut: dict[int, int], candidates: int) -> DataFrame:
+    """query_id, band, depth: the longest prefix at which all trees together have enough entries, or 0."""
+
+    def shared_bits(array: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(array) or not len(queries):
+            return pa.table({c: pa.nulls(0, t) for c, t in (("query_id", pa.int64()), ("band", pa.int32()), ("depth", pa.int32()), ("n", pa.int64()))})
+        a, s = Array(array), queries["string"].to_numpy()
+        shortest = cut[array["band"][0].as_py()]
+        each = np.arange(shortest, bits + 1)
+        low, high = a.under(np.repeat(s, len(each)), np.tile(each, len(s)), bits)
+        n = (high - low).reshape(len(s), len(each))
+        n[:, :-1] -= n[:, 1:]  # entries that share so many bits and no more
+        query, depth = np.nonzero(n)
+        return pa.table({"query_id": queries["query_id"].take(pa.array(query)), "band": pa.array(np.full(len(query), array["band"][0].as_py(), np.int32)), "depth": pa.array((depth + shortest).astype(np.int32)), "n": pa.array(n[query, depth])})
+
+    copies, rows = met(arrays, asked)
+    exact = copies.groupBy(*GROUP).cogroup(rows.groupBy(*(f"_{c}" for c in GROUP))).applyInArrow(shared_bits, "query_id long, band int, depth int, n long")
+    exact = exact.groupBy("query_id", "band", "depth").agg(F.sum("n").alias("n"))
+    deeper = Window.partitionBy("query_id", "band").orderBy(F.desc("depth"))
+    found = exact.select("query_id", "band", "depth", F.sum("n").over(deeper).alias("n"))
+    if any(cut.values()):  # above the subtrees
+        length = F.create_map([F.lit(x) for pair in cut.items() for x in pair])[F.col("band")]
+        upper = F.explode(F.expr("IF(length > 0, sequence(0, length - 1), array())")).alias("depth")
+
+        def above(df: DataFrame, *keep: str) -> DataFrame:
+            lifted = df.withColumn("length", length).select(*SUBTREE, "length", *keep, upper)
+            return lifted.withColumn("prefix", F.call_function("shiftright", "prefix", F.col("length") - F.col("depth"))).drop("length")
+
+        nodes = above(sizes, "size").groupBy(*SUBTREE, "depth").agg(F.sum("size").alias("n"))
+        higher = above(asked, "query_id").join(nodes, [*SUBTREE, "depth"])
+        found = found.union(higher.groupBy("query_id", "band", "depth").agg(F.sum("n").alias("n")))
+    enough = F.max(F.when(F.col("n") >= candidates, F.col("depth")))
+    return found.groupBy("query_id", "band").agg(F.coalesce(enough, F.lit(0)).alias("depth"))
+
+
+def picked(arrays: DataFrame, asked: DataFrame, depth: DataFrame, bits: int, cut: dict[int, int]) -> DataFrame:
+    """block, query_id, places (int16, packed): the entries of each query's subtrees. At the root one tree has them all."""
+    length = F.create_map([F.lit(x) for pair in cut.items() for x in pair])[F.col("band")]
+    wide = asked.join(depth, ["query_id", "band"]).where("depth > 0 OR tree = 0").withColumn("up", F.greatest(length - F.col("depth"), F.lit(0)))
+    first = F.expr("shiftleft(shiftright(prefix, up), up)")
+    wide = wide.withColumn("prefix", F.explode(F.sequence(first, first + F.expr("shiftleft(1L, up)") - 1))).drop("up")
+
+    def entries(array: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(array) or not len(queries):
+            return pa.table({"block": pa.nulls(0, pa.int64()), "query_id": pa.nulls(0, pa.int64()), "places": pa.nulls(0, pa.binary())})
+        a, s = Array(array), queries["string"].to_numpy()
+        low, high = a.under(s, queries["depth"].to_numpy().astype(np.int64), bits)
+        out, step = [], max(1, int((1 << 20) / max(1.0, float((high - low).mean()))))
+        for i in range(0, len(s), step):  # about a million entries at once
+            at, of = expanded(low[i : i + step], high[i : i + step])
+            order = np.lexsort((a.blocks[at], of))
+            at, of = at[order], of[order] + i
+            if not len(at):
+                continue
+            edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (a.blocks[at][1:] != a.blocks[at][:-1])])
+            ends = (2 * np.r_[edge, len(at)]).astype(np.int32)
+            places = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(a.places[at].astype(np.int16))])
+            out.append(pa.table({"block": pa.array(a.blocks[at[edge]]), "query_id": queries["query_id"].take(pa.array(of[edge])), "places": places}))
+        return pa.concat_tables(out) if out else pa.table({"block": pa.nulls(0, pa.int64()), "query_id": pa.nulls(0, pa.int64()), "places": pa.nulls(0, pa.binary())})
+
+    copies, rows = met(arrays, wide)
+    return copies.groupBy(*GROUP).cogroup(rows.groupBy(*(f"_{c}" for c in GROUP))).applyInArrow(entries, "block long, query_id long, places binary")
+
+
+def candidate_lists(index: DataFrame, given: DataFrame, dim: int, trees: int, bits: int, candidates: int, seed: int) -> DataFrame:
+    """block, query_id, places: what the forest of the stored vectors finds for the given ones, before any comparison."""
+    bands = {r.band: r["count"] for r in index.groupBy("band").count().collect()}  # a few thousand at most: doubles end
+    cut = {b: min(bits, max(0, math.ceil(math.log2(n / ARRAY)))) for b, n in bands.items()}
+    normals = hyperplanes(dim, trees, bits, seed)
+    arrays, sizes = forest(index, normals, bits, cut)
+
+    shared = index.sparkSession.sparkContext.broadcast(normals)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = directions(matrix(b["embedding"]))
+            for t, own in enumerate(shared.value):
+                s = strings(x, own)
+                for band, length in cut.items():
+                    yield pa.record_batch({"query_id": b["vec_id"], "band": pa.array(np.full(len(s), band, np.int32)), "tree": pa.array(np.full(len(s), t, np.int32)), "prefix": pa.array(s >> (bits - length)), "string": pa.array(s)})
+
+    asked = written(given.mapInArrow(ask, "query_id long, band int, tree int, prefix long, string long"), "asked")
+    depth = written(depths(arrays, sizes, asked, bits, cut, candidates), "depths")
+    lists = picked(arrays, asked, depth, bits, cut).groupBy("block", "query_id").agg(F.collect_list("places").alias("places"))
+    return written(lists, "lists")
+
+
+def best_of_block(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    """Each query's best k of its candidates in a block."""
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    if len(vectors) and len(queries):
+        x, ids, asked = matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+        place, where = vectors["place"].to_numpy(), np.full(BLOCK, -1)
+        where[place] = np.arange(len(place))
+        for i in range(0, len(asked), 256):
+            part = queries.slice(i, 256)
+            v, wanted = matrix(part["embedding"]), np.zeros((len(part), len(ids)), bool)
+            for j, lists in enumerate(part["places"].to_pylist()):
+                wanted[j, where[np.frombuffer(b"".join(lists), np.int16)]] = True
+            wanted &= ids[None, :] != asked[i : i + 256, None]
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = np.where(wanted, v @ x.T, -np.inf)
+            if near.shape[1] > k:
+                least = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+                wanted &= near >= (least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)) - 1e-300)[:, None]
+            for j in range(len(part)):
+                at = np.flatnonzero(wanted[j])
+                score = (x[at] * v[j]).sum(1)
+                best = np.lexsort((ids[at], -score))[:k]
+                out.append((np.full(len(best), asked[i + j]), ids[at[best]], score[best]))
+    return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, bits: int = BITS, candidates: int = CANDIDATES, seed: int = 3) -> DataFrame:
     """vectors and queries: vec_id, embedding. Gives query_id, rank (from 1), vec_id, score; a query's own id is no
     candidate."""
     rows = valid(vectors)
@@ -75,96 +270,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     known = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dim").first()
     if known is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, alphabet = known.dim, 2 * known.dim
-    rows = rows.where(F.col("dim") == dim).select("vec_id", "embedding", F.floor((F.lit(known.top) - F.col("norm")) / math.log(BAND)).cast("int").alias("band"))
-    sizes = {r.band: r["count"] for r in rows.groupBy("band").count().collect()}
-    asking = {b: max(probes, math.ceil(candidates * alphabet / (n * trees))) for b, n in sizes.items()}
-    asking = {b: p for b, p in asking.items() if p < alphabet}  # bands with trees: characters to probe
-    shards = {b: 1 + sizes[b] // (shard_rows * alphabet) for b in asking}  # rows of one character, were they spread evenly
-    shards[SMALL] = 1 + sum(n for b, n in sizes.items() if b not in asking) // shard_rows
-    turned = vectors.sparkSession.sparkContext.broadcast(rotations(dim, trees, seed))
-
-    def matrix(b: pa.RecordBatch) -> np.ndarray:
-        return b["embedding"].flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
-
-    def directions(x: np.ndarray) -> np.ndarray:
-        x = x / np.abs(x).max(1, keepdims=True)
-        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-
-    def emitted(b: pa.RecordBatch, tree: int, band: np.ndarray, char: np.ndarray, shard: np.ndarray, strings: np.ndarray, query: bool) -> pa.RecordBatch:
-        return pa.record_batch({"tree": pa.array(np.full(b.num_rows, tree, np.int32)), "band": pa.array(band.astype(np.int32)), "char": pa.array(char.astype(np.int32)), "shard": pa.array(shard.astype(np.int32)), "query": pa.array(np.full(b.num_rows, query)), "string": pa.array(strings), "vec_id": b["vec_id"], "embedding": b["embedding"]})
-
-    def strings(x: np.ndarray, tree: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x), np.int64)
-        for rotation in tree[1:]:
-            out = out * alphabet + characters(x, rotation)[:, 0]
-        return out
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for every in batches:
-            bands = every["band"].to_numpy(zero_copy_only=False)
-            large = np.isin(bands, list(asking))
-            for b, band in ((every.filter(pa.array(~large)), np.full((~large).sum(), SMALL)), (every.filter(pa.array(large)), bands[large])):
-                if not b.num_rows:
-                    continue
-                ids, of = b["vec_id"].to_numpy(zero_copy_only=False), np.array([shards[k] for k in band.tolist()], np.uint64)
-                shard, nothing = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % of, np.zeros(b.num_rows, np.int64)
-                if band[0] == SMALL:
-                    yield emitted(b, 0, band, nothing, shard, nothing, False)
-                    continue
-                x = directions(matrix(b))
-                for t, tree in enumerate(turned.value):
-                    yield emitted(b, t, band, characters(x, tree[0])[:, 0], shard, strings(x, tree), False)
-
-    def ask(first: int, whole: bool):
-        """Queries to the small bands and, in the first trees of each other band, to its nearest characters or to all."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, nothing = directions(matrix(b)), np.zeros(b.num_rows, np.int64)
-                for shard in range(shards[SMALL]):
-                    yield emitted(b, 0, nothing + SMALL, nothing, nothing + shard, nothing, True)
-                for t, tree in enumerate(turned.value[:first] if asking else []):
-                    s, nearest = strings(x, tree), characters(x, tree[0], alphabet if whole else max(asking.values()))
-                    for band, each in asking.items():
-                        for char in nearest[:, : alphabet if whole else each].T:
-                            for shard in range(shards[band]):
-                                yield emitted(b, t, nothing + band, char, nothing + shard, s, True)
-
-        return run
-
-    def answer(group: pd.DataFrame) -> pd.DataFrame:
-        tree, asked = group[~group["query"]].sort_values(["string", "vec_id"]), group[group["query"]]
-        if tree.empty or asked.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        ids, text, x = tree["vec_id"].to_numpy(), tree["string"].to_numpy(), np.stack(tree["embedding"])
-        out = []
-        for q, s, v in zip(asked["vec_id"], asked["string"], asked["embedding"], strict=True):
-            for cut in alphabet ** np.arange(DEPTH):  # from the longest prefix up
-                low, high = np.searchsorted(text, [s // cut * cut, s // cut * cut + cut])
-                if high - low > candidates:
-                    break
-            found, score = ids[low:high], (x[low:high] * v).sum(1)
-            found, score = found[found != q], score[found != q]
-            if len(found) > k:
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                found, score = found[score >= least], score[score >= least]
-            best = np.lexsort((found, -score))[:k]
-            out.append((np.full(len(best), q), found[best], score[best]))
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    kind = "tree int, band int, char int, shard int, query boolean, string long, vec_id long, embedding array<double>"
+    rows = rows.where(F.col("dim") == known.dim).select("vec_id", "embedding", F.floor((F.lit(known.top) - F.col("norm")) / math.log(BAND)).cast("int").alias("band"))
     same = Window.partitionBy("embedding").orderBy("vec_id")
-    indexed = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth").mapInArrow(index, kind)
-    asked = valid(queries).where(F.col("dim") == dim).select("vec_id", "embedding")
-
-    def found(some: DataFrame, first: int, whole: bool) -> DataFrame:
-        return indexed.union(some.mapInArrow(ask(first, whole), kind)).groupBy("tree", "band", "char", "shard").applyInPandas(answer, FOUND).distinct()
+    index = stored(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth"))
+    given = written(valid(queries).where(F.col("dim") == known.dim).select("vec_id", "embedding"), "queries")
+    lists = candidate_lists(index, given, known.dim, trees, bits, candidates, seed)
 
-    near = written(found(asked, trees, False), "near")
-    enough = near.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
-    few = asked.join(enough, "vec_id", "left_anti")
-    if not few.isEmpty():
-        near = near.union(found(few, 1, True)).distinct()
+    parts = lists.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    copies = index.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "vec_id", "embedding", "place")
+    wanted = lists.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).join(given.withColumnRenamed("vec_id", "query_id"), "query_id")
+    wanted = wanted.select(F.col("block").alias("_block"), F.col("part").alias("_part"), "query_id", "embedding", "places")
+    near = copies.groupBy("block", "part").cogroup(wanted.groupBy("_block", "_part")).applyInArrow(lambda v, q: best_of_block(v, q, k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

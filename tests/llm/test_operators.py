@@ -433,6 +433,42 @@ def test_ann_recall_with_different_norms(spark, kind):
     assert len(got) == 100 and hits / 2000 >= 0.9
 
 
+def _found(lists):
+    """The candidates of each query."""
+    got = {}
+    for r in lists.collect():
+        got.setdefault(r.query_id, set()).update((r.block, int(x)) for p in r.places for x in np.frombuffer(p, np.int16))
+    return got
+
+
+def test_ann_prefixes_decide(spark, monkeypatch):
+    """Candidates are those of the subtrees at the depth that a plain synchronous ascent finds, whether trees are stored
+    whole or in subtrees, and shorter strings give others."""
+    rng = np.random.default_rng(29)
+    x = rng.standard_normal((2000, 16)) + 2 * rng.standard_normal((20, 16))[rng.integers(0, 20, 2000)]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, band int")
+    index, given = ann_forest.stored(df), df.where("vec_id % 100 = 0").select("vec_id", "embedding")
+    rows = {r.vec_id: (r.block, r.place) for r in index.collect()}
+    want = {}
+    normals = ann_forest.hyperplanes(16, 6, 12, 3)
+    texts = [ann_forest.strings(ann_forest.directions(x), n) for n in normals]
+    for q in range(0, 2000, 100):
+        for depth in range(12, -1, -1):
+            under = [np.flatnonzero(t >> (12 - depth) == t[q] >> (12 - depth)) for t in texts]
+            if sum(map(len, under)) >= 300:
+                break
+        assert depth > 3
+        want[q] = {rows[i] for u in under for i in u.tolist()}
+    assert _found(ann_forest.candidate_lists(index, given, 16, 6, 12, 300, 3)) == want
+    short = _found(ann_forest.candidate_lists(index, given, 16, 6, 3, 300, 3))
+    assert all(len(short[q]) > len(want[q]) for q in want)
+    root = _found(ann_forest.candidate_lists(index, given, 16, 6, 12, 10**9, 3))
+    assert all(len(found) == 2000 for found in root.values())
+    monkeypatch.setattr(ann_forest, "ARRAY", 100)  # subtrees, several arrays of some, queries in parts
+    assert _found(ann_forest.candidate_lists(index, given, 16, 6, 12, 300, 3)) == want
+    assert len(_found(ann_forest.candidate_lists(index, given, 16, 6, 12, 9000, 3))) == 20
+
+
 def test_ann_of_odd_rows(spark):
     v = [1.0, 0.0, 0.0]
     rows = [(0, v), (1, v), (2, v), (3, [0.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 1.0, 0.0]), (6, [1.0, None, 0.0]), (7, [2.0, 0.0, 0.0]), (8, [1.0]), (None, v), (20, [0.5, 0.1, 0.0])]
