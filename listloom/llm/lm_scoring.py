@@ -11,7 +11,7 @@ vocabulary joins the cluster that most anchors around it, over all its occurrenc
 
 Texts are cut once into blocks of bounded size, each with its own dictionary. The vocabulary (every distinct word, its
 count over all documents and its class) is a table that is shuffled by word and grows with the corpus; each block gets the
-counts and classes of its own words back by a join. Training is data-parallel and every word is the target of one round: in
+counts and classes of its own words back. Training is data-parallel and every word is the target of one round: in
 each round every partition takes gradient steps in numpy from the same parameters, and the results are averaged in a
 distributed sum, weighted by targets. The driver gets the anchors, their co-occurrences and the parameters (sizes are
 constants), never words by the vocabulary.
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, pieces, word_hashes, written
@@ -45,7 +45,7 @@ SHAPES = {"table": (len(OFFSETS), CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out"
 BLOCK_BYTES, ROWS, BATCH = 4 << 20, 1 << 10, 512
 PARTS = ("doc_ids", "n", "codes", "words", "counts", "classes", "sizes")
 BLOCKS = "block long, doc_ids array<long>, n binary, codes binary, words array<long>, counts array<int>"
-READY = "doc_ids array<long>, n binary, codes binary, classes binary, sizes binary"
+READY = "doc_ids array<long>, n binary, codes binary, classes binary, sizes binary, mass array<long>"
 
 
 @dataclass
@@ -60,20 +60,24 @@ class Anchors:
 @dataclass
 class Model:
     anchors: Anchors
-    vocabulary: DataFrame  # word, n, class
+    vocabulary: DataFrame  # word, n, name
     mass: np.ndarray  # words of each class
     weights: dict[str, np.ndarray]
 
 
 def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each block: doc_ids, how many words each has (int32), all words as places in the block's dictionary
-    (int32, compressed), the dictionary (sorted hashes) and how often it has each."""
+    (int32, compressed), the dictionary (hashes) and how often it has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for b in gathered(pieces(batches, "text", block_bytes), block_bytes):
             hashes, n = word_hashes(as_bytes(b, "text"))
             words, codes, counts = np.unique(hashes.view(np.int64), return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")  # frequent words get small places, which compress well
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            words, codes, counts = words[order], place[codes], counts[order]
             yield pa.record_batch({
                 "block": pa.array([block], pa.int64()),
                 "doc_ids": pa.array([b["doc_id"].to_pylist()], pa.list_(pa.int64())),
@@ -101,7 +105,8 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
 
 
 def packed(codes: np.ndarray) -> bytes:
-    return pa.compress(codes.astype(np.int32).tobytes(), codec="zstd", asbytes=True)
+    """Compressed, all low bytes first, then all second bytes and so on."""
+    return pa.compress(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +114,8 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     n = np.frombuffer(row["n"], np.int32).astype(np.int64)
     if not n.sum():
         return np.empty(0, np.int32), n
-    return np.frombuffer(pa.decompress(row["codes"], 4 * int(n.sum()), codec="zstd", asbytes=True), np.int32), n
+    bytes_ = np.frombuffer(pa.decompress(row["codes"], 4 * int(n.sum()), codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(bytes_.reshape(4, -1).T).view(np.int32).ravel(), n
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -197,54 +203,81 @@ def anchored(rows: DataFrame) -> Anchors:
     return Anchors(words, clustered(cooccurrence(rows, words)) if len(words) else np.zeros(0, np.int64))
 
 
-def voted(row: dict, anchors: Anchors) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of a block's dictionary the class that most anchors around it vote for, and the votes. Anchors have
-    theirs already."""
-    codes, n = unpacked(row)
-    place = places(row["words"], anchors.words)
-    around, at = padded(np.append(anchors.clusters, -1)[place][codes], n, -1)
-    votes = np.zeros(len(place) * CLUSTERS, np.int64)
+def voted(codes: np.ndarray, n: np.ndarray, clusters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of a block's dictionary the cluster that most anchors around it belong to, and how many do. clusters:
+    of each word of the dictionary, -1 where it is no anchor."""
+    around, at = padded(clusters[codes], n, -1)
+    votes = np.zeros(len(clusters) * CLUSTERS, np.int64)
     for o in OFFSETS:
         beside = around[at + o]
         some = beside >= 0
         votes += np.bincount(codes[some] * np.int64(CLUSTERS) + beside[some], minlength=len(votes))
     votes = votes.reshape(-1, CLUSTERS)
     best = votes.argmax(1)
-    return np.where(place >= 0, np.append(anchors.classes(), 0)[place], OWN + best), votes[np.arange(len(best)), best]
+    return best, votes[np.arange(len(best)), best]
 
 
-def counted(rows: DataFrame, anchors: Anchors) -> DataFrame:
-    """The vocabulary: word, n, class."""
+def block_words(rows: DataFrame, anchors: Anchors) -> DataFrame:
+    """A row for each word of each block: block, place, word, n, name (CLASSES + its number for an anchor, else the class
+    that this block votes for) and votes."""
     shared = rows.sparkSession.sparkContext.broadcast(anchors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            classes, votes = voted(row, shared.value)
-            yield pa.record_batch({"word": pa.array(row["words"], pa.int64()), "class": pa.array(classes.astype(np.int32)), "n": pa.array(row["counts"].astype(np.int64)), "votes": pa.array(votes, pa.int64())})
+        for b in batches:
+            for block, row in zip(b["block"].to_pylist(), rows_of([b]), strict=True):
+                codes, n = unpacked(row)
+                place = places(row["words"], shared.value.words)
+                best, votes = voted(codes, n, np.append(shared.value.clusters, -1)[place])
+                name = np.where(place >= 0, CLASSES + place, OWN + best)
+                yield pa.record_batch({"block": pa.array(np.full(len(best), block)), "place": pa.array(np.arange(len(best), dtype=np.int32)), "word": pa.array(row["words"], pa.int64()), "n": pa.array(row["counts"], pa.int32()), "name": pa.array(name.astype(np.int32)), "votes": pa.array(votes.astype(np.int32))})
+
+    return rows.select("block", "n", "codes", "words", "counts").mapInArrow(run, "block long, place int, word long, n int, name int, votes int")
+
+
+NAMES = CLASSES + ANCHORS
+RANKED = f"votes * {NAMES} + ({NAMES - 1} - name)"  # most votes, then the first name
 
-    each = rows.select("n", "codes", "words", "counts").mapInArrow(run, "word long, class int, n long, votes long")
-    by_class = each.groupBy("word", "class").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
-    ranked = F.max(F.col("votes") * CLASSES + (CLASSES - 1 - F.col("class")))  # most votes, then the first class
-    return by_class.groupBy("word").agg(F.sum("n").alias("n"), (CLASSES - 1 - ranked % CLASSES).cast("int").alias("class"))
 
+def vocabulary(each: DataFrame) -> DataFrame:
+    """word, n, name: every word with its count over all documents; its name as in `block_words`, by all its votes."""
+    by_name = each.groupBy("word", "name").agg(F.sum("n").alias("n"), F.sum("votes").alias("votes"))
+    return by_name.groupBy("word").agg(F.sum("n").alias("n"), (NAMES - 1 - F.max(F.expr(RANKED)) % NAMES).cast("int").alias("name"))
 
-def attached(rows: DataFrame, anchors: Anchors, vocabulary: DataFrame) -> DataFrame:
-    """Blocks with the class (a byte) and the corpus count (int64) of each word of their dictionaries. Only words that the
-    corpus has more than once are sent back: of the others the count is one and the class is what their only block says."""
+
+def named(each: DataFrame) -> DataFrame:
+    """block, place, n, name: what the vocabulary says, for each word of each block, without a shuffle more than by word. Only
+    words that the corpus has more than once, and anchors, are sent back: of the others the count is one and the class is
+    what their only block says."""
+    word, name = Window.partitionBy("word"), Window.partitionBy("word", "name")
+    rows = each.repartition("word").withColumn("votes", F.sum("votes").over(name))
+    rows = rows.select("block", "place", F.sum("n").over(word).alias("n"), (NAMES - 1 - F.max(F.expr(RANKED)).over(word) % NAMES).cast("int").alias("name"))
+    return rows.where((F.col("n") > 1) | (F.col("name") >= CLASSES))
+
+
+def attached(rows: DataFrame, anchors: Anchors, known: DataFrame) -> DataFrame:
+    """Blocks with the class (a byte) and the corpus count (int64) of each word of their dictionaries, and how many words of
+    each class they have. known: block, place, n, name of words; the others count once."""
     shared = rows.sparkSession.sparkContext.broadcast(anchors)
-    several = rows.select(F.col("block").alias("of"), F.posexplode("words").alias("place", "word")).join(vocabulary.where("n > 1"), "word").select("of", "place", "n", "class")
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         for row in rows_of(block.to_batches()):
-            classes, counts = voted(row, shared.value)[0].astype(np.uint8), np.ones(len(row["words"]), np.int64)
-            at = known["place"].to_numpy()
-            classes[at], counts[at] = known["class"].to_numpy(), known["n"].to_numpy()
+            codes, n = unpacked(row)
+            own = np.bincount(codes, minlength=int(codes.max(initial=-1)) + 1)
+            at, name = known["place"].to_numpy(), known["name"].to_numpy()
+            anchor = np.full(len(own), -1)
+            anchor[at[name >= CLASSES]] = name[name >= CLASSES] - CLASSES
+            classes, counts = OWN + voted(codes, n, np.append(shared.value.clusters, -1)[anchor])[0], np.ones(len(own), np.int64)
+            classes[at], counts[at] = name, known["n"].to_numpy()
+            classes = np.where(anchor >= 0, np.append(shared.value.classes(), 0)[anchor], classes).astype(np.uint8)
+            mass = np.bincount(classes, weights=own, minlength=CLASSES).astype(np.int64)
             ids = pa.ListArray.from_arrays(pa.array([0, len(row["doc_ids"])], pa.int32()), row["doc_ids"])
-            out.append(pa.table({"doc_ids": ids, "n": pa.array([row["n"]]), "codes": pa.array([row["codes"]]), "classes": pa.array([classes.tobytes()]), "sizes": pa.array([counts.tobytes()])}))
+            sizes = pa.compress(counts.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+            out.append(pa.table({"doc_ids": ids, "n": pa.array([row["n"]]), "codes": pa.array([row["codes"]]), "classes": pa.array([classes.tobytes()]), "sizes": pa.array([sizes]), "mass": pa.array([mass], pa.list_(pa.int64()))}))
         return pa.concat_tables(out)
 
-    return rows.select("block", "doc_ids", "n", "codes", "words").groupBy("block").cogroup(several.groupBy("of")).applyInArrow(run, READY)
+    known = known.select(F.col("block").alias("of"), "place", "n", "name")
+    return rows.select("block", "doc_ids", "n", "codes").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(run, READY)
 
 
 def hidden(context: list[np.ndarray] | np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -321,24 +354,26 @@ def averaged_round(ready: DataFrame, now: np.ndarray, rate: float, nth: int, of:
 
 
 def fit(docs: DataFrame, rounds: int = 4, rate: float = 1.0, seed: int = 5) -> Model:
-    return fitted(written(blocks(docs), "blocks"), rounds, rate, seed)[0]
+    model, _ = fitted(written(blocks(docs), "blocks"), rounds, rate, seed)
+    model.vocabulary = written(model.vocabulary, "vocabulary")
+    return model
 
 
 def fitted(rows: DataFrame, rounds: int = 4, rate: float = 1.0, seed: int = 5) -> tuple[Model, DataFrame]:
-    """The model, and the blocks with what it says of their words."""
+    """The model (its vocabulary as a table still to be computed), and the blocks with what it says of their words."""
     anchors = anchored(rows)
-    vocabulary = written(counted(rows, anchors), "vocabulary")
+    each = block_words(rows, anchors)
+    ready = written(attached(rows, anchors, named(each)), "ready")
     mass = np.zeros(CLASSES)
-    for r in vocabulary.groupBy("class").agg(F.sum("n").alias("n")).collect():  # a row for each class
+    for r in ready.select(F.posexplode("mass").alias("class", "n")).groupBy("class").agg(F.sum("n").alias("n")).collect():
         mass[r["class"]] = r.n
-    ready = written(attached(rows, anchors, vocabulary), "ready")
     rng = np.random.default_rng(seed)
     start = {k: rng.standard_normal(shape) * 0.1 for k, shape in SHAPES.items()}
     start["prior"] = np.log(np.maximum(mass, 0.5) / max(mass.sum(), 1))
     now = flat(start)
     for k in range(rounds):
         now = averaged_round(ready, now, rate / (1 + k), k, rounds)
-    return Model(anchors, vocabulary, np.maximum(mass, 1), shaped(now)), ready
+    return Model(anchors, vocabulary(each), np.maximum(mass, 1), shaped(now)), ready
 
 
 def log_probabilities(classes: np.ndarray, n: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -357,7 +392,9 @@ def log_probabilities(classes: np.ndarray, n: np.ndarray, w: dict[str, np.ndarra
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, pll (sum of log-probabilities), pll_per_token."""
-    return scored(attached(written(blocks(docs), "blocks"), model.anchors, model.vocabulary), model)
+    rows = written(blocks(docs), "blocks")
+    known = rows.select("block", F.posexplode("words").alias("place", "word")).join(model.vocabulary, "word")
+    return scored(attached(rows, model.anchors, known.select("block", "place", "n", "name")), model)
 
 
 def scored(ready: DataFrame, model: Model) -> DataFrame:
@@ -368,7 +405,8 @@ def scored(ready: DataFrame, model: Model) -> DataFrame:
         for row in rows_of(batches):
             codes, n = unpacked(row)
             classes = np.frombuffer(row["classes"], np.uint8)
-            within = np.log(np.frombuffer(row["sizes"], np.int64)) - mass[classes]
+            counts = np.frombuffer(pa.decompress(row["sizes"], 8 * len(classes), codec="zstd", asbytes=True), np.uint8) if len(classes) else np.empty(0, np.uint8)
+            within = np.log(np.ascontiguousarray(counts.reshape(8, -1).T).view(np.int64).ravel()) - mass[classes]
             each = log_probabilities(classes[codes], n, weights) + within[codes]
             total = np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n)).astype(np.float64)
             yield pa.record_batch({"doc_id": row["doc_ids"], "n_tokens": pa.array(n), "pll": pa.array(total), "pll_per_token": pa.array(total / np.maximum(n, 1), mask=n == 0)})

@@ -280,7 +280,8 @@ def test_lm_scores_by_hand(spark, corpus):
     assert rows.count() > 3
     model, ready = lm_scoring.fitted(rows)
     got = {r.doc_id: r for r in lm_scoring.scored(ready, model).collect()}
-    known, w = {r.word: (r.n, r["class"]) for r in model.vocabulary.collect()}, model.weights
+    classes, w = [*range(lm_scoring.CLASSES), *model.anchors.classes().tolist()], model.weights
+    known = {r.word: (r.n, classes[r.name]) for r in model.vocabulary.collect()}
     assert sorted(got) == sorted(d for d, _ in docs)
     for d, text in docs:
         words = (text or "").encode().lower().split()
