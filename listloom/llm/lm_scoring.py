@@ -43,9 +43,9 @@ OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
 PAD = CLASSES  # the class before the first and after the last word
 SHAPES = {"table": (len(OFFSETS), CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "prior": (CLASSES,)}
 BLOCK_BYTES, ROWS, BATCH = 4 << 20, 1 << 10, 512
-PARTS = ("doc_ids", "n", "codes", "words", "counts", "classes", "sizes")
+PARTS = ("doc_ids", "n", "codes", "words", "counts", "classes", "logs")
 BLOCKS = "block long, doc_ids array<long>, n binary, codes binary, words array<long>, counts array<int>"
-READY = "doc_ids array<long>, n binary, codes binary, classes binary, sizes binary, mass array<long>"
+READY = "doc_ids array<long>, n binary, classes binary, logs binary, mass array<long>"
 
 
 @dataclass
@@ -118,6 +118,12 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(bytes_.reshape(4, -1).T).view(np.int32).ravel(), n
 
 
+def classes_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all words, and how many words each document has."""
+    n = np.frombuffer(row["n"], np.int32).astype(np.int64)
+    return np.frombuffer(pa.decompress(row["classes"], int(n.sum()), codec="zstd", asbytes=True) if n.sum() else b"", np.uint8), n
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """One block at a time; words and counts as numpy arrays, doc_ids (of which some may be null) as they are."""
     for b in batches:
@@ -255,8 +261,9 @@ def named(each: DataFrame) -> DataFrame:
 
 
 def attached(rows: DataFrame, anchors: Anchors, known: DataFrame) -> DataFrame:
-    """Blocks with the class (a byte) and the corpus count (int64) of each word of their dictionaries, and how many words of
-    each class they have. known: block, place, n, name of words; the others count once."""
+    """Blocks with the classes of all words (bytes, compressed), the sum of the logarithms of the words' corpus counts for
+    each document, and how many words of each class there are. known: block, place, n, name of words; the others count
+    once."""
     shared = rows.sparkSession.sparkContext.broadcast(anchors)
 
     def run(block: pa.Table, known: pa.Table) -> pa.Table:
@@ -271,9 +278,10 @@ def attached(rows: DataFrame, anchors: Anchors, known: DataFrame) -> DataFrame:
             classes[at], counts[at] = name, known["n"].to_numpy()
             classes = np.where(anchor >= 0, np.append(shared.value.classes(), 0)[anchor], classes).astype(np.uint8)
             mass = np.bincount(classes, weights=own, minlength=CLASSES).astype(np.int64)
+            logs = np.bincount(np.repeat(np.arange(len(n)), n), weights=np.log(counts)[codes], minlength=len(n)).astype(np.float64)
             ids = pa.ListArray.from_arrays(pa.array([0, len(row["doc_ids"])], pa.int32()), row["doc_ids"])
-            sizes = pa.compress(counts.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
-            out.append(pa.table({"doc_ids": ids, "n": pa.array([row["n"]]), "codes": pa.array([row["codes"]]), "classes": pa.array([classes.tobytes()]), "sizes": pa.array([sizes]), "mass": pa.array([mass], pa.list_(pa.int64()))}))
+            zipped = pa.compress(classes[codes].tobytes(), codec="zstd", asbytes=True)
+            out.append(pa.table({"doc_ids": ids, "n": pa.array([row["n"]]), "classes": pa.array([zipped]), "logs": pa.array([logs.tobytes()]), "mass": pa.array([mass], pa.list_(pa.int64()))}))
         return pa.concat_tables(out)
 
     known = known.select(F.col("block").alias("of"), "place", "n", "name")
@@ -338,15 +346,14 @@ def averaged_round(ready: DataFrame, now: np.ndarray, rate: float, nth: int, of:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, total = shaped(shared.value), 0
         for row in rows_of(batches):
-            codes, n = unpacked(row)
-            part = windows(np.frombuffer(row["classes"], np.uint8)[codes], n, nth, of)
+            part = windows(*classes_of(row), nth, of)
             steps(part, w, rate)
             total += part.shape[1]
         if total:
             x = flat(w).astype(np.float64)
             yield pa.record_batch({"i": pa.array(np.arange(len(x))), "x": pa.array(x * total), "n": pa.array(np.full(len(x), total, np.int64))})
 
-    sums = ready.select("n", "codes", "classes").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+    sums = ready.select("n", "classes").mapInArrow(run, "i long, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
     out = now.copy()
     out[sums["i"].to_numpy()] = sums["x"].to_numpy()
     shared.unpersist()
@@ -403,12 +410,9 @@ def scored(ready: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass, weights = shared.value
         for row in rows_of(batches):
-            codes, n = unpacked(row)
-            classes = np.frombuffer(row["classes"], np.uint8)
-            counts = np.frombuffer(pa.decompress(row["sizes"], 8 * len(classes), codec="zstd", asbytes=True), np.uint8) if len(classes) else np.empty(0, np.uint8)
-            within = np.log(np.ascontiguousarray(counts.reshape(8, -1).T).view(np.int64).ravel()) - mass[classes]
-            each = log_probabilities(classes[codes], n, weights) + within[codes]
-            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n)).astype(np.float64)
+            classes, n = classes_of(row)
+            each = log_probabilities(classes, n, weights) - mass[classes]
+            total = np.frombuffer(row["logs"], np.float64) + np.bincount(np.repeat(np.arange(len(n)), n), weights=each, minlength=len(n))
             yield pa.record_batch({"doc_id": row["doc_ids"], "n_tokens": pa.array(n), "pll": pa.array(total), "pll_per_token": pa.array(total / np.maximum(n, 1), mask=n == 0)})
 
     return ready.mapInArrow(run, "doc_id long, n_tokens long, pll double, pll_per_token double")
