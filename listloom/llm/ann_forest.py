@@ -10,7 +10,7 @@ once, in blocks, and a query's candidates reach a block as a list of places.
 Only directions are hashed. Vectors are parted into bands of norms, in each of which the largest norm is at most `BAND`
 times the smallest, so that inner products there are nearly in the order of cosines; every band has trees of its own and
 every query searches all bands. Of vectors that are equal, the k + 1 with the smallest ids enter the index: none of the
-others can be among the k nearest of any query. The same parameters hold at every size: work for a query is bounded by
+others can be among the k nearest of any query (equal: by a 128-bit digest). The same parameters hold at every size: work for a query is bounded by
 `candidates` in each band, whatever the number of vectors.
 
 Arrays, the queries that meet one, and the rows that meet a block are split when they are counted to be large, so no task
@@ -24,6 +24,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from .common import written
 
 TREES, BITS, CANDIDATES = 64, 32, 24_000
 BAND = 1.25
-ARRAY, BLOCK = 1 << 16, 4096  # entries of one array, vectors of one block, at most
+ARRAY, BLOCK = 1 << 16, 8192  # entries of one array, vectors of one block, at most
 SUBTREE = ["band", "tree", "prefix"]
 GROUP = [*SUBTREE, "shard", "part"]
 
@@ -69,25 +70,47 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array<double>) of the rows that take part."""
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-    x = x.where(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
-    return x.withColumn("dim", F.size("embedding"))
+    """vec_id, embedding (array<double>), dim, norm (its logarithm) and a digest of the rows that take part."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b["embedding"].value_lengths().fill_null(0).to_numpy()
+            end = np.cumsum(n)
+            values = b["embedding"].flatten()
+            x = values.to_numpy(zero_copy_only=False)  # a null component is read as NaN
+
+            def count(flags: np.ndarray, start: np.ndarray = end - n, end: np.ndarray = end) -> np.ndarray:
+                total = np.r_[0, np.cumsum(flags)]
+                return total[end] - total[start]
+
+            fine = (count(~np.isfinite(x)) == 0) & (count(x != 0) > 0) & b["vec_id"].is_valid().to_numpy(zero_copy_only=False)
+            rows = b.filter(pa.array(fine))
+            if not rows.num_rows:
+                continue
+            n = n[fine]
+            first = np.cumsum(n) - n
+            x = rows["embedding"].flatten().to_numpy()
+            most = np.maximum.reduceat(np.abs(x), first)
+            norm = np.log(most) + np.log(np.add.reduceat((x / np.repeat(most, n)) ** 2, first)) / 2
+            digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in np.split(x + 0.0, first[1:])]
+            yield pa.record_batch({"vec_id": rows["vec_id"], "embedding": rows["embedding"], "dim": pa.array(n.astype(np.int32)), "norm": pa.array(norm), "digest": pa.array(digests, pa.binary())})
 
-def stored(rows: DataFrame) -> DataFrame:
-    """Vectors with the block and the place in it that they are written to."""
+    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return typed.mapInArrow(run, "vec_id long, embedding array<double>, dim int, norm double, digest binary")
+
+
+def stored(rows: DataFrame, n: int) -> DataFrame:
+    """The n vectors with the block and the place in it that they are written to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(start, BLOCK)
-                yield pa.record_batch({**{c: b[c] for c in ("vec_id", "embedding", "band")}, "block": pa.array(np.full(b.num_rows, block)), "place": pa.array(np.arange(b.num_rows, dtype=np.int32))})
-                block += 1
+        block, before = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            nth = before + np.arange(b.num_rows)
+            yield pa.record_batch({**{c: b[c] for c in ("vec_id", "embedding", "band")}, "block": pa.array(block + nth // BLOCK), "place": pa.array((nth % BLOCK).astype(np.int32))})
+            before += b.num_rows
 
-    return written(rows.mapInArrow(run, "vec_id long, embedding array<double>, band int, block long, place int"), "vectors")
+    dealt = rows.repartition(1 + n * 5 // (4 * BLOCK), "vec_id")
+    return written(dealt.mapInArrow(run, "vec_id long, embedding array<double>, band int, block long, place int"), "vectors")
 
 
 class Array:
@@ -235,18 +258,18 @@ def candidate_lists(index: DataFrame, given: DataFrame, dim: int, trees: int, bi
 
 
 def best_of_block(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """Each query's best k of its candidates in a block."""
-    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    """Each query's best k of its candidates in a block: query_id, best (far: the negative score, vec_id)."""
+    asked, sizes, scores, names = [], [], [np.empty(0)], [np.empty(0, np.int64)]
     if len(vectors) and len(queries):
-        x, ids, asked = matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+        x, ids, query = matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         place, where = vectors["place"].to_numpy(), np.full(BLOCK, -1)
         where[place] = np.arange(len(place))
-        for i in range(0, len(asked), 256):
-            part = queries.slice(i, 256)
+        for i in range(0, len(query), 128):
+            part = queries.slice(i, 128)
             v, wanted = matrix(part["embedding"]), np.zeros((len(part), len(ids)), bool)
             for j, lists in enumerate(part["places"].to_pylist()):
                 wanted[j, where[np.frombuffer(b"".join(lists), np.int16)]] = True
-            wanted &= ids[None, :] != asked[i : i + 256, None]
+            wanted &= ids[None, :] != query[i : i + 128, None]
             with np.errstate(over="ignore", invalid="ignore"):
                 near = np.where(wanted, v @ x.T, -np.inf)
             if near.shape[1] > k:
@@ -256,23 +279,25 @@ def best_of_block(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
                 at = np.flatnonzero(wanted[j])
                 score = (x[at] * v[j]).sum(1)
                 best = np.lexsort((ids[at], -score))[:k]
-                out.append((np.full(len(best), asked[i + j]), ids[at[best]], score[best]))
-    return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                asked.append(query[i + j])
+                sizes.append(len(best))
+                names.append(ids[at[best]])
+                scores.append(score[best])
+    best = pa.StructArray.from_arrays([pa.array(0.0 - np.concatenate(scores)), pa.array(np.concatenate(names))], ["far", "vec_id"])
+    return pa.table({"query_id": pa.array(asked, pa.int64()), "best": pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), best)})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TREES, bits: int = BITS, candidates: int = CANDIDATES, seed: int = 3) -> DataFrame:
     """vectors and queries: vec_id, embedding. Gives query_id, rank (from 1), vec_id, score; a query's own id is no
     candidate."""
     rows = valid(vectors)
-    most = F.array_max(F.transform("embedding", F.abs))
-    norm = F.log(most) + F.log(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v / most) * (v / most))) / 2  # its logarithm
-    rows = rows.withColumn("norm", norm)
     known = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dim").first()
     if known is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.col("dim") == known.dim).select("vec_id", "embedding", F.floor((F.lit(known.top) - F.col("norm")) / math.log(BAND)).cast("int").alias("band"))
-    same = Window.partitionBy("embedding").orderBy("vec_id")
-    index = stored(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth"))
+    same = Window.partitionBy("digest").orderBy("vec_id")
+    rows = rows.where(F.col("dim") == known.dim).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
+    band = F.floor((F.lit(known.top) - F.col("norm")) / math.log(BAND)).cast("int")
+    index = stored(rows.select("vec_id", "embedding", band.alias("band")), known.n)
     given = written(valid(queries).where(F.col("dim") == known.dim).select("vec_id", "embedding"), "queries")
     lists = candidate_lists(index, given, known.dim, trees, bits, candidates, seed)
 
@@ -280,6 +305,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     copies = index.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "vec_id", "embedding", "place")
     wanted = lists.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).join(given.withColumnRenamed("vec_id", "query_id"), "query_id")
     wanted = wanted.select(F.col("block").alias("_block"), F.col("part").alias("_part"), "query_id", "embedding", "places")
-    near = copies.groupBy("block", "part").cogroup(wanted.groupBy("_block", "_part")).applyInArrow(lambda v, q: best_of_block(v, q, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    near = copies.groupBy("block", "part").cogroup(wanted.groupBy("_block", "_part")).applyInArrow(lambda v, q: best_of_block(v, q, k), "query_id long, best array<struct<far: double, vec_id: long>>")
+    best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    ranked = best.select("query_id", F.posexplode("best").alias("place", "x"))
+    return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

@@ -448,7 +448,7 @@ def test_ann_prefixes_decide(spark, monkeypatch):
     rng = np.random.default_rng(29)
     x = rng.standard_normal((2000, 16)) + 2 * rng.standard_normal((20, 16))[rng.integers(0, 20, 2000)]
     df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, band int")
-    index, given = ann_forest.stored(df), df.where("vec_id % 100 = 0").select("vec_id", "embedding")
+    index, given = ann_forest.stored(df, 2000), df.where("vec_id % 100 = 0").select("vec_id", "embedding")
     rows = {r.vec_id: (r.block, r.place) for r in index.collect()}
     want = {}
     normals = ann_forest.hyperplanes(16, 6, 12, 3)
