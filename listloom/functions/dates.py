@@ -70,7 +70,7 @@ def header_date(x: Column) -> Column:
 
 
 def scrubbed(x: Column) -> Column:
-    """A date string without what people and programs put around dates."""
+    """A date string without what people and programs put around dates. (Fixed values: the patterns and their order.)"""
     x = trimmed(F.regexp_replace(trimmed(x), r"^(Date:\s*)+", ""))
     x = F.regexp_replace(F.regexp_replace(x, r"\s*\([A-Za-z\s]+\)\s*$", ""), "  +", " ")
     x = F.regexp_replace(x, r"(\d)(am|pm|AM|PM)", "$1 $2")

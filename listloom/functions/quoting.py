@@ -88,10 +88,11 @@ def reply_split(body: Column, source: Column, header_sources: tuple[str, ...] =
     text = trimmed(F.coalesce(body, F.lit("")))
 
     def start(pattern: str) -> Column:
-        return F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0)) - 1
+        """Characters before the first match; null for none (regexp_instr counts UTF-16 units, so the text itself is cut)."""
+        return F.nullif(F.length(F.regexp_extract(text, f"^((?s:.*?)){pattern}", 1)), F.lit(0))
 
-    some = F.nullif(start("(?i)" + ORIGINAL), F.lit(0))
-    every = [F.nullif(start(p), F.lit(0)) for p in REPLY_STARTS] + ([F.nullif(block_start(text), F.lit(0))] if scan else [])
+    some = start("(?i)" + ORIGINAL)
+    every = [start(p) for p in REPLY_STARTS] + ([F.nullif(block_start(text), F.lit(0))] if scan else [])
     cut = F.when(source.isin(*header_sources), some).otherwise(F.least(*every))
     main = F.regexp_replace(F.substr(text, F.lit(1), cut), r"(?U)\s+$", "")
     quoted = F.regexp_replace(F.substr(text, cut + 1), r"(?U)^\s+", "")

@@ -1,4 +1,4 @@
-"""Column functions for subjects, bodies and sender names. All are built-in expressions.
+"""Column functions for subjects, bodies and sender names. All but the decoding of rare charsets are built-in expressions.
 
 Regular expressions use (?U) where white space and word characters must be Unicode. A null subject or body stays null
 unless a function says otherwise.
@@ -6,8 +6,10 @@ unless a function says otherwise.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TAG = "[list]"
 TAGS = ("list", "external", "external email")
@@ -137,24 +139,12 @@ def capitalized(x: Column) -> Column:
     return F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))
 
 
-def flowed(text: Column) -> Column:
-    """Lines of flowed text joined into one paragraph."""
-    lines = F.transform(F.split(text, "\n"), lambda line: collapsed(F.replace(line, F.lit("\xa0"), F.lit(" "))))
-    return F.array_join(F.filter(lines, lambda line: line != ""), " ")
-
-
 def normalized_newlines(text: Column) -> Column:
     """One kind of line end, no spaces before it, at most one blank line, nothing at the ends."""
     x = F.replace(F.regexp_replace(text, "\r\n?", "\n"), F.lit("\xa0"), F.lit(" "))
     return trimmed(F.regexp_replace(F.regexp_replace(x, "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
 
 
-def quote_block(text: Column) -> Column:
-    """Each line behind a quote mark."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.when(line == "", F.lit(">")).otherwise(F.concat(F.lit("> "), line)))
-    return trimmed(F.array_join(lines, "\n"))
-
-
 def slug(text: Column, size: int | None = None) -> Column:
     """Lower-case ASCII words joined by hyphens; accents of Latin letters and separators in numbers go."""
     x = F.lower(text)
@@ -171,16 +161,14 @@ def truncated(text: Column, size: int = 200) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit("..."))).otherwise(text)
 
 
-def name_from_header(header: Column) -> Column:
-    """The display name of a From: header, else its address."""
-    x = trimmed(F.regexp_replace(header, r"(?i)^\s*From:\s*", ""))
-    address = F.regexp_extract(x, r"([\w.+-]+@[\w.-]+)", 1)
-    name = F.regexp_replace(x, r"<[^>]*>|\[mailto:[^\]]*\]", "")
-    name = F.regexp_replace(F.regexp_replace(name, r"(?i)\s+on behalf of .*$", ""), r"[\w.+-]+@[\w.-]+", "")
-    name = trimmed(F.regexp_replace(F.regexp_replace(name, r"\(\s*\)", ""), '^["\'\\s]+|["\'\\s,;]+$', ""))
-    return F.when(name != "", name).otherwise(address)
+@F.pandas_udf(T.StringType())
+def in_charset(contents: pd.Series, charsets: pd.Series, errors: pd.Series) -> pd.Series:
+    """Bytes in a charset that has to be looked up by name; null if it isn't known or (with errors "strict") doesn't fit."""
 
+    def one(content: bytes | None, charset: str | None, kind: str) -> str | None:
+        try:
+            return bytes(content).decode(charset, kind)
+        except (LookupError, TypeError, ValueError):
+            return None
 
-def section_heading(line: Column) -> Column:
-    """Whether a line begins a section of a topic page."""
-    return trimmed(line).rlike(r"(?i)^(?:from|subject|date|to|sent|author|reply|topic)\s*:|^end of topic")
+    return pd.Series([one(*x) for x in zip(contents, charsets, errors, strict=True)], dtype=object)

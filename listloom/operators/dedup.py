@@ -34,11 +34,12 @@ def resolved(messages: DataFrame, tag: str = "[list]") -> DataFrame:
     keyed = messages.withColumn("_subject", merge_key(F.col("subject"), tag)).withColumn("_day", F.to_date("date"))
     keyed = keyed.withColumn("_body", blank_subject_signature(F.coalesce("_subject", F.lit("")), F.col("body_clean")))
     group = Window.partitionBy("_subject", "_body", "_day", "from_name")
-    urls = F.size(F.collect_set("source_url").over(group)) + F.max(F.col("source_url").isNull().cast("int")).over(group)
+    n, urls = F.count("*").over(group), F.count("source_url").over(group)
+    one_page = (urls == 0) | ((urls == n) & (F.min("source_url").over(group) == F.max("source_url").over(group)))
     known = F.col("_subject").isNotNull() & F.col("_day").isNotNull() & F.col("from_name").isNotNull()
     ranked = keyed.withColumns({
         "_nth": F.row_number().over(group.orderBy(*ordinal())),
-        "_page": known & (F.count("*").over(group) > 1) & (urls == 1),
+        "_page": known & (n > 1) & one_page,
     })
     kept = ranked.where("_nth = 1")
     followups = ranked.where("_page").withColumn("_copy", F.row_number().over(Window.partitionBy(*EXACT).orderBy(*ordinal()))).where("_copy = 1").drop("_copy")
@@ -58,10 +59,12 @@ def newest(entries: DataFrame, key: str, at: str = "timestamp", tie: str = "url"
 
 
 def latest_version(known: DataFrame, new: DataFrame, key: str = "message_number") -> DataFrame:
-    """Known rows and new rows; of equal keys the new one."""
+    """Known rows and new rows; of equal keys the new one, of several new ones the same in every run. Rows without a key are
+    no versions of each other and stay."""
     both = known.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(key).orderBy(F.desc("_new"))
-    return both.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth", "_new")
+    keyed, columns = both.where(F.col(key).isNotNull()), sorted(c for c in both.columns if c != "_new")
+    last = Window.partitionBy(key).orderBy(F.desc("_new"), F.xxhash64(*columns), F.to_json(F.struct(*columns)))
+    return keyed.withColumn("_nth", F.row_number().over(last)).where("_nth = 1").drop("_nth").unionByName(both.where(F.col(key).isNull())).drop("_new")
 
 
 def unseen(new: DataFrame, known: DataFrame, key: str = "message_number") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import truncated
+
 FIELDS = {"subject": 5.0, "from_name": 3.0}
 K1, B = 1.2, 0.75
 
@@ -20,9 +22,17 @@ def search_documents(messages: DataFrame) -> DataFrame:
     return messages.select("subject", "from_name", F.col("body_clean").alias("body"), "category", F.coalesce(F.year("date"), F.lit(0)).alias("year"), F.coalesce(F.date_format("date", "yyyy-MM-dd"), F.lit("")).alias("date"), "url")
 
 
-def snippets(docs: DataFrame, size: int = 500) -> DataFrame:
-    """The beginning of each URL's body; of documents with one URL, the greatest body's."""
-    return docs.groupBy("url").agg(F.substring(F.max("body"), 1, size).alias("snippet"))
+def snippets(docs: DataFrame, size: int = 500, order: tuple[str, ...] = ("date", "body")) -> DataFrame:
+    """The beginning of each URL's body (null is empty); of documents with one URL, the last one's in `order`."""
+    last = F.max_by(F.coalesce("body", F.lit("")), F.struct(*order))
+    return docs.groupBy("url").agg(F.substring(last, 1, size).alias("snippet"))
+
+
+def shown(found: DataFrame, docs: DataFrame, snippets: DataFrame, key: str = "url", size: int = 200) -> DataFrame:
+    """Hits (key, score) as they are listed: title, author and date of the document, and the beginning of its snippet."""
+    rows = found.join(docs.select(key, "subject", "from_name", "category", "date"), key)
+    rows = rows.join(snippets.withColumnRenamed("url", "_url"), F.col(key) == F.col("_url"), "left").drop("_url")
+    return rows.withColumn("snippet", truncated(F.coalesce("snippet", F.lit("")), size))
 
 
 def inverted_index(docs: DataFrame, key: str, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:

@@ -93,7 +93,7 @@ def display_threads(messages: DataFrame, order: list[Column], days: int = GAP_DA
     one; blank subjects go by their thread key, or stand alone; all others by subject. Then gaps split."""
     key = group_key(F.col("subject"))
     page = Window.partitionBy("source_url")
-    mixed = (F.size(F.collect_set(key).over(page)) > 1) | F.max((key == NO_SUBJECT).cast("int")).over(page).cast("boolean")
+    mixed = (F.min(key).over(page) != F.max(key).over(page)) | F.max((key == NO_SUBJECT).cast("int")).over(page).cast("boolean")
     found = messages.withColumn("_mixed", (F.col("source") == mixed_source) & F.col("source_url").isNotNull() & mixed)
     by_page = ((F.col("source") == page_source) & F.col("source_url").isNotNull()) | F.col("_mixed")
     base = (

@@ -85,11 +85,26 @@ def author_timeline(df: DataFrame) -> DataFrame:
     return years.select("author_slug", "n", *(F.coalesce(F.col(c).cast("string"), F.lit("?")).alias(name) for c, name in (("a", "first_year"), ("b", "last_year"))))
 
 
-def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Adds year, month and msg_seq: the running count of subjects in the month. Undated messages are one month."""
-    found = df.withColumns({"year": F.year("date"), "month": F.month("date")})
-    run = Window.partitionBy("year", "month").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return found.withColumn("msg_seq", F.count("subject").over(run))
+RUN = 1 << 16  # numbers of undated messages that are ordered at once
+
+
+def _parts(df: DataFrame, number: str, date: str = "date") -> DataFrame:
+    """Adds _day and _run: messages that are ordered together. Undated ones are parted by their numbers, in order."""
+    run = F.coalesce(F.floor(F.col(number) / RUN), F.lit((1 << 63) - 1))
+    return df.withColumns({"_day": F.to_date(date), "_run": F.when(F.col(date).isNull(), run).otherwise(F.lit(0).cast("long"))})
+
+
+def numbered(df: DataFrame, order: list[Column], number: str = "message_number") -> DataFrame:
+    """Adds year, month and msg_seq: the running count of subjects in the month, by date, number and the rest of `order`.
+    Undated messages are one month. Messages are counted within days (undated ones within runs of numbers); only the days'
+    totals are summed up over a month."""
+    found = _parts(df.withColumns({"year": F.year("date"), "month": F.month("date")}), number)
+    own = Window.partitionBy("_day", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("year", "month").orderBy("_day", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    days = found.groupBy("year", "month", "_day", "_run").agg(F.count("subject").alias("_n"))
+    days = days.select(F.col("_day").alias("_d"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = found.withColumn("_own", F.count("subject").over(own)).join(days, F.col("_day").eqNullSafe(F.col("_d")) & (F.col("_run") == F.col("_r")))
+    return found.withColumn("msg_seq", F.col("_own") + F.col("_before")).drop("_day", "_run", "_own", "_d", "_r", "_before")
 
 
 def message_url() -> Column:
@@ -106,36 +121,50 @@ def thread_url() -> Column:
 
 
 def thread_meta(ordered: DataFrame, thread: str = "display_thread_key") -> DataFrame:
-    """From messages with a position: the starter's subject, messages in order, participants, and the date of the last
-    dated message in thread order."""
+    """From messages with a position: the starter's subject, messages, participants, and the date of the last dated message
+    in thread order. Members are rows of their own (`thread_members`)."""
     dated = F.when(F.col("date").isNotNull(), F.struct("position", "date"))
     return ordered.groupBy(thread).agg(
         F.min_by("subject", "position").alias("subject"),
         F.count("*").alias("n_messages"),
         distinct_with_null("from_name").alias("n_participants"),
         F.max(dated)["date"].alias("last_date"),
-        F.transform(F.array_sort(F.collect_list(F.struct("position", "message_number"))), lambda x: x["message_number"]).alias("messages"),
     )
 
 
+def thread_members(ordered: DataFrame, thread: str = "display_thread_key") -> DataFrame:
+    """A row for each message of a thread, in order by position."""
+    return ordered.select(thread, "position", "message_number")
+
+
+def with_thread(ordered: DataFrame, thread: str = "display_thread_key") -> DataFrame:
+    """Messages with what is known of their thread: its subject, messages, participants and last date; has_context says
+    whether there are others."""
+    meta = thread_meta(ordered, thread)
+    meta = meta.select(F.col(thread).alias("_thread"), *(F.col(c).alias(f"thread_{c}") for c in meta.columns if c != thread))
+    found = ordered.join(meta, F.col(thread).eqNullSafe(F.col("_thread")), "left").drop("_thread")
+    return found.withColumn("has_context", F.coalesce(F.col("thread_n_messages") > 1, F.lit(False)))
+
+
 def recent(df: DataFrame, n: int = 30) -> DataFrame:
     return df.where(F.col("date").isNotNull()).orderBy(F.desc("date"), F.desc("message_number")).limit(n)
 
 
 def with_neighbours(df: DataFrame, date: str = "date", number: str = "message_number", column: str = "url") -> DataFrame:
     """Adds previous and next `column` over the whole order (date, nulls first; number), without one task for all rows:
-    windows run within days, and the ends of days are stitched by a window over one row a day (their number is that of
-    the calendar, not of the messages)."""
-    found = df.withColumn("_day", F.coalesce(F.to_date(date), F.lit("0001-01-01").cast("date")))
-    day = Window.partitionBy("_day").orderBy(F.col(date).asc_nulls_first(), number)
-    ends = found.groupBy("_day").agg(F.min_by(column, F.struct(F.col(date), F.col(number))).alias("_first"), F.max_by(column, F.struct(F.col(date), F.col(number))).alias("_last"))
-    days = Window.orderBy("_day")
-    ends = ends.select("_day", F.lag("_last").over(days).alias("_before"), F.lead("_first").over(days).alias("_after"))
-    found = found.join(ends, "_day")
+    windows run within days (undated messages: within runs of numbers), and the ends of days are stitched by a window over
+    one row a day (their number is that of the calendar, not of the messages)."""
+    found = _parts(df, number, date).withColumn("_day", F.coalesce("_day", F.lit("0001-01-01").cast("date")))
+    day = Window.partitionBy("_day", "_run").orderBy(F.col(date).asc_nulls_first(), F.col(number).asc_nulls_last())
+    place = F.struct(F.col(date), F.col(number).isNull(), F.col(number))
+    ends = found.groupBy("_day", "_run").agg(F.min_by(column, place).alias("_first"), F.max_by(column, place).alias("_last"))
+    days = Window.orderBy("_day", "_run")
+    ends = ends.select("_day", "_run", F.lag("_last").over(days).alias("_before"), F.lead("_first").over(days).alias("_after"))
+    found = found.join(ends, ["_day", "_run"])
     return found.withColumns({
         f"previous_{column}": F.coalesce(F.lag(column).over(day), "_before"),
         f"next_{column}": F.coalesce(F.lead(column).over(day), "_after"),
-    }).drop("_day", "_before", "_after")
+    }).drop("_day", "_run", "_before", "_after")
 
 
 def month_threads(df: DataFrame, thread: str = "thread_key") -> DataFrame:
@@ -210,6 +239,15 @@ def is_current(year: int | None, month: int | None, number: int) -> Column:
     return F.col("year").eqNullSafe(F.lit(year)) & F.col("month").eqNullSafe(F.lit(month)) & (F.col("msg_seq") == number)
 
 
-def home_feed(df: DataFrame, n: int = 30) -> DataFrame:
-    """The latest messages as they are listed: number, subject, author, category, year and short date."""
-    return recent(df, n).select("message_number", "subject", "from_name", "category", F.year("date").alias("year"), short_date(F.col("date")).alias("date"))
+def span(df: DataFrame, thread: str = "thread_key") -> DataFrame:
+    """Distinct threads (null is one), first and last date."""
+    return df.agg(distinct_with_null(thread).alias("n_threads"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def home_feed(df: DataFrame, n: int = 30, year: int | None = None, category: str | None = None) -> DataFrame:
+    """The latest messages as they are listed: number, subject, author, category, year and short date; of them those of one
+    year or category, if given."""
+    feed = recent(df, n)
+    for column, wanted in ((F.year("date"), year), (F.col("category"), category)):
+        feed = feed if wanted is None else feed.where(column == wanted)
+    return feed.select("message_number", "subject", "from_name", "category", F.year("date").alias("year"), short_date(F.col("date")).alias("date"))

@@ -9,7 +9,7 @@ from ..functions import classify, dates, names, quoting, text
 from ..operators import dedup, search, threads, views
 from ..sources import archive, html
 from ..streaming import incremental
-from .enrich import by_date, unswapped
+from .enrich import by_date, enriched, unswapped
 
 PAGE = """case when o.o_orderkey % 4 in (2, 3) then concat('http://x.example/p', cast(o.o_orderkey % 4 as varchar(5)), '/', cast(o.o_custkey % 400 as varchar(20)), '-', cast(cast(o.o_orderdate as date) as varchar(20)))
   else concat('http://x.example/m', cast(o.o_orderkey as varchar(20))) end"""
@@ -184,7 +184,45 @@ def display_threads(spark, sf_dir):
 
 def thread_meta(spark, sf_dir):
     meta = views.thread_meta(_displayed(spark, sf_dir))
-    return meta.select("display_thread_key", "subject", "n_messages", "n_participants", F.date_format("last_date", "yyyy-MM-dd").alias("last_date"), F.array_join(F.transform("messages", lambda x: x.cast("string")), ",").alias("messages"))
+    return meta.select("display_thread_key", "subject", "n_messages", "n_participants", F.date_format("last_date", "yyyy-MM-dd").alias("last_date"))
+
+
+def thread_members(spark, sf_dir):
+    return _long(views.thread_members(_displayed(spark, sf_dir)), "position")
+
+
+def messages_with_thread(spark, sf_dir):
+    found = views.with_thread(_displayed(spark, sf_dir))
+    return found.select("message_number", "thread_subject", "thread_n_messages", "thread_n_participants", F.date_format("thread_last_date", "yyyy-MM-dd").alias("thread_last_date"), "has_context")
+
+
+def thread_list_tops(spark, sf_dir):
+    """The first page of the thread list in each of its orders."""
+    meta = views.thread_meta(_displayed(spark, sf_dir))
+    tops = [views.sorted_threads(meta, by).limit(20).select(F.lit(by).alias("by"), "display_thread_key", "n_messages") for by in ("recent", "count", "subject")]
+    return tops[0].union(tops[1]).union(tops[2])
+
+
+def author_list_tops(spark, sf_dir):
+    """The first page of the author list in each of its orders."""
+    index = views.author_index(messages(spark, sf_dir))
+    tops = [views.sorted_authors(index, by).limit(5).select(F.lit(by).alias("by"), "author_slug", "n") for by in ("name", "name_desc", "count", "recent")]
+    return tops[0].union(tops[1]).union(tops[2]).union(tops[3])
+
+
+def one_thread(spark, sf_dir):
+    """The messages of one reply chain."""
+    return views.thread(threads.thread_roots(messages(spark, sf_dir)), 7).select("message_number", F.date_format("date", "yyyy-MM-dd").alias("date"))
+
+
+def archive_span(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumn("thread_key", text.group_key(F.col("subject")))
+    return views.span(m).withColumns(_day("first_date", "last_date"))
+
+
+def enriched_messages(spark, sf_dir):
+    found = enriched(messages(spark, sf_dir), decode=False)
+    return found.select("message_number", "from_name", "author_slug", "subject", "category", "thread_key", "msg_seq", "url", "display_thread_key")
 
 
 def thread_root(spark, sf_dir):
@@ -237,7 +275,7 @@ def names_from_addresses(spark, sf_dir):
 
 def reply_split(spark, sf_dir):
     mark = F.when(F.col("turn") % 2 == 0, F.lit("\n-----Original Message-----\n")).otherwise(F.lit("\nOn Monday A wrote:\n"))
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("x"), F.regexp_replace("text", r"\s+", " "), mark, F.lit("> old")).alias("body"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("x😀é😀 "), F.regexp_replace("text", r"\s+", " "), mark, F.lit("> 😀 old")).alias("body"))
     split = quoting.reply_split(F.col("body"), F.when(F.col("turn") % 3 == 0, F.lit("legacy")).otherwise(F.lit("live")))
     return c.select("conv_id", "turn", split.alias("s")).select("conv_id", "turn", F.md5("s.main").alias("main_md5"), "s.quoted")
 
@@ -255,6 +293,66 @@ def page_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("link"))
 
 
+def _page(*parts: str) -> F.Column:
+    """Page bytes of literal text and columns (names in braces)."""
+    return F.encode(F.concat(*(F.col(p[1:-1]).cast("string") if p.startswith("{") else F.lit(p) for p in parts)), "UTF-8")
+
+
+def _customers(spark, sf_dir):
+    """Customers with a day of a month in text."""
+    return table(spark, sf_dir, "customer").withColumn("day", (F.col("c_custkey") % 28 + 1).cast("string"))
+
+
+def live_pages(spark, sf_dir):
+    page = _page(
+        '<html><body><h1><span class="subject"><span itemprop="name">Re: ', "{c_mktsegment}", '</span></span></h1><div class="msgHead"><span class="sender"><span itemprop="name">', "{c_name}",
+        '</span></span><span class="date"><a href="x">Thu, ', "{day}", ' Mar 2026 10:20:38 -0700</a></span></div><div class="msgBody"><div>one <div>two</div> <tt>a\n b</tt><br><tt>', "{c_nationkey}",
+        "</tt></div><p>é 😀 &amp; more</p><blockquote><div>quoted</div><blockquote>deeper<pre>as  it\n  is</pre></blockquote></blockquote><pre> x  y\n  z</pre><table><tr><td>cell</td></tr></table>X-Body-of-Message</div>",
+        '<form><input name="msgid" value="m', "{c_custkey}", '"></form></body></html>',
+    )
+    found = html.live_messages(_customers(spark, sf_dir).select(F.col("c_custkey").alias("message_number"), page.alias("content")))
+    return found.select("message_number", "message_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "from_name", "subject", "category", "body_raw")
+
+
+def legacy_pages(spark, sf_dir):
+    page = _page(
+        "<html><head><title>Page</title></head><body>Page<br><br>From: ", "{c_name}", " &lt;a@x.example&gt;<br>  Subject: dosing of ", "{c_mktsegment}", "<br>Date: Fri, ", "{day}",
+        " Jan 1999 10:20:38 -0500<br><br><br>The first body has 50 characters and more, for shorter ones are no messages.<br>  indented<br>___________<br>Subject: Re: dosing<br>From: Ben Example<br>Date: ", "{day}",
+        " Feb 1999<br><br>A second body, of ", "{c_nationkey}", " and a number of other words, long enough.</body></html>",
+    )
+    found = html.legacy_messages(_customers(spark, sf_dir).select(F.concat("c_custkey", F.lit(".html")).alias("name"), page.alias("content")))
+    return found.select("source_file", F.col("place").cast("long").alias("place"), F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "from_name", "subject", "category", "body_raw")
+
+
+def monthly_pages(spark, sf_dir):
+    page = _page(
+        '<html><head><title>Re: ', "{c_mktsegment}", '</title><meta name="Created" content="2006-05-', "{two}", 'T10:20:38"><meta name="Author" content="', "{c_name}",
+        '"></head><body><div class="mail"><address>gone</address><map><a>gone</a></map><div>one<br>\ntwo ', "{c_nationkey}", '</div><p>three</p><p>four</p><div>five <dfn>gone</dfn></div>\n\n\n\n<span id="received">gone</span>six</div>after</body></html>',
+    )
+    c = _customers(spark, sf_dir).withColumn("two", F.lpad("day", 2, "0"))
+    found = html.pipermail_messages(c.select(F.concat(F.lit("2006-May_"), "c_custkey", F.lit(".html")).alias("name"), page.alias("content")))
+    return found.select("source_file", "archive_month", "archive_id", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "from_name", "subject", "category", "body_raw")
+
+
+def topic_pages(spark, sf_dir):
+    page = _page(
+        "<html><body><h1>On ", "{c_mktsegment}", "</h1><pre>\nQuestion started by ", "{c_name}", " - ", "{day}", " Nov 1993\n\nThe question.\n\nReply by: Ben Example (b@x.example)\n\nAn answer of ", "{c_nationkey}",
+        ".\n\nMemo from Cleo Example\n\nA memo.\n\nResponse by D Example\n\nOne more.\n\nEnd of topic\nReply by Nobody\n\nnothing</pre></body></html>",
+    )
+    imputed = spark.createDataFrame([("7.html", 1, None, "16 Feb 1994"), ("8.html", None, None, "6 Apr 1994"), ("9.html", None, "memo from", "15 Mar 1994")], "name string, place int, prefix string, date_raw string")
+    found = html.topic_messages(_customers(spark, sf_dir).select(F.concat("c_custkey", F.lit(".html")).alias("name"), page.alias("content")), imputed)
+    return found.select("source_file", F.col("place").cast("long").alias("place"), F.date_format("date", "yyyy-MM-dd").alias("date"), "from_name", "subject", "body_raw")
+
+
+def index_pages(spark, sf_dir):
+    """The newest number that an index page links to, and local names of snapshots."""
+    c = _customers(spark, sf_dir)
+    page = F.concat(F.lit('<a href="msg00012.html">x</a> <a href="msg'), "c_custkey", F.lit('.html">y</a> <a href="other99999.html">z</a><a href="msgx.html">w</a>'))
+    url = F.concat(F.lit("http://a.example/list/"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("2006-May/"), F.col("c_custkey"))).otherwise(F.concat(F.lit("99apr"), "c_custkey")), F.lit(".html"))
+    named = {f"{k}_name": archive.local_name(url, k) for k in ("pipermail", "legacy", "topic")}
+    return c.select("c_custkey", html.newest_listed(page).alias("newest"), *(x.alias(k) for k, x in named.items()))
+
+
 def mime_names(spark, sf_dir):
     raw = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat(F.lit("Jürgen "), "c_name"), "UTF-8")), F.lit("?="))
     return table(spark, sf_dir, "customer").select("c_custkey", names.decoded_word(raw).alias("name"))
@@ -277,6 +375,13 @@ def search_top50(spark, sf_dir):
     return search.top(search.hits(_searched(spark, sf_dir), "topic 17 wokshop", "message_number", category="event"), "message_number")
 
 
+def search_results(spark, sf_dir):
+    """The 50 best documents as they are listed."""
+    docs = _documents(spark, sf_dir)
+    found = search.top(search.hits(docs, "topic 17 wokshop", "url", category="event"), "url")
+    return search.shown(found, docs, search.snippets(docs))
+
+
 def search_hit_count(spark, sf_dir):
     return search.hits(_searched(spark, sf_dir), "postdok", "message_number").agg(F.count("*").alias("n_hits"))
 
@@ -351,6 +456,8 @@ QUERIES = {
         previous_next, recent_30, date_formats, author_normalize, author_override, names_from_addresses, reply_split,
         clean_bodies, page_extract, page_links, mime_names, quoted_printable_bodies, search_terms, search_top50,
         search_hit_count, incremental_upsert, daily_volume_stream, subjects_containing, fetch_status, page_subjects,
-        years, home_feed, search_documents, search_snippets, thread_urls, event_gaps, next_number,
+        years, home_feed, search_documents, search_snippets, thread_urls, event_gaps, next_number, thread_members,
+        messages_with_thread, thread_list_tops, author_list_tops, one_thread, archive_span, enriched_messages,
+        search_results, live_pages, legacy_pages, monthly_pages, topic_pages, index_pages,
     )
 }

@@ -55,8 +55,8 @@ _AUTHORS = "count(DISTINCT from_name) + CAST(coalesce(max(CASE WHEN from_name IS
 _SLUG = "CASE WHEN coalesce(from_name, '') = '' THEN 'unknown' ELSE regexp_replace(lower(from_name), '[^a-z0-9]+', '-', 'g') END"
 
 
-def _gaps(source: str, key: str, out: str) -> str:
-    return f"""{source}_g AS (SELECT *, date IS NOT NULL AND {key} IS NOT NULL AS fits FROM {source}),
+def _gaps(source: str, key: str, out: str, eligible: str = "true") -> str:
+    return f"""{source}_g AS (SELECT *, date IS NOT NULL AND {key} IS NOT NULL AND {eligible} AS fits FROM {source}),
 {source}_h AS (SELECT *, CASE WHEN fits AND (epoch_us(date) - lag(epoch_us(date)) OVER (PARTITION BY {key}, fits ORDER BY {_ORDER})) // 86400000000 > 60 THEN 1 ELSE 0 END AS gap FROM {source}_g),
 {source}_i AS (SELECT *, sum(gap) OVER (PARTITION BY {key}, fits ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING) AS number FROM {source}_h),
 {out} AS (SELECT *, CASE WHEN fits AND number > 0 THEN {key} || '#' || CAST(number AS VARCHAR) ELSE {key} END AS split_key FROM {source}_i)"""
@@ -64,10 +64,11 @@ def _gaps(source: str, key: str, out: str) -> str:
 
 _KEY = f"CASE WHEN source IN ('legacy', 'topic') THEN source || ':' || source_url ELSE {_group_key('subject')} END"
 _SEQ = f"count(subject) OVER (PARTITION BY year(date), month(date) ORDER BY {_ORDER} ROWS UNBOUNDED PRECEDING)"
+_BLANKS = "b0 AS (SELECT *, source = 'legacy' AND (count(DISTINCT k) OVER (PARTITION BY source_url) > 1 OR max(CASE WHEN k = '(no subject)' THEN 1 ELSE 0 END) OVER (PARTITION BY source_url) = 1) AS mixed FROM a)"
+_BASE = """b AS (SELECT *, CASE WHEN source = 'topic' OR mixed THEN 'page:' || source_url WHEN k = '(no subject)' AND thread_key <> '(no subject)' THEN thread_key
+  WHEN k = '(no subject)' THEN 'msg-' || CAST(message_number AS VARCHAR) ELSE k END AS base FROM b0)"""
 _DISPLAYED = f"""{M}, a AS (SELECT *, {_SEQ} AS msg_seq, {_KEY} AS thread_key, {_group_key('subject')} AS k FROM m),
-b0 AS (SELECT *, source = 'legacy' AND (count(DISTINCT k) OVER (PARTITION BY source_url) > 1 OR max(CASE WHEN k = '(no subject)' THEN 1 ELSE 0 END) OVER (PARTITION BY source_url) = 1) AS mixed FROM a),
-b AS (SELECT *, CASE WHEN source = 'topic' OR mixed THEN 'page:' || source_url WHEN k = '(no subject)' AND thread_key <> '(no subject)' THEN thread_key
-  WHEN k = '(no subject)' THEN 'msg-' || CAST(message_number AS VARCHAR) ELSE k END AS base FROM b0),
+{_BLANKS}, {_BASE},
 {_gaps('b', 'base', 'c')},
 d AS (SELECT *, row_number() OVER (PARTITION BY split_key ORDER BY date IS NULL, date, msg_seq, message_number) AS place FROM c),
 e AS (SELECT *, coalesce(place = min(CASE WHEN NOT {_reply('subject')} THEN place END) OVER (PARTITION BY split_key), false) AS first FROM d),
@@ -139,7 +140,46 @@ SELECT *, CASE WHEN year IS NULL THEN printf('/undated/%d.html', msg_seq) ELSE p
     "keyed_threads": f"WITH {M} SELECT message_number, {_KEY} AS thread_key FROM m",
     "display_threads": f"WITH {_DISPLAYED} SELECT message_number, split_key AS display_thread_key, position FROM f",
     "thread_meta": f"""WITH {_DISPLAYED} SELECT split_key AS display_thread_key, arg_min(subject, position) AS subject, count(*) AS n_messages, {_AUTHORS} AS n_participants,
-strftime(arg_max(date, position) FILTER (date IS NOT NULL), '%Y-%m-%d') AS last_date, string_agg(CAST(message_number AS VARCHAR), ',' ORDER BY position) AS messages FROM f GROUP BY 1""",
+strftime(arg_max(date, position) FILTER (date IS NOT NULL), '%Y-%m-%d') AS last_date FROM f GROUP BY 1""",
+    "thread_members": f"WITH {_DISPLAYED} SELECT split_key AS display_thread_key, position, message_number FROM f",
+    "messages_with_thread": f"""WITH {_DISPLAYED}, t AS (SELECT split_key, arg_min(subject, position) AS s, count(*) AS n, {_AUTHORS} AS p, arg_max(date, position) FILTER (date IS NOT NULL) AS d FROM f GROUP BY 1)
+SELECT message_number, s AS thread_subject, n AS thread_n_messages, p AS thread_n_participants, strftime(d, '%Y-%m-%d') AS thread_last_date, n > 1 AS has_context FROM f JOIN t USING (split_key)""",
+    "thread_list_tops": f"""WITH {_DISPLAYED}, t AS (SELECT split_key AS display_thread_key, arg_min(subject, position) AS s, count(*) AS n_messages, arg_max(date, position) FILTER (date IS NOT NULL) AS d FROM f GROUP BY 1)
+(SELECT 'recent' AS by, display_thread_key, n_messages FROM t ORDER BY d DESC NULLS LAST, display_thread_key LIMIT 20)
+UNION ALL (SELECT 'count', display_thread_key, n_messages FROM t ORDER BY n_messages DESC, d DESC NULLS LAST, display_thread_key LIMIT 20)
+UNION ALL (SELECT 'subject', display_thread_key, n_messages FROM t ORDER BY lower(s) NULLS FIRST, display_thread_key LIMIT 20)""",
+    "author_list_tops": f"""WITH {M}, a AS (SELECT {_SLUG} AS author_slug, arg_min(from_name, message_number) AS name, count(*) AS n, max(year(date)) AS last FROM m GROUP BY 1)
+(SELECT 'name' AS by, author_slug, n FROM a ORDER BY lower(name) NULLS FIRST, author_slug LIMIT 5)
+UNION ALL (SELECT 'name_desc', author_slug, n FROM a ORDER BY lower(name) DESC NULLS LAST, author_slug LIMIT 5)
+UNION ALL (SELECT 'count', author_slug, n FROM a ORDER BY n DESC, author_slug LIMIT 5)
+UNION ALL (SELECT 'recent', author_slug, n FROM a ORDER BY last DESC NULLS LAST, n DESC, author_slug LIMIT 5)""",
+    "one_thread": f"{_ROOTS}, t AS (SELECT n, arg_max(cur, d) AS root FROM r GROUP BY n) SELECT message_number, strftime(date, '%Y-%m-%d') AS date FROM m JOIN t ON n = message_number WHERE root = 7",
+    "archive_span": f"WITH {M} SELECT count(DISTINCT {_group_key('subject')}) AS n_threads, strftime(min(date), '%Y-%m-%d') AS first_date, strftime(max(date), '%Y-%m-%d') AS last_date FROM m",
+    "enriched_messages": f"""WITH {M}, a0 AS (SELECT *, {_SEQ} AS msg_seq, {_KEY} AS thread_key0, {_group_key('subject')} AS k FROM m),
+{_gaps('a0', 'thread_key0', 'a1', "source NOT IN ('legacy', 'topic')")},
+a AS (SELECT * EXCLUDE (fits, gap, number, split_key), split_key AS thread_key FROM a1), {_BLANKS}, {_BASE}, {_gaps('b', 'base', 'c')}
+SELECT message_number, from_name, {_SLUG} AS author_slug, {_named(_trim("replace(" + _trim('subject') + ", '[list]', '')"))} AS subject, category, thread_key, msg_seq,
+CASE WHEN c.date IS NULL THEN printf('/undated/%d.html', msg_seq) ELSE printf('/%d/%02d/%d.html', year(c.date), month(c.date), msg_seq) END AS url, split_key AS display_thread_key FROM c""",
+    "search_results": _hits(["17", "topic", "wokshop"], 2, "WHERE category = 'event'") + f""", s AS (SELECT *, {_SEQ} AS msg_seq FROM m),
+docs AS (SELECT *, CASE WHEN s.date IS NULL THEN printf('/undated/%d.html', msg_seq) ELSE printf('/%d/%02d/%d.html', year(s.date), month(s.date), msg_seq) END AS url, coalesce(strftime(s.date, '%Y-%m-%d'), '') AS day FROM s)
+SELECT url, score, subject, from_name, category, day AS date, coalesce(body_clean, '') AS snippet FROM hits JOIN docs USING (message_number) ORDER BY score DESC, url LIMIT 50""",
+    "live_pages": r"""SELECT c_custkey AS message_number, 'm' || c_custkey AS message_id, strftime(make_timestamp(2026, 3, c_custkey % 28 + 1, 17, 20, 38), '%Y-%m-%d %H:%M:%S') AS date, c_name AS from_name, 'Re: ' || c_mktsegment AS subject, 'technical' AS category,
+concat_ws(chr(10), 'one', '', 'two', '', 'a b ' || c_nationkey, '', 'é 😀 & more', '', '> quoted', '>', '> > deeper', '> >', '> > as  it', '> >   is', '', 'x  y', '  z', '', 'cell') AS body_raw FROM customer""",
+    "legacy_pages": """WITH c AS (SELECT *, c_custkey % 28 + 1 AS d FROM customer)
+SELECT c_custkey || '.html' AS source_file, 0 AS place, strftime(make_timestamp(1999, 1, d, 15, 20, 38), '%Y-%m-%d %H:%M:%S') AS date, c_name AS from_name, 'dosing of ' || c_mktsegment AS subject, 'technical' AS category,
+concat_ws(chr(10), 'From: ' || c_name || ' <a@x.example>', 'Subject: dosing of ' || c_mktsegment, 'Date: Fri, ' || d || ' Jan 1999 10:20:38 -0500', 'The first body has 50 characters and more, for shorter ones are no messages.', 'indented') AS body_raw FROM c
+UNION ALL SELECT c_custkey || '.html', 1, strftime(make_timestamp(1999, 2, d, 0, 0, 0), '%Y-%m-%d %H:%M:%S'), 'Ben Example', 'Re: dosing', 'technical',
+concat_ws(chr(10), 'Subject: Re: dosing', 'From: Ben Example', 'Date: ' || d || ' Feb 1999', 'A second body, of ' || c_nationkey || ' and a number of other words, long enough.') FROM c""",
+    "monthly_pages": """SELECT '2006-May_' || c_custkey || '.html' AS source_file, '2006-May' AS archive_month, c_custkey AS archive_id, strftime(make_timestamp(2006, 5, c_custkey % 28 + 1, 10, 20, 38), '%Y-%m-%d %H:%M:%S') AS date,
+c_name AS from_name, 'Re: ' || c_mktsegment AS subject, 'technical' AS category, concat_ws(chr(10), 'one', 'two ' || c_nationkey || 'three', '', 'fourfive', '', 'six') AS body_raw FROM customer""",
+    "topic_pages": """WITH c AS (SELECT *, c_custkey % 28 + 1 AS d FROM customer),
+s AS (SELECT c_custkey, 0 AS place, strftime(make_date(1993, 11, d), '%Y-%m-%d') AS date, c_name AS from_name, c_mktsegment, 'The question.' AS body_raw FROM c
+UNION ALL SELECT c_custkey, 1, CASE c_custkey WHEN 7 THEN '1994-02-16' WHEN 8 THEN '1994-04-06' END, 'Ben Example', c_mktsegment, 'An answer of ' || c_nationkey || '.' FROM c
+UNION ALL SELECT c_custkey, 2, CASE c_custkey WHEN 8 THEN '1994-04-06' WHEN 9 THEN '1994-03-15' END, 'Cleo Example', c_mktsegment, 'A memo.' FROM c
+UNION ALL SELECT c_custkey, 3, CASE c_custkey WHEN 8 THEN '1994-04-06' END, 'D Example', c_mktsegment, 'One more.' FROM c)
+SELECT c_custkey || '.html' AS source_file, place, date, from_name, 'On ' || c_mktsegment AS subject, body_raw FROM s""",
+    "index_pages": """SELECT c_custkey, greatest(12, c_custkey) AS newest, CASE WHEN c_custkey % 2 = 0 THEN '2006-May_' || c_custkey || '.html' ELSE '99apr' || c_custkey || '.html' END AS pipermail_name,
+CASE WHEN c_custkey % 2 = 0 THEN c_custkey || '.html' ELSE '99apr' || c_custkey || '.html' END AS legacy_name, CASE WHEN c_custkey % 2 = 0 THEN c_custkey || '.html' ELSE '99apr' || c_custkey || '.html' END AS topic_name FROM customer""",
     "thread_root": f"{_ROOTS} SELECT n AS message_number, arg_max(cur, d) AS thread_id FROM r GROUP BY n",
     "reply_depth": f"""WITH RECURSIVE {M}, r AS (SELECT message_number AS n, message_number AS cur, 0 AS d FROM m
 UNION ALL SELECT r.n, p.message_number, r.d + 1 FROM r JOIN m ON m.message_number = r.cur JOIN m p ON p.message_number = m.in_reply_to_number AND p.message_number % 2 = r.n % 2)
@@ -154,9 +194,9 @@ WHEN 7 THEN strftime(o_orderdate, '%Y-%m-%d 15:51:31') ELSE strftime(o_orderdate
     "author_normalize": f"SELECT c_custkey, {_list(NORMAL)}[c_custkey % {len(NAMES)} + 1] AS author FROM customer",
     "author_override": f"WITH {M} SELECT message_number, CASE from_name WHEN 'User 1' THEN 'Ann Example' WHEN 'User 2' THEN 'Ben Example' ELSE from_name END AS from_name FROM m",
     "names_from_addresses": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'John Doe ' || c_custkey WHEN 1 THEN 'Unknown' ELSE c_name END AS name FROM customer",
-    "reply_split": r"""WITH c AS (SELECT conv_id, turn, 'x' || regexp_replace(text, '\s+', ' ', 'g') AS head FROM conversations)
-SELECT conv_id, turn, md5(CASE WHEN turn % 6 = 3 THEN head || chr(10) || 'On Monday A wrote:' || chr(10) || '> old' ELSE rtrim(head) END) AS main_md5,
-CASE WHEN turn % 6 = 3 THEN NULL WHEN turn % 2 = 0 THEN '-----Original Message-----' || chr(10) || '> old' ELSE 'On Monday A wrote:' || chr(10) || '> old' END AS quoted FROM c""",
+    "reply_split": r"""WITH c AS (SELECT conv_id, turn, 'x😀é😀 ' || regexp_replace(text, '\s+', ' ', 'g') AS head FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN turn % 6 = 3 THEN head || chr(10) || 'On Monday A wrote:' || chr(10) || '> 😀 old' ELSE rtrim(head) END) AS main_md5,
+CASE WHEN turn % 6 = 3 THEN NULL WHEN turn % 2 = 0 THEN '-----Original Message-----' || chr(10) || '> 😀 old' ELSE 'On Monday A wrote:' || chr(10) || '> 😀 old' END AS quoted FROM c""",
     "page_links": r"""SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1)) AS link FROM pages""",
     "mime_names": "SELECT c_custkey, 'Jürgen ' || c_name AS name FROM customer",
     "quoted_printable_bodies": "SELECT c_custkey, 'café = ' || c_name || ' and more' AS body FROM customer",
@@ -174,7 +214,7 @@ SELECT *, CAST(sum(downloaded) OVER w AS BIGINT) AS total_downloaded, CAST(sum(c
     "home_feed": f"""WITH {M} SELECT message_number, subject, from_name, category, year(m.date) AS year, strftime(m.date, '%b %d, %Y') AS date FROM m
 WHERE m.date IS NOT NULL ORDER BY m.date DESC, message_number DESC LIMIT 30""",
     "search_documents": f"WITH {_DOCUMENTS} SELECT * FROM docs",
-    "search_snippets": f"WITH {_DOCUMENTS} SELECT url, substring(max(body), 1, 500) AS snippet FROM docs GROUP BY 1",
+    "search_snippets": f"WITH {_DOCUMENTS} SELECT url, substring(arg_max(coalesce(body, ''), (date, body)), 1, 500) AS snippet FROM docs GROUP BY 1",
     "thread_urls": f"""WITH {M}, s AS (SELECT *, {_SEQ} AS msg_seq, {_named(_without('subject'))} AS bare FROM m)
 SELECT message_number, '/threads/' || regexp_replace(regexp_replace(lower(bare), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '-' || CASE WHEN message_number = 0 THEN 'undated-' || msg_seq ELSE CAST(message_number AS VARCHAR) END || '/' AS url,
 CASE WHEN year(date) = 1995 AND month(date) = 1 AND msg_seq = 3 THEN 'current' END AS marker, format('{{:,}}', message_number) AS shown,

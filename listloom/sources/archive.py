@@ -95,10 +95,16 @@ def harvested_links(listing: DataFrame, html: str, base: str, pattern: str) -> D
     return hrefs.select("timestamp", url.alias("url")).groupBy("url").agg(F.min("timestamp").alias("timestamp")).select("timestamp", "url")
 
 
-def local_name(url: Column) -> Column:
-    """File name of a snapshot: month_number for monthly pages, else the last part of the path."""
-    month = F.concat_ws("_", F.regexp_extract(url, r"/(\d{4}-\w+)/(\d+\.html)$", 1), F.regexp_extract(url, r"/(\d{4}-\w+)/(\d+\.html)$", 2))
-    return F.when(url.rlike(r"/\d{4}-\w+/\d+\.html$"), month).otherwise(F.element_at(F.split(F.regexp_replace(url, r"[?#].*$", ""), "/"), -1))
+# How the files of the sources are named.
+DATED, NUMBERED, MONTHLY = r"(\d{2}\w{3}\d+\.html)$", r"(?i)(topic\d{3}\.html)$", r"(\d{4}-\w+)/(\d+\.html)$"
+
+
+def local_name(url: Column, source: str = "pipermail") -> Column:
+    """File name of a snapshot: the dated file of a legacy page, the numbered file of a topic page, month_number of a monthly
+    page; else the last part of the path, as it stands."""
+    found = {"legacy": F.regexp_extract(url, DATED, 1), "topic": F.regexp_extract(url, NUMBERED, 1)}
+    monthly = F.when(url.rlike(MONTHLY), F.concat_ws("_", F.regexp_extract(url, MONTHLY, 1), F.regexp_extract(url, MONTHLY, 2)))
+    return F.coalesce(F.nullif(found[source], F.lit("")) if source in found else monthly, F.element_at(F.split(url, "/"), -1))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

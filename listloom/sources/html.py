@@ -1,9 +1,10 @@
-"""Messages from HTML pages, mostly by built-in expressions. Two small tree walks (reply parent, body fragment) are
+"""Messages from HTML pages, mostly by built-in expressions. The tree walks (reply parent here, bodies in `markup`) are
 Arrow-batched functions over one page's markup."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 from ..functions.classify import WHEN_PARSED, category
 from ..functions.dates import flexible_date, header_date
 from ..functions.quoting import unescaped
-from ..functions.text import normalized_newlines, trimmed, without_disclaimers
+from ..functions.text import in_charset, normalized_newlines, trimmed, without_disclaimers
+from .markup import live_body, mail_text
 
 # How a topic page's messages begin.
 TOPIC_STARTS = (
@@ -37,12 +39,15 @@ BOUNDARY = (
 
 
 def decoded(content: Column) -> Column:
-    """Page bytes as text: UTF-8 if that is valid and no Latin charset is declared in the first 2048 bytes, else Latin-1."""
+    """Page bytes as text: in the charset that the first 2048 bytes declare, if it is known and fits; else UTF-8 if that is
+    valid; else Latin-1. Only pages in other charsets than these two leave the JVM."""
     head = F.lower(F.decode(F.substring(content, 1, 2048), "ISO-8859-1"))
-    charset = F.regexp_extract(head, r"""(?:charset|encoding)=["']?([\w-]+)""", 1)
-    latin = charset.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "us-ascii")
-    text = content.cast("string")
-    return F.when(latin | ~F.is_valid_utf8(text), F.decode(content, "ISO-8859-1")).otherwise(text)
+    charset = F.coalesce(*(_or_null(F.regexp_extract(head, rf"""{word}=["']?([a-z0-9_-]+)""", 1)) for word in ("charset", "encoding")), F.lit(""))
+    latin, text = F.decode(content, "ISO-8859-1"), content.cast("string")
+    usual = F.when(F.is_valid_utf8(text), text).otherwise(latin)
+    rare = ~charset.isin("", "utf-8", "utf8", "iso-8859-1", "latin-1", "latin1")
+    found = in_charset(F.when(rare, content), F.when(rare, charset), F.lit("strict"))
+    return F.when(charset.isin("iso-8859-1", "latin-1", "latin1"), latin).otherwise(F.coalesce(found, usual))
 
 
 def plain_text(html: Column) -> Column:
@@ -71,6 +76,12 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""), F.lit(1))
 
 
+def newest_listed(html: Column) -> Column:
+    """The greatest number of an index page's msgN.html links; null for none."""
+    numbers = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']msg(\d+)\.html["']"""), F.lit(1))
+    return F.array_max(F.transform(numbers, lambda n: n.cast("long")))
+
+
 class _Tree(HTMLParser):
     """Events of list items: for the current item, the nearest item above (or beside one above) that has a subject link."""
 
@@ -130,14 +141,13 @@ def reply_parent(html: pd.Series) -> pd.Series:
 def live_messages(found: DataFrame) -> DataFrame:
     """Pages (message_number, content) with one message each; a page with neither subject nor author is dropped."""
     p = found.withColumn("html", decoded(F.col("content")))
-    body = F.regexp_extract("html", r"""(?is)<div[^>]*class="[^"]*\bmsgBody\b[^"]*"[^>]*>(.*?)</div>\s*(?:<div|<form|<!--|</body|$)""", 1)
     p = p.select(
         "message_number",
         F.nullif(F.regexp_extract("html", r"""(?is)<input[^>]*name=["']msgid["'][^>]*value=["']([^"']*)["']""", 1), F.lit("")).alias("message_id"),
         element(F.col("html"), r"""<span[^>]*class="date"[^>]*>\s*<a\b[^>]*>""", "</a>").alias("date_raw"),
         element(F.col("html"), r"""<span[^>]*class="sender[^"]*"[^>]*>.*?<span[^>]*itemprop="name"[^>]*>""", "</span>").alias("from_name"),
         element(F.col("html"), r"""<h1\b[^>]*>.*?<span[^>]*itemprop="name"[^>]*>""", "</span>").alias("subject"),
-        trimmed(F.replace(plain_text(body), F.lit("X-Body-of-Message"), F.lit(""))).alias("body_raw"),
+        trimmed(F.replace(live_body("html"), F.lit("X-Body-of-Message"), F.lit(""))).alias("body_raw"),
         reply_parent("html").alias("in_reply_to_number"),
     )
     p = p.where((F.col("subject") != "") | (F.col("from_name") != ""))
@@ -162,12 +172,40 @@ def sender_name(raw: Column) -> Column:
     return F.coalesce(_or_null(x), _or_null(F.regexp_extract(raw, r"[\w.\-+]+@[\w.\-]+", 0)), raw)
 
 
+HEADERS = r"(?:From|Subject|Date|Sent):"  # of a block
+
+
+def header_first(block: Column, page_title: Column) -> Column:
+    """A block that begins with its header: the page's title before a From: or Date: line goes, and so does what stands
+    before a header in the first eight lines; the header's lines follow each other without blanks or indentation."""
+    lines = F.split(normalized_newlines(block), "\n")
+
+    def rest(x: Column, first: Column) -> Column:
+        """From the line at `first` (from 0) on; all for null."""
+        return F.slice(x, F.coalesce(first, F.lit(0)) + 1, F.greatest(F.size(x), F.lit(1)))
+
+    def place(x: Column, fits: Callable[[Column], Column]) -> Column:
+        return F.array_min(F.filter(F.transform(x, lambda line, i: F.when(fits(line), i)), lambda i: i.isNotNull()))
+
+    def told(line: Column) -> Column:
+        return trimmed(line) != ""
+
+    named = rest(lines, F.lit(1))
+    titled = (page_title != "") & (trimmed(F.get(lines, F.lit(0))) == trimmed(page_title)) & trimmed(F.get(named, place(named, told))).rlike("^(?:From|Date):")
+    x = F.when(titled, rest(named, place(named, told))).otherwise(lines)
+    x = rest(x, place(F.slice(x, 1, 8), lambda line: line.rlike(rf"^\s*(?:{HEADERS}|From\s+\S)")))
+    body = F.coalesce(place(x, lambda line: told(line) & ~trimmed(line).rlike(f"^{HEADERS}")), F.size(x))
+    head = F.filter(F.transform(F.slice(x, 1, body), trimmed), lambda line: line != "")
+    after = F.transform(F.when(body < F.size(x), rest(x, body)).otherwise(F.array().cast("array<string>")), lambda line: F.regexp_replace(line, r"\s+$", ""))
+    return trimmed(F.regexp_replace(F.array_join(F.concat(head, after), "\n"), "\n{3,}", "\n\n"))
+
+
 def legacy_messages(found: DataFrame) -> DataFrame:
     """Pages (name, content) that hold several messages: blocks between separator lines that a header follows. Blocks under
     50 characters, and blocks without a sender, are no messages; a date may stand at the end of the block before."""
     p = found.withColumn("html", decoded(F.col("content")))
     p = p.select("name", title(F.col("html")).alias("title"), plain_text(F.col("html")).alias("text"))
-    blocks = p.select("name", "title", F.posexplode(F.split("text", BOUNDARY)).alias("place", "block")).withColumn("block", trimmed(F.col("block")))
+    blocks = p.select("name", "title", F.posexplode(F.split("text", BOUNDARY)).alias("place", "block")).withColumn("block", header_first(trimmed(F.col("block")), F.col("title")))
     page = Window.partitionBy("name").orderBy("place")
     blocks = blocks.withColumn("before", F.lag("block").over(page)).withColumn("n", F.count("*").over(Window.partitionBy("name")))
     blocks = blocks.where((F.col("n") == 1) | (F.length("block") >= 50))
@@ -195,11 +233,14 @@ def quoted_printable(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: quopri.decodestring(t.encode()).decode("utf-8", "replace"), na_action="ignore")
 
 
-def mail_body(text: Column) -> Column:
-    """A plain body; decoded if soft line ends and escapes show that it is quoted-printable."""
+def mail_body(text: Column, markup: Column | None = None) -> Column:
+    """A plain body; decoded if soft line ends and escapes, or a soft end before a <br> of its markup, show that it is
+    quoted-printable."""
     x = F.replace(F.regexp_replace(text, "\r\n?", "\n"), F.lit("\xa0"), F.lit(" "))
     soft, hexes = F.regexp_count(x, F.lit("=\n")), F.regexp_count(x, F.lit("=[0-9A-F]{2}"))
     coded = (soft >= 2) | ((soft >= 1) & (hexes >= 1)) | (hexes >= 3)
+    if markup is not None:
+        coded = coded | markup.rlike(r"(?i)=\s*\n\s*<br\s*/?>")
     return normalized_newlines(F.when(coded, quoted_printable(x)).otherwise(x))
 
 
@@ -218,10 +259,6 @@ def _span(name: str, label: str) -> Column:
 def pipermail_messages(found: DataFrame) -> DataFrame:
     """Pages (name, content) with one message each and metadata in tags, comments or spans, whichever comes first."""
     p = found.withColumn("html", decoded(F.col("content")))
-    mail = F.regexp_extract("html", r"""(?is)<div[^>]*class=["']mail["'][^>]*>(.*?)</div>""", 1)
-    mail = F.regexp_replace(mail, r"""(?is)<(address|map|dfn)\b.*?</\1>|<span[^>]*id=["']received["'].*?</span>""", "")
-    pre = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)<pre\b[^>]*>(.*?)</pre>"), F.lit(1)), "\n")
-    body = F.coalesce(_or_null(mail), _or_null(pre), F.col("html"))
     raw = [_or_null(x) for x in (_meta("created"), _comment("sent"), _span("date", "Date"))]
     p = p.select(
         F.col("name").alias("source_file"),
@@ -231,7 +268,7 @@ def pipermail_messages(found: DataFrame) -> DataFrame:
         F.coalesce(*(F.when(flexible_date(r).isNotNull(), r) for r in raw), *raw[::-1], F.lit("")).alias("date_raw"),
         F.coalesce(_or_null(_meta("author")), _or_null(_comment("name")), _or_null(sender_name(_span("from", "From"))), F.lit("")).alias("from_name"),
         title(F.col("html")).alias("subject"),
-        mail_body(plain_text(body)).alias("body_raw"),
+        mail_body(mail_text("html"), F.col("html")).alias("body_raw"),
     )
     return p.withColumns({"category": category(F.col("subject"), WHEN_PARSED), "body_clean": without_disclaimers(F.col("body_raw"))})
 
@@ -257,20 +294,21 @@ def topic_author(raw: Column) -> Column:
 
 def topic_messages(found: DataFrame, imputed: DataFrame | None = None) -> DataFrame:
     """Pages (name, content) of one topic each: sections under headings as in TOPIC_STARTS, up to "end of topic". `imputed`
-    (name, place from 0, or null for any; date_raw) gives dates to sections that have none."""
+    (name, place from 0 or null, prefix or null; date_raw) gives dates to sections that have none: by place, else by page
+    (both null), else by page and how the heading begins (in lower case)."""
     start = "|".join(TOPIC_STARTS)
     p = found.withColumn("html", decoded(F.col("content")))
     text = F.regexp_replace(plain_text(F.col("html")), r"(?is)\n[ \t]*end of topic.*$", "")
     p = p.select("name", F.coalesce(_or_null(heading(F.col("html"))), F.regexp_replace("name", r"\.html$", "")).alias("subject"), F.split(F.concat(F.lit("\n"), text), rf"(?i)\n[ \t]*(?={start})").alias("parts"))
-    s = p.select("name", "subject", F.posexplode(F.slice("parts", 2, 100_000)).alias("place", "section"))
+    s = p.select("name", "subject", F.posexplode(F.slice("parts", 2, F.size("parts"))).alias("place", "section"))
     head = rf"(?i)^(?:{start})\s*:?\s*([^\n]+(?:\n\s*- [^\n]*)?)"
-    s = s.select("name", "subject", "place", heading_parts(F.regexp_replace(F.regexp_extract("section", head, 1), r"\s+", " ")).alias("h"), trimmed(F.regexp_replace("section", head, "")).alias("body_raw"))
-    s = s.where(F.col("body_raw") != "").select("name", "place", "subject", "body_raw", topic_author(F.col("h.author")).alias("from_name"), _or_null(F.col("h.date_raw")).alias("date_raw"))
+    s = s.select("name", "subject", "place", F.lower(F.regexp_extract("section", f"(?i)^({start})", 1)).alias("prefix"), heading_parts(F.regexp_replace(F.regexp_extract("section", head, 1), r"\s+", " ")).alias("h"), trimmed(F.regexp_replace("section", head, "")).alias("body_raw"))
+    s = s.where(F.col("body_raw") != "").select("name", "place", "prefix", "subject", "body_raw", topic_author(F.col("h.author")).alias("from_name"), _or_null(F.col("h.date_raw")).alias("date_raw"))
     if imputed is not None:
-        known = imputed.select(F.col("name").alias("_name"), F.col("place").alias("_place"), F.col("date_raw").alias("_raw"))
-        exact, general = known.where("_place IS NOT NULL"), known.where("_place IS NULL").select(F.col("_name").alias("_any"), F.col("_raw").alias("_general"))
-        s = s.join(exact, (F.col("name") == F.col("_name")) & (F.col("place") == F.col("_place")), "left").join(general, F.col("name") == F.col("_any"), "left")
-        s = s.withColumn("date_raw", F.coalesce("date_raw", "_raw", "_general")).drop("_name", "_place", "_raw", "_any", "_general")
+        known = imputed if "prefix" in imputed.columns else imputed.withColumn("prefix", F.lit(None).cast("string"))
+        for i, (where, keys) in enumerate((("place IS NOT NULL", ["name", "place"]), ("place IS NULL AND prefix IS NULL", ["name"]), ("prefix IS NOT NULL", ["name", "prefix"]))):
+            s = s.join(known.where(where).select(*keys, F.col("date_raw").alias(f"_raw{i}")), keys, "left")
+        s = s.withColumn("date_raw", F.coalesce("date_raw", "_raw0", "_raw1", "_raw2"))
     return s.select(F.col("name").alias("source_file"), "place", flexible_date(F.col("date_raw")).alias("date"), F.coalesce("date_raw", F.lit("")).alias("date_raw"), "from_name", "subject", category(F.col("subject"), WHEN_PARSED).alias("category"), "body_raw", without_disclaimers(F.col("body_raw")).alias("body_clean"))
 
 

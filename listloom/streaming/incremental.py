@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dedup import latest_version, unseen
 from ..operators.threads import GAP_DAYS, thread_roots
+from ..scratch import shared_dir
 from ..sources.archive import exists
 
 
@@ -28,18 +30,19 @@ def upsert_stream(stream: DataFrame, store: str, checkpoint: str) -> StreamingQu
 
     def step(batch: DataFrame, number: int) -> None:
         spark, last = batch.sparkSession, f"{store}/v{number - 1}"
-        known = spark.read.parquet(last) if number and exists(spark, last) else None
-        out = upserted(known, batch) if known is not None else thread_roots(batch)
+        if number and not exists(spark, f"{last}/_SUCCESS"):
+            raise FileNotFoundError(f"{last} is gone: the batch alone would become the store")
+        out = upserted(spark.read.parquet(last), batch) if number else thread_roots(batch)
         out.write.mode("overwrite").parquet(f"{store}/v{number}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def newest_version(spark: SparkSession, store: str) -> DataFrame:
-    number = 0
-    while exists(spark, f"{store}/v{number + 1}/_SUCCESS"):
-        number += 1
-    return spark.read.parquet(f"{store}/v{number}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(store)
+    names = (f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+    numbers = sorted((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+    return spark.read.parquet(next(f"{store}/v{n}" for n in numbers if exists(spark, f"{store}/v{n}/_SUCCESS")))
 
 
 def volume(events: DataFrame, at: str = "ts", kind: str = "event_type", window: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -49,10 +52,17 @@ def volume(events: DataFrame, at: str = "ts", kind: str = "event_type", window:
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that a stream has now, as an in-memory table (for small aggregates)."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream has now: each batch is written to the shared folder; of complete results the last one is read, of
+    appended rows all."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/v{number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return newest_version(spark, folder) if mode == "complete" else spark.read.schema(df.schema).parquet(f"{folder}/v*")
 
 
 def gap_sessions(events: DataFrame, key: str, at: str, days: int = GAP_DAYS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Threads, duplicates, views, search, sources and incremental runs on small tables."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,6 +128,7 @@ LIVE = """<html><body><h1><span class="subject"><a><span itemprop="name">Re: A &
 <div class="msgHead"><span class="sender"><a><span itemprop="name">Ann</span></a></span> <span class="date"><a href="#">Thu, 19 Mar 2026 10:20:38 -0700</a></span></div>
 <div class="msgBody"><pre>Hello<br>you</pre>X-Body-of-Message</div><form><input name="msgid" value="m@x"></form>
 <ul class="icons"><li><span class="subject"><a href="msg00007.html">A</a></span></li><li><ul><li class="tSliceCur"><span class="subject">B</span></li></ul></li></ul></body></html>"""
+NESTED = LIVE.replace("<pre>Hello<br>you</pre>", "<div>one<div>two</div><div>three</div></div><blockquote>four<br>five</blockquote>")
 LEGACY = """<html><head><title>Topic</title></head><body>From: Ann Example &lt;a@x.example&gt;<br>Subject: First<br>Date: 16 Oct 1995<br><br>Some words that make the block long enough to count.<br>
 ********<br>From: Ben<br>Date: 17 Oct 1995<br>Subject: Re: First<br>More words that make this block long enough, too.<br>-------------<br>x = 1</body></html>"""
 PIPER = """<html><head><title>Hi</title><meta name="author" content=""></head><!-- name="Ann Example" --><!-- sent="Fri, 01 Dec 2006 22:59:17 +1300" -->
@@ -139,7 +141,7 @@ def test_pages(spark):
         return spark.createDataFrame([(8, name, bytearray(text.encode()))], "message_number long, name string, content binary")
 
     live = html.live_messages(page(LIVE)).first()
-    assert (live.subject, live.from_name, live.message_id, live.in_reply_to_number, live.body_raw) == ("Re: A & B", "Ann", "m@x", 7, "Hello\nyou")
+    assert (live.subject, live.from_name, live.message_id, live.in_reply_to_number, live.body_raw) == ("Re: A & B", "Ann", "m@x", 7, "Helloyou")
     legacy = html.legacy_messages(page(LEGACY)).orderBy("place").collect()
     assert [(r.from_name, r.subject, str(r.date)[:10]) for r in legacy] == [("Ann Example", "First", "1995-10-16"), ("Ben", "Re: First", "1995-10-17")]
     piper = html.pipermail_messages(page(PIPER, "2006-December_0015.html")).first()
@@ -151,6 +153,58 @@ def test_pages(spark):
     assert latin.select(html.decoded(F.col("c"))).first()[0] == "é"
 
 
+def test_whole_bodies_of_nested_pages(spark):
+    def page(text, charset="utf-8"):
+        return spark.createDataFrame([(8, "2006-May_1.html", bytearray(text.encode(charset)))], "message_number long, name string, content binary")
+
+    assert html.live_messages(page(NESTED)).first().body_raw == "one\n\ntwo\n\nthree\n\n> four five"
+    deep = LIVE.replace("<pre>Hello<br>you</pre>", "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>end</p>")
+    assert html.live_messages(page(deep)).first().body_raw == "deep\n\nend"
+    mail = '<title>T</title><div class="mail"><div>one</div><p>two</p> <p>three</p><div>four <dfn>x</dfn></div><span id="received">r</span></div>'
+    assert html.pipermail_messages(page(mail)).first().body_raw == "onetwo\n\nthreefour"
+    assert html.pipermail_messages(page("<title>T</title><pre>a</pre><pre>b</pre>")).first().body_raw == "a\nb"
+    soft = '<div class="mail">a long line=\n<br>goes on</div>'
+    assert html.pipermail_messages(page(soft)).first().body_raw == "a long linegoes on"
+    for charset, said in (("windows-1252", "windows-1252"), ("koi8-r", "koi8-r"), ("utf-8", "no-such"), ("utf-8", "us-ascii"), ("latin-1", "")):
+        text = f'<meta charset="{said}"><title>{"тест" if charset == "koi8-r" else "“é”" if charset != "latin-1" else "é"}</title>'
+        assert page(text, charset).select(html.decoded(F.col("content"))).first()[0] == text
+
+
+@pytest.mark.parametrize(
+    ("block", "want"),
+    [
+        ("\nPage\n\nFrom: a\n\n  Subject: b\n\nbody  \n\n\n\nend", "From: a\nSubject: b\nbody\n\nend"),
+        ("Page\nbody", "Page\nbody"),
+        ("noise\nmore\nFrom a@x.example Mon\nDate: x\nbody", "From a@x.example Mon\nDate: x\nbody"),
+        ("1\n2\n3\n4\n5\n6\n7\n8\nFrom: late", "1\n2\n3\n4\n5\n6\n7\n8\nFrom: late"),
+        ("From: a\nDate: b", "From: a\nDate: b"),
+        ("", ""),
+    ],
+)
+def test_header_first(one, block, want):
+    assert one(lambda b, t: html.header_first(b, t), block, "Page") == want
+
+
+def test_latest_version_is_the_same_in_every_run_and_keeps_rows_without_key(spark):
+    known = spark.createDataFrame([(1, "old"), (None, "x"), (2, "old")], "message_number long, subject string")
+    new = spark.createDataFrame([(1, "b"), (1, "a"), (None, "y")], "message_number long, subject string")
+    found = {tuple(sorted((r.message_number or 0, r.subject) for r in dedup.latest_version(known, new.repartition(n)).collect())) for n in (1, 2, 3)}
+    assert len(found) == 1 and {(0, "x"), (0, "y"), (2, "old")} < set(found.pop())
+
+
+def test_numbers_of_undated_messages_in_several_runs(spark, monkeypatch):
+    from listloom.operators import views
+    from listloom.plans.enrich import by_date
+
+    rows = [(n if n % 9 else None, None if n % 4 else "2020-01-%02d" % (n % 28 + 1), None if n % 7 == 0 else "s", f"u{n:03}") for n in range(200)]
+    df = spark.createDataFrame(rows, "message_number long, d string, subject string, source_url string").withColumn("date", F.to_timestamp("d"))
+    want = sorted((r.source_url, r.msg_seq) for r in views.numbered(df, by_date()).collect())
+    near = {r.message_number: r.next_source_url for r in views.with_neighbours(df.where("message_number IS NOT NULL"), column="source_url").collect()}
+    monkeypatch.setattr(views, "RUN", 16)
+    assert sorted((r.source_url, r.msg_seq) for r in views.numbered(df, by_date()).collect()) == want
+    assert {r.message_number: r.next_source_url for r in views.with_neighbours(df.where("message_number IS NOT NULL"), column="source_url").collect()} == near
+
+
 def test_gap_sessions_stream_equals_batch(spark, tmp_path):
     rows = [("k", "2020-01-01 00:00:00"), ("k", "2020-03-01 23:59:59"), ("k", "2020-05-01 23:59:59"), ("j", "2020-01-01 00:00:00")]
     df = spark.createDataFrame(rows, "key string, t string").select("key", F.to_timestamp("t").alias("at"))
@@ -166,6 +220,13 @@ def test_upsert_stream(spark, tmp_path):
     stream = spark.readStream.schema("message_number long, in_reply_to_number long").parquet(f"{tmp_path}/in")
     incremental.upsert_stream(stream, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
     assert {r.thread_id for r in incremental.newest_version(spark, f"{tmp_path}/store").collect()} == {1}
+    _messages(spark, [(10, 9)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    incremental.upsert_stream(stream, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
+    assert incremental.newest_version(spark, f"{tmp_path}/store").count() == 10
+    shutil.rmtree(f"{tmp_path}/store/v1")
+    _messages(spark, [(11, 9)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="would become the store"):
+        incremental.upsert_stream(stream, f"{tmp_path}/store", f"{tmp_path}/check").awaitTermination()
 
 
 def test_enriched_messages(spark):
