@@ -68,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for arrival in range(3):
         store.append(docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(3)), F.lit(0)) == arrival))
         store.compact()
-        store.vacuum()
+        store.vacuum(grace_seconds=0)  # nobody else writes to this store
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 

@@ -501,6 +501,8 @@ def test_store_appends_compacts_and_keeps_rows(spark, tmp_path, corpus):
     assert hashlib.md5(repr(sorted((r.doc_id, r.text) for r in store.read().collect() if r.text)).encode()).hexdigest() == digest
     assert store.read(1).count() == df.where("doc_id % 4 = 0").count()  # older versions stay readable until a vacuum
     store.vacuum()
+    assert store.read(1).count()  # younger than the grace period
+    store.vacuum(grace_seconds=0)
     assert store.read().count() == len(docs)
     assert sum(f.suffix == ".parquet" for f in (tmp_path / "store").rglob("*")) == len(store.manifest()["shards"])
 
@@ -509,13 +511,50 @@ def test_store_commits_are_atomic(spark, tmp_path):
     a, b = (ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
     version = a.append(spark.range(3).toDF("n"))
     with pytest.raises(RuntimeError):
-        b._commit(version, {"schema": None, "shards": {}})
+        b._commit(version, b.manifest())
     assert b.read().count() == 3 and b.version() == version
+    (tmp_path / "s" / "manifests" / "v00000002.json").write_text('{"shards": {')  # a writer that was lost
+    assert b.version() == 1 and b.append(spark.range(2).toDF("n")) == 3 and a.read().count() == 5
     empty = ShardStore(spark, f"file://{tmp_path}/e")
     empty.append(spark.range(0).toDF("n"))
     assert empty.compact() >= 1 and empty.read().count() == 0
 
 
+def test_store_keeps_columns_of_other_appends(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fan_in=2)
+    store.append(spark.createDataFrame([(1, "a", 0.5)], "id long, text string, x double"))
+    store.append(spark.createDataFrame([(2, "b")], "id long, text string"))
+    store.append(spark.createDataFrame([("c", [1])], "text string, more array<int>"))
+    want = {(1, "a", 0.5, None), (2, "b", None, None), (None, "c", None, (1,))}
+
+    def held():
+        return {(r.id, r.text, r.x, r.more and tuple(r.more)) for r in store.read().collect()}
+
+    assert held() == want
+    store.compact()
+    store.vacuum(grace_seconds=0)
+    assert len(store.manifest()["shards"]) == 1 and held() == want
+    version = store.version()
+    for bad in ("id string", "ID long"):
+        with pytest.raises(ValueError, match="column"):
+            store.append(spark.createDataFrame([], bad))
+    assert store.version() == version
+
+
+def test_vacuum_spares_an_append_under_way(spark, tmp_path, monkeypatch):
+    a, b = (ShardStore(spark, f"file://{tmp_path}/s") for _ in range(2))
+    a.append(spark.range(3).toDF("n"))
+    write = ShardStore._write
+    monkeypatch.setattr(a, "_write", lambda df: (write(a, df), b.vacuum())[0])  # between the write and the commit
+    a.append(spark.range(4).toDF("n"))
+    assert b.read().count() == 7
+
+
+def test_tiers_at_exact_powers(spark, tmp_path):
+    store = ShardStore(spark, f"file://{tmp_path}/s", fan_in=5)
+    assert [store._tier(5**k) for k in range(20)] == list(range(20)) and [store._tier(5**k - 1) for k in range(1, 20)] == list(range(19))
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, name):
     import duckdb
