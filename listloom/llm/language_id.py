@@ -7,8 +7,8 @@ regression on the landmark features gives a weight for each landmark and languag
 products a batch.
 
 Defined cases: null text or text without a letter gives `und` and score 0; without any training row every text is
-`und`; texts are used whole; rows with one id are scored one by one; other columns are ignored; ties go to the
-language that sorts first.
+`und`; texts of any length are used whole; rows with one id are scored one by one (in training, one of those with one label
+counts); other columns are ignored; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .common import as_bytes, pieces
 ORDERS = {2: 2048, 3: 4096, 4: 4096}  # n: slots
 SLOTS = sum(ORDERS.values())
 PIECE_BYTES, PIECE_ROWS = 4 << 20, 256
+PARTS = 64  # of a label, that are ranked on their own
 
 
 @dataclass
@@ -57,17 +58,21 @@ def kernel(found: np.ndarray, landmarks: np.ndarray, sizes: np.ndarray) -> np.nd
     return shared / np.sqrt(np.maximum(found.sum(1, dtype=np.float32), 1)[:, None] * sizes[None, :])
 
 
-def training_sample(train: DataFrame, label: str, per_label: int, max_labels: int) -> DataFrame:
-    """Ids of at most `per_label` rows of each of the `max_labels` most frequent labels, chosen by a hash of the id."""
-    known = train.where(F.col(label).isNotNull()).select("doc_id", label)
-    kept = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).select(label)
-    first = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    return known.join(F.broadcast(kept), label).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= per_label).drop("nth")
+def training_sample(train: DataFrame, label: str, n_sample: int) -> DataFrame:
+    """doc_id and label of a sample that all labels share evenly, at least one row each, chosen by a hash of the id. Rows are
+    ranked in parts first, so that no task ranks all rows of a frequent label."""
+    known = train.where(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label")).distinct()
+    labels = known.agg(F.count_distinct("label")).first()[0]
+    each, draw = max(1, n_sample // max(1, labels)), F.xxhash64("doc_id")
+    for part in (F.pmod(draw, F.lit(PARTS)), F.lit(0)):
+        first = Window.partitionBy("label", part).orderBy(draw, "doc_id")
+        known = known.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).drop("nth")
+    return known
 
 
-def fit(train: DataFrame, label: str = "lang", per_label: int = 300, max_labels: int = 16, n_landmarks: int = 128, ridge: float = 1e-2) -> Model:
-    """Fit on a bounded sample of labelled rows: `per_label` x `max_labels` texts, of which the driver gets only the
-    packed slot bits (1.3 kB each)."""
+def fit(train: DataFrame, label: str = "lang", n_sample: int = 1200, n_landmarks: int = 128, ridge: float = 1e-2) -> Model:
+    """Fit on a bounded sample of labelled rows: `n_sample` texts (one for each label, if there are more labels), of which
+    the driver gets only the packed slot bits (1.3 kB each). Landmarks are shared evenly too, at least two a label."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", PIECE_BYTES, PIECE_ROWS):
@@ -75,15 +80,16 @@ def fit(train: DataFrame, label: str = "lang", per_label: int = 300, max_labels:
             yield pa.record_batch({"doc_id": b["doc_id"], "label": b["label"], "bits": pa.array([x.tobytes() for x in packed], pa.binary())})
 
     train = train.where(F.col("text").rlike(r"\p{L}"))
-    sample = training_sample(train, label, per_label, max_labels).select("doc_id").distinct()
-    texts = train.where(F.col(label).isNotNull()).join(F.broadcast(sample), "doc_id").select("doc_id", F.col(label).alias("label"), "text")
-    rows = sorted(texts.mapInArrow(bits, "doc_id long, label string, bits binary").collect(), key=lambda r: (r.doc_id, r.label, r.bits))
+    sample = training_sample(train, label, n_sample)
+    texts = train.select("doc_id", F.col(label).alias("label"), "text").join(F.broadcast(sample), ["doc_id", "label"])  # as large as the sample
+    found = texts.mapInArrow(bits, "doc_id long, label string, bits binary").groupBy("doc_id", "label").agg(F.min("bits").alias("bits"))
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id, r.label))
     languages = sorted({r.label for r in rows})
     if not rows:
         return Model([], np.zeros((SLOTS, 0), np.float32), np.zeros(0, np.float32), np.zeros((0, 0), np.float32))
     found = np.unpackbits(np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(len(rows), -1), axis=1)
     of = np.array([languages.index(r.label) for r in rows])
-    share = max(1, n_landmarks // len(languages))
+    share = max(2, n_landmarks // len(languages))
     chosen = np.concatenate([np.flatnonzero(of == k)[:share] for k in range(len(languages))])
     landmarks = found[chosen].T.astype(np.float32)
     sizes = np.maximum(landmarks.sum(0), 1)

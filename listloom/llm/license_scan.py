@@ -32,7 +32,7 @@ from .decontaminate import words
 WIDTH, WINDOW, STRIDE = 5, 20, 8  # a window has two blocks of STRIDE shingles
 SEGMENT = WINDOW - STRIDE + 1
 BANDS, UNIVERSE, THRESHOLD = 192, 1 << 19, 0.75
-PIECE_BYTES, CHUNK = 4 << 20, 1 << 14
+PIECE_BYTES, CHUNK = 1 << 20, 1 << 12
 
 # Well-known license statements.
 TEMPLATES = {
@@ -57,11 +57,11 @@ def shingles(tokens: list[bytes]) -> set[tuple[bytes, ...]]:
     return {tuple(tokens[i : i + width]) for i in range(len(tokens) - width + 1)} if tokens else set()
 
 
-def slots(texts: list[bytes]) -> list[np.ndarray]:
-    """For each text the slots of its shingles; none for fewer words than a shingle has."""
+def slots(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text the slots of its shingles (none for fewer words than a shingle has), and how many words it has."""
     words, n = word_hashes(texts, ALPHANUMERIC)
     found, ends = (rolled(words, WIDTH) >> np.uint64(64 - UNIVERSE.bit_length() + 1)).astype(np.int64), np.cumsum(n)
-    return [found[e - k : max(e - k, e - WIDTH + 1)] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    return [found[e - k : max(e - k, e - WIDTH + 1)] for e, k in zip(ends.tolist(), n.tolist(), strict=True)], n
 
 
 class Templates:
@@ -72,51 +72,57 @@ class Templates:
         self.shingles = {k: shingles(t) for k, t in self.tokens.items() if t}
         second = np.random.default_rng(77).permutation(UNIVERSE).astype(np.int32)
         self.second = np.concatenate([second, second[: BANDS - 1]])
-        self.minima = defaultdict(set)
+        self.minima, self.known = defaultdict(set), np.zeros(UNIVERSE, bool)
         for k, t in self.tokens.items():
             for i in range(0, max(1, len(t) - WIDTH + 1), SEGMENT - WIDTH + 1):
-                (s,) = slots([b" ".join(t[i : i + SEGMENT])])
+                (s,), _ = slots([b" ".join(t[i : i + SEGMENT])])
                 if len(s):
+                    self.known[s] = True
                     for band, value in enumerate(self.table()[s].min(0).tolist()):
                         self.minima[band * UNIVERSE + value].add(k)
         self.keys = np.array(sorted(self.minima), np.int64)
-        self.any = np.zeros(UNIVERSE, bool)
-        self.any[self.keys % UNIVERSE] = True
 
     def table(self) -> np.ndarray:
         return sliding_window_view(self.second, BANDS)
 
 
-def window_minima(s: np.ndarray, n_blocks: int, block: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Minima of each block of STRIDE shingles (block: ascending block number of each slot)."""
-    out = np.full((n_blocks, BANDS), UNIVERSE, np.int32)
+def candidates(docs: list[bytes], t: Templates, table: np.ndarray) -> tuple[set[tuple[int, int, str]], np.ndarray]:
+    """(document, first word of the window, template) that collide in a band; and how many words each document has. A minimum
+    names the slot that it comes from, so a window without any slot of a template collides with none: minima are drawn for
+    the other windows only."""
+    each, n_words = slots(docs)
+    n = np.array([len(s) for s in each])
+    blocks = -(-n // STRIDE) + 1  # one that stays empty ends each document
+    start = np.cumsum(blocks) - blocks
+    s = np.concatenate([np.empty(0, np.int64), *each])
+    of = np.repeat(start, n) + (np.arange(len(s)) - np.repeat(np.cumsum(n) - n, n)) // STRIDE
+    has = np.zeros(int(blocks.sum()) + 1, bool)
+    has[of[t.known[s]]] = True
+    near = has.copy()
+    near[1:] |= has[:-1]
+    near[:-1] |= has[1:]
+    of, s = of[near[of]], s[near[of]]
+    name = np.unique(of)
+    least = np.full((len(name) + 1, BANDS), UNIVERSE, np.int32)  # of each block that is left
+    place = np.searchsorted(name, of)
     for i in range(0, len(s), CHUNK):
-        part = block[i : i + CHUNK]
+        part = place[i : i + CHUNK]
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        out[part[first]] = np.minimum(out[part[first]], np.minimum.reduceat(table[s[i : i + CHUNK]], first, axis=0))
-    return out
-
-
-def candidates(docs: list[bytes], t: Templates, table: np.ndarray) -> set[tuple[int, int, str]]:
-    """(document, first word of the window, template) that collide in a band."""
-    each = slots(docs)
-    blocks = np.array([-(-len(s) // STRIDE) + 1 for s in each])  # one that stays empty ends each document
-    start = np.cumsum(blocks) - blocks
-    s = np.concatenate(each)
-    if not len(s) or not len(t.keys):
-        return set()
-    nth = np.arange(len(s)) - np.repeat(np.cumsum([len(x) for x in each]) - [len(x) for x in each], [len(x) for x in each])
-    least = window_minima(s, int(blocks.sum()), np.repeat(start, [len(x) for x in each]) + nth // STRIDE, table)
+        least[part[first]] = np.minimum(least[part[first]], np.minimum.reduceat(table[s[i : i + CHUNK]], first, axis=0))
     # a window is a block of shingles and the next
-    least = np.minimum(least[:-1], least[1:])
-    w, band = np.nonzero(t.any[np.minimum(least, UNIVERSE - 1)] & (least < UNIVERSE))
-    key = band * UNIVERSE + least[w, band]
-    at = np.searchsorted(t.keys, key)
-    at[at == len(t.keys)] = 0
-    hit = t.keys[at] == key
-    doc = np.searchsorted(start, w[hit], "right") - 1
-    word = (w[hit] - start[doc]) * STRIDE
-    return {(d, x, name) for d, x, k in zip(doc.tolist(), word.tolist(), key[hit].tolist(), strict=True) for name in t.minima[k]}
+    after = np.searchsorted(name, name + 1)
+    after = np.where(np.append(name, -1)[after] == name + 1, after, len(name))
+    out = set()
+    for i in range(0, len(name), CHUNK):
+        window = np.minimum(least[i : i + CHUNK][: len(name) - i], least[after[i : i + CHUNK]])
+        key = window + np.arange(BANDS, dtype=np.int64) * UNIVERSE
+        at = np.minimum(np.searchsorted(t.keys, key), max(0, len(t.keys) - 1))
+        w, band = np.nonzero((t.keys[at] == key) & (window < UNIVERSE)) if len(t.keys) else (of[:0], of[:0])
+        block = name[i + w]
+        doc = np.searchsorted(start, block, "right") - 1
+        word = (block - start[doc]) * STRIDE
+        out |= {(d, x, k) for d, x, v in set(zip(doc.tolist(), word.tolist(), key[w, band].tolist(), strict=True)) for k in t.minima[v]}
+    return out, n_words
 
 
 def contained(doc: list[bytes], word: int, name: str, t: Templates) -> float:
@@ -136,21 +142,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         short = {k: s for k, s in t.shingles.items() if len(t.tokens[k]) < WIDTH}
         for b in pieces(batches, "text", PIECE_BYTES):
             texts = as_bytes(b, "text")
-            all_words = [words(x) for x in texts]
-            best: list[dict[str, tuple[float, int]]] = [{} for _ in all_words]
-            for d, word, name in sorted(candidates(texts, t, table)):
-                c = contained(all_words[d], word, name, t)
+            found, n_words = candidates(texts, t, table)
+            several = {d: words(texts[d]) for d in {d for d, *_ in found}}
+            best: list[dict[str, tuple[float, int]]] = [{} for _ in texts]
+            for d, word, name in sorted(found):
+                c = contained(several[d], word, name, t)
                 if c >= threshold and c > best[d].get(name, (0.0, 0))[0]:
                     best[d][name] = (c, word)
             for name, shingle in short.items():  # under five words: an exact run of words
                 (run_,) = shingle
-                for d, w in enumerate(all_words):
+                for d, w in enumerate(map(words, texts)):
                     at = next((i for i, x in enumerate(w) if x == run_[0] and tuple(w[i : i + len(run_)]) == run_), None)
                     if at is not None:
                         best[d][name] = (1.0, at)
             kind = pa.list_(pa.struct([("template", pa.string()), ("containment", pa.float64()), ("word", pa.int64())]))
-            found = [[{"template": k, "containment": c, "word": x} for k, (c, x) in sorted(m.items())] for m in best]
-            yield pa.record_batch({"doc_id": b["doc_id"], "n_words": pa.array([len(w) for w in all_words], pa.int64()), "licenses": pa.array(found, kind)})
+            matched = [[{"template": k, "containment": c, "word": x} for k, (c, x) in sorted(m.items())] for m in best]
+            yield pa.record_batch({"doc_id": b["doc_id"], "n_words": pa.array(n_words, pa.int64()), "licenses": pa.array(matched, kind)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, licenses array<struct<template:string,containment:double,word:long>>")
 

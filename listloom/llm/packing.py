@@ -10,7 +10,8 @@ its share of a hot source or cluster; only lengths and keys are shuffled. Nothin
 new bin opens.
 
 Defined cases: null text and text without words have no tokens and no bin (bin_id null); null sources count as one
-source; rows with one doc_id and text are copies of each other and never share a bin; ties go by doc_id and piece; an
+source; rows with one doc_id and text are copies of each other and never share a bin; a text of any length is packed whole,
+in pieces of the capacity; ties go by doc_id and piece; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -55,15 +56,20 @@ def place(sizes: list[int], sources: list[int], clusters: list[int], capacity: i
     return bins, offsets
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_size: int = GROUP_SIZE) -> DataFrame:
-    """One row for each piece: doc_id, piece, first_token, n_tokens, bin_id, offset in the bin. Tokens are words."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, group_size: int = GROUP_SIZE, clusters: DataFrame | None = None) -> DataFrame:
+    """One row for each piece: doc_id, piece, first_token, n_tokens, bin_id, offset in the bin. Tokens are words. clusters
+    (doc_id, cluster: one row for an id) says which documents are duplicates of each other, as near-duplicate detection
+    does; documents without one, and all if it isn't given, are duplicates if their texts are equal but for case."""
     lengths = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.xxhash64("source"), F.lit(0)).alias("source"),
+        F.xxhash64("source").alias("source"),  # all nulls have one hash
         F.xxhash64(F.lower("text")).alias("cluster"),
         F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long").alias("n"),
     )
     lengths = written(lengths, "lengths")  # text is read once
+    if clusters is not None:
+        named = clusters.select("doc_id", F.xxhash64(F.col("cluster").cast("string"), F.lit("cluster")).alias("_cluster"))
+        lengths = lengths.join(named, "doc_id", "left").withColumn("cluster", F.coalesce("_cluster", "cluster")).drop("_cluster")
     cut = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / capacity).cast("int") - 1, F.lit(0)))
     parts = lengths.select("*", F.explode(cut).alias("piece")).withColumn("first_token", F.col("piece") * F.lit(capacity).cast("long"))
     parts = parts.withColumn("n_tokens", F.least(F.col("n") - F.col("first_token"), F.lit(capacity))).drop("n")

@@ -2,13 +2,16 @@
 
 Features: hashed counts of byte n-grams (n in `ORDERS`) of the whole text, log-scaled, and terms for how much it repeats
 itself (word pairs, words in a row, lines: the decile of each share), weighted by inverse document frequency and of unit
-length. A truncated SVD of a bounded labelled sample gives the latent space. The sample's latent
+length. How much the terms for repetition weigh is learned: of `WEIGHTS` the one with which the sample's rows, each left
+out in turn, are voted on best. A truncated SVD of a bounded labelled sample gives the latent space. The sample's latent
 vectors are broadcast (their number is a parameter, so is the size); exact cosines of a block of documents with all of
-them are one matrix product, and the labels of the nearest `k` vote with their similarity as the weight.
+them are one matrix product, and the labels of the nearest `k` vote with their similarity (to the fourth power) as the
+weight.
 
 Defined cases: null and empty texts have no features and get the sample's share of label 1; a document with no
-neighbour of positive similarity gets the same; without labelled rows the share is 0.5; repeated rows are scored one
-by one; ties between neighbours go to the one earlier in the sample (by id); other columns are ignored.
+neighbour of positive similarity gets the same; without labelled rows the share is 0.5; texts of any length are used whole;
+repeated rows are scored one by one (of those with one id and label one is learned from); ties between neighbours go to
+the one earlier in the sample (by id); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, pieces
 
 ORDERS = {1: 256, 2: 1024, 3: 1024}  # n: slots
-DECILES, DECILE_LOG = 30, 15.0  # three shares in ten terms each; the log-scaled count of such a term
+DECILES = 30  # three shares in ten terms each
+WEIGHTS = (0.0, 2.0, 5.0, 10.0, 15.0, 20.0)  # of these terms: fitting takes the one that votes best on the sample itself
 SLOTS = sum(ORDERS.values()) + DECILES
 PIECE_BYTES, PIECE_ROWS = 4 << 20, 256
 
@@ -66,7 +70,7 @@ def counts(texts: list[bytes]) -> np.ndarray:
             start += slots
     for i, t in enumerate(texts):
         if t:
-            found[i, [start + k for k in repetition(t)]] = np.expm1(DECILE_LOG)
+            found[i, [start + k for k in repetition(t)]] = np.expm1(1.0)
     return found
 
 
@@ -88,35 +92,61 @@ def fit(docs: DataFrame, labels: DataFrame, n_labelled: int = 3000, rank: int =
     ids = docs.where(F.length("text") > 0).select("doc_id")
     sample = known.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_labelled)
     # a limit bounds what is broadcast here
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").where(F.length("text") > 0).mapInArrow(shrink, "doc_id long, quality int, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r.doc_id, r.quality, r.x))[: 2 * n_labelled]
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample.distinct()), "doc_id").where(F.length("text") > 0).mapInArrow(shrink, "doc_id long, quality int, x binary")
+    rows = sorted(rows.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).collect(), key=lambda r: (r.doc_id, r.quality))
     if not rows:
         return Model(np.ones(SLOTS, np.float32), np.zeros((SLOTS, 1), np.float32), np.zeros((1, 0), np.float32), np.zeros(0, np.float32), 0.5, k)
     found = np.expm1(np.frombuffer(b"".join(r.x for r in rows), np.float16).reshape(len(rows), SLOTS).astype(np.float32))
     y = np.array([r.quality for r in rows], np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + (found > 0).sum(0))) + 1).astype(np.float32)
+    models = [latent(found, y, w, rank, k, seed) for w in WEIGHTS]
+    return min(models, key=lambda m: left_out_loss(found, m))  # the first of equals
+
+
+def latent(found: np.ndarray, y: np.ndarray, weight: float, rank: int, k: int, seed: int) -> Model:
+    """The model of a sample with the terms for repetition at one weight."""
+    idf = (np.log((1 + len(y)) / (1 + (found > 0).sum(0))) + 1).astype(np.float32)
+    idf[-DECILES:] *= weight
     x = weighted(found, idf)
     # randomized SVD: two passes of subspace iteration
     q = np.linalg.qr(x.T @ (x @ np.random.default_rng(seed).standard_normal((SLOTS, min(2 * rank, SLOTS))).astype(np.float32)))[0]
     q = np.linalg.qr(x.T @ (x @ q))[0]
     _, _, v = np.linalg.svd(x @ q, full_matrices=False)
     basis = (q @ v[:rank].T).astype(np.float32)
-    latent = x @ basis
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return Model(idf, basis, np.ascontiguousarray(latent.T), y, float(y.mean()), min(k, len(rows)))
+    z = unit(x @ basis)
+    return Model(idf, basis, np.ascontiguousarray(z.T), y, float(y.mean()), min(k, len(y)))
+
+
+def unit(z: np.ndarray) -> np.ndarray:
+    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+
+
+def voted(near: np.ndarray, m: Model) -> np.ndarray:
+    """The vote of the k nearest for each row of similarities; of equally near ones, the first."""
+    least = np.partition(near, near.shape[1] - m.k, axis=1)[:, near.shape[1] - m.k][:, None]
+    above, level = near > least, near == least
+    chosen = above | (level & (np.cumsum(level, 1) <= m.k - above.sum(1, keepdims=True)))
+    weight = np.where(chosen, np.maximum(near, 0), 0).astype(np.float64) ** 4
+    total = weight.sum(1)
+    return np.where(total > 1e-12, (weight @ m.labels) / np.maximum(total, 1e-12), m.share).clip(0, 1)
+
+
+def left_out_loss(found: np.ndarray, m: Model) -> float:
+    """Log loss of the sample's rows, each voted on by the others; both labels weigh the same."""
+    loss, z = np.empty(len(m.labels)), m.vectors.T
+    for i in range(0, len(z), PIECE_ROWS):
+        near = z[i : i + PIECE_ROWS] @ m.vectors
+        near[np.arange(len(near)), i + np.arange(len(near))] = -1
+        p = voted(near, m).clip(0.01, 0.99)
+        y = m.labels[i : i + PIECE_ROWS]
+        loss[i : i + PIECE_ROWS] = -np.log(np.where(y == 1, p, 1 - p))
+    return float(sum(loss[m.labels == c].mean() for c in (0, 1) if (m.labels == c).any()))
 
 
 def votes(texts: list[bytes], m: Model) -> np.ndarray:
-    z = weighted(counts(texts), m.idf) @ m.basis
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
     out = np.full(len(texts), m.share)
     if m.vectors.shape[1]:
-        near = z @ m.vectors
-        top = np.argpartition(-near, m.k - 1, axis=1)[:, : m.k]
-        weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** 4
-        total = weight.sum(1)
-        some = (total > 1e-12) & np.array([bool(t) for t in texts])
-        out[some] = ((weight * m.labels[top]).sum(1)[some] / total[some]).clip(0, 1)
+        some = np.array([bool(t) for t in texts])
+        out[some] = voted(unit(weighted(counts([t for t in texts if t]), m.idf) @ m.basis) @ m.vectors, m)
     return out
 
 
