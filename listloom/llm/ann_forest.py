@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +37,8 @@ from .common import written
 
 TREES, BITS, CANDIDATES = 64, 32, 24_000
 BAND = 1.25
-ARRAY, BLOCK = 1 << 16, 8192  # entries of one array, vectors of one block, at most
+ARRAY, BLOCK = 1 << 16, 1 << 15  # entries of one array, vectors of one block, at most (places are 16-bit numbers)
+QUERIES = 2048  # that one task compares with a block
 SUBTREE = ["band", "tree", "prefix"]
 GROUP = [*SUBTREE, "shard", "part"]
 
@@ -100,17 +100,17 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 
 def stored(rows: DataFrame, n: int) -> DataFrame:
-    """The n vectors with the block and the place in it that they are written to."""
+    """The n vectors with the block and the place in it that they are written to. Vectors are dealt by a hash, so blocks are
+    nearly full whatever the partitioning; one that runs over has a second part."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, before = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            nth = before + np.arange(b.num_rows)
-            yield pa.record_batch({**{c: b[c] for c in ("vec_id", "embedding", "band")}, "block": pa.array(block + nth // BLOCK), "place": pa.array((nth % BLOCK).astype(np.int32))})
-            before += b.num_rows
+    def run(dealt: pa.Table) -> pa.Table:
+        nth = np.arange(len(dealt))
+        block = (np.int64(dealt["dealt"][0].as_py()) << 20) + nth // BLOCK
+        return pa.table({**{c: dealt[c] for c in ("vec_id", "embedding", "band")}, "block": pa.array(block), "place": pa.array((nth % BLOCK).astype(np.int32))})
 
-    dealt = rows.repartition(1 + n * 5 // (4 * BLOCK), "vec_id")
-    return written(dealt.mapInArrow(run, "vec_id long, embedding array<double>, band int, block long, place int"), "vectors")
+    many = 1 + n * 5 // (4 * BLOCK)
+    dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(many)))
+    return written(dealt.groupBy("dealt").applyInArrow(run, "vec_id long, embedding array<double>, band int, block long, place int"), "vectors")
 
 
 class Array:
@@ -264,12 +264,12 @@ def best_of_block(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
         x, ids, query = matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
         place, where = vectors["place"].to_numpy(), np.full(BLOCK, -1)
         where[place] = np.arange(len(place))
-        for i in range(0, len(query), 128):
-            part = queries.slice(i, 128)
+        for i in range(0, len(query), 64):
+            part = queries.slice(i, 64)
             v, wanted = matrix(part["embedding"]), np.zeros((len(part), len(ids)), bool)
             for j, lists in enumerate(part["places"].to_pylist()):
                 wanted[j, where[np.frombuffer(b"".join(lists), np.int16)]] = True
-            wanted &= ids[None, :] != query[i : i + 128, None]
+            wanted &= ids[None, :] != query[i : i + 64, None]
             with np.errstate(over="ignore", invalid="ignore"):
                 near = np.where(wanted, v @ x.T, -np.inf)
             if near.shape[1] > k:
@@ -301,7 +301,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     given = written(valid(queries).where(F.col("dim") == known.dim).select("vec_id", "embedding"), "queries")
     lists = candidate_lists(index, given, known.dim, trees, bits, candidates, seed)
 
-    parts = lists.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    parts = lists.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
     copies = index.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "vec_id", "embedding", "place")
     wanted = lists.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).join(given.withColumnRenamed("vec_id", "query_id"), "query_id")
     wanted = wanted.select(F.col("block").alias("_block"), F.col("part").alias("_part"), "query_id", "embedding", "places")
