@@ -11,7 +11,8 @@ from listloom.llm.common import DOCUMENT_COLUMNS, held_out, matching, table, wri
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (predicted 0) go."""
+    """Documents that the classifier rejects (predicted 0) go. Null and empty texts get the share of label 1, so they stay
+    where most labels are good; equal rows have one verdict; an empty table stays empty."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     model = quality.fit(docs.where(~held_out()), table(spark, sf_dir, "labels"))
     return quality.score(docs, model, tuple(DOCUMENT_COLUMNS)).where("predicted = 1").select(*DOCUMENT_COLUMNS)
@@ -38,16 +39,18 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words go."""
+    """Documents of which benchmark windows cover a twentieth of the words go. Every row is judged on its own: rows are told
+    apart by id and text, and equal rows have one verdict."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    named = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
-    found = decontaminate.verdict(decontaminate.scan(named, table(spark, sf_dir, "benchmark")))
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.verdict(decontaminate.scan(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
     hit = found.where("contaminated").select("doc_id")
-    return matching(docs.withColumns({"own": F.col("doc_id"), "doc_id": F.coalesce("doc_id", F.xxhash64("text"))}), hit, "left_anti").withColumn("doc_id", F.col("own")).select(*DOCUMENT_COLUMNS)
+    return matching(docs.withColumns({"own": F.col("doc_id"), "doc_id": row}), hit, "left_anti").withColumn("doc_id", F.col("own")).select(*DOCUMENT_COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of documents in sequences of packing.CAPACITY words."""
+    """Places of documents in sequences of packing.CAPACITY words; documents without words have none, equal rows never
+    share a sequence, an empty table has no places."""
     return packing.pack(docs)
 
 
