@@ -28,28 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import ALPHANUMERIC, as_bytes, pieces, rolled, word_hashes
 from .decontaminate import words
+from .license_texts import STATEMENTS, TEXTS
 
 WIDTH, WINDOW, STRIDE = 5, 20, 8  # a window has two blocks of STRIDE shingles
 SEGMENT = WINDOW - STRIDE + 1
 BANDS, UNIVERSE, THRESHOLD = 192, 1 << 19, 0.75
 PIECE_BYTES, CHUNK = 1 << 20, 1 << 12
 
-# Well-known license statements.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "LGPL-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
+TEMPLATES = STATEMENTS | TEXTS
+TEMPLATE_BYTES = 4 << 20  # of all templates together, at most: they are broadcast
 
 
 def shingles(tokens: list[bytes]) -> set[tuple[bytes, ...]]:
@@ -132,9 +119,21 @@ def contained(doc: list[bytes], word: int, name: str, t: Templates) -> float:
     return len(have & t.shingles[name]) / len(t.shingles[name])
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, licenses (array of template, containment, word), by template."""
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates))
+def named_texts(table: DataFrame) -> dict[str, str]:
+    """A table of templates (template, text), measured before it is read. Nulls are left out; of several texts with one
+    name the least counts."""
+    rows = table.where(F.col("template").isNotNull() & F.col("text").isNotNull()).groupBy("template").agg(F.min("text").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > TEMPLATE_BYTES:
+        raise ValueError(f"templates have {size} bytes, more than the {TEMPLATE_BYTES} that are broadcast; scan them in parts")
+    return {r.template: r.text for r in rows.collect()}
+
+
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, licenses (array of template, containment, word), by template.
+    templates: texts by name, or a table of them (template, text)."""
+    texts = templates if isinstance(templates, dict) else named_texts(templates)
+    shared = docs.sparkSession.sparkContext.broadcast(Templates(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -167,9 +166,12 @@ def reference(docs: list[tuple[int, str | None]], templates: dict[str, str] = TE
     out = {}
     for d, text in docs:
         w, names = words((text or "").encode()), set()
+        whole = shingles(w)
         for k, x in templates.items():
             t = words(x.encode())
             have, span = shingles(t), 2 * len(t) + 2 * STRIDE + WINDOW
+            if len(t) >= WIDTH and len(whole & have) < threshold * len(have):
+                continue  # then no run of the text has enough of them
             if any(len(shingles(w[i : i + span]) & have) >= threshold * len(have) for i in range(max(1, len(w) - WIDTH + 1))):
                 names.add(k)
         out[d] = names

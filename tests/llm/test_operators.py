@@ -396,6 +396,32 @@ def test_licenses_equal_brute_force(spark):
     assert license_scan.scan(_empty(spark)).count() == 0
 
 
+def test_whole_license_texts_edited_and_in_part(spark):
+    """Whole texts as they are, with some words changed, cut short, or with far too much changed; from a table of templates."""
+    rng, docs, want = random.Random(18), [], {}
+    for i, (name, text) in enumerate(license_scan.TEXTS.items()):
+        w = text.split()
+        edited = [*w]
+        for k in rng.sample(range(len(w)), len(w) // 40):
+            edited[k] = "changed"
+        scattered = ["changed" if k % 4 == 0 else x for k, x in enumerate(w)]
+        for j, (part, found) in enumerate(((w, True), (edited, True), (w[: len(w) * 9 // 10], True), (w[: len(w) // 2], False), (scattered, False))):
+            docs.append((10 * i + j, f"{_words(rng, rng.randrange(200))} {' '.join(part).upper()} {_words(rng, rng.randrange(60))}"))
+            want[10 * i + j] = (name, found)
+    table = spark.createDataFrame([*license_scan.TEXTS.items(), (None, "x"), ("none", None)], "template string, text string")
+    got = {r.doc_id: {x.template for x in r.licenses} for r in license_scan.scan(_table(spark, docs), table).collect()}
+    assert got == license_scan.reference(docs, license_scan.TEXTS)
+    assert all((name in got[d]) == found for d, (name, found) in want.items())
+
+
+def test_a_table_of_templates_is_measured(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "TEMPLATE_BYTES", 10)
+    docs = _table(spark, [(1, "released under the same licence")])
+    with pytest.raises(ValueError, match="bytes"):
+        license_scan.scan(docs, spark.createDataFrame([("a", "released under the same licence")], "template string, text string"))
+    assert license_scan.named_texts(spark.createDataFrame([("a", "b c"), ("a", "a b")], "template string, text string")) == {"a": "a b"}
+
+
 # nearest neighbours
 
 
