@@ -248,6 +248,22 @@ def test_quality_held_out(spark):
     assert right > 0.95 and good > 0.98
 
 
+def test_quality_votes_equal_plain_cosine_votes():
+    """Each text against every labelled vector, one after another; its own copy in the sample included."""
+    rng = random.Random(28)
+    texts = [_words(rng, rng.randrange(1, 120), 60 + 40 * (i % 2)).encode() for i in range(60)] + [b""]
+    sample, y = quality.counts(texts[:40]), np.array([i % 2 for i in range(40)], np.float32)
+    m = quality.latent(sample, y, 2.0, 8, 5, 7)
+    got = quality.votes(texts, m)
+    assert got[-1] == m.share
+    for text, score in zip(texts[:-1], got, strict=False):
+        z = (np.log1p(quality.counts([text])[0].astype(np.float64)) * m.idf) @ m.basis
+        near = [float(z @ v) / np.linalg.norm(z) / np.linalg.norm(v) for v in m.vectors.T]
+        chosen = sorted(range(40), key=lambda i: (-near[i], i))[:5]
+        weight = [max(near[i], 0) ** 4 for i in chosen]
+        assert abs(score - sum(w * y[i] for w, i in zip(weight, chosen, strict=True)) / sum(weight)) < 1e-3
+
+
 def test_quality_of_odd_rows(spark):
     docs, labels = table(spark, TEST, "documents"), table(spark, TEST, "labels")
     model = quality.fit(docs.where(~held_out()), labels)
