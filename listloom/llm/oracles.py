@@ -47,6 +47,16 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, edges.b FROM
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)"""
 
+SIMILAR = NEAR_DUPLICATES.replace("75 * (x.n", "80 * (x.n").replace(", doc_id = component_id AS kept", "")
+
+RANKED = rf"""WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n_terms, term, count(*) AS tf FROM (SELECT doc_id, row_number() OVER () AS k, len(w) AS n_terms, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, k, n_terms, term),
+t AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n),
+r AS (SELECT item_id, doc_id, sum(t.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n_terms * s.n) // s.l))))::BIGINT AS score FROM q JOIN p USING (term) JOIN t USING (term), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10"""
+
 SHARDING = "SELECT doc_id, lang, source, n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM documents"
 
 ORACLES = {
@@ -54,4 +64,6 @@ ORACLES = {
     "op8_decontamination": DECONTAMINATION,
     "op9_minhash_near_dedup": NEAR_DUPLICATES,
     "op10_sharding": SHARDING,
+    "op11_ngram_join": SIMILAR,
+    "op13_ranked_search": RANKED,
 }

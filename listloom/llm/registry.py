@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, ranked_search, suffix_dedup, whitening
+from . import ann_forest, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, ngram_join, packing, quality, ranked_search, suffix_dedup, whitening
 from .common import held_out, shared_dir, table, written
 from .oracles import ORACLES
 from .sharding import ShardStore
@@ -72,6 +72,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +90,7 @@ QUERIES = {
     for f in (
         op1_lm_scoring, op2_best_fit_packing, op3_language_id, op4_suffix_array_dedup, op5_license_scan,
         op6_ann_forest, op7_quality_classifier, op8_decontamination, op9_minhash_near_dedup, op10_sharding,
-        op12_embedding_whitening, op13_ranked_search,
+        op11_ngram_join, op12_embedding_whitening, op13_ranked_search,
     )
 }
 
