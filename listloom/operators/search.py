@@ -35,37 +35,55 @@ def shown(found: DataFrame, docs: DataFrame, snippets: DataFrame, key: str = "ur
     return rows.withColumn("snippet", truncated(F.coalesce("snippet", F.lit("")), size))
 
 
-def inverted_index(docs: DataFrame, key: str, fields: tuple[str, ...] = tuple(FIELDS)) -> DataFrame:
-    """field, term, key, tf, length (terms of the field)."""
+def inverted_index(docs: DataFrame, key: str, fields: tuple[str, ...] = tuple(FIELDS), beside: tuple[str, ...] = ()) -> DataFrame:
+    """field, term, key, tf, length (terms of the field), and columns that stand beside them."""
     parts = F.array(*(F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("terms")) for f in fields))
-    flat = docs.select(key, F.explode(parts).alias("p")).select(key, "p.field", F.size("p.terms").cast("long").alias("length"), F.explode("p.terms").alias("term"))
-    return flat.groupBy("field", "term", key, "length").agg(F.count("*").alias("tf"))
+    flat = docs.select(key, *beside, F.explode(parts).alias("p")).select(key, *beside, "p.field", F.size("p.terms").cast("long").alias("length"), F.explode("p.terms").alias("term"))
+    return flat.groupBy("field", "term", key, "length", *beside).agg(F.count("*").alias("tf"))
 
 
 def tolerance(query: str) -> int:
     return min(len(query.strip()) // 4, 2)
 
 
+def words(query: str) -> list[str]:
+    return sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+
+
+def matches(asked: list[str], k: int) -> Column:
+    """Whether a term begins with one of the words or is at most k edits away from one."""
+    return reduce(Column.__or__, [F.col("term").startswith(w) | (F.levenshtein("term", F.lit(w), k).between(0, k) if k else F.lit(False)) for w in asked])
+
+
+def field_sizes(docs: DataFrame, fields: tuple[str, ...], *by: str) -> DataFrame:
+    """Documents and terms of each field."""
+    sizes = docs.select(*by, F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(terms(F.col(f))).alias("n")) for f in fields))).alias("p"))
+    return sizes.groupBy("p.field", *by).agg(F.count("*").alias("docs"), F.sum("p.n").alias("total"))
+
+
+def scored(found: DataFrame, sizes: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """key and score from postings of matching terms, and field sizes."""
+    sizes = sizes.groupBy("field").agg(F.sum("docs").alias("docs"), (F.sum("total") / F.sum("docs")).alias("mean"))  # one row a field
+    frequent = found.groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("field")]
+    joined = found.join(frequent, ["field", "term"]).join(F.broadcast(sizes), "field")
+    return joined.groupBy(key).agg(F.round(F.sum(weight * idf * tf), 6).alias("score"))
+
+
 def hits(docs: DataFrame, query: str, key: str, weights: dict[str, float] = FIELDS, category: str | None = None) -> DataFrame:
     """key and score of all matching documents. A term of the index matches a word of the query if it begins with it or is
     at most `tolerance` edits away (counted for the whole query). Nothing matches an empty query.
 
-    Statistics cover all documents: terms are matched first, so what is shuffled are postings of matching terms."""
-    words = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    Statistics cover all documents: terms are matched first, so what is shuffled are postings of matching terms. For many
+    queries over the same documents see search_index."""
+    asked = words(query)
     pool = docs if category is None else docs.where(F.col("category") == category)
-    index, k = inverted_index(pool, key, tuple(weights)), tolerance(query)
-    if not words:
+    index = inverted_index(pool, key, tuple(weights))
+    if not asked:
         return index.select(key, F.lit(0.0).alias("score")).limit(0)
-    matches = [F.col("term").startswith(w) | (F.levenshtein("term", F.lit(w), k).between(0, k) if k else F.lit(False)) for w in words]
-    found = index.where(reduce(Column.__or__, matches))
-    sizes = pool.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(terms(F.col(f))).alias("n")) for f in weights))).alias("p"))
-    sizes = sizes.groupBy("p.field").agg(F.count("*").alias("docs"), F.avg("p.n").alias("mean"))  # one row a field
-    frequent = found.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("field")]
-    scored = found.join(frequent, ["field", "term"]).join(F.broadcast(sizes), "field")
-    return scored.groupBy(key).agg(F.round(F.sum(weight * idf * tf), 6).alias("score"))
+    return scored(index.where(matches(asked, tolerance(query))), field_sizes(pool, tuple(weights)), key, weights)
 
 
 def top(found: DataFrame, key: str, n: int = 50) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, dates, names, quoting, text
 from ..operators import dedup, search, threads, views
+from ..operators.search_index import SearchIndex
+from ..scratch import new_folder
 from ..sources import archive, html
 from ..streaming import incremental
 from .enrich import by_date, enriched, unswapped
@@ -386,6 +390,24 @@ def search_hit_count(spark, sf_dir):
     return search.hits(_searched(spark, sf_dir), "postdok", "message_number").agg(F.count("*").alias("n_hits"))
 
 
+def _stored_index(spark, sf_dir):
+    """An index written in two arrivals."""
+    docs, index = _searched(spark, sf_dir), SearchIndex(spark, new_folder(spark, "search"))
+    return index.append(docs.where("message_number % 4 <> 0"), "message_number").append(docs.where("message_number % 4 = 0"), "message_number")
+
+
+def stored_search(spark, sf_dir):
+    """The 50 best of several queries to one written index."""
+    index, asked = _stored_index(spark, sf_dir), (("topic 17 wokshop", "event"), ("postdok", None), ("user 7", None))
+    found = [search.top(index.hits(q, category=c), "key").select(F.lit(q).alias("query"), F.col("key").alias("message_number"), "score") for q, c in asked]
+    return reduce(DataFrame.union, found)
+
+
+def stored_search_counts(spark, sf_dir):
+    index = _stored_index(spark, sf_dir)
+    return reduce(DataFrame.union, [index.hits(q).agg(F.lit(q).alias("query"), F.count("*").alias("n_hits")) for q in ("postdok", "realeased", "zzzzzz", "to")])
+
+
 def incremental_upsert(spark, sf_dir):
     m = messages(spark, sf_dir)
     return incremental.upserted(threads.thread_roots(m.where("message_number % 3 <> 0")), m.where("message_number % 5 <> 1 OR message_number % 3 = 0")).select("message_number", "thread_id", "subject")
@@ -458,6 +480,6 @@ QUERIES = {
         search_hit_count, incremental_upsert, daily_volume_stream, subjects_containing, fetch_status, page_subjects,
         years, home_feed, search_documents, search_snippets, thread_urls, event_gaps, next_number, thread_members,
         messages_with_thread, thread_list_tops, author_list_tops, one_thread, archive_span, enriched_messages,
-        search_results, live_pages, legacy_pages, monthly_pages, topic_pages, index_pages,
+        stored_search, stored_search_counts, search_results, live_pages, legacy_pages, monthly_pages, topic_pages, index_pages,
     )
 }

@@ -92,6 +92,11 @@ hits AS (SELECT message_number, round(sum(CASE field WHEN 'subject' THEN 5.0 ELS
   FROM found JOIN frequent USING (field, term) JOIN sizes USING (field) GROUP BY message_number)"""
 
 
+def _each(found: dict[str, tuple[list[str], int, str]], select: str) -> str:
+    """One SELECT for each query, all rows together."""
+    return " UNION ALL ".join(f"SELECT * FROM ({_hits(words, k, where)} {select.format(q=q)})" for q, (words, k, where) in found.items())
+
+
 _DOCUMENTS = f"""{M}, s AS (SELECT *, {_SEQ} AS msg_seq FROM m), docs AS (SELECT subject, from_name, body_clean AS body, category, coalesce(year(s.date), 0) AS year, coalesce(strftime(s.date, '%Y-%m-%d'), '') AS date,
 CASE WHEN s.date IS NULL THEN printf('/undated/%d.html', msg_seq) ELSE printf('/%d/%02d/%d.html', year(s.date), month(s.date), msg_seq) END AS url FROM s)"""
 _WS = r"trim(regexp_replace(regexp_replace(replace(text, chr(160), ' '), '=\s+', '', 'g'), '\s+', ' ', 'g'))"
@@ -203,6 +208,9 @@ CASE WHEN turn % 6 = 3 THEN NULL WHEN turn % 2 = 0 THEN '-----Original Message--
     "search_terms": f"WITH {M}, {_INDEX}, flat AS (SELECT field, message_number, len(terms) AS length, unnest(terms) AS term FROM parts) SELECT field, term, message_number, length, count(*) AS tf FROM flat GROUP BY ALL",
     "search_top50": _hits(["17", "topic", "wokshop"], 2, "WHERE category = 'event'") + " SELECT message_number, score FROM hits ORDER BY score DESC, message_number LIMIT 50",
     "search_hit_count": _hits(["postdok"], 1, "") + " SELECT count(*) AS n_hits FROM hits",
+    "stored_search": _each({"topic 17 wokshop": (["17", "topic", "wokshop"], 2, "WHERE category = 'event'"), "postdok": (["postdok"], 1, ""), "user 7": (["7", "user"], 1, "")},
+        "SELECT '{q}' AS query, message_number, score FROM hits ORDER BY score DESC, message_number LIMIT 50"),
+    "stored_search_counts": _each({"postdok": (["postdok"], 1, ""), "realeased": (["realeased"], 2, ""), "zzzzzz": (["zzzzzz"], 1, ""), "to": (["to"], 0, "")}, "SELECT '{q}' AS query, count(*) AS n_hits FROM hits"),
     "incremental_upsert": f"{_ROOTS} SELECT n AS message_number, arg_max(cur, d) AS thread_id, any_value(m.subject) AS subject FROM r JOIN m ON m.message_number = r.n GROUP BY n",
     "daily_volume_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "subjects_containing": f"WITH {M} SELECT message_number FROM m WHERE contains(lower(subject), 'workshop')",

@@ -17,6 +17,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete folders (with Spark's mark of success) in a folder; none if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+    return [n for n in names if exists(spark, f"{path}/{n}/_SUCCESS")]
+
+
 def first_existing(spark: SparkSession, *paths: str) -> DataFrame:
     """The first of the Parquet paths that is there; an error if none is."""
     for p in paths:
