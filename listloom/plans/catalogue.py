@@ -12,7 +12,9 @@ from ..operators import dedup, search, threads, views
 from ..operators.search_index import SearchIndex
 from ..scratch import new_folder
 from ..sources import archive, html
-from ..streaming import incremental
+from ..streaming import incremental, sessions
+from ..streaming.thread_store import ThreadStore, thread_stream
+from ..streaming.thread_store import page_stream as stream_of_pages
 from .enrich import by_date, enriched, unswapped
 
 PAGE = """case when o.o_orderkey % 4 in (2, 3) then concat('http://x.example/p', cast(o.o_orderkey % 4 as varchar(5)), '/', cast(o.o_custkey % 400 as varchar(20)), '-', cast(cast(o.o_orderdate as date) as varchar(20)))
@@ -413,6 +415,43 @@ def incremental_upsert(spark, sf_dir):
     return incremental.upserted(threads.thread_roots(m.where("message_number % 3 <> 0")), m.where("message_number % 5 <> 1 OR message_number % 3 = 0")).select("message_number", "thread_id", "subject")
 
 
+def incremental_threads(spark, sf_dir):
+    """Threads after four batches, in which parents often come after their replies."""
+    m, store = messages(spark, sf_dir).drop("category"), ThreadStore(spark, new_folder(spark, "threads"))
+    for part in (3, 0, 2, 1):
+        store.add(m.where(F.col("message_number") % 4 == part))
+    return store.messages().select("message_number", "thread_id")
+
+
+def page_stream(spark, sf_dir):
+    """Page files read by two runs of one stream: what each message is, its thread, and which run read it."""
+    s, folder = table(spark, sf_dir, "supplier"), new_folder(spark, "pages")
+    page = F.concat(
+        F.lit('<html><body><h1><span class="subject"><span itemprop="name">Re: '), "s_nationkey", F.lit('</span></span></h1><div class="msgHead"><span class="sender"><span itemprop="name">'), "s_name",
+        F.lit('</span></span></div><div class="msgBody">text</div><ul><li><span class="subject"><a href="msg'), F.floor(F.col("s_suppkey") / 3), F.lit('.html">x</a></span><ul><li class="tSliceCur">this</li></ul></li></ul></body></html>'),
+    )
+    files = s.select("s_suppkey", F.concat(F.lit("msg"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0"), F.lit(".html")).alias("page"), page.alias("html"))
+
+    def parse(batch):
+        number = F.regexp_extract("path", r"msg(\d+)\.html", 1).cast("long")
+        return html.live_messages(batch.select(number.alias("message_number"), "content"))
+
+    for part in (1, 0):  # later pages are parents of earlier ones
+        files.where(F.col("s_suppkey") % 2 == part).drop("s_suppkey").write.mode("append").partitionBy("page").text(f"{folder}/in")
+        thread_stream(stream_of_pages(spark, f"{folder}/in"), f"{folder}/store", f"{folder}/checkpoint", parse).awaitTermination()
+    return ThreadStore(spark, f"{folder}/store").messages().select("message_number", "from_name", "subject", "in_reply_to_number", "thread_id", F.col("batch").cast("long").alias("batch"))
+
+
+def gap_sessions_stream(spark, sf_dir):
+    """Sessions of events that arrive file by file in no order, some without a time."""
+    e, folder = table(spark, sf_dir, "events"), new_folder(spark, "events")
+    e = e.select("event_id", "user_id", F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp")).alias("ts"))
+    e.repartition(6, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", "2").parquet(f"{folder}/in")
+    told = incremental.run_to_table(sessions.gap_sessions(stream, "user_id", "ts", "event_id", days=1), "sessions", "update", sessions.ROCKS)
+    return sessions.latest(told, "user_id", "event_id")
+
+
 def daily_volume_stream(spark, sf_dir):
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
     out = incremental.run_to_table(incremental.volume(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "listloom_daily_volume")
@@ -480,6 +519,6 @@ QUERIES = {
         search_hit_count, incremental_upsert, daily_volume_stream, subjects_containing, fetch_status, page_subjects,
         years, home_feed, search_documents, search_snippets, thread_urls, event_gaps, next_number, thread_members,
         messages_with_thread, thread_list_tops, author_list_tops, one_thread, archive_span, enriched_messages,
-        stored_search, stored_search_counts, search_results, live_pages, legacy_pages, monthly_pages, topic_pages, index_pages,
+        stored_search, stored_search_counts, incremental_threads, page_stream, gap_sessions_stream, search_results, live_pages, legacy_pages, monthly_pages, topic_pages, index_pages,
     )
 }

@@ -211,6 +211,13 @@ CASE WHEN turn % 6 = 3 THEN NULL WHEN turn % 2 = 0 THEN '-----Original Message--
     "stored_search": _each({"topic 17 wokshop": (["17", "topic", "wokshop"], 2, "WHERE category = 'event'"), "postdok": (["postdok"], 1, ""), "user 7": (["7", "user"], 1, "")},
         "SELECT '{q}' AS query, message_number, score FROM hits ORDER BY score DESC, message_number LIMIT 50"),
     "stored_search_counts": _each({"postdok": (["postdok"], 1, ""), "realeased": (["realeased"], 2, ""), "zzzzzz": (["zzzzzz"], 1, ""), "to": (["to"], 0, "")}, "SELECT '{q}' AS query, count(*) AS n_hits FROM hits"),
+    "incremental_threads": f"{_ROOTS} SELECT n AS message_number, arg_max(cur, d) AS thread_id FROM r GROUP BY n",
+    "page_stream": """WITH RECURSIVE r AS (SELECT s_suppkey AS n, s_suppkey AS cur FROM supplier UNION ALL SELECT n, cur // 3 FROM r WHERE cur >= 3)
+SELECT s_suppkey AS message_number, s_name AS from_name, 'Re: ' || s_nationkey AS subject, nullif(s_suppkey // 3, 0) AS in_reply_to_number, min(cur) AS thread_id, CASE WHEN s_suppkey % 2 = 1 THEN 0 ELSE 1 END AS batch
+FROM supplier JOIN r ON n = s_suppkey GROUP BY ALL""",
+    "gap_sessions_stream": """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 50 <> 0 THEN epoch_us(ts) END AS t FROM events),
+g AS (SELECT *, CASE WHEN (t - lag(t) OVER (PARTITION BY user_id, t IS NULL ORDER BY t, event_id)) // 86400000000 > 1 THEN 1 ELSE 0 END AS gap FROM e)
+SELECT user_id, event_id, CASE WHEN t IS NOT NULL AND user_id IS NOT NULL THEN sum(gap) OVER (PARTITION BY user_id, t IS NULL ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT END AS session FROM g""",
     "incremental_upsert": f"{_ROOTS} SELECT n AS message_number, arg_max(cur, d) AS thread_id, any_value(m.subject) AS subject FROM r JOIN m ON m.message_number = r.n GROUP BY n",
     "daily_volume_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "subjects_containing": f"WITH {M} SELECT message_number FROM m WHERE contains(lower(subject), 'workshop')",

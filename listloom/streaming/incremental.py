@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.dedup import latest_version, unseen
-from ..operators.threads import GAP_DAYS, thread_roots
+from ..operators.threads import thread_roots
 from ..scratch import shared_dir
 from ..sources.archive import exists
+from .sessions import configured
 
 
 def upserted(known: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:
@@ -51,35 +48,16 @@ def volume(events: DataFrame, at: str = "ts", kind: str = "event_type", window:
     return by.select(F.col("window.start").alias("start"), kind, "n")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+def run_to_table(df: DataFrame, name: str, mode: str = "complete", settings: dict[str, str] | None = None) -> DataFrame:
     """All that a stream has now: each batch is written to the shared folder; of complete results the last one is read, of
-    appended rows all."""
+    appended or updated rows all. `settings` hold for this query only."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/v{number}")
 
-    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    with configured(spark, settings or {}):
+        query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return newest_version(spark, folder) if mode == "complete" else spark.read.schema(df.schema).parquet(f"{folder}/v*")
-
-
-def gap_sessions(events: DataFrame, key: str, at: str, days: int = GAP_DAYS) -> DataFrame:
-    """A stream's events (in order within a key) with the number of their session: it rises after a gap of more than `days`
-    whole days, exactly as in the batch. The state of a key is its last time and its number."""
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, number = state.get if state.exists else (None, 0)
-        rows = pd.concat(frames).sort_values(at)
-        times = rows[at].astype("int64") // 1000 if str(rows[at].dtype).endswith("[ns]") else rows[at].astype("int64")
-        numbers = []
-        for t in times:
-            number += last is not None and (t - last) // 86_400_000_000 > days
-            last = t
-            numbers.append(number)
-        state.update((int(last), int(number)))
-        yield pd.DataFrame({key: [name[0]] * len(rows), at: rows[at], "session": numbers})
-
-    kinds = dict(events.dtypes)
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {at} {kinds[at]}, session long", "last long, number long", "append", GroupStateTimeout.NoTimeout)

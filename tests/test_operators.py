@@ -205,15 +205,6 @@ def test_numbers_of_undated_messages_in_several_runs(spark, monkeypatch):
     assert {r.message_number: r.next_source_url for r in views.with_neighbours(df.where("message_number IS NOT NULL"), column="source_url").collect()} == near
 
 
-def test_gap_sessions_stream_equals_batch(spark, tmp_path):
-    rows = [("k", "2020-01-01 00:00:00"), ("k", "2020-03-01 23:59:59"), ("k", "2020-05-01 23:59:59"), ("j", "2020-01-01 00:00:00")]
-    df = spark.createDataFrame(rows, "key string, t string").select("key", F.to_timestamp("t").alias("at"))
-    df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    out = incremental.run_to_table(incremental.gap_sessions(stream, "key", "at"), "gap_sessions_test", "append")
-    assert sorted((r.key, r.session) for r in out.collect()) == [("j", 0), ("k", 0), ("k", 0), ("k", 1)]
-
-
 def test_upsert_stream(spark, tmp_path):
     rows = [(n, n // 2 or None) for n in range(1, 10)]
     _messages(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
