@@ -21,9 +21,8 @@ def priority(source: Column, order: tuple[str, ...] = SOURCES) -> Column:
 
 def ordinal(sort_by_priority: bool = True) -> list[Column]:
     """A total order, so that keep-first doesn't depend on partitioning."""
-    digest = F.sha2(F.concat_ws("\x1f", F.coalesce("subject", F.lit("\x00")), F.coalesce("from_name", F.lit("\x00")), F.coalesce("body_clean", F.lit("\x00"))), 256)
     first = [priority(F.col("source"))] if sort_by_priority else []
-    return [*first, F.col("date").asc_nulls_first(), F.col("message_number").asc_nulls_last(), F.col("source_url").asc_nulls_last(), digest]
+    return [*first, F.col("date").asc_nulls_first(), F.col("message_number").asc_nulls_last(), F.col("source_url").asc_nulls_last(), F.col("subject"), F.col("from_name"), F.col("body_clean")]
 
 
 def resolved(messages: DataFrame, tag: str = "[list]") -> DataFrame:

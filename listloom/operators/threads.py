@@ -74,27 +74,36 @@ def thread_key(page_sources: tuple[str, ...] = ("legacy", "topic")) -> Column:
     )
 
 
-def split_at_gaps(messages: DataFrame, key: str, order: list[Column], date: str = "date", days: int = GAP_DAYS, eligible: Column | None = None, out: str | None = None) -> DataFrame:
+def split_at_gaps(messages: DataFrame, key: str, order: list[Column] | None = None, date: str = "date", days: int = GAP_DAYS, eligible: Column | None = None, out: str | None = None) -> DataFrame:
     """Appends #1, #2 … to the key after each gap of more than `days` whole days to the message before. Messages without a
-    date, and those not eligible, keep their key and don't count as the message before."""
+    date, and those not eligible, keep their key and don't count as the message before.
+
+    There is no such gap within a day, so only the first and last time of each key's days are scanned, and a key with very
+    many messages is as many rows there as it has days. `order` doesn't matter for the result."""
     fits = F.col(date).isNotNull() & F.col(key).isNotNull() & (F.lit(True) if eligible is None else eligible)
-    run = Window.partitionBy(key, "_fits").orderBy(*order)
-    found = messages.withColumn("_fits", F.coalesce(fits, F.lit(False)))
-    gap = whole_days(F.col(date), F.lag(date).over(run)) > days
-    found = found.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
-    number = F.sum("_gap").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = found.withColumn("_number", F.when(F.col("_fits"), number))
+    found = messages.withColumn("_day", F.when(fits, F.to_date(date)))
+    times = found.where(F.col("_day").isNotNull()).groupBy(F.col(key).alias("_k"), F.col("_day").alias("_d")).agg(F.min(date).alias("_first"), F.max(date).alias("_last"))
+    run = Window.partitionBy("_k").orderBy("_d")
+    gap = F.coalesce(whole_days(F.col("_first"), F.lag("_last").over(run)) > days, F.lit(False)).cast("int")
+    later = times.withColumn("_gap", gap).withColumn("_number", F.sum("_gap").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_number > 0")
+    found = found.join(later.select("_k", "_d", "_number"), (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
     named = F.when(F.col("_number") > 0, F.concat(F.col(key), F.lit("#"), F.col("_number").cast("string"))).otherwise(F.col(key))
-    return found.withColumn(out or key, named).drop("_fits", "_gap", "_number")
+    return found.withColumn(out or key, named).drop("_day", "_k", "_d", "_number")
 
 
 def display_threads(messages: DataFrame, order: list[Column], days: int = GAP_DAYS, page_source: str = "topic", mixed_source: str = "legacy") -> DataFrame:
     """Adds display_thread_key. One source goes by page; another by page only where the page mixes subjects or has a blank
-    one; blank subjects go by their thread key, or stand alone; all others by subject. Then gaps split."""
-    key = group_key(F.col("subject"))
-    page = Window.partitionBy("source_url")
-    mixed = (F.min(key).over(page) != F.max(key).over(page)) | F.max((key == NO_SUBJECT).cast("int")).over(page).cast("boolean")
-    found = messages.withColumn("_mixed", (F.col("source") == mixed_source) & F.col("source_url").isNotNull() & mixed)
+    one; blank subjects go by their thread key, or stand alone; all others by subject. Then gaps split.
+
+    The messages are written once: pages, gaps and the result read from there what they need."""
+    messages = written(messages.withColumn("_key", group_key(F.col("subject"))), "messages")
+    key = F.col("_key")
+    here = F.max((F.col("source") == mixed_source).cast("int"))
+    keys = messages.where(F.col("source_url").isNotNull()).groupBy("source_url", "_key").agg(here.alias("_here"))
+    pages = keys.groupBy(F.col("source_url").alias("_url")).agg(F.count("*").alias("_n"), F.max((key == NO_SUBJECT).cast("int")).alias("_blank"), F.max("_here").alias("_here"))
+    mixed = written(pages.where("_here = 1 AND (_n > 1 OR _blank = 1)").select("_url", F.lit(True).alias("_mixed")), "mixed")
+    found = messages.join(mixed, F.when(F.col("source") == mixed_source, F.col("source_url")) == F.col("_url"), "left").drop("_url")
+    found = found.withColumn("_mixed", F.coalesce("_mixed", F.lit(False)))
     by_page = ((F.col("source") == page_source) & F.col("source_url").isNotNull()) | F.col("_mixed")
     base = (
         F.when(by_page, F.concat(F.lit("page:"), F.col("source_url")))
@@ -102,16 +111,25 @@ def display_threads(messages: DataFrame, order: list[Column], days: int = GAP_DA
         .when(key == NO_SUBJECT, F.concat(F.lit("msg-"), F.col("message_number").cast("string")))
         .otherwise(key)
     )
-    found = found.withColumn("display_thread_key", base).drop("_mixed")
+    found = found.withColumn("display_thread_key", base).drop("_mixed", "_key")
     return split_at_gaps(found, "display_thread_key", order, days=days)
 
 
+RUN = 1 << 16  # undated messages that are ordered at once
+
+
 def thread_order(messages: DataFrame, thread: str = "display_thread_key") -> DataFrame:
     """Adds position (from 1) in the thread: the earliest message that is no reply, then the others by date (undated last)
-    and number in the month."""
-    by = [F.col("date").isNull(), F.col("date"), F.col("msg_seq"), F.col("message_number")]
-    found = messages.withColumn("_place", F.row_number().over(Window.partitionBy(thread).orderBy(*by)))
-    whole = Window.partitionBy(thread)
-    start = F.min(F.when(~is_reply(F.col("subject")), F.col("_place"))).over(whole)
-    found = found.withColumn("_first", F.coalesce(F.col("_place") == start, F.lit(False)))
-    return found.withColumn("position", F.row_number().over(whole.orderBy(F.desc("_first"), "_place"))).drop("_place", "_first")
+    and number in the month. Messages are ordered within a thread's days (undated ones in runs of their numbers in the
+    month); over a whole thread only the days' counts are summed up. The messages are written once, in between."""
+    run = F.when(F.col("date").isNull(), F.coalesce(F.floor(F.col("msg_seq") / RUN), F.lit(-1))).otherwise(F.lit(0)).cast("long")
+    found = messages.withColumns({"_day": F.to_date("date"), "_run": run})
+    found = written(found.withColumn("_own", F.row_number().over(Window.partitionBy(thread, "_day", "_run").orderBy("date", "msg_seq", "message_number"))), "ordered")
+    days = found.groupBy(F.col(thread).alias("_t"), F.col("_day").alias("_d"), F.col("_run").alias("_r")).agg(F.count("*").alias("_n"), F.min(F.when(~is_reply(F.col("subject")), F.col("_own"))).alias("_open"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_t").orderBy(F.col("_d").asc_nulls_last(), "_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.withColumn("_before", before).withColumn("_start", F.min(F.col("_before") + F.col("_open")).over(Window.partitionBy("_t")))
+    same = F.col(thread).eqNullSafe(F.col("_t")) & F.col("_day").eqNullSafe(F.col("_d")) & (F.col("_run") == F.col("_r"))
+    found = found.join(days.select("_t", "_d", "_r", "_before", "_start"), same)
+    place, start = F.col("_own") + F.col("_before"), F.col("_start")
+    position = F.when(place == start, F.lit(1)).when(place < start, place + 1).otherwise(place).cast("int")
+    return found.withColumn("position", position).drop("_day", "_run", "_own", "_t", "_d", "_r", "_before", "_start")

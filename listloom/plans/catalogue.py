@@ -180,7 +180,7 @@ def keyed_threads(spark, sf_dir):
 
 
 def _displayed(spark, sf_dir):
-    m = views.numbered(messages(spark, sf_dir), by_date()).withColumn("thread_key", threads.thread_key())
+    m = views.numbered(messages(spark, sf_dir).drop("category", "body_clean"), by_date()).withColumn("thread_key", threads.thread_key())
     return threads.thread_order(threads.display_threads(m, by_date()))
 
 

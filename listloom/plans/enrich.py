@@ -10,6 +10,7 @@ from ..functions.names import normalized_author, overridden
 from ..functions.text import display_subject, name_from_address
 from ..operators.threads import display_threads, split_at_gaps, thread_key
 from ..operators.views import author_slug, message_url, numbered
+from ..scratch import written
 
 
 def by_date() -> list[Column]:
@@ -31,6 +32,7 @@ def enriched(messages: DataFrame, overrides: DataFrame | None = None, decode: bo
     m = m.withColumn("subject", F.when(F.col("subject").isNotNull(), display_subject(F.col("subject"))))
     m = m.withColumn("from_name", normalized_author(F.col("from_name"), decode=decode)) if overrides is None else overridden(m, overrides, decode=decode)
     m = m.withColumns({"author_slug": author_slug(F.col("from_name")), "thread_key": thread_key()})
+    m = written(m, "messages")  # the steps below read it several times
     native = F.col("thread_id").isNotNull() | (F.col("source").isin("legacy", "topic") & F.col("source_url").isNotNull())
     m = split_at_gaps(m, "thread_key", by_date(), eligible=~native)
     m = numbered(m, by_date())
