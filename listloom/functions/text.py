@@ -6,6 +6,8 @@ unless a function says otherwise.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,13 +147,40 @@ def normalized_newlines(text: Column) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(x, "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
 
 
+# Letters by their usual Latin spelling, those with a mark of their own first.
+SPELLED = {
+    "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ð": "d", "ø": "o", "đ": "d", "ł": "l", "ħ": "h", "ı": "i", "ŧ": "t",
+    "ё": "io", "ї": "yi", "є": "ie", "і": "i", "ґ": "g", "ђ": "d", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "c", "џ": "dz",
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ы": "y", "ь": "", "э": "e", "ю": "iu", "я": "ia",
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+MARKED = ((0xC0, 0x250), (0x370, 0x530), (0x1E00, 0x2000))  # code points of letters that Unicode composes with marks
+
+
+def _bare_letters() -> dict[str, str]:
+    """Lower-case letters with marks, and the letter without them."""
+    found = ((chr(c), unicodedata.normalize("NFD", chr(c))[0]) for low, high in MARKED for c in range(low, high) if chr(c) not in SPELLED)
+    return {c: bare for c, bare in found if bare != c and c == c.lower()}
+
+
+def transliterated(text: Column) -> Column:
+    """Lower-case text with Latin, Greek and Cyrillic letters spelled in ASCII: marks go, then each letter has its spelling.
+    Text that is ASCII already is left alone."""
+    bare = _bare_letters()
+    one, more = {k: v for k, v in SPELLED.items() if len(v) == 1}, {k: v for k, v in SPELLED.items() if len(v) != 1}
+    x = text
+    for letter, spelled in more.items():
+        x = F.replace(x, F.lit(letter), F.lit(spelled))
+    for table in (bare, one):
+        x = F.translate(x, "".join(table), "".join(table.values()))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(x, r"\p{M}+", "")).otherwise(text)
+
+
 def slug(text: Column, size: int | None = None) -> Column:
-    """Lower-case ASCII words joined by hyphens; accents of Latin letters and separators in numbers go."""
-    x = F.lower(text)
-    for letter, plain in (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th")):
-        x = F.replace(x, F.lit(letter), F.lit(plain))
-    x = F.translate(x, "àáâãäåçèéêëìíîïðñòóôõöøùúûüýÿšžłđ", "aaaaaaceeeeiiiidnoooooouuuuyyszld")
-    x = F.regexp_replace(F.regexp_replace(x, r"(?<=\d),(?=\d)", ""), "[^a-z0-9]+", "-")
+    """Lower-case ASCII words joined by hyphens; letters are transliterated, separators in numbers go."""
+    x = F.regexp_replace(F.regexp_replace(transliterated(F.lower(text)), r"(?<=\d),(?=\d)", ""), "[^a-z0-9]+", "-")
     x = F.regexp_replace(x, "^-+|-+$", "")
     return x if size is None else F.substring(x, 1, size)
 

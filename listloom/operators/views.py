@@ -180,15 +180,15 @@ def month_threads(df: DataFrame, thread: str = "thread_key") -> DataFrame:
 
 
 def sorted_threads(meta: DataFrame, by: str = "recent") -> DataFrame:
-    """Thread lists: recent, count or subject."""
-    key = F.lower("subject")
+    """Thread lists: recent, count or subject (in the order of Unicode's collation, which puts case and accents last)."""
+    key = F.collate(F.col("subject"), "UNICODE")
     orders = {"recent": [F.desc("last_date")], "count": [F.desc("n_messages"), F.desc("last_date")], "subject": [key]}
     return meta.orderBy(*orders[by], "display_thread_key")
 
 
 def sorted_authors(index: DataFrame, by: str = "name") -> DataFrame:
-    """Author lists: name, name_desc, count or recent."""
-    key = F.lower("name")
+    """Author lists: name, name_desc (in the order of Unicode's collation), count or recent."""
+    key = F.collate(F.col("name"), "UNICODE")
     orders = {"name": [key], "name_desc": [key.desc()], "count": [F.desc("n")], "recent": [F.desc("last_year"), F.desc("n")]}
     return index.orderBy(*orders[by], "author_slug")
 

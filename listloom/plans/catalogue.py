@@ -452,6 +452,85 @@ def gap_sessions_stream(spark, sf_dir):
     return sessions.latest(told, "user_id", "event_id")
 
 
+def yearly_files(spark, sf_dir):
+    """Messages written by year, read from the first path that exists, together with those sources that are there."""
+    m, folder = messages(spark, sf_dir), new_folder(spark, "archive")
+    for source in ("live", "topic"):
+        archive.write_by_year(m.where(F.col("source") == source), f"{folder}/{source}")
+    years = archive.first_existing(spark, f"{folder}/none", f"{folder}/live").groupBy("year").agg(F.count("*").alias("n")).select(F.lit("live by year").alias("source"), F.col("year").cast("long").alias("year"), "n")
+    both = archive.load_sources(spark, {k: f"{folder}/{k}" for k in ("live", "legacy", "topic")})
+    return years.union(both.groupBy("source", F.year("date").cast("long").alias("year")).agg(F.count("*").alias("n")))
+
+
+def alias_file(spark, sf_dir):
+    """Names replaced by a JSON object of aliases that is written and read."""
+    s, folder = table(spark, sf_dir, "supplier"), new_folder(spark, "aliases")
+    some = s.select("s_name", F.concat(F.lit('Firm "'), F.col("s_nationkey").cast("string"), F.lit('"')).alias("name"))
+    archive.json_map(some, "s_name", "name").write.text(folder)
+    found = archive.overrides(spark, folder)
+    none = archive.overrides(spark, f"{folder}/none")
+    return s.join(found.union(none), F.col("s_name") == F.col("alias"), "left").select("s_suppkey", "canonical")
+
+
+def snapshot_manifest(spark, sf_dir):
+    """Lines of an index listing and links of its pages, the newest of each URL, as a manifest that is written and read."""
+    c, folder = table(spark, sf_dir, "customer"), new_folder(spark, "listing")
+    stamp = F.concat(F.lit("2006"), F.lpad((F.col("c_custkey") % 12 + 1).cast("string"), 2, "0"), F.lit("01000000"))
+    line = F.when(F.col("c_custkey") % 10 == 0, F.lit("malformed")).otherwise(F.concat(stamp, F.lit(" http://a.example/list/"), F.col("c_custkey") % 500, F.when(F.col("c_custkey") % 7 == 0, F.lit(".txt")).otherwise(".html")))
+    c.select(line).write.text(f"{folder}/lines")
+    listed = archive.index_listing(spark, f"{folder}/lines", r"\.html$")
+    pages = c.select(F.concat(F.lit("https://archive.example/web/"), stamp, F.lit("/http://a.example/")).alias("url"), F.concat(F.lit('<a HREF="/new/'), F.col("c_custkey") % 300, F.lit('.html">x</a> <a href="http://a.example/list/'), F.col("c_custkey") % 500, F.lit('.html">y</a><a href="z.gif">z</a>')).alias("html"))
+    links = archive.harvested_links(pages, "html", "http://a.example/", r"\.html$")
+    archive.write_manifest(dedup.newest(listed.union(links), "url", tie=""), f"{folder}/manifest")
+    return archive.read_manifest(spark, f"{folder}/manifest")
+
+
+def feed_files(spark, sf_dir):
+    """The home feed and the search documents as JSON lines, read again."""
+    folder, feed, docs = new_folder(spark, "feeds"), views.home_feed(messages(spark, sf_dir)), _documents(spark, sf_dir)
+    archive.write_json(feed, f"{folder}/feed")
+    archive.write_json(docs, f"{folder}/docs")
+    feed, docs = (spark.read.schema(x.schema).json(f"{folder}/{k}") for k, x in (("feed", feed), ("docs", docs)))
+    return feed.groupBy(F.lit("feed").alias("file"), F.col("year").cast("long").alias("year")).agg(F.count("*").alias("n")).union(docs.groupBy(F.lit("docs"), F.col("year").cast("long")).agg(F.count("*")))
+
+
+def clustered_threads(spark, sf_dir):
+    """Messages and their threads from two tables in buckets of the thread, joined and counted without an exchange."""
+    m, folder = messages(spark, sf_dir).select("message_number", "date", text.group_key(F.col("subject")).alias("thread")), new_folder(spark, "clustered")
+    names = [f"listloom_{x}_{folder.rsplit('-', 1)[1]}" for x in ("messages", "threads")]
+    archive.write_clustered(m, names[0], "thread", 8, f"{folder}/messages")
+    archive.write_clustered(m.groupBy("thread").agg(F.min("date").alias("first")), names[1], "thread", 8, f"{folder}/threads")
+    late = F.count_if(F.col("date") > F.date_add("first", 365))
+    return spark.table(names[0]).join(spark.table(names[1]).hint("merge"), "thread").groupBy("thread").agg(F.count("*").alias("n"), late.alias("n_late"))
+
+
+def number_from_footers(spark, sf_dir):
+    """The next number after those of a written archive, from its footers."""
+    folder = new_folder(spark, "numbers")
+    messages(spark, sf_dir).select("message_number").write.parquet(folder)
+    return spark.range(1).select(F.lit((archive.greatest(spark, folder) or 0) + 1).cast("long").alias("next_number"))
+
+
+FOREIGN = ("Жанна Щукина", "Ελένη Ψαρρού", "Łukasz Żółć", "Đặng Thùy", "Юлія Їжак", "plain")
+
+
+def transliterated_slugs(spark, sf_dir):
+    name = F.concat(F.element_at(F.array(*map(F.lit, FOREIGN)), (F.col("c_custkey") % len(FOREIGN) + 1).cast("int")), F.lit(" "), F.col("c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.slug(name).alias("slug"))
+
+
+def quoted_blocks(spark, sf_dir):
+    """Replies over wrapped header blocks in several languages, and over dated quotes; near misses stay whole."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[\s>@<:]+", " ").alias("text"))
+    blocks = (
+        "From: Ann\nExample <a@x.example>\nSent: Monday\nTo: B\nSubject: x\n\nold", "Van: Ann\nVerzonden: maandag\nAan: B\nOnderwerp: x\n\nold", "De : Ann\nEnvoyé : lundi\nÀ : B\nObjet : x\n\nold",
+        "2020-01-02 10:00 GMT Ann\n<a@x.example>\n> one\n> two\n> three", "From: Ann\nTo: B\n\nno block", "12 May 2020\n> one\n> two",
+    )
+    block = F.element_at(F.array(*map(F.lit, blocks)), (F.col("conv_id") % len(blocks) + 1).cast("int"))
+    split = quoting.reply_split(F.concat(F.lit("new "), "text", F.lit(" end\n\n"), block), F.lit("live"))
+    return c.select("conv_id", "turn", split.alias("s")).select("conv_id", "turn", F.md5("s.main").alias("main_md5"), "s.quoted")
+
+
 def daily_volume_stream(spark, sf_dir):
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
     out = incremental.run_to_table(incremental.volume(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "listloom_daily_volume")
@@ -519,6 +598,7 @@ QUERIES = {
         search_hit_count, incremental_upsert, daily_volume_stream, subjects_containing, fetch_status, page_subjects,
         years, home_feed, search_documents, search_snippets, thread_urls, event_gaps, next_number, thread_members,
         messages_with_thread, thread_list_tops, author_list_tops, one_thread, archive_span, enriched_messages,
-        stored_search, stored_search_counts, incremental_threads, page_stream, gap_sessions_stream, search_results, live_pages, legacy_pages, monthly_pages, topic_pages, index_pages,
+        stored_search, stored_search_counts, incremental_threads, page_stream, gap_sessions_stream,
+        yearly_files, alias_file, snapshot_manifest, feed_files, clustered_threads, number_from_footers, transliterated_slugs, quoted_blocks, search_results, live_pages, legacy_pages, monthly_pages, topic_pages, index_pages,
     )
 }

@@ -218,6 +218,21 @@ FROM supplier JOIN r ON n = s_suppkey GROUP BY ALL""",
     "gap_sessions_stream": """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 50 <> 0 THEN epoch_us(ts) END AS t FROM events),
 g AS (SELECT *, CASE WHEN (t - lag(t) OVER (PARTITION BY user_id, t IS NULL ORDER BY t, event_id)) // 86400000000 > 1 THEN 1 ELSE 0 END AS gap FROM e)
 SELECT user_id, event_id, CASE WHEN t IS NOT NULL AND user_id IS NOT NULL THEN sum(gap) OVER (PARTITION BY user_id, t IS NULL ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)::BIGINT END AS session FROM g""",
+    "yearly_files": f"""WITH {M} SELECT 'live by year' AS source, year(date) AS year, count(*) AS n FROM m WHERE source = 'live' GROUP BY 2
+UNION ALL SELECT source, year(date), count(*) FROM m WHERE source IN ('live', 'topic') GROUP BY ALL""",
+    "alias_file": """SELECT s_suppkey, 'Firm "' || s_nationkey || '"' AS canonical FROM supplier""",
+    "snapshot_manifest": """WITH c AS (SELECT c_custkey AS k, '2006' || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '01000000' AS stamp FROM customer),
+listed AS (SELECT stamp, 'http://a.example/list/' || k % 500 || '.html' AS url FROM c WHERE k % 10 <> 0 AND k % 7 <> 0),
+links AS (SELECT min(stamp) AS stamp, url FROM (SELECT stamp, 'http://a.example/new/' || k % 300 || '.html' AS url FROM c UNION ALL SELECT stamp, 'http://a.example/list/' || k % 500 || '.html' FROM c) GROUP BY url)
+SELECT max(stamp) AS timestamp, url FROM (FROM listed UNION ALL FROM links) GROUP BY url""",
+    "clustered_threads": f"""WITH {M}, t AS (SELECT {_group_key('subject')} AS thread, date, min(date) OVER (PARTITION BY {_group_key('subject')}) AS first FROM m)
+SELECT thread, count(*) AS n, count(*) FILTER (date > CAST(CAST(first AS DATE) + 365 AS TIMESTAMP)) AS n_late FROM t GROUP BY thread""",
+    "number_from_footers": f"WITH {M} SELECT max(message_number) + 1 AS next_number FROM m",
+    "transliterated_slugs": """SELECT c_custkey, ['zhanna-shchukina', 'elene-psarrou', 'lukasz-zolc', 'dang-thuy', 'iuliia-yizhak', 'plain'][CAST(c_custkey % 6 + 1 AS BIGINT)] || '-' || c_custkey AS slug FROM customer""",
+    "quoted_blocks": r"""WITH c AS (SELECT *, conv_id % 6 AS k, 'new ' || regexp_replace(text, '[\s>@<:]+', ' ', 'g') || ' end' AS main FROM conversations),
+b AS (SELECT *, [E'From: Ann\nExample <a@x.example>\nSent: Monday\nTo: B\nSubject: x\n\nold', E'Van: Ann\nVerzonden: maandag\nAan: B\nOnderwerp: x\n\nold', E'De : Ann\nEnvoyé : lundi\nÀ : B\nObjet : x\n\nold',
+  E'2020-01-02 10:00 GMT Ann\n<a@x.example>\n> one\n> two\n> three', E'From: Ann\nTo: B\n\nno block', E'12 May 2020\n> one\n> two'][CAST(k + 1 AS BIGINT)] AS block FROM c)
+SELECT conv_id, turn, md5(CASE WHEN k < 4 THEN main ELSE main || E'\n\n' || block END) AS main_md5, CASE WHEN k < 4 THEN block END AS quoted FROM b""",
     "incremental_upsert": f"{_ROOTS} SELECT n AS message_number, arg_max(cur, d) AS thread_id, any_value(m.subject) AS subject FROM r JOIN m ON m.message_number = r.n GROUP BY n",
     "daily_volume_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "subjects_containing": f"WITH {M} SELECT message_number FROM m WHERE contains(lower(subject), 'workshop')",
@@ -239,3 +254,5 @@ n AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS U
 SELECT event_id, CASE WHEN number > 0 THEN user_id || '#' || number ELSE CAST(user_id AS VARCHAR) END AS key FROM n""",
     "next_number": "SELECT coalesce(max(o_orderkey), 0) + 1 AS next_number FROM orders",
 }
+ORACLES["feed_files"] = f"""WITH {_DOCUMENTS} SELECT 'docs' AS file, year, count(*) AS n FROM docs GROUP BY year
+UNION ALL SELECT 'feed', year, count(*) FROM ({ORACLES["home_feed"]}) GROUP BY year"""

@@ -1,5 +1,8 @@
 """A session with the settings the operators rely on."""
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -14,3 +17,16 @@ SETTINGS = {
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("listloom").config(map=SETTINGS | settings)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+@contextlib.contextmanager
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that hold while a query is planned or a stream is started (which keeps them); the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

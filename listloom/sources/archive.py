@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import cleaned_name
 from ..schemas import MANIFEST, MESSAGES
+from ..session import configured
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -128,6 +129,28 @@ def write_by_year(messages: DataFrame, path: str) -> None:
     messages.withColumn("year", F.year("date")).write.partitionBy("year").parquet(path)
 
 
+def json_map(df: DataFrame, key: str, value: str) -> DataFrame:
+    """One row `value`: a JSON object of a small table's keys and values, as `overrides` reads it. Of equal keys one stays."""
+    pairs = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("k")).agg(F.min(F.col(value).cast("string")).alias("v"))
+    return pairs.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v"))))).alias("value"))
+
+
+def write_clustered(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
+    """A table in buckets of `key`, sorted by it: joins and groups on the key of tables with as many buckets need no
+    exchange. A bucket is written as one sorted file."""
+    write = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    (write if path is None else write.option("path", path)).saveAsTable(table)
+
+
+def greatest(spark: SparkSession, path: str, column: str = "message_number") -> int | None:
+    """The greatest value of a Parquet column, from the files' footers: the rows aren't read."""
+    with configured(spark, FOOTERS):
+        return spark.read.parquet(path).agg(F.max(column)).first()[0]
+
+
+FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
 def declared(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Columns cast to a declared schema."""
     return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))

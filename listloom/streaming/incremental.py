@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.dedup import latest_version, unseen
 from ..operators.threads import thread_roots
 from ..scratch import shared_dir
+from ..session import configured
 from ..sources.archive import exists
-from .sessions import configured
 
 
 def upserted(known: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:
