@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -102,11 +103,29 @@ def _once(x: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), use), F.lit(0))
 
 
+def _shape(x: Column) -> Column:
+    """The string with each run of letters as A and each number, with its sign, as 9."""
+    return F.regexp_replace(F.regexp_replace(x, "[A-Za-z]+", "A"), "[+-]?[0-9]+", "9")
+
+
+def _shape_of(pattern: str) -> str:
+    """The shape of every string that a format fits."""
+    letters = re.sub("'[^']*'", "A", pattern)
+    signs = re.sub(r"([A-Za-z])\1*", lambda run: "A" if run[0] in ("A", "a") or run[0].startswith("MMM") else "9", letters)
+    return re.sub("[+-]9", "9", signs)
+
+
 def _first_fit(candidate: Column) -> Column:
+    """Formats are tried only on strings of their shape: a try that fails is an exception inside."""
     ignored = r"\s[AaPp][Mm]$"
     forms = F.array(candidate, with_century(candidate), F.when(candidate.rlike(ignored), F.regexp_replace(candidate, ignored, "")))
     place = {"": 0, "yy": 1, "24h AM": 2}
-    return _once(forms, lambda x: F.coalesce(*(F.try_to_timestamp(F.get(x, F.lit(place[kind])), F.lit(pattern)) for pattern, kind in FORMATS)))
+
+    def tried(pattern: str, form: Column) -> Column:
+        return F.when(form["shape"] == _shape_of(pattern), F.try_to_timestamp(form["text"], F.lit(pattern)))
+
+    shaped = F.transform(forms, lambda x: F.struct(x.alias("text"), _shape(x).alias("shape")))
+    return _once(shaped, lambda x: F.coalesce(*(tried(pattern, F.get(x, F.lit(place[kind]))) for pattern, kind in FORMATS)))
 
 
 def flexible_date(x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,21 +31,26 @@ def resolved(messages: DataFrame, tag: str = "[list]") -> DataFrame:
     """One message of each group with equal subject key, body signature (blank subjects only), day and author: that of
     the source with the best priority. Groups within one page keep all their different messages, unless a key is null.
 
-    One shuffle by the coarse key serves the group's statistics and the choice; restored rows need one more."""
+    One shuffle by the coarse key serves the group's statistics, the choice and the follow-ups: messages that are equal in all
+    of EXACT are in one group. Null is equal to nothing there, so of a page's group the chosen message with a null among
+    them stands beside itself as a follow-up."""
     keyed = messages.withColumn("_subject", merge_key(F.col("subject"), tag)).withColumn("_day", F.to_date("date"))
     keyed = keyed.withColumn("_body", blank_subject_signature(F.coalesce("_subject", F.lit("")), F.col("body_clean")))
-    group = Window.partitionBy("_subject", "_body", "_day", "from_name")
+    keys = ("_subject", "_body", "_day", "from_name")
+    group = Window.partitionBy(*keys)
     n, urls = F.count("*").over(group), F.count("source_url").over(group)
     one_page = (urls == 0) | ((urls == n) & (F.min("source_url").over(group) == F.max("source_url").over(group)))
     known = F.col("_subject").isNotNull() & F.col("_day").isNotNull() & F.col("from_name").isNotNull()
     ranked = keyed.withColumns({
         "_nth": F.row_number().over(group.orderBy(*ordinal())),
         "_page": known & (n > 1) & one_page,
+        "_copy": F.row_number().over(Window.partitionBy(*keys, *(c for c in EXACT if c not in keys)).orderBy(*ordinal())),
     })
-    kept = ranked.where("_nth = 1")
-    followups = ranked.where("_page").withColumn("_copy", F.row_number().over(Window.partitionBy(*EXACT).orderBy(*ordinal()))).where("_copy = 1").drop("_copy")
-    restored = followups.join(kept.select(*EXACT), list(EXACT), "left_anti")  # null keys never match: such rows stay
-    return kept.unionByName(restored).select(*messages.columns)
+    kept = F.col("_nth") == 1
+    incomplete = reduce(Column.__or__, [F.col(c).isNull() for c in EXACT])
+    followup = F.col("_page") & (F.col("_copy") == 1) & (~kept | incomplete)
+    times = kept.cast("int") + F.coalesce(followup, F.lit(False)).cast("int")
+    return ranked.withColumn("_times", times).where("_times > 0").withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*messages.columns)
 
 
 def newest(entries: DataFrame, key: str, at: str = "timestamp", tie: str = "url") -> DataFrame:
