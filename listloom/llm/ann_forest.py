@@ -10,8 +10,11 @@ once, in blocks, and a query's candidates reach a block as a list of places.
 Only directions are hashed. Vectors are parted into bands of norms, in each of which the largest norm is at most `BAND`
 times the smallest, so that inner products there are nearly in the order of cosines; every band has trees of its own and
 every query searches all bands. Of vectors that are equal, the k + 1 with the smallest ids enter the index: none of the
-others can be among the k nearest of any query (equal: by a 128-bit digest). The same parameters hold at every size: work for a query is bounded by
-`candidates` in each band, whatever the number of vectors.
+others can be among the k nearest of any query (equal: by a 128-bit digest).
+
+The same parameters hold at every size. In a band of up to `FULL` vectors a query gets `candidates` entries; beyond that the
+number grows as the vectors to the power `GROWTH`: of evenly spread directions the nearest come closer as a table grows,
+but so slowly that a hundredfold table allows one more bit of prefix, which halves the share of the table that is compared.
 
 Arrays, the queries that meet one, and the rows that meet a block are split when they are counted to be large, so no task
 holds more than bounded parts of a hot subtree.
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 TREES, BITS, CANDIDATES = 64, 32, 24_000
+FULL, GROWTH = 60_000, 0.85
 BAND = 1.25
 ARRAY, BLOCK = 1 << 16, 1 << 15  # entries of one array, vectors of one block, at most (places are 16-bit numbers)
 QUERIES = 2048  # that one task compares with a block
@@ -160,6 +164,11 @@ def forest(vectors: DataFrame, normals: np.ndarray, bits: int, cut: dict[int, in
     return written(dealt.groupBy(*SUBTREE, "shard").applyInArrow(array, kind), "arrays"), sizes
 
 
+def budget(n: int, candidates: int) -> int:
+    """Entries of all trees together that a query gets at least in a band of n vectors."""
+    return math.ceil(candidates * max(1.0, n / FULL) ** GROWTH)
+
+
 def met(arrays: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Arrays and the queries of their subtrees, both with the part: parts hold about ARRAY queries of a subtree."""
     parts = asked.groupBy(*SUBTREE).agg(F.ceil(F.count("*") / ARRAY).cast("int").alias("parts"))
@@ -170,8 +179,8 @@ def met(arrays: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, rows.select([F.col(c).alias(f"_{c}") if c in GROUP else c for c in rows.columns])
 
 
-def depths(arrays: DataFrame, sizes: DataFrame, asked: DataFrame, bits: int, cut: dict[int, int], candidates: int) -> DataFrame:
-    """query_id, band, depth: the longest prefix at which all trees together have enough entries, or 0."""
+def depths(arrays: DataFrame, sizes: DataFrame, asked: DataFrame, bits: int, cut: dict[int, int], budgets: dict[int, int]) -> DataFrame:
+    """query_id, band, depth: the longest prefix at which all trees together have the band's budget of entries, or 0."""
 
     def shared_bits(array: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(array) or not len(queries):
@@ -201,7 +210,8 @@ def depths(arrays: DataFrame, sizes: DataFrame, asked: DataFrame, bits: int, cut
         nodes = above(sizes, "size").groupBy(*SUBTREE, "depth").agg(F.sum("size").alias("n"))
         higher = above(asked, "query_id").join(nodes, [*SUBTREE, "depth"])
         found = found.union(higher.groupBy("query_id", "band", "depth").agg(F.sum("n").alias("n")))
-    enough = F.max(F.when(F.col("n") >= candidates, F.col("depth")))
+    wanted = F.create_map([F.lit(x) for pair in budgets.items() for x in pair])[F.col("band")]
+    enough = F.max(F.when(F.col("n") >= wanted, F.col("depth")))
     return found.groupBy("query_id", "band").agg(F.coalesce(enough, F.lit(0)).alias("depth"))
 
 
@@ -252,7 +262,7 @@ def candidate_lists(index: DataFrame, given: DataFrame, dim: int, trees: int, bi
                     yield pa.record_batch({"query_id": b["vec_id"], "band": pa.array(np.full(len(s), band, np.int32)), "tree": pa.array(np.full(len(s), t, np.int32)), "prefix": pa.array(s >> (bits - length)), "string": pa.array(s)})
 
     asked = written(given.mapInArrow(ask, "query_id long, band int, tree int, prefix long, string long"), "asked")
-    depth = written(depths(arrays, sizes, asked, bits, cut, candidates), "depths")
+    depth = written(depths(arrays, sizes, asked, bits, cut, {b: budget(n, candidates) for b, n in bands.items()}), "depths")
     lists = picked(arrays, asked, depth, bits, cut).groupBy("block", "query_id").agg(F.collect_list("places").alias("places"))
     return written(lists, "lists")
 

@@ -6,7 +6,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from listloom.llm import minhash_dedup, ngram_join, ranked_search, registry, whitening
+from listloom.llm import ann_forest, minhash_dedup, ngram_join, ranked_search, registry, whitening
 from listloom.llm.common import table
 
 from ..conftest import TEST
@@ -195,3 +195,33 @@ def test_one_index_serves_several_searches(spark):
     whole = {tuple(r) for r in ranked_search.search(shards, items).collect()}
     half = {tuple(r) for r in ranked_search.search(shards, items.where("item_id % 2 = 0")).collect()}
     assert half == {r for r in whole if r[0] % 2 == 0}
+
+
+# nearest neighbours
+
+
+def test_recall_holds_as_the_table_grows():
+    """The forest's rule in numpy, with its production parameters, on evenly spread directions far beyond the size at which
+    it compares everything: recall stays above 0.9, and the budget's share of the table falls."""
+    rng, shares = np.random.default_rng(5), []
+    normals = ann_forest.hyperplanes(64, ann_forest.TREES, ann_forest.BITS, 3)
+    for n in (60_000, 180_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        queries, found = x[:16], np.zeros((16, ann_forest.BITS + 1), np.int64)
+        lengths = np.zeros((ann_forest.TREES, 16, n), np.int8)
+        for t, own in enumerate(normals):
+            s = np.asarray(ann_forest.strings(x, own)).astype(np.int64)
+            for q in range(16):
+                lengths[t, q] = ann_forest.BITS - np.frexp((s ^ s[q]).astype(float))[1]
+                found[q] += np.bincount(lengths[t, q], minlength=ann_forest.BITS + 1)
+        enough, recall = ann_forest.budget(n, ann_forest.CANDIDATES), []
+        for q in range(16):
+            depth = np.flatnonzero(found[q][::-1].cumsum()[::-1] >= enough).max()
+            met = (lengths[:, q] >= depth).any(0)
+            score = x @ queries[q]
+            score[q] = -2
+            recall.append(met[np.argpartition(-score, 20)[:20]].mean())
+        assert np.mean(recall) >= 0.9
+        shares.append(enough / n)
+    assert shares[1] < shares[0] and ann_forest.budget(50_000, 24_000) == 24_000 and ann_forest.budget(6_000_000, 24_000) / 6_000_000 < shares[0] / 1.9
