@@ -165,6 +165,69 @@ def test_minimizers_cover_each_window_and_long_texts(monkeypatch):
         assert ((first <= at) & (at >= last)).all() and (at + suffix_dedup.GRAM <= first + suffix_dedup.LENGTH).all()
 
 
+def _passages(n, seed, ids):
+    """Texts of a few shared passages and some of their own."""
+    rng = random.Random(seed)
+    shared = ["".join(rng.choice("abcdefg ") for _ in range(rng.choice([49, 50, 51, 90, 400]))) for _ in range(12)]
+    return [(i, "".join(rng.choice(shared) if rng.random() < 0.5 else "".join(rng.choice("hijk ") for _ in range(60)) for _ in range(rng.randrange(6)))) for i in ids(n)]
+
+
+def test_arrivals_meet_the_stored_levels(spark, tmp_path):
+    """Arrivals in the order of their ids give what the whole table gives; levels are few; an arrival that has nothing in
+    common with the index brings none of its texts back."""
+    docs = _passages(70, 9, range)
+    want = suffix_dedup.reference(docs)
+    index, got = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"), bucket_bytes=3000), {}
+    for x in range(0, 70, 10):
+        new, earlier = docs[x : x + 10], docs[:x]
+        found = suffix_dedup.removed(_table(spark, new), index=index, earlier=_table(spark, earlier) if earlier else _empty(spark))
+        got |= {r.doc_id: (r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), bytes(r.kept)) for r in found.collect()}
+    assert got == want
+    version, levels = index.manifest()
+    assert version == 7 and len(levels) <= 4
+    picks = sum(len(suffix_dedup.minimizers(t.encode())[0]) for t in {t for _, t in docs})
+    numbers = [len(suffix_dedup.unplaned([r.numbers], "i4")) for x in levels for r in index.level(x, levels[-1]["bits"] + 2).collect()]
+    assert sum(numbers) >= picks > 0  # also when levels are cut for more buckets; texts that came twice may be there twice
+    assert index.add(_table(spark, [(900, "xyz" * 60 + "tail")]).selectExpr("xxhash64(text) h", "text")).count() == 0
+
+
+def test_arrivals_in_any_order_of_ids_and_with_copies(spark, tmp_path):
+    """Earlier arrivals come before later ones, whatever their ids; a copy of an earlier text goes as a whole."""
+    first, then = _passages(20, 3, lambda n: range(100, 100 + n)), _passages(20, 3, range)
+    index = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"))
+    suffix_dedup.removed(_table(spark, first), index=index, earlier=_empty(spark)).collect()
+    got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.removed(_table(spark, then), index=index, earlier=_table(spark, first)).collect()}
+    want = suffix_dedup.reference(first + [(1000 + i, t) for i, t in then])
+    assert got == {i: want[1000 + i][3] for i, _ in then}
+    assert all(len(got[i]) < 50 for i, _ in then)
+
+
+def test_number_of_arrivals_changes_nothing(spark):
+    docs = _passages(40, 5, range)
+    want = suffix_dedup.reference(docs)
+    for n in (1, 2, 5):
+        assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.removed(_table(spark, docs), arrivals=n).collect()} == {d: x[3] for d, x in want.items()}
+
+
+def test_merge_scan_equals_sets():
+    rng = np.random.default_rng(2)
+    a, b = (suffix_dedup.Suffixes(np.sort(rng.integers(0, 60, n).astype(np.uint64)), rng.integers(0, 3, n), np.arange(n, dtype=np.int32)) for n in (40, 70))
+    own, others = suffix_dedup.met(a, b)
+
+    def meets(h):  # the run has both sides and two texts
+        return h in a.hashes and h in b.hashes and len({*a.texts[a.hashes == h], *b.texts[b.hashes == h]}) > 1
+
+    assert own.tolist() == [meets(h) for h in a.hashes] and others.tolist() == [meets(h) for h in b.hashes]
+    assert (np.diff(a.merged(b)[0].hashes.astype(np.int64)) >= 0).all()
+
+
+def test_repeats_refuse_names_of_the_result_and_half_an_index(spark):
+    docs = _table(spark, [(1, "a")])
+    for call in (lambda: suffix_dedup.removed(docs.withColumn("h", docs.lang), keep=("h",)), lambda: suffix_dedup.removed(docs, earlier=docs)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_index_family_keeps_few_levels():
     family, rng = suffix_dedup.IndexFamily(), random.Random(5)
     seen: dict[bytes, int] = {}
