@@ -46,9 +46,9 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a window
 PART = 1 << 22  # longer texts are sampled in overlapping parts
 PIECE_BYTES, BATCH_WINDOWS = 8 << 20, 1 << 18
-BUCKET_BYTES = 16 << 20  # of text whose suffixes share a bucket
+BUCKET_BYTES = 4 << 20  # of text whose suffixes share a bucket
 ARRIVALS = 3  # into which a whole table is cut
-KEY_BITS, BLOCK = 48, 1 << 18  # of a suffix's hash; suffixes in a row of a level
+KEY_BITS, BLOCK = 48, 1 << 16  # of a suffix's hash; suffixes in a row of a level
 NOTHING = np.empty(0, np.int64)
 
 
@@ -265,9 +265,6 @@ def met(arrival: Suffixes, level: Suffixes) -> tuple[np.ndarray, np.ndarray]:
     return hit[: len(arrival.hashes)], hit[len(arrival.hashes) :]
 
 
-NULLABLE = {"kind": object, "bucket": "Int64", "block": "Int64", "texts": object, "n": object, "hashes": object, "numbers": object, "text": "Int64", "old": "boolean", "number": "Int64"}
-
-
 def _scanned(merging: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A bucket of an arrival (place -1) and of the levels, the levels from place `merging` on being merged with it: rows of
     the new level, and the suffixes that two texts have, one of them new."""
@@ -286,16 +283,21 @@ def _scanned(merging: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 found.append((level[others], True))
             found.append((arrival[hit], False))
         parts = [x for p, x in levels.items() if p >= merging] + ([arrival] if arrival else [])
-        rows = list(reduce(lambda x, y: x.merged(y)[0], parts).blocks()) if parts else []
-        level = pd.DataFrame(rows, columns=["texts", "n", "hashes", "numbers"]).assign(kind="level", bucket=bucket["bucket"].iloc[0], block=range(len(rows)))
-        shared = [pd.DataFrame({"kind": "shared", "text": x.texts, "old": old, "number": x.numbers}) for x, old in found]
-        # integers that may be null, before frames without them are joined: as floats they would lose digits
-        return pd.concat([x.reindex(columns=list(NULLABLE)).astype(NULLABLE) for x in [level, *shared]])
+        level = [reduce(lambda x, y: x.merged(y)[0], parts)] if parts else []
+        rows = [(kind, old, bucket["bucket"].iloc[0], i, *x) for kind, old, part in [*(("level", False, x) for x in level), *(("shared", old, x) for x, old in found)] for i, x in enumerate(part.blocks())]
+        return pd.DataFrame(rows, columns=["kind", "old", "bucket", "block", "texts", "n", "hashes", "numbers"])
 
     return run
 
 
-SCANNED = "kind string, bucket int, block int, texts binary, n binary, hashes binary, numbers binary, text long, old boolean, number int"
+SCANNED = "kind string, old boolean, bucket int, block int, texts binary, n binary, hashes binary, numbers binary"
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The distinct suffixes of shared rows, without their hashes."""
+    for rows in batches:
+        for old, known, of, numbers in rows.itertuples(index=False):
+            yield pd.DataFrame({"text": np.frombuffer(known, "i8")[unplaned([of], "i4")], "old": old, "number": unplaned([numbers], "i4")})
 
 
 def _cut(level: DataFrame, bits: int) -> DataFrame:
@@ -362,7 +364,8 @@ class SuffixIndex:
             rows = rows.union(self.level(level, bits).select(F.lit(place), "*"))
         path = f"{self.path}/arrival-{uuid.uuid4().hex}"
         rows.groupBy("bucket").applyInPandas(_scanned(merging), SCANNED).write.partitionBy("kind").parquet(path)
-        shared = self.spark.read.schema(SCANNED).parquet(path).where("kind = 'shared'").select("text", "old", "number")
+        shared = self.spark.read.schema(SCANNED).parquet(path).where("kind = 'shared'").select("old", "texts", "n", "numbers")
+        shared = shared.mapInPandas(_unpacked, "text long, old boolean, number int")
         if n_bytes >= LENGTH:
             self._commit(version + 1, [*levels[:merging], {"path": path, "bytes": size, "bits": bits}])
         return shared
@@ -451,7 +454,7 @@ def repeated_spans(docs: DataFrame, keep: tuple[str, ...] = (), index: SuffixInd
     else:
         shared, n_bytes = _indexed(index, units, 1)
         units = units.union(_units(earlier, (), True).select("doc_id", "h", "old", "text", *(F.lit(None).cast(dict(docs.dtypes)[k]).alias(k) for k in keep)))
-    buckets = 4 << (max(2 * spark.sparkContext.defaultParallelism, n_bytes // BUCKET_BYTES + 1) - 1).bit_length()
+    buckets = 2 << (max(2 * spark.sparkContext.defaultParallelism, n_bytes // BUCKET_BYTES + 1) - 1).bit_length()
     rows = units.select("doc_id", "h", "old", F.octet_length("text").alias("n"), F.md5("text").alias("same")).where(F.col("n") >= LENGTH)
     place = F.struct((~F.col("old")).alias("new"), F.col("doc_id"))
     owners = rows.groupBy("same", "h").agg(F.min(place).alias("owner"))
