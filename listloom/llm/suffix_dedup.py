@@ -46,7 +46,7 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a window
 PART = 1 << 22  # longer texts are sampled in overlapping parts
 PIECE_BYTES, BATCH_WINDOWS = 8 << 20, 1 << 18
-BUCKET_BYTES = 4 << 20  # of text whose suffixes share a bucket
+BUCKET_BYTES = 16 << 20  # of text whose suffixes share a bucket
 ARRIVALS = 3  # into which a whole table is cut
 KEY_BITS, BLOCK = 48, 1 << 16  # of a suffix's hash; suffixes in a row of a level
 NOTHING = np.empty(0, np.int64)
@@ -454,7 +454,7 @@ def repeated_spans(docs: DataFrame, keep: tuple[str, ...] = (), index: SuffixInd
     else:
         shared, n_bytes = _indexed(index, units, 1)
         units = units.union(_units(earlier, (), True).select("doc_id", "h", "old", "text", *(F.lit(None).cast(dict(docs.dtypes)[k]).alias(k) for k in keep)))
-    buckets = 2 << (max(2 * spark.sparkContext.defaultParallelism, n_bytes // BUCKET_BYTES + 1) - 1).bit_length()
+    buckets = 8 << (max(2 * spark.sparkContext.defaultParallelism, n_bytes // BUCKET_BYTES + 1) - 1).bit_length()
     rows = units.select("doc_id", "h", "old", F.octet_length("text").alias("n"), F.md5("text").alias("same")).where(F.col("n") >= LENGTH)
     place = F.struct((~F.col("old")).alias("new"), F.col("doc_id"))
     owners = rows.groupBy("same", "h").agg(F.min(place).alias("owner"))
