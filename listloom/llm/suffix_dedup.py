@@ -46,7 +46,7 @@ LENGTH, GRAM = 50, 20
 SPAN = LENGTH - GRAM + 1  # grams in a window
 PART = 1 << 22  # longer texts are sampled in overlapping parts
 PIECE_BYTES, BATCH_WINDOWS = 8 << 20, 1 << 18
-BUCKET_BYTES = 16 << 20  # of text whose suffixes share a bucket
+BUCKET_BYTES = 4 << 20  # of text whose suffixes share a bucket
 ARRIVALS = 3  # into which a whole table is cut
 KEY_BITS, BLOCK = 48, 1 << 16  # of a suffix's hash; suffixes in a row of a level
 NOTHING = np.empty(0, np.int64)
@@ -164,6 +164,15 @@ def unplaned(column: pd.Series, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel()
 
 
+def gaps(x: np.ndarray) -> bytes:
+    """Ascending 64-bit integers, as differences."""
+    return planes(np.diff(x.view(np.uint64), prepend=np.uint64(0)))
+
+
+def ungapped(value: bytes) -> np.ndarray:
+    return np.cumsum(unplaned([value], "u8"), dtype=np.uint64)
+
+
 def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch[name].to_numpy(zero_copy_only=False)
 
@@ -194,7 +203,7 @@ def _picks(units: DataFrame, bits: int) -> DataFrame:
             rows = []
             for name, at in _dealt((hashes >> np.uint64(KEY_BITS - bits)).astype(np.int64)):
                 unit, n = np.unique(of[at], return_counts=True)
-                rows.append((name, h[unit].tobytes(), planes(n.astype(np.int32)), planes(hashes[at]), planes(number[at])))
+                rows.append((name, gaps(h[unit]), planes(n.astype(np.int32)), planes(hashes[at]), planes(number[at])))
             yield _rows(rows, names)
 
     return units.mapInArrow(run, PICKS)
@@ -216,7 +225,7 @@ class Suffixes:
     @classmethod
     def sorted(cls, rows: pd.DataFrame) -> Suffixes:
         """Of rows of PICKS; what is repeated as a whole is one."""
-        texts = np.repeat(_joined(rows["texts"], "i8"), unplaned(rows["n"], "i4"))
+        texts = np.repeat(np.concatenate([ungapped(x) for x in rows["texts"]]).view(np.int64), unplaned(rows["n"], "i4"))
         all_ = cls(unplaned(rows["hashes"], "u8"), texts, unplaned(rows["numbers"], "i4"))
         all_ = all_[np.lexsort((all_.numbers, all_.texts, all_.hashes))]
         same = (all_.hashes[1:] == all_.hashes[:-1]) & (all_.texts[1:] == all_.texts[:-1]) & (all_.numbers[1:] == all_.numbers[:-1])
@@ -226,10 +235,8 @@ class Suffixes:
     def stored(cls, rows: pd.DataFrame) -> Suffixes:
         """Of a level's rows of one bucket, in any order."""
         rows = rows.sort_values("block")
-        hashes, texts = [], []
-        for known, of, gaps in zip(rows["texts"], rows["n"], rows["hashes"], strict=True):
-            texts.append(np.frombuffer(known, "i8")[unplaned([of], "i4")])
-            hashes.append(np.cumsum(unplaned([gaps], "u8"), dtype=np.uint64))
+        hashes = [ungapped(x) for x in rows["hashes"]]
+        texts = [ungapped(known).view(np.int64)[unplaned([of], "i4")] for known, of in zip(rows["texts"], rows["n"], strict=True)]
         return cls(np.concatenate(hashes), np.concatenate(texts), unplaned(rows["numbers"], "i4"))
 
     def blocks(self) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
@@ -237,7 +244,7 @@ class Suffixes:
         for x in range(0, len(self.hashes), BLOCK):
             part = slice(x, x + BLOCK)
             known, of = np.unique(self.texts[part], return_inverse=True)
-            yield known.tobytes(), planes(of.astype(np.int32)), planes(np.diff(self.hashes[part], prepend=np.uint64(0))), planes(self.numbers[part])
+            yield gaps(known), planes(of.astype(np.int32)), gaps(self.hashes[part]), planes(self.numbers[part])
 
     def merged(self, other: Suffixes) -> tuple[Suffixes, np.ndarray]:
         """Both in order, and where each came from (places in self, then in other). The sort merges two sorted runs."""
@@ -297,7 +304,7 @@ def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The distinct suffixes of shared rows, without their hashes."""
     for rows in batches:
         for old, known, of, numbers in rows.itertuples(index=False):
-            yield pd.DataFrame({"text": np.frombuffer(known, "i8")[unplaned([of], "i4")], "old": old, "number": unplaned([numbers], "i4")})
+            yield pd.DataFrame({"text": ungapped(known).view(np.int64)[unplaned([of], "i4")], "old": old, "number": unplaned([numbers], "i4")})
 
 
 def _cut(level: DataFrame, bits: int) -> DataFrame:
@@ -454,7 +461,7 @@ def repeated_spans(docs: DataFrame, keep: tuple[str, ...] = (), index: SuffixInd
     else:
         shared, n_bytes = _indexed(index, units, 1)
         units = units.union(_units(earlier, (), True).select("doc_id", "h", "old", "text", *(F.lit(None).cast(dict(docs.dtypes)[k]).alias(k) for k in keep)))
-    buckets = 8 << (max(2 * spark.sparkContext.defaultParallelism, n_bytes // BUCKET_BYTES + 1) - 1).bit_length()
+    buckets = 2 << (max(2 * spark.sparkContext.defaultParallelism, n_bytes // BUCKET_BYTES + 1) - 1).bit_length()
     rows = units.select("doc_id", "h", "old", F.octet_length("text").alias("n"), F.md5("text").alias("same")).where(F.col("n") >= LENGTH)
     place = F.struct((~F.col("old")).alias("new"), F.col("doc_id"))
     owners = rows.groupBy("same", "h").agg(F.min(place).alias("owner"))
