@@ -370,7 +370,9 @@ class SuffixIndex:
         for place, level in enumerate(levels):
             rows = rows.union(self.level(level, bits).select(F.lit(place), "*"))
         path = f"{self.path}/arrival-{uuid.uuid4().hex}"
-        rows.groupBy("bucket").applyInPandas(_scanned(merging), SCANNED).write.partitionBy("kind").parquet(path)
+        # packed rows compress well, so partitions joined by their shuffled size would be large in memory: the number is fixed
+        tasks = min(1 << bits, max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16))
+        rows.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_scanned(merging), SCANNED).write.partitionBy("kind").parquet(path)
         shared = self.spark.read.schema(SCANNED).parquet(path).where("kind = 'shared'").select("old", "texts", "n", "numbers")
         shared = shared.mapInPandas(_unpacked, "text long, old boolean, number int")
         if n_bytes >= LENGTH:
