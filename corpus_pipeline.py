@@ -33,7 +33,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Passages of 50 bytes and more that a document with a smaller id has are cut, in whole characters. A document that
     is left without text stays, empty; null text stays null."""
     docs = docs.select(*DOCUMENT_COLUMNS).withColumn("was_null", F.col("text").isNull())
-    left = suffix_dedup.removed(docs, keep=("lang", "source", "was_null"), whole_characters=True)
+    left = suffix_dedup.removed(docs, keep=("lang", "source", "was_null"), whole_characters=True, arrivals=1)
     left = left.withColumn("text", F.when(~F.col("was_null"), F.decode("kept", "UTF-8")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
