@@ -49,6 +49,7 @@ PIECE_BYTES, BATCH_WINDOWS = 8 << 20, 1 << 18
 BUCKET_BYTES = 4 << 20  # of text whose suffixes share a bucket
 ARRIVALS = 3  # into which a whole table is cut
 KEY_BITS, BLOCK = 48, 1 << 16  # of a suffix's hash; suffixes in a row of a level
+PLAIN_BYTES = 256  # shorter arrays of integers aren't compressed
 NOTHING = np.empty(0, np.int64)
 
 
@@ -154,13 +155,31 @@ def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """An integer array with all low bytes first, then all second bytes and so on: small numbers then compress well."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+    """An integer array as planes, all low bytes, then all second bytes and so on. A first byte tells whether they are
+    compressed, each on its own, so that the random low bytes don't spoil the high ones: then the number of integers and,
+    before each plane, its size."""
+    by_byte = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
+    if by_byte.size < PLAIN_BYTES:
+        return b"\0" + by_byte.tobytes()
+    packed = [pa.compress(plane.tobytes(), codec="zstd", asbytes=True) for plane in by_byte]
+    return b"".join([b"\1", len(x).to_bytes(4, "little"), *(part for p in packed for part in (len(p).to_bytes(4, "little"), p))])
+
+
+def _flat(x: bytes) -> bytes:
+    """The planes, joined."""
+    if not x[0]:
+        return x[1:]
+    n, at, out = int.from_bytes(x[1:5], "little"), 5, []
+    while at < len(x):
+        size = int.from_bytes(x[at : at + 4], "little")
+        out.append(pa.decompress(x[at + 4 : at + 4 + size], n, codec="zstd", asbytes=True))
+        at += 4 + size
+    return b"".join(out)
 
 
 def unplaned(column: pd.Series, kind: str) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    parts = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in column]
+    parts = [np.frombuffer(_flat(x), np.uint8).reshape(width, -1).T for x in column]
     return np.ascontiguousarray(np.concatenate(parts)).view(kind).ravel()
 
 
@@ -464,9 +483,9 @@ def repeated_spans(docs: DataFrame, keep: tuple[str, ...] = (), index: SuffixInd
         shared, n_bytes = _indexed(index, units, 1)
         units = units.union(_units(earlier, (), True).select("doc_id", "h", "old", "text", *(F.lit(None).cast(dict(docs.dtypes)[k]).alias(k) for k in keep)))
     buckets = 2 << (max(2 * spark.sparkContext.defaultParallelism, n_bytes // BUCKET_BYTES + 1) - 1).bit_length()
-    rows = units.select("doc_id", "h", "old", F.octet_length("text").alias("n"), F.md5("text").alias("same")).where(F.col("n") >= LENGTH)
+    rows = units.select("doc_id", "h", "old", F.octet_length("text").alias("n"), F.unhex(F.md5("text")).alias("same")).where(F.col("n") >= LENGTH)
     place = F.struct((~F.col("old")).alias("new"), F.col("doc_id"))
-    owners = rows.groupBy("same", "h").agg(F.min(place).alias("owner"))
+    owners = rows.groupBy("same").agg(F.min(place).alias("owner"), F.min("h").alias("h"))  # one text, one h
     copies = rows.join(owners.select("same", "owner"), "same").where(~F.col("old") & (place > F.col("owner")))
     copies = copies.select("doc_id", "h", F.lit(0).alias("first"), F.col("n").alias("after"))
     numbers = shared.groupBy("text").agg(F.collect_set("number").alias("numbers"))
