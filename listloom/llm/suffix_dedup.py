@@ -9,7 +9,8 @@ documents of earlier arrivals, in any of those.
    the hash of their first GRAM bytes, one range of hashes a bucket. An arrival's suffixes are sorted in each bucket and
    merge-scanned against the levels; both sides of what meets are reported. Levels of about the arrival's size are merged
    with it in the same pass, so n arrivals leave about log n levels and each suffix is rewritten log n times. A manifest
-   that is created exclusively commits the levels. The texts stay where they are.
+   that is created exclusively commits the levels. The oldest level, which is the largest, isn't shuffled: it is read by
+   the parts it was written in, until there are more buckets. The texts stay where they are.
 3. Matches. Reported suffixes come back with the text around them (only the windows that chose the pick), dealt by hash, so
    that all copies of a window meet in one bucket. There whole windows are sorted and merged as bytes, in batches of
    bounded size and the order of documents (`IndexFamily`).
@@ -316,7 +317,19 @@ def _scanned(merging: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-SCANNED = "kind string, old boolean, bucket int, block int, texts binary, n binary, hashes binary, numbers binary"
+def _beside(merging: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The same where the oldest level's rows (place 0) come from its own files."""
+    run = _scanned(merging)
+
+    def both(others: pd.DataFrame, oldest: pd.DataFrame) -> pd.DataFrame:
+        parts = [x for x in (others, oldest.assign(place=0)) if len(x)]
+        return run(pd.concat(parts, ignore_index=True))
+
+    return both
+
+
+LEVEL = "bucket int, block int, texts binary, n binary, hashes binary, numbers binary"
+SCANNED = f"kind string, old boolean, {LEVEL}"
 
 
 def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,7 +355,7 @@ def _cut(level: DataFrame, bits: int) -> DataFrame:
 
 class SuffixIndex:
     """The stored family. `add` is one arrival; each version's manifest lists levels, oldest first, with the bytes of text
-    behind each and the bits that number their buckets."""
+    behind each, the bits that number their buckets and the parts that these were dealt to."""
 
     def __init__(self, spark: SparkSession, path: str, bucket_bytes: int = BUCKET_BYTES) -> None:
         self.spark, self.path, self.bucket_bytes = spark, path.rstrip("/"), bucket_bytes
@@ -368,6 +381,27 @@ class SuffixIndex:
         if self._fs.exists(self._name(version)) or not self._fs.rename(aside, self._name(version)):
             raise RuntimeError(f"version {version} was committed by another writer")
 
+    def scanned(self, units: DataFrame, levels: list[dict], bits: int, tasks: int, merging: int, oldest: str | None) -> DataFrame:
+        """All buckets of an arrival and the levels. Levels and arrival are dealt by bucket, but for the oldest level, the
+        largest one: where it was written in as many parts, they are read in place (as the table `oldest`)."""
+        rows = _picks(units, bits).select(F.lit(-1).alias("place"), "bucket", F.lit(0).alias("block"), "texts", "n", "hashes", "numbers")
+        for place, level in enumerate(levels):
+            if place or not oldest:
+                rows = rows.union(self.level(level, bits).select(F.lit(place), "*"))
+        # packed rows compress well, so partitions joined by their shuffled size would be large in memory: the number is fixed
+        groups = rows.repartition(tasks, "bucket").groupBy("bucket")
+        if not oldest:
+            return groups.applyInPandas(_scanned(merging), SCANNED)
+        return groups.cogroup(self.spark.table(oldest).groupBy("bucket")).applyInPandas(_beside(merging), SCANNED)
+
+    def _in_place(self, level: dict, tasks: int) -> str | None:
+        """A level's files as a table clustered by bucket; null if they were written otherwise."""
+        if level["tasks"] != tasks:
+            return None
+        name = f"suffixes_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({LEVEL}) USING parquet CLUSTERED BY (bucket) INTO {tasks} BUCKETS LOCATION '{level['path']}/kind=level'")
+        return name
+
     def level(self, level: dict, bits: int) -> DataFrame:
         rows = self.spark.read.schema(SCANNED).parquet(level["path"]).where("kind = 'level'").select("bucket", "block", "texts", "n", "hashes", "numbers")
         return rows if level["bits"] == bits else _cut(rows, bits)
@@ -385,17 +419,20 @@ class SuffixIndex:
         while merging and size >= 0.75 * levels[merging - 1]["bytes"]:
             merging -= 1
             size += levels[merging]["bytes"]
-        rows = _picks(units, bits).select(F.lit(-1).alias("place"), "bucket", F.lit(0).alias("block"), "texts", "n", "hashes", "numbers")
-        for place, level in enumerate(levels):
-            rows = rows.union(self.level(level, bits).select(F.lit(place), "*"))
         path = f"{self.path}/arrival-{uuid.uuid4().hex}"
-        # packed rows compress well, so partitions joined by their shuffled size would be large in memory: the number is fixed
-        tasks = min(1 << bits, max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16))
-        rows.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(_scanned(merging), SCANNED).write.partitionBy("kind").parquet(path)
+        tasks = min(1 << bits, max(4 * int(self.spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 16), int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+        oldest = self._in_place(levels[0], tasks) if levels and levels[0]["bits"] == bits else None
+        name = f"suffixes_{uuid.uuid4().hex}"
+        try:
+            rows = self.scanned(units, levels, bits, tasks, merging, oldest)
+            rows.write.partitionBy("kind").bucketBy(tasks, "bucket").option("path", path).saveAsTable(name, format="parquet")
+        finally:
+            for known in filter(None, (name, oldest)):
+                self.spark.sql(f"DROP TABLE IF EXISTS {known}")  # the files stay
         shared = self.spark.read.schema(SCANNED).parquet(path).where("kind = 'shared'").select("old", "texts", "n", "numbers")
         shared = shared.mapInPandas(_unpacked, "text long, old boolean, number int")
         if n_bytes >= LENGTH:
-            self._commit(version + 1, [*levels[:merging], {"path": path, "bytes": size, "bits": bits}])
+            self._commit(version + 1, [*levels[:merging], {"path": path, "bytes": size, "bits": bits, "tasks": tasks}])
         return shared
 
 

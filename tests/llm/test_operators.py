@@ -209,6 +209,28 @@ def test_number_of_arrivals_changes_nothing(spark):
         assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.removed(_table(spark, docs), arrivals=n).collect()} == {d: x[3] for d, x in want.items()}
 
 
+def test_the_oldest_level_is_read_in_place(spark, tmp_path, capsys):
+    """One exchange, the arrival's, with one level; no table stays in the catalogue; more buckets are dealt anew."""
+    index = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"))
+    units = [_table(spark, _passages(30, seed, range)).selectExpr("xxhash64(text) h", "text") for seed in (1, 2)]
+    before = {t.name for t in spark.catalog.listTables()}
+    index.add(units[0], floor_bits=4)
+    (level,) = index.manifest()[1]
+    name = index._in_place(level, level["tasks"])
+    index.scanned(units[1], [level], level["bits"], level["tasks"], 0, name).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange ") == 1 and "Bucketed: true" in plan
+    spark.sql(f"DROP TABLE {name}")
+    again = {(r.text, r.old, r.number) for r in index.add(units[1], floor_bits=4).collect()}
+    assert {t.name for t in spark.catalog.listTables()} == before
+    other = suffix_dedup.SuffixIndex(spark, str(tmp_path / "other"))
+    other.add(units[0], floor_bits=4)
+    assert again == {(r.text, r.old, r.number) for r in other.add(units[1], floor_bits=6).collect()}
+    short = suffix_dedup.SuffixIndex(spark, str(tmp_path / "short"))  # a level without suffixes
+    for text in ("under fifty", "bytes"):
+        assert short.add(_table(spark, [(i, text * (i % 3)) for i in range(40)]).selectExpr("xxhash64(text) h", "text")).count() == 0
+
+
 def test_merge_scan_equals_sets():
     rng = np.random.default_rng(2)
     a, b = (suffix_dedup.Suffixes(np.sort(rng.integers(0, 60, n).astype(np.uint64)), rng.integers(0, 3, n), np.arange(n, dtype=np.int32)) for n in (40, 70))
