@@ -10,7 +10,8 @@ than the commonest (of equally common lengths the shortest counts), as no covari
 rows, equal ids and null ids each give their own rows. A component without variance (fewer than two different vectors, or
 dimensions that depend on each other) has a null `whitened` and explained 0; without any variance explained and
 identity_error are null. Components of equal eigenvalues are any orthonormal choice, the same for all rows. An empty table
-gives no rows. Other columns are ignored. Vectors so far apart that the squared deviation doesn't fit a long raise an error.
+gives no rows. Other columns are ignored. Vectors so far apart that the squared deviation of a row doesn't fit a long raise an
+error; unit vectors do so from about 3 million on.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import written
 
 SCALE, SHIFT, COMPONENTS = 1024, 100_000, 8
 LARGEST = 2.0**40  # of an entry; larger ones leave no room for exact sums
+TOO_FAR = "deviations don't fit 64 bits"
 NO_VARIANCE = 1e-12  # eigenvalues below this share of the trace are rounding
 KIND = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
@@ -53,15 +55,22 @@ def gramian(rows: DataFrame, column: Column) -> np.ndarray:
 
 
 def sums(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """n and exact sums of each dimension; an error if squares of deviations could leave 64 bits."""
+    """n and exact sums of each dimension; an error if one dimension's squared deviation leaves 64 bits."""
     at = rows.select(F.posexplode("x").alias("at", "x")).groupBy("at").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.min("x").alias("low"), F.max("x").alias("high"))
     found = at.orderBy("at").collect()  # one row a dimension
     n = found[0]["n"]
-    if sum(max(n * r["high"] - r["s"], r["s"] - n * r["low"]) ** 2 for r in found) >= 1 << 63:
-        raise ArithmeticError("deviations don't fit 64 bits")
+    if max(max(n * r["high"] - r["s"], r["s"] - n * r["low"]) ** 2 for r in found) >= 1 << 63:
+        raise ArithmeticError(TOO_FAR)
     return n, np.array([r["s"] for r in found], np.int64)
 
 
+def squared(far: np.ndarray) -> list[int | None]:
+    """Exact sums of squares of rows of whole numbers below 2^31.5; None for a sum that doesn't fit 64 bits."""
+    about = np.square(far.astype(float)).sum(1)
+    exact = (far * far).sum(1).tolist()
+    return [d if a < 2.0**62 or sum(v * v for v in row.tolist()) < 1 << 63 else None for d, a, row in zip(exact, about.tolist(), far, strict=True)]
+
+
 def principal(covariance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues by falling size, and eigenvectors over their square roots as columns (NaN without variance)."""
     values, vectors = np.linalg.eigh(covariance)
@@ -85,9 +94,11 @@ def whiten(vectors: DataFrame, k: int = COMPONENTS) -> DataFrame:
         n, s, projection = shared.value
         for f in frames:
             far = n * np.array(f["x"].to_list(), np.int64).reshape(len(f), len(s)) - s
-            yield pd.DataFrame({"vec_id": f["vec_id"], "deviation": (far * far).sum(1), "w": list(far / n @ projection)})
+            yield pd.DataFrame({"vec_id": f["vec_id"], "deviation": pd.Series(squared(far), f.index, "Int64"), "w": list(far / n @ projection)})
 
     done = written(rows.mapInPandas(project, "vec_id long, deviation long, w array<double>"), "whitened")
+    if not done.where("deviation IS NULL").isEmpty():
+        raise ArithmeticError(TOO_FAR)
     some = int((values > 0).sum())
     explained, error = [None] * len(values), None
     if some:

@@ -1,5 +1,6 @@
 """The prefix join, whitening and ranked search against brute force and on odd tables."""
 
+import math
 import random
 
 import duckdb
@@ -138,6 +139,18 @@ def test_whitening_of_odd_rows(spark):
         whitening.whiten(_vectors(spark, [(1, [3e38], 1, "x"), (2, [0.0], 1, "x")]))
 
 
+def test_whitening_fails_only_where_a_row_deviates_too_far(spark):
+    """Each dimension has another row with its greatest entry: together they would pass 64 bits, no row does."""
+    rows = [(i, [30_000.0 if i == j else 0.0 for j in range(16)], 1, "x") for i in range(64)]
+    n, got = 64, {r.vec_id: r.deviation for r in whitening.whiten(_vectors(spark, rows)).collect()}
+    x = [[math.floor(c * 1024) + 100_000 for c in v] for _, v, _, _ in rows]
+    sums = [sum(c) for c in zip(*x, strict=True)]
+    assert got == {i: sum((n * c - s) ** 2 for c, s in zip(v, sums, strict=True)) for i, v in enumerate(x)}
+    with pytest.raises(ArithmeticError, match="64 bits"):
+        whitening.whiten(_vectors(spark, [(i, [30_000.0 * (i == 0)] * 16, 1, "x") for i in range(64)]))
+
+
+
 # ranked search
 
 
