@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import trimmed
+from .text import once, trimmed
 
 # Month names and the formats, in the order in which they are tried. `yy` formats see two-digit years with
 # their century; `24h AM` formats ignore the AM or PM that must follow.
@@ -98,11 +97,6 @@ def with_century(x: Column) -> Column:
     return F.when(year != "", F.concat(F.regexp_extract(x, found, 1), century, year, F.regexp_extract(x, found, 3)))
 
 
-def _once(x: Column, use: Callable[[Column], Column]) -> Column:
-    """use(x), with x evaluated once however often it is used."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def _shape(x: Column) -> Column:
     """The string with each run of letters as A and each number, with its sign, as 9."""
     return F.regexp_replace(F.regexp_replace(x, "[A-Za-z]+", "A"), "[+-]?[0-9]+", "9")
@@ -125,7 +119,7 @@ def _first_fit(candidate: Column) -> Column:
         return F.when(form["shape"] == _shape_of(pattern), F.try_to_timestamp(form["text"], F.lit(pattern)))
 
     shaped = F.transform(forms, lambda x: F.struct(x.alias("text"), _shape(x).alias("shape")))
-    return _once(shaped, lambda x: F.coalesce(*(tried(pattern, F.get(x, F.lit(place[kind]))) for pattern, kind in FORMATS)))
+    return once(shaped, lambda x: F.coalesce(*(tried(pattern, F.get(x, F.lit(place[kind]))) for pattern, kind in FORMATS)))
 
 
 def flexible_date(x: Column) -> Column:
@@ -134,9 +128,9 @@ def flexible_date(x: Column) -> Column:
     offset = r"\s+[+-]\d{4}\s*$"
 
     def fit(whole: Column) -> Column:
-        return F.when(whole.rlike(r"\d"), F.coalesce(_first_fit(whole), F.when(whole.rlike(offset), _once(F.regexp_replace(whole, offset, ""), _first_fit))))
+        return F.when(whole.rlike(r"\d"), F.coalesce(_first_fit(whole), F.when(whole.rlike(offset), once(F.regexp_replace(whole, offset, ""), _first_fit))))
 
-    return _once(scrubbed(x), fit)
+    return once(scrubbed(x), fit)
 
 
 def whole_days(later: Column, earlier: Column) -> Column:

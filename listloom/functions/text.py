@@ -7,6 +7,7 @@ unless a function says otherwise.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ DISCLAIMERS = (
 )
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def trimmed(x: Column) -> Column:
     """Without white space of any kind at either end (trim() takes spaces only)."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

@@ -8,14 +8,14 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.classify import WHEN_PARSED, category
 from ..functions.dates import flexible_date, header_date
 from ..functions.quoting import unescaped
-from ..functions.text import in_charset, normalized_newlines, trimmed, without_disclaimers
+from ..functions.text import in_charset, normalized_newlines, once, trimmed, without_disclaimers
 from .markup import live_body, mail_text
 
 # How a topic page's messages begin.
@@ -38,6 +38,16 @@ BOUNDARY = (
 )
 
 
+ROWS = 4096  # pages of a task
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that become pages, dealt by their keys to tasks of about ROWS rows, at least one for each core: a file of short rows
+    is few tasks, while reading a page takes about a millisecond."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS))
+    return rows.repartition(parts, *keys)
+
+
 def decoded(content: Column) -> Column:
     """Page bytes as text: in the charset that the first 2048 bytes declare, if it is known and fits; else UTF-8 if that is
     valid; else Latin-1. Only pages in other charsets than these two leave the JVM."""
@@ -178,7 +188,6 @@ HEADERS = r"(?:From|Subject|Date|Sent):"  # of a block
 def header_first(block: Column, page_title: Column) -> Column:
     """A block that begins with its header: the page's title before a From: or Date: line goes, and so does what stands
     before a header in the first eight lines; the header's lines follow each other without blanks or indentation."""
-    lines = F.split(normalized_newlines(block), "\n")
 
     def rest(x: Column, first: Column) -> Column:
         """From the line at `first` (from 0) on; all for null."""
@@ -190,14 +199,25 @@ def header_first(block: Column, page_title: Column) -> Column:
     def told(line: Column) -> Column:
         return trimmed(line) != ""
 
-    named = rest(lines, F.lit(1))
-    titled = (page_title != "") & (trimmed(F.get(lines, F.lit(0))) == trimmed(page_title)) & trimmed(F.get(named, place(named, told))).rlike("^(?:From|Date):")
-    x = F.when(titled, rest(named, place(named, told))).otherwise(lines)
-    x = rest(x, place(F.slice(x, 1, 8), lambda line: line.rlike(rf"^\s*(?:{HEADERS}|From\s+\S)")))
-    body = F.coalesce(place(x, lambda line: told(line) & ~trimmed(line).rlike(f"^{HEADERS}")), F.size(x))
-    head = F.filter(F.transform(F.slice(x, 1, body), trimmed), lambda line: line != "")
-    after = F.transform(F.when(body < F.size(x), rest(x, body)).otherwise(F.array().cast("array<string>")), lambda line: F.regexp_replace(line, r"\s+$", ""))
-    return trimmed(F.regexp_replace(F.array_join(F.concat(head, after), "\n"), "\n{3,}", "\n\n"))
+    def untitled(x: Column) -> Column:
+        titled = (page_title != "") & (trimmed(F.get(x, F.lit(0))) == trimmed(page_title))
+        named = once(rest(x, F.lit(1)), lambda y: rest(y, place(y, told)))
+        return F.when(titled, once(named, lambda y: F.when(trimmed(F.get(y, F.lit(0))).rlike("^(?:From|Date):"), y).otherwise(x))).otherwise(x)
+
+    def from_header(x: Column) -> Column:
+        return rest(x, place(F.slice(x, 1, 8), lambda line: line.rlike(rf"^\s*(?:{HEADERS}|From\s+\S)")))
+
+    def closed_up(x: Column, body: Column) -> Column:
+        head = F.filter(F.transform(F.slice(x, 1, body), trimmed), lambda line: line != "")
+        after = F.transform(F.when(body < F.size(x), rest(x, body)).otherwise(F.array().cast("array<string>")), lambda line: F.regexp_replace(line, r"\s+$", ""))
+        return trimmed(F.regexp_replace(F.array_join(F.concat(head, after), "\n"), "\n{3,}", "\n\n"))
+
+    def joined(x: Column) -> Column:
+        body = F.coalesce(place(x, lambda line: told(line) & ~trimmed(line).rlike(f"^{HEADERS}")), F.size(x))
+        return once(body, lambda at: closed_up(x, at))
+
+    lines = F.split(normalized_newlines(block), "\n")
+    return once(lines, lambda x: once(untitled(x), lambda y: once(from_header(y), joined)))
 
 
 def legacy_messages(found: DataFrame) -> DataFrame:
@@ -205,9 +225,9 @@ def legacy_messages(found: DataFrame) -> DataFrame:
     50 characters, and blocks without a sender, are no messages; a date may stand at the end of the block before."""
     p = found.withColumn("html", decoded(F.col("content")))
     p = p.select("name", title(F.col("html")).alias("title"), plain_text(F.col("html")).alias("text"))
-    blocks = p.select("name", "title", F.posexplode(F.split("text", BOUNDARY)).alias("place", "block")).withColumn("block", header_first(trimmed(F.col("block")), F.col("title")))
-    page = Window.partitionBy("name").orderBy("place")
-    blocks = blocks.withColumn("before", F.lag("block").over(page)).withColumn("n", F.count("*").over(Window.partitionBy("name")))
+    blocks = F.transform(F.split("text", BOUNDARY), lambda block: header_first(trimmed(block), F.col("title")))
+    blocks = once(blocks, lambda x: F.transform(x, lambda block, i: F.struct(block.alias("block"), F.get(x, i - 1).alias("before"), F.size(x).alias("n"))))
+    blocks = p.select("name", "title", F.posexplode(blocks).alias("place", "x")).select("name", "title", "place", "x.*")
     blocks = blocks.where((F.col("n") == 1) | (F.length("block") >= 50))
     mbox = r"(?m)^From\s+(\S+@\S+)\s+\w{3}\s+(\w{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}\s+\d{4})"
     sender = F.coalesce(_or_null(_after("From")), _or_null(F.regexp_extract("block", mbox, 1)), _or_null(F.regexp_extract("block", r"(?m)^From\s+([A-Z][a-z]+ [A-Z][a-z]+.*)$", 1)))

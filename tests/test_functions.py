@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listloom.functions import classify, dates, names, quoting, text
+from listloom.sources import html
 
 
 @pytest.mark.parametrize(
@@ -189,3 +190,18 @@ def test_clean_body(one):
     assert one(quoting.clean_body, "a.htmlhttps://b") == 'a.html <a href="https://b">https://b</a>'
     assert one(quoting.clean_body, "a<br>b &eacute; <i>") == "a\nb é &lt;i&gt;"
     assert one(quoting.clean_body, "www.x.example") == '<a href="http://www.x.example">www.x.example</a>'
+
+
+def test_blocks_are_taken_apart_once(spark):
+    """No step of a block's header is repeated in the expression, and no page waits for a shuffle."""
+    df = spark.createDataFrame([("a.html", b"x")], "name string, content binary")
+    plan = df.select(html.header_first(F.col("name"), F.col("name")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1 and plan.count("regexp_replace(") < 30
+    assert "Exchange" not in html.legacy_messages(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_are_dealt_to_many_tasks(spark, monkeypatch):
+    few = spark.range(1000).coalesce(1)
+    assert html.spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(html, "ROWS", 50)
+    assert html.spread(few, "id").rdd.getNumPartitions() == 20 and html.spread(few, "id").count() == 1000
