@@ -305,8 +305,8 @@ def _page(*parts: str) -> F.Column:
 
 
 def _customers(spark, sf_dir):
-    """Customers with a day of a month in text."""
-    return table(spark, sf_dir, "customer").withColumn("day", (F.col("c_custkey") % 28 + 1).cast("string"))
+    """Customers with a day of a month in text, dealt to many tasks."""
+    return html.spread(table(spark, sf_dir, "customer"), "c_custkey").withColumn("day", (F.col("c_custkey") % 28 + 1).cast("string"))
 
 
 def live_pages(spark, sf_dir):
