@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by inner product with a forest of hash-prefix trees.
 
 A tree gives each vector a string of `BITS` bits, the sides of orthogonal random hyperplanes on which it lies, so that
-vectors in like directions share long prefixes. A tree is stored as sorted arrays of its strings (one for each of its
-subtrees of bounded size). A query descends all trees to its longest matching prefixes, then all trees ascend together, one
-bit at a time, until the subtrees at that depth hold `candidates` entries in all trees together or the root is reached.
-What the subtrees hold is compared exactly: inner products in double precision on the original vectors; vectors are stored
-once, in blocks, and a query's candidates reach a block as a list of places.
+vectors in like directions share long prefixes. Vectors are stored once, in blocks dealt by a hash; a task makes the sorted
+arrays of all trees for one block from its vectors, so neither strings nor lists of candidates are written or shuffled. A
+query descends all trees to its longest matching prefixes, then all trees ascend together, one bit at a time, until the
+subtrees at that depth hold `candidates` entries in all trees together or the root is reached: blocks count for each depth,
+the counts are summed over the blocks. In a second pass each block compares exactly what its part of the subtrees holds:
+inner products in double precision on the original vectors.
 
 Only directions are hashed. Vectors are parted into bands of norms, in each of which the largest norm is at most `BAND`
 times the smallest, so that inner products there are nearly in the order of cosines; every band has trees of its own and
@@ -16,8 +17,8 @@ The same parameters hold at every size. In a band of up to `FULL` vectors a quer
 number grows as the vectors to the power `GROWTH`: of evenly spread directions the nearest come closer as a table grows,
 but so slowly that a hundredfold table allows one more bit of prefix, which halves the share of the table that is compared.
 
-Arrays, the queries that meet one, and the rows that meet a block are split when they are counted to be large, so no task
-holds more than bounded parts of a hot subtree.
+Every task holds one block and one part of the queries, both of bounded size, whatever the subtrees. Each pass shuffles the
+blocks once for each part of the queries, and the queries once for each block.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, have a null id, or haven't the most
 common length take no part; ties go to the smaller vec_id; a band that holds fewer than candidates / trees vectors is
@@ -41,10 +42,8 @@ from .common import written
 TREES, BITS, CANDIDATES = 64, 32, 24_000
 FULL, GROWTH = 60_000, 0.85
 BAND = 1.25
-ARRAY, BLOCK = 1 << 16, 1 << 15  # entries of one array, vectors of one block, at most (places are 16-bit numbers)
-QUERIES = 2048  # that one task compares with a block
-SUBTREE = ["band", "tree", "prefix"]
-GROUP = [*SUBTREE, "shard", "part"]
+BLOCK = 1 << 15  # vectors of one block, at most (places are 16-bit numbers)
+ARRAY = 8192  # queries that one task compares with a block
 
 
 def hyperplanes(dim: int, trees: int, bits: int, seed: int) -> np.ndarray:
@@ -70,7 +69,7 @@ def directions(x: np.ndarray) -> np.ndarray:
 
 def matrix(column: pa.Array) -> np.ndarray:
     values = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    return values.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return values.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -81,7 +80,7 @@ def valid(vectors: DataFrame) -> DataFrame:
             n = b["embedding"].value_lengths().fill_null(0).to_numpy()
             end = np.cumsum(n)
             values = b["embedding"].flatten()
-            x = values.to_numpy(zero_copy_only=False)  # a null component is read as NaN
+            x = values.to_numpy(zero_copy_only=False).astype(float)  # a null component is read as NaN
 
             def count(flags: np.ndarray, start: np.ndarray = end - n, end: np.ndarray = end) -> np.ndarray:
                 total = np.r_[0, np.cumsum(flags)]
@@ -93,14 +92,15 @@ def valid(vectors: DataFrame) -> DataFrame:
                 continue
             n = n[fine]
             first = np.cumsum(n) - n
-            x = rows["embedding"].flatten().to_numpy()
+            x = rows["embedding"].flatten().to_numpy().astype(float)
             most = np.maximum.reduceat(np.abs(x), first)
             norm = np.log(most) + np.log(np.add.reduceat((x / np.repeat(most, n)) ** 2, first)) / 2
             digests = [hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in np.split(x + 0.0, first[1:])]
             yield pa.record_batch({"vec_id": rows["vec_id"], "embedding": rows["embedding"], "dim": pa.array(n.astype(np.int32)), "norm": pa.array(norm), "digest": pa.array(digests, pa.binary())})
 
-    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return typed.mapInArrow(run, "vec_id long, embedding array<double>, dim int, norm double, digest binary")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    typed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    return typed.mapInArrow(run, f"vec_id long, embedding {kind}, dim int, norm double, digest binary")
 
 
 def stored(rows: DataFrame, n: int) -> DataFrame:
@@ -114,20 +114,7 @@ def stored(rows: DataFrame, n: int) -> DataFrame:
 
     many = 1 + n * 5 // (4 * BLOCK)
     dealt = rows.withColumn("dealt", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(many)))
-    return written(dealt.groupBy("dealt").applyInArrow(run, "vec_id long, embedding array<double>, band int, block long, place int"), "vectors")
-
-
-class Array:
-    """A sorted array of strings with what they belong to."""
-
-    def __init__(self, table: pa.Table) -> None:
-        self.strings, self.blocks, self.places = (np.frombuffer(table[c][0].as_py(), t) for c, t in (("strings", np.int64), ("blocks", np.int64), ("places", np.int32)))
-
-    def under(self, asked: np.ndarray, depth: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The range of entries that share the first `depth` bits with each asked string."""
-        cut = bits - depth
-        first = asked >> cut << cut
-        return np.searchsorted(self.strings, first), np.searchsorted(self.strings, first + (np.int64(1) << cut))
+    return written(dealt.groupBy("dealt").applyInArrow(run, f"vec_id long, embedding {dict(rows.dtypes)['embedding']}, band int, block long, place int"), "vectors")
 
 
 def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,148 +124,137 @@ def expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n), of
 
 
-def forest(vectors: DataFrame, normals: np.ndarray, bits: int, cut: dict[int, int]) -> tuple[DataFrame, DataFrame]:
-    """The stored sorted arrays, and the subtrees with their sizes. `cut`: how long the prefixes are that part a band's
-    trees into subtrees."""
-    shared = vectors.sparkSession.sparkContext.broadcast(normals)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, band = directions(matrix(b["embedding"])), b["band"].to_numpy()
-            away = bits - np.array([cut[k] for k in band.tolist()])
-            for t, own in enumerate(shared.value):
-                s = strings(x, own)
-                yield pa.record_batch({"band": b["band"], "tree": pa.array(np.full(len(s), t, np.int32)), "prefix": pa.array(s >> away), "string": pa.array(s), "block": b["block"], "place": b["place"]})
-
-    def array(group: pa.Table) -> pa.Table:
-        s = group["string"].to_numpy()
-        order = np.argsort(s, kind="stable")
-        packed = {"strings": s, "blocks": group["block"].to_numpy(), "places": group["place"].to_numpy()}
-        return pa.table({**{c: group[c][:1] for c in (*SUBTREE, "shard")}, **{c: pa.array([v[order].tobytes()], pa.binary()) for c, v in packed.items()}})
-
-    entries = vectors.mapInArrow(hashed, "band int, tree int, prefix long, string long, block long, place int")
-    sizes = written(entries.groupBy(*SUBTREE).agg(F.count("*").alias("size")), "subtrees")
-    shard = F.pmod(F.xxhash64("block", "place"), F.ceil(F.col("size") / ARRAY)).cast("int")
-    dealt = entries.join(sizes, SUBTREE).withColumn("shard", shard).drop("size")
-    kind = "band int, tree int, prefix long, shard int, strings binary, blocks binary, places binary"
-    return written(dealt.groupBy(*SUBTREE, "shard").applyInArrow(array, kind), "arrays"), sizes
-
-
 def budget(n: int, candidates: int) -> int:
     """Entries of all trees together that a query gets at least in a band of n vectors."""
     return math.ceil(candidates * max(1.0, n / FULL) ** GROWTH)
 
 
-def met(arrays: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Arrays and the queries of their subtrees, both with the part: parts hold about ARRAY queries of a subtree."""
-    parts = asked.groupBy(*SUBTREE).agg(F.ceil(F.count("*") / ARRAY).cast("int").alias("parts"))
-    copies = arrays.join(parts, SUBTREE).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    shards = arrays.select(*SUBTREE, "shard")
-    part = F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")
-    rows = asked.join(parts, SUBTREE).withColumn("part", part).drop("parts").join(shards, SUBTREE)
-    return copies, rows.select([F.col(c).alias(f"_{c}") if c in GROUP else c for c in rows.columns])
-
-
-def depths(arrays: DataFrame, sizes: DataFrame, asked: DataFrame, bits: int, cut: dict[int, int], budgets: dict[int, int]) -> DataFrame:
-    """query_id, band, depth: the longest prefix at which all trees together have the band's budget of entries, or 0."""
-
-    def shared_bits(array: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(array) or not len(queries):
-            return pa.table({c: pa.nulls(0, t) for c, t in (("query_id", pa.int64()), ("band", pa.int32()), ("depth", pa.int32()), ("n", pa.int64()))})
-        a, s = Array(array), queries["string"].to_numpy()
-        shortest = cut[array["band"][0].as_py()]
-        each = np.arange(shortest, bits + 1)
-        low, high = a.under(np.repeat(s, len(each)), np.tile(each, len(s)), bits)
-        n = (high - low).reshape(len(s), len(each))
-        n[:, :-1] -= n[:, 1:]  # entries that share so many bits and no more
-        query, depth = np.nonzero(n)
-        return pa.table({"query_id": queries["query_id"].take(pa.array(query)), "band": pa.array(np.full(len(query), array["band"][0].as_py(), np.int32)), "depth": pa.array((depth + shortest).astype(np.int32)), "n": pa.array(n[query, depth])})
-
-    copies, rows = met(arrays, asked)
-    exact = copies.groupBy(*GROUP).cogroup(rows.groupBy(*(f"_{c}" for c in GROUP))).applyInArrow(shared_bits, "query_id long, band int, depth int, n long")
-    exact = exact.groupBy("query_id", "band", "depth").agg(F.sum("n").alias("n"))
-    deeper = Window.partitionBy("query_id", "band").orderBy(F.desc("depth"))
-    found = exact.select("query_id", "band", "depth", F.sum("n").over(deeper).alias("n"))
-    if any(cut.values()):  # above the subtrees
-        length = F.create_map([F.lit(x) for pair in cut.items() for x in pair])[F.col("band")]
-        upper = F.explode(F.expr("IF(length > 0, sequence(0, length - 1), array())")).alias("depth")
-
-        def above(df: DataFrame, *keep: str) -> DataFrame:
-            lifted = df.withColumn("length", length).select(*SUBTREE, "length", *keep, upper)
-            return lifted.withColumn("prefix", F.call_function("shiftright", "prefix", F.col("length") - F.col("depth"))).drop("length")
-
-        nodes = above(sizes, "size").groupBy(*SUBTREE, "depth").agg(F.sum("size").alias("n"))
-        higher = above(asked, "query_id").join(nodes, [*SUBTREE, "depth"])
-        found = found.union(higher.groupBy("query_id", "band", "depth").agg(F.sum("n").alias("n")))
+class Trees:
+    """The forest of a block: for each tree the sorted strings of its vectors, under their bands."""
+
+    def __init__(self, x: np.ndarray, band: np.ndarray, normals: np.ndarray, bits: int) -> None:
+        self.normals, self.bits = normals, bits
+        x = directions(x)
+        keys = (band.astype(np.int64) << bits | strings(x, own) for own in normals)
+        self.trees = [(k[order], order) for k in keys for order in (np.argsort(k, kind="stable"),)]
+
+    def under(self, sorted_keys: np.ndarray, keys: np.ndarray, depth: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The range of entries that share the band and the first `depth` bits with each key."""
+        cut = self.bits - depth
+        first = keys >> cut << cut
+        return np.searchsorted(sorted_keys, first), np.searchsorted(sorted_keys, first + (np.int64(1) << cut))
+
+    def counted(self, asked: list[np.ndarray], bands: np.ndarray) -> np.ndarray:
+        """query x band x depth: entries of all trees that share at least so many bits; `asked`: the strings of each tree."""
+        out = np.zeros((len(asked[0]) * len(bands), self.bits + 1), np.int32)
+        for (known, _), own in zip(self.trees, asked, strict=True):
+            keys = (bands.astype(np.int64) << self.bits | own[:, None]).ravel()
+            order = np.argsort(keys)  # neighbours are looked up one after the other
+            keys = keys[order]
+            for depth in range(self.bits + 1):
+                low, high = self.under(known, keys, depth)
+                out[order, depth] += (high - low).astype(np.int32)
+        return out.reshape(len(asked[0]), len(bands), -1)
+
+    def marked(self, asked: list[np.ndarray], of: np.ndarray, band: np.ndarray, depth: np.ndarray, n: int) -> np.ndarray:
+        """query x place among the block's n vectors: whether it is in a subtree of the query (of), band and depth. At the
+        root one tree has them all."""
+        wanted = np.zeros((len(asked[0]), n), bool)
+        for t, ((known, order), own) in enumerate(zip(self.trees, asked, strict=True)):
+            some = np.flatnonzero((depth > 0) | (t == 0))
+            low, high = self.under(known, band[some].astype(np.int64) << self.bits | own[of[some]], depth[some])
+            at, which = expanded(low, high)
+            wanted[of[some][which], order[at]] = True
+        return wanted
+
+
+def asked_strings(x: np.ndarray, normals: np.ndarray) -> list[np.ndarray]:
+    x = directions(x)
+    return [strings(x, own) for own in normals]
+
+
+def meeting(index: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every block, and every query, once for each of the other's parts: a part has about ARRAY queries."""
+    parts = max(1, -(-given.count() // ARRAY))
+    copies = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    blocks = F.broadcast(index.select(F.col("block").alias("_block")).distinct())  # a row for each 2^15 vectors
+    rows = given.withColumnRenamed("vec_id", "query_id").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")).crossJoin(blocks)
+    return copies, rows
+
+
+def depths(index: DataFrame, given: DataFrame, normals: np.ndarray, bits: int, budgets: dict[int, int]) -> DataFrame:
+    """query_id, depths (band, depth): the longest prefix at which all trees of all blocks together have the band's budget of
+    entries, or 0. Blocks count on their own; only the counts are shuffled."""
+    shared, bands = index.sparkSession.sparkContext.broadcast(normals), np.array(sorted(budgets), np.int64)
+
+    def counted(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if len(vectors) and len(queries):
+            trees = Trees(matrix(vectors["embedding"]), vectors["band"].to_numpy(), shared.value, bits)
+            step = max(1, (1 << 14) // len(bands))
+            for i in range(0, len(queries), step):
+                part = queries.slice(i, step)
+                n = trees.counted(asked_strings(matrix(part["embedding"]), shared.value), bands)
+                ids = np.repeat(part["query_id"].to_numpy(), len(bands))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n.size + 1, bits + 1, dtype=np.int32)), pa.array(n.ravel()))
+                out.append(pa.table({"query_id": pa.array(ids), "band": pa.array(np.tile(bands, len(part)).astype(np.int32)), "n": lists}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.nulls(0, pa.int64()), "band": pa.nulls(0, pa.int32()), "n": pa.nulls(0, pa.list_(pa.int32()))})
+
+    copies, rows = meeting(index, given)
+    found = copies.groupBy("block", "part").cogroup(rows.groupBy("_block", "_part")).applyInArrow(counted, "query_id long, band int, n array<int>")
+    total = found.groupBy("query_id", "band").agg(*(F.sum(F.get("n", F.lit(d))).alias(f"n{d}") for d in range(bits + 1)))
     wanted = F.create_map([F.lit(x) for pair in budgets.items() for x in pair])[F.col("band")]
-    enough = F.max(F.when(F.col("n") >= wanted, F.col("depth")))
-    return found.groupBy("query_id", "band").agg(F.coalesce(enough, F.lit(0)).alias("depth"))
-
-
-def picked(arrays: DataFrame, asked: DataFrame, depth: DataFrame, bits: int, cut: dict[int, int]) -> DataFrame:
-    """block, query_id, places (int16, packed): the entries of each query's subtrees. At the root one tree has them all."""
-    length = F.create_map([F.lit(x) for pair in cut.items() for x in pair])[F.col("band")]
-    wide = asked.join(depth, ["query_id", "band"]).where("depth > 0 OR tree = 0").withColumn("up", F.greatest(length - F.col("depth"), F.lit(0)))
-    first = F.expr("shiftleft(shiftright(prefix, up), up)")
-    wide = wide.withColumn("prefix", F.explode(F.sequence(first, first + F.expr("shiftleft(1L, up)") - 1))).drop("up")
-
-    def entries(array: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(array) or not len(queries):
-            return pa.table({"block": pa.nulls(0, pa.int64()), "query_id": pa.nulls(0, pa.int64()), "places": pa.nulls(0, pa.binary())})
-        a, s = Array(array), queries["string"].to_numpy()
-        low, high = a.under(s, queries["depth"].to_numpy().astype(np.int64), bits)
-        out, step = [], max(1, int((1 << 20) / max(1.0, float((high - low).mean()))))
-        for i in range(0, len(s), step):  # about a million entries at once
-            at, of = expanded(low[i : i + step], high[i : i + step])
-            order = np.lexsort((a.blocks[at], of))
-            at, of = at[order], of[order] + i
-            if not len(at):
-                continue
-            edge = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (a.blocks[at][1:] != a.blocks[at][:-1])])
-            ends = (2 * np.r_[edge, len(at)]).astype(np.int32)
-            places = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends), pa.py_buffer(a.places[at].astype(np.int16))])
-            out.append(pa.table({"block": pa.array(a.blocks[at[edge]]), "query_id": queries["query_id"].take(pa.array(of[edge])), "places": places}))
-        return pa.concat_tables(out) if out else pa.table({"block": pa.nulls(0, pa.int64()), "query_id": pa.nulls(0, pa.int64()), "places": pa.nulls(0, pa.binary())})
+    depth = F.greatest(F.lit(0), *(F.when(F.col(f"n{d}") >= wanted, F.lit(d)) for d in range(bits + 1)))
+    return written(total.select("query_id", F.struct("band", depth.alias("depth")).alias("x")).groupBy("query_id").agg(F.collect_list("x").alias("depths")), "depths")
 
-    copies, rows = met(arrays, wide)
-    return copies.groupBy(*GROUP).cogroup(rows.groupBy(*(f"_{c}" for c in GROUP))).applyInArrow(entries, "block long, query_id long, places binary")
 
+def wanted_of(queries: pa.Table, trees: Trees, n: int) -> np.ndarray:
+    """query x place: the candidates that the forest of a block has for queries with their depths."""
+    lists = queries["depths"].combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    of = np.repeat(np.arange(len(queries)), lists.value_lengths().to_numpy())
+    pairs = lists.flatten()
+    return trees.marked(asked_strings(matrix(queries["embedding"]), trees.normals), of, pairs.field("band").to_numpy(), pairs.field("depth").to_numpy().astype(np.int64), n)
 
-def candidate_lists(index: DataFrame, given: DataFrame, dim: int, trees: int, bits: int, candidates: int, seed: int) -> DataFrame:
-    """block, query_id, places: what the forest of the stored vectors finds for the given ones, before any comparison."""
+
+def asked(index: DataFrame, given: DataFrame, dim: int, trees: int, bits: int, candidates: int, seed: int) -> tuple[np.ndarray, DataFrame]:
+    """The hyperplanes, and the queries with their depths in each band."""
     bands = {r.band: r["count"] for r in index.groupBy("band").count().collect()}  # a few thousand at most: doubles end
-    cut = {b: min(bits, max(0, math.ceil(math.log2(n / ARRAY)))) for b, n in bands.items()}
     normals = hyperplanes(dim, trees, bits, seed)
-    arrays, sizes = forest(index, normals, bits, cut)
+    found = depths(index, given, normals, bits, {b: budget(n, candidates) for b, n in bands.items()})
+    return normals, given.join(found.withColumnRenamed("query_id", "vec_id"), "vec_id")
+
 
+def candidate_lists(index: DataFrame, given: DataFrame, dim: int, trees: int, bits: int, candidates: int, seed: int) -> DataFrame:
+    """block, query_id, places (int16, packed): what the forest of the stored vectors finds for the given ones, before any
+    comparison. `search` compares where they are found and writes no lists."""
+    normals, queries = asked(index, given, dim, trees, bits, candidates, seed)
     shared = index.sparkSession.sparkContext.broadcast(normals)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = directions(matrix(b["embedding"]))
-            for t, own in enumerate(shared.value):
-                s = strings(x, own)
-                for band, length in cut.items():
-                    yield pa.record_batch({"query_id": b["vec_id"], "band": pa.array(np.full(len(s), band, np.int32)), "tree": pa.array(np.full(len(s), t, np.int32)), "prefix": pa.array(s >> (bits - length)), "string": pa.array(s)})
+    def listed(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        ids, places = [], []
+        if len(vectors) and len(queries):
+            known, place = Trees(matrix(vectors["embedding"]), vectors["band"].to_numpy(), shared.value, bits), vectors["place"].to_numpy().astype(np.int16)
+            for i in range(0, len(queries), 64):
+                part = queries.slice(i, 64)
+                for query, row in zip(part["query_id"].to_pylist(), wanted_of(part, known, len(place)), strict=True):
+                    if row.any():
+                        ids.append(query), places.append([place[row].tobytes()])
+        return pa.table({"block": pa.array([vectors["block"][0].as_py()] * len(ids), pa.int64()), "query_id": pa.array(ids, pa.int64()), "places": pa.array(places, pa.list_(pa.binary()))})
 
-    asked = written(given.mapInArrow(ask, "query_id long, band int, tree int, prefix long, string long"), "asked")
-    depth = written(depths(arrays, sizes, asked, bits, cut, {b: budget(n, candidates) for b, n in bands.items()}), "depths")
-    lists = picked(arrays, asked, depth, bits, cut).groupBy("block", "query_id").agg(F.collect_list("places").alias("places"))
-    return written(lists, "lists")
+    copies, rows = meeting(index, queries)
+    return copies.groupBy("block", "part").cogroup(rows.groupBy("_block", "_part")).applyInArrow(listed, "block long, query_id long, places array<binary>")
 
 
-def best_of_block(vectors: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+def best_of_block(vectors: pa.Table, queries: pa.Table, k: int, normals: np.ndarray, bits: int) -> pa.Table:
     """Each query's best k of its candidates in a block: query_id, best (far: the negative score, vec_id)."""
     asked, sizes, scores, names = [], [], [np.empty(0)], [np.empty(0, np.int64)]
     if len(vectors) and len(queries):
         x, ids, query = matrix(vectors["embedding"]), vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        place, where = vectors["place"].to_numpy(), np.full(BLOCK, -1)
-        where[place] = np.arange(len(place))
+        trees = Trees(x, vectors["band"].to_numpy(), normals, bits)
         for i in range(0, len(query), 64):
             part = queries.slice(i, 64)
-            v, wanted = matrix(part["embedding"]), np.zeros((len(part), len(ids)), bool)
-            for j, lists in enumerate(part["places"].to_pylist()):
-                wanted[j, where[np.frombuffer(b"".join(lists), np.int16)]] = True
+            v, wanted = matrix(part["embedding"]), wanted_of(part, trees, len(ids))
             wanted &= ids[None, :] != query[i : i + 64, None]
             with np.errstate(over="ignore", invalid="ignore"):
                 near = np.where(wanted, v @ x.T, -np.inf)
@@ -309,13 +285,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = TRE
     band = F.floor((F.lit(known.top) - F.col("norm")) / math.log(BAND)).cast("int")
     index = stored(rows.select("vec_id", "embedding", band.alias("band")), known.n)
     given = written(valid(queries).where(F.col("dim") == known.dim).select("vec_id", "embedding"), "queries")
-    lists = candidate_lists(index, given, known.dim, trees, bits, candidates, seed)
-
-    parts = lists.groupBy("block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    copies = index.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "part", "vec_id", "embedding", "place")
-    wanted = lists.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).join(given.withColumnRenamed("vec_id", "query_id"), "query_id")
-    wanted = wanted.select(F.col("block").alias("_block"), F.col("part").alias("_part"), "query_id", "embedding", "places")
-    near = copies.groupBy("block", "part").cogroup(wanted.groupBy("_block", "_part")).applyInArrow(lambda v, q: best_of_block(v, q, k), "query_id long, best array<struct<far: double, vec_id: long>>")
+    normals, queries = asked(index, given, known.dim, trees, bits, candidates, seed)
+    shared = vectors.sparkSession.sparkContext.broadcast(normals)
+    copies, wanted = meeting(index, queries)
+    near = copies.groupBy("block", "part").cogroup(wanted.groupBy("_block", "_part")).applyInArrow(lambda v, q: best_of_block(v, q, k, shared.value, bits), "query_id long, best array<struct<far: double, vec_id: long>>")
     best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("place", "x"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score"))

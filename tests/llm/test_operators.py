@@ -597,6 +597,16 @@ def test_ann_prefixes_decide(spark, monkeypatch):
     assert len(_found(ann_forest.candidate_lists(index, given, 16, 6, 12, 9000, 3))) == 20
 
 
+def test_ann_writes_vectors_and_depths_only(spark, monkeypatch):
+    """No strings and no lists of candidates, which are many times the vectors."""
+    names, write = [], ann_forest.written
+    monkeypatch.setattr(ann_forest, "written", lambda df, name: names.append((name, df.columns)) or write(df, name))
+    x = np.random.default_rng(5).standard_normal((400, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    assert ann_forest.search(df, df.where("vec_id % 20 = 0")).count() == 400
+    assert {n for n, _ in names} == {"vectors", "queries", "depths"} and not {c for _, columns in names for c in columns} & {"string", "strings", "places"}
+
+
 def test_ann_of_odd_rows(spark):
     v = [1.0, 0.0, 0.0]
     rows = [(0, v), (1, v), (2, v), (3, [0.0, 0.0, 0.0]), (4, None), (5, [float("nan"), 1.0, 0.0]), (6, [1.0, None, 0.0]), (7, [2.0, 0.0, 0.0]), (8, [1.0]), (None, v), (20, [0.5, 0.1, 0.0])]
