@@ -34,6 +34,8 @@ DATE_STRINGS_SQL = """select o_orderkey as id, case o_orderkey % 8
   when 0 then concat('Thu, ', {d}) when 1 then concat('Date: ', {d}, ' (PST)') when 2 then concat({d}, ' EST') when 3 then {us}
   when 4 then concat({us}, ' 14:45 PM') when 5 then {iso} when 6 then 'no date' else concat({us2}, ', Time:15:51:31') end as raw from {orders}"""
 
+BY_TASKS = ("mapreduce.fileoutputcommitter.algorithm.version", "2")  # tasks put their files in place, not the driver one by one
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -425,7 +427,7 @@ def incremental_threads(spark, sf_dir):
 
 def page_stream(spark, sf_dir):
     """Page files read by two runs of one stream: what each message is, its thread, and which run read it."""
-    s, folder = table(spark, sf_dir, "supplier"), new_folder(spark, "pages")
+    s, folder = html.spread(table(spark, sf_dir, "supplier"), "s_suppkey"), new_folder(spark, "pages")
     page = F.concat(
         F.lit('<html><body><h1><span class="subject"><span itemprop="name">Re: '), "s_nationkey", F.lit('</span></span></h1><div class="msgHead"><span class="sender"><span itemprop="name">'), "s_name",
         F.lit('</span></span></div><div class="msgBody">text</div><ul><li><span class="subject"><a href="msg'), F.floor(F.col("s_suppkey") / 3), F.lit('.html">x</a></span><ul><li class="tSliceCur">this</li></ul></li></ul></body></html>'),
@@ -437,7 +439,7 @@ def page_stream(spark, sf_dir):
         return html.live_messages(batch.select(number.alias("message_number"), "content"))
 
     for part in (1, 0):  # later pages are parents of earlier ones
-        files.where(F.col("s_suppkey") % 2 == part).drop("s_suppkey").write.mode("append").partitionBy("page").text(f"{folder}/in")
+        files.where(F.col("s_suppkey") % 2 == part).drop("s_suppkey").write.mode("append").partitionBy("page").option(*BY_TASKS).text(f"{folder}/in")
         thread_stream(stream_of_pages(spark, f"{folder}/in"), f"{folder}/store", f"{folder}/checkpoint", parse).awaitTermination()
     return ThreadStore(spark, f"{folder}/store").messages().select("message_number", "from_name", "subject", "in_reply_to_number", "thread_id", F.col("batch").cast("long").alias("batch"))
 

@@ -2,14 +2,16 @@
 
 import glob
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
 
+from listloom.plans import catalogue
 from listloom.plans.catalogue import QUERIES
 from listloom.plans.oracles import ORACLES
 
-from .conftest import TEST
+from .conftest import SMALL, TEST
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +51,15 @@ def test_partitioning_changes_nothing(spark, name):
         assert rows("1") == rows("7")
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_pages_of_the_stream_are_written_by_many_tasks(spark, monkeypatch):
+    """A file for each page is slow to write; the table of suppliers is one task."""
+    tasks, add = [], catalogue.stream_of_pages
+    monkeypatch.setattr(catalogue, "stream_of_pages", lambda spark, folder: tasks.append({n.split("-")[1] for n in _names(folder)}) or add(spark, folder))
+    catalogue.page_stream(spark, SMALL)
+    assert len(tasks[-1]) > 1
+
+
+def _names(folder):
+    return [p.name for p in Path(folder).rglob("part-*")]
