@@ -168,7 +168,7 @@ def across(group: pd.DataFrame) -> pd.DataFrame:
 
 def still_open(buckets: DataFrame, found: DataFrame) -> DataFrame:
     """Members of those buckets that hold more than one component, with their component."""
-    now = buckets.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).select("key", "rep", "n", "comp")
+    now = buckets.join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).select(*buckets.columns, "comp")
     spread = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("key")
     return now.join(spread, "key", "left_semi")
 
@@ -183,7 +183,8 @@ def stars(members: DataFrame, leads: DataFrame) -> DataFrame:
 def drawn_leads(members: DataFrame, salt: int) -> DataFrame:
     """One member of each bucket, drawn by a hash."""
     drawn = members.groupBy("key").agg(F.min(F.xxhash64(F.lit(salt), "rep")).alias("draw"))
-    return members.join(drawn, "key").where(F.xxhash64(F.lit(salt), "rep") == F.col("draw")).select("key", F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))
+    told = [F.col(c).alias(f"lead_{c}") for c in members.columns if c not in ("key", "rep")]
+    return members.join(drawn, "key").where(F.xxhash64(F.lit(salt), "rep") == F.col("draw")).select("key", F.col("rep").alias("lead"), *told)
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:

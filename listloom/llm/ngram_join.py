@@ -2,13 +2,16 @@
 
 Two sets with 100 |A and B| >= PERCENT |A or B| share an element among their first n - ceil(PERCENT n / 100) + 1 ones, in any
 order of elements that is the same for all. The order here puts rare shingles first: document frequencies of all shingles
-are counted in 2^SKETCH_BITS cells of their hashes, and shingles are sorted by the cell's level (half powers of two), then
+are counted in 2^SKETCH_BITS cells of their hashes, and shingles are sorted by the cell's level (eighths of powers of two), then
 by hash. So shingles that very many documents have stand in few prefixes, and the table of cells has one size whatever the
 corpus; a coarse count can only make more candidates.
 
 Documents with equal sets are one class. Classes with the same prefix and size are one group; only groups are dealt to the
-prefixes' shingles. A shingle with one group only (and one class in it) is dropped; the rest are expanded to the groups'
-classes. Pairs are filtered by size, then by XOR bitmaps of the sets (each differing bit is an element that only one of
+prefixes' shingles. The first shingle that two linked sets share is among the first n - ceil(2 PERCENT n / (100 + PERCENT)) + 1
+ones of the smaller set (its short prefix): they share that many at least, and none stands before. So the groups are dealt
+by shingle once, in order of size, and a group leaves a shingle where no smaller one of like size has it in its short
+prefix, and no larger one of like size follows its own; the rest are expanded to the groups' classes. Pairs are filtered by
+that place and by size, then by XOR bitmaps of the sets (each differing bit is an element that only one of
 them has, so a pair over the limit can't link), and what is left is verified on the full sets:
 
 1. each class with the smallest class of its shingle;
@@ -52,6 +55,10 @@ def prefix_size(n: int) -> int:
     return n - -(-PERCENT * n // 100) + 1
 
 
+def short_size(n: Column) -> Column:
+    return (n - F.ceil(2 * PERCENT * n / (100 + PERCENT)) + 1).cast("int")
+
+
 def cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -73,7 +80,7 @@ def levels(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for part, counts in zip(b["part"].to_pylist(), b["counts"].to_pylist(), strict=True):
                 total[part] = total.get(part, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
-        found = [(2 * np.log2(1 + c)).astype(np.uint8).tobytes() for c in total.values()]
+        found = [np.minimum(8 * np.log2(1 + c), 255).astype(np.uint8).tobytes() for c in total.values()]
         yield pa.record_batch({"part": pa.array(list(total), pa.int32()), "levels": pa.array(found, pa.binary())})
 
     parts = docs.select("text").mapInArrow(counted, "part int, counts binary").repartition("part").mapInArrow(summed, "part int, levels binary")
@@ -105,7 +112,7 @@ def sketches(docs: DataFrame, level: np.ndarray) -> DataFrame:
             rows: list[tuple] = []
             for s in sets:
                 if len(s):
-                    prefix = np.sort(s[np.argsort(level[cell(s)], kind="stable")[: prefix_size(len(s))]])
+                    prefix = s[np.argsort(level[cell(s)], kind="stable")[: prefix_size(len(s))]]
                     rows.append((digest(len(s), s), digest(len(s), prefix), prefix.view(np.int64), bitmap(s)))
                 else:
                     rows.append((None,) * 4)
@@ -122,6 +129,31 @@ def like_sized(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def placed(n: Column, short: Column, m: Column, other: Column) -> Column:
+    """True unless the shingle stands too late in the smaller set to be the first that linked sets share."""
+    return F.when(n <= m, short).otherwise(other)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, lead, sized: twice n, and one if the key is in the short prefix), sorted by key and sized, those with a
+    partner. Only a short row is a partner of larger ones; the nearest in size decides. Two rows at most are held back."""
+    held, done = None, np.empty(0, bool)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = np.stack([b[c].to_numpy() for c in ("key", "lead", "sized")])
+        now, done = now if held is None else np.concatenate([held, now], 1), np.r_[done, np.zeros(b.num_rows, bool)]
+        key, n, short = now[0], now[2] >> 1, (now[2] & 1).astype(bool)
+        last = np.maximum.accumulate(np.where(short, np.arange(len(key)), -1))
+        before = np.r_[-1, last[:-1]]
+        fits = (before >= 0) & (key[before] == key) & (100 * n[before] >= PERCENT * n)
+        fits[:-1] |= short[:-1] & (key[1:] == key[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])
+        out = now[:, fits & ~done]
+        yield pa.record_batch({"key": out[0], "lead": out[1], "short": pa.array((out[2] & 1).astype(bool))})
+        keep = np.unique([i for i in (last[-1], len(key) - 1) if i >= 0 and key[i] == key[-1]])
+        held, done = now[:, keep], (keep < len(key) - 1) | fits[keep]
+
+
 def within_bits(x: str, y: str, n: Column) -> Column:
     """True unless the bitmaps show that sets of n elements together differ in too many. The longer bitmap is folded."""
     least = f"least(size({x}), size({y}))"
@@ -185,16 +217,17 @@ class Join:
         self.reps = written(reps.select("rep", F.col("n_shingles").cast("int").alias("n"), "alike", "bitmap"), "reps")
 
     def buckets(self) -> DataFrame:
-        """key (a prefix's shingle), rep, n: the classes of each key that has more than one."""
+        """key (a prefix's shingle), rep, n, short: the classes of each key that have a partner there."""
         groups = self.reps.groupBy("alike").agg(F.min("rep").alias("lead"), F.count("*").alias("classes"))
         groups = written(groups, "groups")
-        leads = self.all.join(groups.select(F.col("lead").alias("doc_id"), "alike"), ["doc_id", "alike"])
-        dealt = written(leads.select(F.col("doc_id").alias("lead"), F.explode("prefix").alias("key")).distinct(), "dealt")
-        met = dealt.groupBy("key").agg(F.min("lead").alias("low"), F.max("lead").alias("high")).where("low != high").select("key")
-        pairs = dealt.join(met, "key", "left_semi")
-        within = groups.where("classes > 1").select("lead", F.xxhash64("alike").alias("key"))
+        leads = groups.select(F.col("lead").alias("doc_id"), "alike")
+        leads = self.all.join(F.broadcast(leads) if groups.count() <= FEW_IDS else leads, ["doc_id", "alike"])
+        dealt = leads.select(F.col("doc_id").alias("lead"), "n_shingles", F.posexplode("prefix").alias("pos", "key"))
+        dealt = dealt.select("key", "lead", (2 * F.col("n_shingles") + (F.col("pos") < short_size(F.col("n_shingles"))).cast("int")).alias("sized"))
+        pairs = dealt.repartition("key").sortWithinPartitions("key", "sized").mapInArrow(met, "key long, lead long, short boolean").distinct()
+        within = groups.where("classes > 1").select(F.xxhash64("alike").alias("key"), "lead", F.lit(True).alias("short"))
         members = self.reps.join(groups, "alike").select("lead", "rep", "n")
-        return written(pairs.unionByName(within).join(members, "lead").select("key", "rep", "n"), "buckets")
+        return written(pairs.unionByName(within).join(members, "lead").select("key", "rep", "n", "short"), "buckets")
 
     def filtered(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) whose sizes and bitmaps let them link."""
@@ -220,15 +253,17 @@ class Join:
         return written(sized.where(100 * F.col("n") >= PERCENT * (F.col("of") - F.col("n"))).select("a", "b").distinct(), "links")
 
     def with_leads(self, members: DataFrame, leads: DataFrame) -> DataFrame:
-        met = members.join(leads, "key").where((F.col("comp") != F.col("lead_comp")) & like_sized(F.col("n"), F.col("lead_n")))
-        return self.verified(self.filtered(met.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()))
+        n, lead_n = F.col("n"), F.col("lead_n")
+        pairs = members.join(leads, "key").where((F.col("comp") != F.col("lead_comp")) & like_sized(n, lead_n) & placed(n, F.col("short"), lead_n, F.col("lead_short")))
+        return self.verified(self.filtered(pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()))
 
     def within_small(self, members: DataFrame) -> DataFrame:
         """Links between components in keys of few classes."""
-        one = members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-        two = members.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        met = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & like_sized(F.col("na"), F.col("nb")))
-        return self.verified(self.filtered(met.select("a", "b").distinct()))
+        one = members.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"), F.col("comp").alias("ca"))
+        two = members.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("short").alias("sb"), F.col("comp").alias("cb"))
+        pairs = one.join(two, (one["key"] == two["key"]) & (F.col("ca") < F.col("cb")) & like_sized(F.col("na"), F.col("nb")))
+        pairs = pairs.where(placed(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return self.verified(self.filtered(pairs.distinct()))
 
     def within_large(self, members: DataFrame) -> DataFrame:
         """Links between components in keys of many classes, block by block."""
@@ -242,8 +277,8 @@ class Join:
 
 
 def different(members: DataFrame) -> DataFrame:
-    """Of keys with the same members one is enough."""
-    ids = F.xxhash64("rep")
+    """Of keys with the same members, short in the same sets, one is enough."""
+    ids = F.xxhash64("rep", "short")
     kinds = members.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(ids).alias("x"), F.sum(ids.cast("decimal(38,0)")).alias("y"))
     one = kinds.groupBy("size", "x", "y").agg(F.min("key").alias("key")).where("size > 2")  # pairs are compared by then
     return members.join(one.select("key", "size"), "key")
@@ -254,7 +289,8 @@ def similar(docs: DataFrame) -> DataFrame:
     join = Join(docs)
     buckets = join.buckets()
     alone = buckets.withColumn("comp", F.col("rep"))
-    first = alone.groupBy("key").agg(F.min_by(F.struct("rep", "n"), "rep").alias("lead")).select("key", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.rep").alias("lead_comp"))
+    first = alone.groupBy("key").agg(F.min_by(F.struct("rep", "n", "short"), "rep").alias("x"))
+    first = first.select("key", F.col("x.rep").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.short").alias("lead_short"), F.col("x.rep").alias("lead_comp"))
     found = components(join.with_leads(alone, first))
 
     members, salt = written(different(still_open(buckets, found)), "open"), 1
@@ -266,7 +302,7 @@ def similar(docs: DataFrame) -> DataFrame:
         if links.isEmpty():
             break
         found, salt = joined(found, links), salt + 1
-        members = written(different(still_open(members.select("key", "rep", "n"), found)), "open")
+        members = written(different(still_open(members.select("key", "rep", "n", "short"), found)), "open")
 
     links = join.within_small(members.where(F.col("size") <= SMALL)).unionByName(join.within_large(members.where(F.col("size") > SMALL).drop("size")))
     if not links.isEmpty():

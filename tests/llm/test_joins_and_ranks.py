@@ -5,6 +5,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from listloom.llm import ann_forest, minhash_dedup, ngram_join, ranked_search, registry, whitening
@@ -76,6 +77,30 @@ def test_groups_of_equal_prefixes_are_expanded(spark):
     assert _joined(docs) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
+def test_shingles_without_a_partner_of_like_size_are_dropped(spark):
+    """Sets whose sizes are too far apart share a rare shingle: it is dealt, but no class is kept for it."""
+    words = [f"w{i}" for i in range(120)]
+    docs = _table(spark, [(1, " ".join(words[:5])), (2, " ".join(words)), (3, " ".join(words[60:]))])
+    assert ngram_join.Join(docs).buckets().count() == 0
+    assert _joined(docs) == {1: 1, 2: 2, 3: 3}
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 5000])
+def test_partners_are_found_across_batches(rows):
+    """Whatever the batches, a row stays if and only if it and another one of its shingle fit by size, the smaller one short."""
+    rng = np.random.default_rng(7)
+    key, n, short = np.sort(rng.integers(0, 300, 2000)), rng.integers(5, 60, 2000), rng.random(2000) < 0.5
+    sized = 2 * n + short
+    order = np.lexsort((sized, key))
+    key, sized, lead = key[order], sized[order], np.arange(2000)
+    n, short = sized >> 1, (sized & 1).astype(bool)
+    partner = (key[:, None] == key) & (lead[:, None] < lead) & short[:, None] & (100 * n[:, None] >= ngram_join.PERCENT * n)
+    want = np.flatnonzero(partner.any(0) | partner.any(1))
+    table = pa.table({"key": key, "lead": lead, "sized": sized})
+    got = [i for b in ngram_join.met(iter(table.to_batches(rows))) for i in b["lead"].to_pylist()]
+    assert sorted(got) == want.tolist() and 0 < len(want) < 2000
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(1)
     for n in (3, 40, 700, 5000):
