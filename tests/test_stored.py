@@ -189,3 +189,19 @@ def test_final_events_leave_the_state(spark, tmp_path):
     got = {r.id: r.session for r in sessions.latest(told, "key", "id").collect()}
     assert got == {0: 0, 1: 0, 2: 1, 3: 1, 4: 2}  # the last one comes behind the watermark
     assert sessions.numbered([(5 * sessions.DAY, 1)], (0, 7), 3) == [8] and sessions.numbered([], None, 3) == []
+
+
+def test_keys_of_one_bucket_are_numbered_apart(spark, tmp_path):
+    """All keys in one bucket, over several batches; an event without an id doesn't round the others' ids."""
+    big, start = (1 << 53) + 1, 1_577_836_800
+    rows = [(f"k{i % 7}", None if i == 40 else big + i, start + (i * 37 % 400) * 86_400) for i in range(60)]
+    df = spark.createDataFrame(rows, "key string, id long, s long").select("key", "id", F.timestamp_seconds("s").alias("at"))
+    for part in range(3):
+        df.where(F.coalesce(F.col("id"), F.lit(0)) % 3 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    told = incremental.run_to_table(sessions.gap_sessions(stream, "key", "at", "id", days=20, buckets=1), "told", "update", sessions.ROCKS)
+    want = {}
+    for k in range(7):
+        events = sorted((s * 1_000_000, i or 0) for key, i, s in rows if key == f"k{k}")
+        want |= {(f"k{k}", i or None): n for (_, i), n in zip(events, sessions.numbered(events, None, 20), strict=True)}
+    assert {(r.key, r.id): r.session for r in sessions.latest(told, "key", "id").collect()} == want
