@@ -21,7 +21,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once; documents without an id stay."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    found = minhash_dedup.near_duplicates(docs)
+    found = written(minhash_dedup.near_duplicates(docs), "near-duplicates")
     kept = matching(docs, found.where("kept").select("doc_id"))
     repeated = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():

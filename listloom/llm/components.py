@@ -14,13 +14,18 @@ def _minimum(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _each(rows: DataFrame, *pairs: tuple[str, str], names: tuple[str, str]) -> DataFrame:
+    """Each of the pairs of columns of each row. Not a union, which would plan and run what `rows` comes from once for each."""
+    made = F.array(*(F.struct(F.col(x).alias(names[0]), F.col(y).alias(names[1])) for x, y in pairs))
+    return rows.select(F.inline(made))
+
+
 def _round(edges: DataFrame) -> DataFrame:
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    both = _each(edges, ("a", "b"), ("b", "a"), names=("u", "v"))
     large = _minimum(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
     down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     small = _minimum(down)
-    out = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a != b").distinct()
+    return _each(small, ("v", "m"), ("u", "m"), names=("a", "b")).where("a != b").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -127,7 +127,7 @@ def blocks(members: DataFrame) -> DataFrame:
     """Members with the groups that they are compared in: each two parts of a step, and each part of a step with each of
     the next, are a group. What one group holds is bounded by two parts."""
     steps = members.withColumn("step", _step())
-    sizes = steps.groupBy("key", "step").agg(_parts().alias("parts"))
+    sizes = written(steps.groupBy("key", "step").agg(_parts().alias("parts")), "sizes")  # read four times below
     beside = sizes.select("key", (F.col("step") - 1).alias("step"), F.col("parts").alias("above")).union(sizes.select("key", "step", F.lit(0).alias("above"))).groupBy("key", "step").agg(F.max("above").alias("above"))
     below = sizes.select("key", (F.col("step") + 1).alias("step"), F.col("parts").alias("below"))
     sizes = sizes.join(beside, ["key", "step"]).join(below, ["key", "step"], "left").fillna({"below": 0})
@@ -212,7 +212,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members, salt = written(still_open(buckets, found), "open"), 1
     while True:
         large = members.groupBy("key").agg(_parts().alias("parts")).where("parts > 1").select("key")
-        large = members.join(large, "key", "left_semi")
+        large = written(members.join(large, "key", "left_semi"), "large")
+        if large.isEmpty():
+            break
         links = written(confirmed(stars(large, drawn_leads(large, salt)), sets), "links")
         if links.isEmpty():
             break

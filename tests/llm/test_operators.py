@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from listloom.llm import ann_forest, common, decontaminate, language_id, license_scan, lm_scoring, minhash_dedup, packing, quality, registry, suffix_dedup
 from listloom.llm.common import held_out, table
-from listloom.llm.components import components
+from listloom.llm.components import _round, components
 from listloom.llm.sharding import ShardStore
 
 from ..conftest import TEST
@@ -129,6 +129,11 @@ def test_components_of_random_graphs(spark):
     assert all(got.get(n, n) == c for n, c in comp.items())
 
 
+def test_a_round_of_components_stays_a_small_plan(spark):
+    plan = _round(spark.range(9).selectExpr("id AS a", "id + 1 AS b"))._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() <= 4  # 16 with a union on either side
+
+
 # repeated passages
 
 
