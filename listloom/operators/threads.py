@@ -14,24 +14,27 @@ GAP_DAYS = 60
 
 def climbed(edges: DataFrame) -> DataFrame:
     """Follows node -> parent (distinct nodes, parents not null) to the top by pointer doubling: rounds grow with the
-    logarithm of the longest chain. Gives node, top, hops, loop: the length of the cycle that the node is in or leads to
-    (null without one). In a cycle, top is the node itself; for a node that leads to one, top is where it enters and hops
-    count up to there. A parent that is no node is a top."""
-    now = written(edges.select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("hops"), F.least("node", "parent").alias("low")), "climb")
-    before, reach = None, 1
+    logarithm of the longest chain, and a round joins only the nodes that aren't at a top yet. Gives node, top, hops, loop:
+    the length of the cycle that the node is in or leads to (null without one). In a cycle, top is the node itself; for a
+    node that leads to one, top is where it enters and hops count up to there. A parent that is no node is a top."""
+    first = written(edges.select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("hops"), F.least("node", "parent").alias("low")), "climb")
+    heads = first.select(F.col("node").alias("at"), F.lit(True).alias("_more"))
+    now = written(first.join(heads, "at", "left").select("node", "at", "hops", "low", F.coalesce("_more", F.lit(False)).alias("moving")), "climb")
+    at_top, before, reach = now.where("NOT moving"), None, 1  # rows that are at a top stay where they were written
     while True:
-        ahead = now.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("low").alias("_low"))
-        moving = now.join(ahead, "at", "left_semi").count()
+        rising = now.where("moving")
+        moving = rising.count()
         if not moving or (moving == before and reach >= moving):
             break
         before, reach = moving, 2 * reach
-        step = now.join(ahead, "at", "left")
-        now = written(step.select("node", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"), F.least("low", F.coalesce("_low", "low")).alias("low")), "climb")
-    done = now.select("node", F.col("at").alias("top"), "hops", F.lit(None).cast("long").alias("loop"))
+        ahead = at_top.unionByName(rising).select(F.col("node").alias("at"), *(F.col(c).alias(f"_{c}") for c in ("at", "hops", "low", "moving")))
+        step = rising.drop("moving").join(ahead, "at")
+        now = written(step.select("node", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"), F.col("_moving").alias("moving")), "climb")
+        at_top = at_top.unionByName(now.where("NOT moving"))
+    done = at_top.select("node", F.col("at").alias("top"), "hops", F.lit(None).cast("long").alias("loop"))
     if not moving:
         return done
-    ahead = now.select(F.col("node").alias("at"))
-    endless = written(now.join(ahead, "at", "left_semi"), "climb")
+    endless = rising.drop("moving")
     cycle = endless.select(F.col("at").alias("node")).distinct()
     members = endless.join(cycle, "node", "left_semi").select("node", "low")
     sizes = members.join(members.groupBy("low").agg(F.count("*").alias("loop")), "low").select("node", "loop")
@@ -39,7 +42,7 @@ def climbed(edges: DataFrame) -> DataFrame:
     tails = edges.join(endless.select("node"), "node", "left_semi").join(cycle, "node", "left_anti")
     entered = climbed(tails) if not tails.isEmpty() else done.limit(0)
     entered = entered.drop("loop").join(sizes.select(F.col("node").alias("top"), "loop"), "top").select("node", "top", "hops", "loop")
-    return done.join(endless.select("node"), "node", "left_anti").unionByName(inside).unionByName(entered)
+    return done.unionByName(inside).unionByName(entered)
 
 
 def thread_roots(messages: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ thread_id) of the messages that are new or whose thread a batch has changed; a m
 writes follows the batch and the chains it touches, not the store. `bases` hold the last rows of all messages up to a batch,
 written when the log has grown to the size of the base.
 
-A known message's thread changes only if the top of its chain, missing so far, has come and has a parent. Those messages and
-the new ones are linked again along their own edges; a parent that is known and isn't among them stands for its whole
-chain. Cycles come out as in a rebuild."""
+A known message's thread changes only if the top of its chain, missing so far, has come and has a parent. Only new messages
+are linked: a parent that is known stands for its whole chain, by the top it had. A known message whose top has come gets
+that message's top. What then leads to a cycle, old and new, is linked again along its own edges, so that cycles come out
+as in a rebuild."""
 
 from __future__ import annotations
 
@@ -68,20 +69,26 @@ class ThreadStore:
         log = self._log(number)
         incoming = written(messages.drop("thread_id"), "incoming")
         known = log.join(incoming.select("message_number"), "message_number", "left_semi").select("message_number").distinct()
-        fresh = written(latest_version(incoming.limit(0), incoming.join(known, "message_number", "left_anti")), "fresh")
+        place, fresh = f"{self.folder}/messages/batch={number}", latest_version(incoming.limit(0), incoming.join(known, "message_number", "left_anti"))
+        fresh.write.mode("overwrite").parquet(place)  # in place, and counts once the batch's roots are there
+        fresh = self.spark.read.schema(fresh.schema).parquet(place)
 
         nodes = fresh.where("message_number IS NOT NULL").select("message_number", F.col("in_reply_to_number").alias("parent"))
         come = nodes.where("parent IS NOT NULL").select(F.col("message_number").alias("thread_id"))
         suspects = written(log.join(come, "thread_id", "left_semi").select("message_number").distinct(), "suspects")
-        touched = self._last(log.join(suspects, "message_number", "left_semi")).join(come, "thread_id", "left_semi")
-        edges = written(touched.select("message_number", "parent").unionByName(nodes.where("parent IS NOT NULL")), "edges")
-        outer = written(edges.select(F.col("parent").alias("message_number")).distinct().join(edges.select("message_number"), "message_number", "left_anti"), "outer")
+        touched = written(self._last(log.join(suspects, "message_number", "left_semi")).join(come, "thread_id", "left_semi"), "touched")
+        edges = nodes.where("parent IS NOT NULL")
+        outer = written(edges.select(F.col("parent").alias("message_number")).distinct().join(nodes.select("message_number"), "message_number", "left_anti"), "outer")
         above = self._last(log.join(outer, "message_number", "left_semi")).select(F.col("message_number").alias("parent"), F.col("thread_id").alias("above"))
-        tops = climbed(edges.join(above, "parent", "left").select(F.col("message_number").alias("node"), F.coalesce("above", "parent").alias("parent")))
-        rows = nodes.where("parent IS NULL").unionByName(edges).join(tops.select(F.col("node").alias("message_number"), "top"), "message_number", "left")
-        fresh.write.mode("overwrite").parquet(f"{self.folder}/messages/batch={number}")
-        rows = rows.select("message_number", "parent", F.coalesce("top", "message_number").alias("thread_id"))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/roots/batch={number}")
+        tops = written(climbed(edges.join(above, "parent", "left").select(F.col("message_number").alias("node"), F.coalesce("above", "parent").alias("parent"))), "tops")
+        rows = nodes.withColumn("thread_id", F.col("message_number")).unionByName(touched)
+        rows = rows.join(tops.select(F.col("node").alias("thread_id"), "top", "loop"), "thread_id", "left")
+        rows = rows.select("message_number", "parent", F.coalesce("top", "thread_id").alias("thread_id"), "loop")
+        if not tops.where("loop IS NOT NULL").isEmpty():
+            rows = written(rows, "rows")
+            around = climbed(rows.where("loop IS NOT NULL").select(F.col("message_number").alias("node"), "parent"))
+            rows = rows.join(around.select(F.col("node").alias("message_number"), "top"), "message_number", "left").withColumn("thread_id", F.coalesce("top", "thread_id"))
+        rows.select("message_number", "parent", "thread_id").write.mode("overwrite").parquet(f"{self.folder}/roots/batch={number}")
         return number
 
     def compact(self, least: int = 1 << 20) -> bool:

@@ -125,6 +125,16 @@ def test_a_batch_writes_what_it_touches(spark, tmp_path):
     assert {r.message_number: r.thread_id for r in store.roots().collect()}[3000] == 20 and store.messages().count() == 1004
 
 
+def test_a_batch_links_only_what_is_new(spark, tmp_path, monkeypatch):
+    """A late top moves a long chain, whose own links aren't followed again."""
+    linked, own = [], threads.climbed
+    monkeypatch.setattr("listloom.streaming.thread_store.climbed", lambda edges: linked.append(edges.count()) or own(edges))
+    store = ThreadStore(spark, str(tmp_path / "store"))
+    for rows in ([(n, n - 1) for n in range(2, 30)], [(1, 0)]):
+        store.add(spark.createDataFrame(rows, "message_number long, in_reply_to_number long"))
+    assert linked == [28, 1] and {r.thread_id for r in store.roots().collect()} == {0}
+
+
 def test_the_stream_adds_new_messages_only(spark, tmp_path):
     for rows in ([(2, 1), (3, 2)], [(1, 9), (4, 3), (2, 7)]):
         _messages(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
