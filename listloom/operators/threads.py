@@ -89,7 +89,8 @@ def split_at_gaps(messages: DataFrame, key: str, order: list[Column] | None = No
     run = Window.partitionBy("_k").orderBy("_d")
     gap = F.coalesce(whole_days(F.col("_first"), F.lag("_last").over(run)) > days, F.lit(False)).cast("int")
     later = times.withColumn("_gap", gap).withColumn("_number", F.sum("_gap").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("_number > 0")
-    found = found.join(later.select("_k", "_d", "_number"), (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
+    later = written(later.select("_k", "_d", "_number"), "later")  # where few days come after a gap, Spark knows and broadcasts them
+    found = found.join(later, (F.col(key) == F.col("_k")) & (F.col("_day") == F.col("_d")), "left")
     named = F.when(F.col("_number") > 0, F.concat(F.col(key), F.lit("#"), F.col("_number").cast("string"))).otherwise(F.col(key))
     return found.withColumn(out or key, named).drop("_day", "_k", "_d", "_number")
 

@@ -99,12 +99,14 @@ def numbered(df: DataFrame, order: list[Column], number: str = "message_number")
     Undated messages are one month. Messages are counted within days (undated ones within runs of numbers); only the days'
     totals are summed up over a month."""
     found = _parts(df.withColumns({"year": F.year("date"), "month": F.month("date")}), number)
+    # never null, so that the join below is by the same columns as the window and needs no shuffle of its own
+    found = found.withColumn("_day", F.coalesce(F.unix_date("_day"), F.lit(-(1 << 31))))
     own = Window.partitionBy("_day", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("year", "month").orderBy("_day", "_run").rowsBetween(Window.unboundedPreceding, -1)
     days = found.groupBy("year", "month", "_day", "_run").agg(F.count("subject").alias("_n"))
-    days = days.select(F.col("_day").alias("_d"), F.col("_run").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    found = found.withColumn("_own", F.count("subject").over(own)).join(days, F.col("_day").eqNullSafe(F.col("_d")) & (F.col("_run") == F.col("_r")))
-    return found.withColumn("msg_seq", F.col("_own") + F.col("_before")).drop("_day", "_run", "_own", "_d", "_r", "_before")
+    days = days.select("_day", "_run", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = found.withColumn("_own", F.count("subject").over(own)).join(days, ["_day", "_run"])
+    return found.withColumn("msg_seq", F.col("_own") + F.col("_before")).drop("_day", "_run", "_own", "_before")
 
 
 def message_url() -> Column:

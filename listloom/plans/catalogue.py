@@ -182,8 +182,9 @@ def keyed_threads(spark, sf_dir):
 
 
 def _displayed(spark, sf_dir):
-    m = views.numbered(messages(spark, sf_dir).drop("category", "body_clean"), by_date()).withColumn("thread_key", threads.thread_key())
-    return threads.thread_order(threads.display_threads(m, by_date()))
+    m = views.numbered(messages(spark, sf_dir).drop("category", "body_clean", "in_reply_to_number"), by_date()).withColumn("thread_key", threads.thread_key())
+    shown = threads.display_threads(m.drop("thread_id", "year", "month"), by_date())
+    return threads.thread_order(shown.drop("source", "source_url", "thread_key"))
 
 
 def display_threads(spark, sf_dir):

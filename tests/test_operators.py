@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listloom.operators import dedup, search, threads, views
+from listloom.session import configured
 from listloom.sources import archive, html
 from listloom.streaming import incremental
 
@@ -247,3 +248,22 @@ def test_sources_to_messages(spark, tmp_path):
     assert both.columns[:5] == ["date", "from_name", "subject", "category", "body_clean"] and both.count() == 2
     kept = dedup.resolved(both).collect()
     assert [(r.source, r.source_url) for r in kept] == [("live", "http://a/msg00001.html")]
+
+
+# messages are shuffled no more often than needed
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_numbering_shuffles_messages_once(spark):
+    with configured(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        m = spark.range(9).selectExpr("id AS message_number", "timestamp_seconds(id * 90000) AS date", "string(id) AS subject")
+        assert _plan(views.numbered(m, [F.col("date"), F.col("message_number")])).count("Exchange hashpartitioning") == 4  # three of them of days
+
+
+def test_few_gaps_are_broadcast(spark):
+    m = spark.range(2_000_000).selectExpr("id", "string(id % 50) AS key", "timestamp_seconds(id % 100 * 8640000) AS date")
+    found = threads.split_at_gaps(m, "key")
+    assert "BroadcastHashJoin" in _plan(found) and found.where("key LIKE '7#%'").count() == 20_000
